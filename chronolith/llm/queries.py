@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import exact_dedup, simhash
-from chronolith.llm.common import table
+from chronolith.llm import bpe, exact_dedup, lm, simhash
+from chronolith.llm.common import fold, table
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,10 +17,23 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), bpe.default_tokenizer(spark))
+
+
+def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, training = lm.split_by_fold(table(spark, sf_dir, "documents"))
+    model = lm.train(training)
+    scored = lm.score(docs, model).withColumn("train_tokens", F.lit(model.train_tokens).cast("long"))
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def queries() -> dict:
     return {
         "op4_simhash": op4_simhash,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_bpe": op8_bpe,
+        "op9_lm": op9_lm,
     }
 
 
