@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import bpe, exact_dedup, lm, simhash
+from chronolith.llm import bpe, chat, exact_dedup, lm, simhash, urls
 from chronolith.llm.common import fold, table
 
 
@@ -28,12 +28,27 @@ def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages").select("page_id", "url"), urls.SITE_RULES + urls.PATTERN_RULES)
+    site = F.col("rule").isin([r.name for r in urls.SITE_RULES])
+    return judged.select("page_id", "host", "path", F.when(site, F.col("rule")).alias("rule"), "verdict", F.when(~site, F.col("rule")).alias("pattern"))
+
+
+def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = "(-1L, 0L, 'user', '</s>[INST] ok [/INST]'), (-1L, 1L, 'assistant', '</s>[INST] ok [/INST]')"
+    planted = spark.sql(f"SELECT * FROM VALUES {extra} AS t(conv_id, turn, role, text)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.digests(chat.format_windows(turns))
+
+
 def queries() -> dict:
     return {
         "op4_simhash": op4_simhash,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_url_filter": op7_url_filter,
         "op8_bpe": op8_bpe,
         "op9_lm": op9_lm,
+        "op10_chat": op10_chat,
     }
 
 
