@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import bpe, chat, exact_dedup, lm, simhash, urls
+from chronolith.llm import ann, bpe, chat, exact_dedup, lm, simhash, urls
 from chronolith.llm.common import fold, table
 
 
@@ -13,6 +13,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return ann.nearest(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -44,6 +49,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op4_simhash": op4_simhash,
+        "op5_ann": op5_ann,
         "op6_exact_dedup": op6_exact_dedup,
         "op7_url_filter": op7_url_filter,
         "op8_bpe": op8_bpe,
