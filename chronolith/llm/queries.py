@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ann, bpe, chat, exact_dedup, lm, simhash, urls
+from chronolith.llm import ann, bpe, chat, exact_dedup, lm, quality, simhash, toxicity, urls
 from chronolith.llm.common import fold, table
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(docs, toxicity.training_labels(labels))
+    return toxicity.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, quality.training_labels(labels))
+    return quality.score(docs, model)
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), words=4, bits=4)
 
@@ -48,6 +60,8 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op2_toxicity": op2_toxicity,
+        "op3_quality": op3_quality,
         "op4_simhash": op4_simhash,
         "op5_ann": op5_ann,
         "op6_exact_dedup": op6_exact_dedup,

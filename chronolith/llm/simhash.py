@@ -27,18 +27,23 @@ PIVOTS = np.random.default_rng(64).integers(0, 2**64, 16, dtype=np.uint64)
 SMALL_GROUP = 16
 
 
-def simhash(text: bytes, words: int) -> int:
-    """Unsigned 64-bit SimHash of a UTF-8 text: word shingles with repeats, XXH64, strict majority of each bit."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 of every word shingle of a UTF-8 text, repeats included; a text of fewer words is one shingle."""
     tokens = text.lower().split()  # bytes: A-Z, and the six ASCII white-space characters
     if not tokens:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(tokens))
     spans = zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[s:e], SEED) for s, e in spans], dtype=np.uint64)
+    return np.array([digest(joined[s:e], SEED) for s, e in spans], dtype=np.uint64)
+
+
+def simhash(text: bytes, words: int) -> int:
+    """Unsigned 64-bit SimHash: a bit is 1 if it is in more than half of the shingles' hashes."""
+    hashes = shingle_hashes(text, words)
     ones = np.zeros(64, np.int64)
     for part in np.split(hashes, range(65536, len(hashes), 65536)):
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -60,16 +65,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def bucket_masks(bits: int, count: int) -> list[int]:
     """Masks of block sets, one of which any pair within ``bits`` differing bits agrees on.
 
-    64 bits are cut into bits + j blocks, of which j must agree.  j is the smallest that gives keys of at least
-    log2(count) + 3 bits (so a bucket of unrelated fingerprints holds a fraction of a row), up to 4 blocks.
+    64 bits are cut into bits + j blocks, of which j must agree.  j, at most 4, weighs the number of keys of each
+    fingerprint against the number of unrelated ones that ``count`` fingerprints bring into a bucket.
     """
+    options = []
     for same in range(1, 5):
         blocks = bits + same
-        if 64 * same // blocks >= np.log2(max(count, 2)) + 3 or same == 4:
-            edges = [64 * i // blocks for i in range(blocks + 1)]
-            masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-            return [sum(group) for group in combinations(masks, same)]
-    raise AssertionError
+        edges = [64 * i // blocks for i in range(blocks + 1)]
+        masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
+        keys = [sum(group) for group in combinations(masks, same)]
+        options.append((len(keys) * (8 + count / 2 ** (64 * same // blocks)), same, keys))
+    return min(options)[2]
 
 
 def _signed(value: int) -> int:
