@@ -1,8 +1,8 @@
 """Byte-level BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-Texts are split into words (the tokenizer's pre-tokens) in Spark tasks.  A block is one Arrow batch of rows.  Each block
+Texts are split into words (the tokenizer's pre-tokens) in Spark tasks.  A block is a run of rows of some megabytes of text.  Each block
 sends its distinct words once to the word table, which is hash-partitioned by word: there every distinct word is
-encoded once, and its ids go back to each block that holds it.  A block's texts travel as compressed word positions and
+encoded once, and its ids go back to each block that holds it.  A block's texts travel as compressed word numbers and
 meet those ids in a cogroup, so no task holds more than a block and no dictionary is broadcast.
 """
 
@@ -27,6 +27,9 @@ from chronolith.llm.common import text_or_empty
 #: The pre-token pattern of this family of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+#: Text of a block, which one task holds at a time.
+BLOCK_BYTES = 8_000_000
+
 
 def read_tokenizer(path: str) -> str:
     """The tokenizer file's JSON, without truncation and padding.  It is read on the driver and travels with tasks."""
@@ -64,28 +67,34 @@ class Splitter:
         return [w for n, part in enumerate(parts) for w in ([part] if n % 2 else self.plain(part))]
 
 
-def _split_batch(splitter: Splitter, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words in byte order, the code (rank) of every word in turn, and words per text."""
+def _split_texts(splitter: Splitter, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the most frequent first; the number in that order of every word in turn; words per text."""
     counts, chunks, held = np.zeros(len(texts), np.int64), [], []
-    for n, text in enumerate(texts.to_pylist()):
+    for n, text in enumerate(texts):
         words = splitter(text)
         counts[n] = len(words)
         held += words
-        if len(held) > 200_000:
+        if len(held) > 100_000:
             chunks.append(pa.array(held, pa.string()))
             held = []
     coded = pa.chunked_array([*chunks, pa.array(held, pa.string())]).combine_chunks().dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
+    indices = coded.indices.to_numpy()
+    order = np.argsort(-np.bincount(indices, minlength=len(coded.dictionary)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    return coded.dictionary.take(pa.array(order)), rank[coded.indices.to_numpy()], counts
+    return coded.dictionary.take(pa.array(order)), rank[indices], counts
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple]:
-    splitter, part = Splitter(spec), TaskContext.get().partitionId()
-    for n, batch in enumerate(batches):
-        if batch.num_rows:
-            yield (part << 32 | n, batch, *_split_batch(splitter, batch.column("text")))
+    """Runs of rows of about ``BLOCK_BYTES`` of text (one row at least): number, rows, and what :func:`_split_texts` gives."""
+    splitter, number = Splitter(spec), TaskContext.get().partitionId() << 32
+    for batch in batches:
+        place = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK_BYTES
+        starts = [0, *(np.flatnonzero(np.diff(place)) + 1), batch.num_rows] if batch.num_rows else [0]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            rows = batch.slice(a, b - a)
+            yield (number, rows, *_split_texts(splitter, rows.column("text").to_pylist()))
+            number += 1
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -99,9 +108,12 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
 
+    small = np.dtype(np.uint16 if len(piece_table(spec)) <= 1 << 16 else np.uint32)
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, _, distinct, _, _ in _blocks(batches, spec):
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), distinct], names=["block", "word"])
+            numbers = np.arange(len(distinct), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), pa.array(numbers), distinct], names=["block", "number", "word"])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -111,37 +123,41 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
             coded = batch.column("word").dictionary_encode()
             distinct = coded.dictionary.to_pylist()
             fresh = distinct[1:] if distinct and distinct[0] == last else distinct
-            ids = [e.ids for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
+            ids = [np.array(e.ids, small).tobytes() for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
             if len(fresh) < len(distinct):
                 ids.insert(0, known)
             if distinct:
                 last, known = distinct[-1], ids[-1]
-            lists = pa.array(ids, pa.list_(pa.int32())).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), lists], names=["block", "word", "ids"])
+            packed = pa.array(ids, pa.binary()).take(coded.indices)
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), packed], names=["block", "number", "ids"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch, distinct, codes, counts in _blocks(batches, spec):
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            packed = pa.compress(codes.tobytes(), codec="zstd", asbytes=True)
+            planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one weight together compress better
+            packed = pa.Codec("zstd", compression_level=6).compress(planes, asbytes=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([block]), one(batch.column("id")), one(pa.array(counts)), pa.array([len(distinct)], pa.int64()), pa.array([packed], pa.binary())],
                 names=["block", "owners", "counts", "n_words", "codes"],
             )
 
     def join(found: pa.Table, block: pa.Table) -> pa.Table:
-        known = found.sort_by("word").column("ids").combine_chunks()
-        counts = block.column("counts").combine_chunks().values.to_numpy()
-        if len(known) != block.column("n_words")[0].as_py():
+        counts = block.column("counts").combine_chunks().flatten().to_numpy()
+        number = found.column("number").to_numpy()
+        if block.num_rows != 1 or len(number) != block.column("n_words")[0].as_py():
             raise RuntimeError("the table gave other rows when it was read again")
-        codes = np.frombuffer(pa.decompress(block.column("codes")[0].as_buffer(), int(counts.sum()) * 4, "zstd"), np.uint32)
+        known = found.column("ids").combine_chunks().take(pa.array(np.argsort(number)))
+        planes = pa.decompress(block.column("codes")[0].as_buffer(), int(counts.sum()) * 4, "zstd")
+        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
         joined = known.take(pa.array(codes))
-        lengths = np.concatenate(([0], np.cumsum(joined.value_lengths().to_numpy(zero_copy_only=False))))
+        sizes = np.concatenate(([0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False) // small.itemsize)))
+        ids = np.frombuffer(joined.buffers()[2] or b"", small, count=sizes[-1]).astype(np.int32)
         ends = np.concatenate(([0], np.cumsum(counts)))
-        lists = pa.ListArray.from_arrays(pa.array(lengths[ends], pa.int32()), joined.flatten())
+        lists = pa.ListArray.from_arrays(pa.array(sizes[ends], pa.int32()), pa.array(ids))
         return pa.Table.from_arrays([block.column("owners").combine_chunks().flatten(), lists], names=["id", "ids"])
 
-    dealt = rows.select("text").mapInArrow(words, "block long, word string").repartition("word").sortWithinPartitions("word")
-    pieces = dealt.mapInArrow(table, "block long, word string, ids array<int>")
+    dealt = rows.select("text").mapInArrow(words, "block long, number int, word string").repartition("word").sortWithinPartitions("word")
+    pieces = dealt.mapInArrow(table, "block long, number int, ids binary")
     held = rows.mapInArrow(positions, f"block long, owners array<{id_type}>, counts array<bigint>, n_words long, codes binary")
     joined = pieces.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(join, f"id {id_type}, ids array<int>")
     return joined.withColumnRenamed("id", id_col)
@@ -169,14 +185,15 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.array(pieces, pa.binary())
-        for batch in batches:
-            ids = batch.column("ids")
-            found = table.take(ids.flatten())
-            ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False))))
-            cut = ends[np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))]
-            whole = b"".join(memoryview(found.buffers()[2])[: ends[-1]] for _ in range(1)) if ends[-1] else b""
-            texts = [whole[a:b].decode("utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
+        for whole in batches:
+            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
+                ids = batch.column("ids")
+                found = table.take(ids.flatten())
+                ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)))
+                cut = ends[np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))]
+                data = memoryview(found.buffers()[2] or b"")
+                texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string"
     return rows.mapInArrow(run, schema)
