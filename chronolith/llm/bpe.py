@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronolith.llm.common import text_or_empty
+from chronolith.llm.common import text_or_empty, text_runs
 
 #: The pre-token pattern of this family of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -88,13 +88,9 @@ def _split_texts(splitter: Splitter, texts: list[str]) -> tuple[pa.Array, np.nda
 def _blocks(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple]:
     """Runs of rows of about ``BLOCK_BYTES`` of text (one row at least): number, rows, and what :func:`_split_texts` gives."""
     splitter, number = Splitter(spec), TaskContext.get().partitionId() << 32
-    for batch in batches:
-        place = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False), dtype=np.int64) // BLOCK_BYTES
-        starts = [0, *(np.flatnonzero(np.diff(place)) + 1), batch.num_rows] if batch.num_rows else [0]
-        for a, b in zip(starts[:-1], starts[1:], strict=True):
-            rows = batch.slice(a, b - a)
-            yield (number, rows, *_split_texts(splitter, rows.column("text").to_pylist()))
-            number += 1
+    for rows in text_runs(batches, run_bytes=BLOCK_BYTES):
+        yield (number, rows, *_split_texts(splitter, rows.column("text").to_pylist()))
+        number += 1
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

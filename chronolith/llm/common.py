@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,3 +57,12 @@ def keep_by_id(docs: DataFrame, ids: DataFrame, key: str, keep: bool, max_rows:
     """
     ids = checkpointed(ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct())
     return docs.join(broadcast_within(ids, max_rows), key, "left_semi" if keep else "left_anti")
+
+
+def text_runs(batches: Iterator[pa.RecordBatch], column: str = "text", run_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches' rows in runs of about ``run_bytes`` of text (one row at least), to bound what a task holds."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        starts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // run_bytes)) + 1), batch.num_rows] if batch.num_rows else [0]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            yield batch.slice(a, b - a)

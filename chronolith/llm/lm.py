@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed, fold, text_or_empty
+from chronolith.llm.common import checkpointed, fold, text_or_empty, text_runs
 
 SHAPES = 256
 DELTA = 0.1
@@ -98,7 +98,7 @@ def count_words(docs: DataFrame) -> DataFrame:
     """(key long, shape int, n long): counts of all distinct words, and of the text end (shape -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches):
             hashes, shapes, codes, counts = words_of(batch.column(0))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.append(hashes, END)), pa.array(np.append(shapes, -1).astype(np.int32)), pa.array(np.append(np.bincount(codes, minlength=len(hashes)), len(counts)))],
@@ -112,7 +112,7 @@ def count_bigrams(docs: DataFrame, symbols: Symbols) -> DataFrame:
     """(a int, b int, n long): how often symbol b follows a; each text starts after an end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches):
             hashes, shapes, codes, counts = words_of(batch.column(0))
             numbers, _ = symbols.number(hashes, shapes)
             line = with_ends(numbers[codes], counts, symbols.end)
@@ -237,7 +237,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def batches_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
         part, at = TaskContext.get().partitionId(), 0
-        for batch in batches:
+        for batch in text_runs(batches):
             yield (np.arange(at, at + batch.num_rows) + (part << ROW_BITS), batch, *words_of(batch.column(column)))
             at += batch.num_rows
 

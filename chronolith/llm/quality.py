@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import broadcast_within, checkpointed, fold, text_or_empty
+from chronolith.llm.common import broadcast_within, checkpointed, fold, text_or_empty, text_runs
 from chronolith.llm.lm import tokens
 
 #: Byte classes whose shares of a text are features.
@@ -38,7 +38,7 @@ def features(texts: pa.Array) -> np.ndarray:
     """Features of each text: shares of byte classes; length; distinct words a word; word length; repeated lines."""
     values = texts.cast(pa.binary())
     ends = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
-    data = np.frombuffer(values.buffers()[2] or b"", np.uint8)[: ends[-1]]
+    data, ends = np.frombuffer(values.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]], ends - ends[0]
     size = np.maximum(np.diff(ends), 1)
     out = np.zeros((len(texts), FEATURES))
     for n, members in enumerate(CLASSES):
@@ -79,7 +79,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text")).join(F.broadcast(wanted), "id").select("text", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, "text"):
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(features(batch.column(0)))), batch.column(1)], names=["x", "y"])
 
@@ -121,7 +121,7 @@ def score(docs: DataFrame, model: Evidence, id_col: str = "doc_id", text_col: st
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text_or_empty(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, "text"):
             if batch.num_rows:
                 logit = ((features(batch.column("text")) - model.mean) / model.scale) @ model.weights + model.bias
                 yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(1 / (1 + np.exp(-np.clip(logit, -30, 30))))], names=["id", "host", "path", "evidence"])

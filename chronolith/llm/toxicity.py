@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed, fold, text_or_empty
+from chronolith.llm.common import checkpointed, fold, text_or_empty, text_runs
 from chronolith.llm.simhash import shingle_hashes
 
 #: Kinds of terms: whole words (0), or beginnings of so many characters.
@@ -49,7 +49,7 @@ def count_terms(labelled: DataFrame) -> DataFrame:
     """(kind, term, toxic, clean): texts of each label with the term; ``labelled`` is (text, toxic)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, "text"):
             owner, codes, terms = term_columns(batch.column(0))
             label = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
             for kind, values in terms.items():
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     voter = [place[r.kind, r.term] for r in top[:voters]]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, "text"):
             owner, term = _lookup(batch.column(0), terms)
             ends = np.searchsorted(owner, np.arange(batch.num_rows + 1))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term.astype(np.int32)))
@@ -187,7 +187,7 @@ def score_batches(model: Toxicity, column: str, scores: str, below: float | None
     """Task that adds ``scores`` to batches, or, with ``below``, keeps the rows whose score is less."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in text_runs(batches, column):
             owner, term = _lookup(pc.fill_null(batch.column(column), ""), model.terms)
             logit = np.bincount(owner, weights=model.weights[term], minlength=batch.num_rows) + model.bias
             found = pa.array(1 / (1 + np.exp(-np.clip(logit, -40, 40))))
