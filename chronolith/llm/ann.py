@@ -2,7 +2,8 @@
 
 Trees are fitted on a bounded sample and every row is dealt to a leaf of each.  A query walks all trees through one queue,
 ordered by the smallest margin met on the way, until the leaves it has reached hold its share of the rows.  Queries and rows
-then meet by leaf, where exact cosines in double precision are taken; only the best of each leaf are shuffled on.
+then meet by group of neighbouring leaves, where exact cosines in double precision are taken for the rows of the leaves that
+a query has reached; only its best of each group are shuffled on.
 """
 
 from __future__ import annotations
@@ -91,7 +92,7 @@ def usable(vector: Column) -> Column:
 
 def nearest(
     rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    trees: int = 4, share: float = 0.4, leaf_rows: int = 512, sample_rows: int = 16_384, task_rows: int = 50_000,
+    trees: int = 4, share: float = 0.4, leaf_rows: int = 512, sample_rows: int = 16_384, task_rows: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows found for each query, its own id left out.
 
@@ -99,7 +100,7 @@ def nearest(
     do rows with a null id or, as rows, vectors of another length than most (ties: the longer).  Equal vectors are indexed
     once with their k + 1 smallest ids; further copies cannot be among anyone's k nearest.  Repeated ids count once.  Empty
     tables give no rows.  The forest is fitted on at most ``sample_rows`` vectors (those of the smallest hash), which bounds
-    its size and its leaves; larger leaves are dealt to tasks in parts of about ``task_rows``.  ``share``: of all rows,
+    its size and its leaves; groups of leaves hold about ``task_rows`` rows, and larger ones are dealt to tasks in parts.  ``share``: of all rows,
     what the leaves that a query visits may hold per tree.
     """
     spark = rows.sparkSession
@@ -131,36 +132,49 @@ def nearest(
     sizes = np.zeros(leaf_count, np.int64)
     for leaf, n in dealt.groupBy("leaf").count().collect():
         sizes[leaf] = n
-    parts = np.maximum(1, -(-sizes // task_rows))
+    shift = depth - int(np.clip(np.ceil(np.log2(total / task_rows)), 0, depth))
+    groups = sizes.reshape(-1, 1 << shift).sum(axis=1)
+    parts = np.maximum(1, -(-groups // (2 * task_rows)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            found = [forest.search(v, sizes, share * total * trees) for v in unit(matrix(batch.column(1), dim))]
-            owner = np.repeat(np.arange(len(found)), list(map(len, found)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).astype(np.int64)), batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner))], names=["leaf", "query_id", "q"])
-
-    part_of = F.element_at(F.lit(parts.tolist()).cast("array<int>"), (F.col("leaf") + 1).cast("int"))
-    wanted = queries.mapInArrow(walk, f"leaf long, query_id long, q {v_type}")
+            owners, keys, lists = [], [], []
+            for n, v in enumerate(unit(matrix(batch.column(1), dim)) if batch.num_rows else []):
+                found = np.sort(forest.search(v, sizes, share * total * trees))
+                for part in np.split(found, np.flatnonzero(np.diff(found >> shift)) + 1):
+                    owners.append(n)
+                    keys.append(int(part[0]) >> shift)
+                    lists.append(part)
+            at = pa.array(owners, pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(lists, pa.list_(pa.int64())), batch.column(0).take(at), batch.column(1).take(at)], names=["group", "leaves", "query_id", "q"])
+
+    part_of = F.element_at(F.lit(parts.tolist()).cast("array<int>"), (F.col("group") + 1).cast("int"))
+    wanted = queries.mapInArrow(walk, f"group long, leaves array<bigint>, query_id long, q {v_type}")
     wanted = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), part_of - 1)))
-    held = dealt.withColumn("part", F.pmod(F.hash("v"), part_of))
+    held = dealt.withColumn("group", F.shiftright("leaf", shift)).withColumn("part", F.pmod(F.hash("v"), part_of))
 
     def rerank(asked: pa.Table, leaf: pa.Table) -> pa.Table:
-        q = unit(matrix(asked.column("q").combine_chunks(), dim))
+        q = unit(matrix(asked.column("q").combine_chunks(), dim)) if asked.num_rows else np.empty((0, dim))
         r = unit(matrix(leaf.column("v").combine_chunks(), dim)) if leaf.num_rows else np.empty((0, dim))
-        near_q, near_r = [], []
-        for at in range(0, len(q), 256):
-            cosines = q[at : at + 256] @ r.T
-            cut = np.partition(cosines, -min(k + 1, len(r)), axis=1)[:, -min(k + 1, len(r))] if len(r) else np.empty(0)
-            i, j = np.nonzero(cosines >= cut[:, None] - 1e-12) if len(r) else (np.empty(0, np.int64),) * 2
-            near_q.append(i + at)
-            near_r.append(j)
-        i, j = np.concatenate(near_q or [[]]).astype(np.int64), np.concatenate(near_r or [[]]).astype(np.int64)
+        best_q, best_r = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        if len(q) and len(r):
+            place = leaf.column("leaf").to_numpy() & ((1 << shift) - 1)
+            reached = np.zeros((len(q), 1 << shift), bool)
+            lists = asked.column("leaves").combine_chunks()
+            owner = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy(zero_copy_only=False))
+            reached[owner, lists.flatten().to_numpy() & ((1 << shift) - 1)] = True
+            some = min(k + 1, len(r))
+            for at in range(0, len(q), 256):
+                cosines = np.where(reached[at : at + 256][:, place], q[at : at + 256] @ r.T, -2.0)
+                cut = np.partition(cosines, -some, axis=1)[:, -some]
+                i, j = np.nonzero((cosines >= cut[:, None] - 1e-12) & (cosines > -1.5))
+                best_q.append(i + at)
+                best_r.append(j)
+        i, j = np.concatenate(best_q), np.concatenate(best_r)
         score = (q[i] * r[j]).sum(axis=1)
         return pa.Table.from_arrays([asked.column("query_id").take(pa.array(i)), leaf.column("ids").take(pa.array(j)), pa.array(score)], names=["query_id", "ids", "score"])
 
-    met = wanted.groupBy("leaf", "part").cogroup(held.groupBy("leaf", "part")).applyInArrow(rerank, f"query_id long, ids {id_type}, score double")
+    met = wanted.groupBy("group", "part").cogroup(held.groupBy("group", "part")).applyInArrow(rerank, f"query_id long, ids {id_type}, score double")
     pairs = met.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return pairs.withColumn("rank", best).where(F.col("rank") <= k).select(F.col("query_id").cast("long"), F.col("rank").cast("int"), F.col("vec_id").cast("long"), "score")
