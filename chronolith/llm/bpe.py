@@ -195,12 +195,14 @@ def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_
     return rows.mapInArrow(run, schema)
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, n_tokens, digests of the ids and of the text decoded from them, and the ids' text."""
+def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, (ids,) n_tokens, and digests of the ids and of the text decoded from them."""
     encoded = encode(docs, tokenizer_path, id_col, text_col)
-    listed = encoded.select(id_col, "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"))
-    decoded = decode(listed, tokenizer_path, id_col, keep=("n_tokens", "ids_sha256"))
-    return decoded.select(id_col, "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
+    listed = encoded.select(F.col(id_col), F.col("ids").alias("found"), F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
+    decoded = decode(listed, tokenizer_path, id_col, "found", keep=(*["found"] * keep_ids, "n_tokens", "ids_sha256"))
+    kept = [F.col("found").alias("ids")] * keep_ids
+    return decoded.select(id_col, *kept, "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def default_tokenizer(spark: SparkSession) -> str:

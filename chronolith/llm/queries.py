@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ann, bpe, chat, exact_dedup, lm, quality, simhash, toxicity, urls
+from chronolith.llm import ann, bpe, chat, exact_dedup, lm, mixing, quality, simhash, toxicity, urls
 from chronolith.llm.common import fold, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = mixing.label_domains(table(spark, sf_dir, "labels"))
+    return mixing.mix(table(spark, sf_dir, "documents"), labels, {"clean": 0.92, "rough": 0.06, "toxic": 0.02})
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.train(docs, toxicity.training_labels(labels))
@@ -60,6 +65,7 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_mixing": op1_mixing,
         "op2_toxicity": op2_toxicity,
         "op3_quality": op3_quality,
         "op4_simhash": op4_simhash,
