@@ -2,7 +2,7 @@
 
 Texts are split into words (the tokenizer's pre-tokens) in Spark tasks.  A block is a run of rows of some megabytes of text.  Each block
 sends its distinct words once to the word table, which is hash-partitioned by word: there every distinct word is
-encoded once, and its ids go back to each block that holds it.  A block's texts travel as compressed word numbers and
+encoded once, and its ids go back, packed, to each block that holds it.  A block's texts travel as compressed word numbers and
 meet those ids in a cogroup, so no task holds more than a block and no dictionary is broadcast.
 """
 
@@ -28,7 +28,7 @@ from chronolith.llm.common import text_or_empty, text_runs
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Text of a block, which one task holds at a time.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 12_000_000
 
 
 def read_tokenizer(path: str) -> str:
@@ -67,6 +67,18 @@ class Splitter:
         return [w for n, part in enumerate(parts) for w in ([part] if n % 2 else self.plain(part))]
 
 
+def pack(values: np.ndarray) -> bytes:
+    """Unsigned numbers, compressed: bytes of one weight stand together."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
+    return pa.Codec("zstd", compression_level=6).compress(planes, asbytes=True)
+
+
+def unpack(packed: bytes, n: int, kind: np.dtype | type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = pa.decompress(packed, n * size, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _split_texts(splitter: Splitter, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Distinct words, the most frequent first; the number in that order of every word in turn; words per text."""
     counts, chunks, held = np.zeros(len(texts), np.int64), [], []
@@ -114,7 +126,19 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         tokenizer = Tokenizer.from_str(spec)
-        last, known = None, None
+        last, known, held, rows = None, None, [], 0
+
+        def by_block() -> pa.RecordBatch:
+            """What is held, one row for each block: its words' numbers, and their ids one after another."""
+            blocks, numbers, ids = (pa.chunked_array(c).combine_chunks() for c in zip(*held, strict=True))
+            order = np.argsort(blocks.to_numpy(), kind="stable")
+            blocks, numbers, ids = blocks.to_numpy()[order], numbers.to_numpy()[order].astype(np.uint32), ids.take(pa.array(order))
+            sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.uint32)
+            starts = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(blocks))
+            ends, data = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), memoryview(ids.buffers()[2] or b"")
+            out = [(blocks[x], y - x, pack(numbers[x:y]), pack(sizes[x:y]), pack(np.frombuffer(data[ends[x] : ends[y]], small))) for x, y in zip(starts[:-1], starts[1:], strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "n", "numbers", "sizes", "ids"])
+
         for batch in batches:  # sorted by word
             coded = batch.column("word").dictionary_encode()
             distinct = coded.dictionary.to_pylist()
@@ -124,27 +148,34 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
                 ids.insert(0, known)
             if distinct:
                 last, known = distinct[-1], ids[-1]
-            packed = pa.array(ids, pa.binary()).take(coded.indices)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("number"), packed], names=["block", "number", "ids"])
+                held.append((batch.column("block"), batch.column("number"), pa.array(ids, pa.binary()).take(coded.indices)))
+                rows += batch.num_rows
+            if rows > 1_000_000:
+                yield by_block()
+                held, rows = [], 0
+        if held:
+            yield by_block()
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch, distinct, codes, counts in _blocks(batches, spec):
             one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
-            planes = codes.view(np.uint8).reshape(-1, 4).T.tobytes()  # bytes of one weight together compress better
-            packed = pa.Codec("zstd", compression_level=6).compress(planes, asbytes=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), one(batch.column("id")), one(pa.array(counts)), pa.array([len(distinct)], pa.int64()), pa.array([packed], pa.binary())],
+                [pa.array([block]), one(batch.column("id")), one(pa.array(counts)), pa.array([len(distinct)], pa.int64()), pa.array([pack(codes)], pa.binary())],
                 names=["block", "owners", "counts", "n_words", "codes"],
             )
 
     def join(found: pa.Table, block: pa.Table) -> pa.Table:
         counts = block.column("counts").combine_chunks().flatten().to_numpy()
-        number = found.column("number").to_numpy()
-        if block.num_rows != 1 or len(number) != block.column("n_words")[0].as_py():
+        n_words = block.column("n_words")[0].as_py()
+        if block.num_rows != 1 or sum(found.column("n").to_pylist()) != n_words:
             raise RuntimeError("the table gave other rows when it was read again")
-        known = found.column("ids").combine_chunks().take(pa.array(np.argsort(number)))
-        planes = pa.decompress(block.column("codes")[0].as_buffer(), int(counts.sum()) * 4, "zstd")
-        codes = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+        parts = list(zip(*(found.column(c).to_pylist() for c in ("n", "numbers", "sizes", "ids")), strict=True))
+        number = np.concatenate([unpack(x, n, np.uint32) for n, x, _, _ in parts]) if parts else np.empty(0, np.uint32)
+        lengths = [unpack(x, n, np.uint32) for n, _, x, _ in parts]
+        data = b"".join(unpack(x, int(size.sum()) // small.itemsize, small).tobytes() for (_, _, _, x), size in zip(parts, lengths, strict=True))
+        edges = np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64))) if parts else np.zeros(1, np.int64)
+        known = pa.BinaryArray.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data)]).take(pa.array(np.argsort(number)))
+        codes = unpack(block.column("codes")[0].as_py(), int(counts.sum()), np.uint32)
         joined = known.take(pa.array(codes))
         sizes = np.concatenate(([0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False) // small.itemsize)))
         ids = np.frombuffer(joined.buffers()[2] or b"", small, count=sizes[-1]).astype(np.int32)
@@ -153,7 +184,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         return pa.Table.from_arrays([block.column("owners").combine_chunks().flatten(), lists], names=["id", "ids"])
 
     dealt = rows.select("text").mapInArrow(words, "block long, number int, word string").repartition("word").sortWithinPartitions("word")
-    pieces = dealt.mapInArrow(table, "block long, number int, ids binary")
+    pieces = dealt.mapInArrow(table, "block long, n long, numbers binary, sizes binary, ids binary")
     held = rows.mapInArrow(positions, f"block long, owners array<{id_type}>, counts array<bigint>, n_words long, codes binary")
     joined = pieces.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(join, f"id {id_type}, ids array<int>")
     return joined.withColumnRenamed("id", id_col)
