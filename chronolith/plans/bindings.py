@@ -142,3 +142,22 @@ def b_incoming(d, t):
     """A later delivery of bars: a tenth changed, a twentieth shifted within tolerance, some new entities."""
     return """SELECT entity_id, trade_date, open, high, low, CASE WHEN entity_id % 10 = 3 THEN close + 1 WHEN entity_id % 20 = 7 THEN close + 0.0000000001 ELSE close END AS close, volume, amount FROM b_bar1
         UNION ALL SELECT entity_id + 100000, trade_date, open, high, low, close, volume, amount FROM b_bar1 WHERE entity_id % 9 = 0"""
+
+
+@binding("b_bar1")
+def b_market(d, t):
+    """Intervals of the market for the entities that have bars; a seventh is delisted after some days."""
+    start = "SELECT entity_id, min(trade_date) AS a FROM b_bar1 GROUP BY entity_id"
+    row = "entity_id, '{s}' AS status, {a} AS start_date, {b} AS end_date, " + known(d, "a", 7) + " AS knowledge_time, CAST(1 AS BIGINT) AS version"
+    gone = "CASE WHEN entity_id % 7 = 0 THEN {} END"
+    listed = row.format(s="listed", a="a", b=gone.format(d.plus("a", 12)))
+    return f"SELECT {listed} FROM ({start}) x UNION ALL SELECT {row.format(s='delisted', a=d.plus('a', 13), b='CAST(NULL AS DATE)')} FROM ({start}) x WHERE entity_id % 7 = 0"
+
+
+@binding()
+def b_results(d, t):
+    """Quality results: three runs over two report days."""
+    return f"""SELECT CAST(event_id % 3 AS BIGINT) AS run_id, event_type AS dataset, CASE event_id % 4 WHEN 0 THEN 'completeness' WHEN 1 THEN 'freshness' WHEN 2 THEN 'unique' ELSE 'range' END AS check_id,
+        CASE WHEN event_id % 5 = 0 THEN 'warn' ELSE 'error' END AS severity, CASE WHEN min(value) > 2 THEN 'passed' WHEN min(value) > 1 THEN 'skipped' WHEN max(value) > 200 THEN 'error' ELSE 'failed' END AS status,
+        CAST(count(*) AS BIGINT) AS violations, round(avg(value), 4) AS metric, CASE WHEN event_id % 3 = 0 THEN DATE '2024-01-29' ELSE DATE '2024-01-30' END AS window_end
+        FROM {t('events')} GROUP BY 1, 2, 3, 4, 8"""

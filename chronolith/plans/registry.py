@@ -40,17 +40,17 @@ def duck_sql(body: str, *bindings: str) -> str:
     return f"WITH {ctes}, {head[5:]}" if head.upper().startswith("WITH ") else f"WITH {ctes} {body}"
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    """Doubles rounded to 6 digits, integers as longs, as results are compared."""
-    fix = {"double": lambda c: F.round(c, 6), "int": lambda c: c.cast("long")}
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded, integers as longs, as results are compared."""
+    fix = {"double": lambda c: F.round(c, digits), "int": lambda c: c.cast("long")}
     return df.select(*[fix[t](F.col(f"`{c}`")).alias(c) if t in fix else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
-def query(name: str, sql: str | None = None, uses: tuple[str, ...] | str = ()) -> Callable[[Callable[[Tables], Any]], Callable]:
-    """Register a function of :class:`Tables` under ``name``; ``uses``: bindings that ``sql`` names."""
+def query(name: str, sql: str | None = None, uses: tuple[str, ...] | str = (), digits: int = 6) -> Callable[[Callable[[Tables], Any]], Callable]:
+    """Register a function of :class:`Tables` under ``name``; ``uses``: bindings that ``sql`` names; ``digits``: of doubles (more where exact values end in a 5 after 6)."""
 
     def add(function: Callable[[Tables], DataFrame]) -> Callable:
-        QUERIES[name] = lambda spark, sf_dir: rounded(function(Tables(spark, sf_dir)))
+        QUERIES[name] = lambda spark, sf_dir: rounded(function(Tables(spark, sf_dir)), digits)
         if sql is not None:
             ORACLES[name] = duck_sql(sql, *((uses,) if isinstance(uses, str) else uses))
         return function
