@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = checkpointed(table.groupBy("fp").agg(F.min("id").alias("first")))
     roots = connected_components(near_links(distinct.select("fp"), bits, crowded)).withColumnRenamed("node", "fp")
     rooted = checkpointed(distinct.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # written, so that the join below reads it through a shuffle of its own and AQE can split a component of many fingerprints
+    least = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("component_id")))
     named = rooted.join(least, "root").select("fp", "component_id")
     return table.join(named, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
