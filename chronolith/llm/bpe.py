@@ -1,8 +1,8 @@
 """Byte-level BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
 Texts are split into words (the tokenizer's pre-tokens) in Spark tasks.  A block is a run of rows of some megabytes of text.  Each block
-sends its distinct words once to the word table, which is hash-partitioned by word: there every distinct word is
-encoded once, and its ids go back, packed, to each block that holds it.  A block's texts travel as compressed word numbers and
+sends its distinct words once, packed, to the word table, which is dealt in buckets by hash of the word: there every
+distinct word is encoded once, and its ids go back, packed, to each block that holds it.  A block's texts travel as compressed word numbers and
 meet those ids in a cogroup, so no task holds more than a block and no dictionary is broadcast.
 """
 
@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,9 @@ from chronolith.llm.common import text_or_empty, text_runs
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Text of a block, which one task holds at a time.
-BLOCK_BYTES = 12_000_000
+BLOCK_BYTES = 10_000_000
+#: Buckets of the word table are twice the shuffle partitions, but so many at most, as each block sends a row to each.
+MOST_BUCKETS = 20_000
 
 
 def read_tokenizer(path: str) -> str:
@@ -118,43 +121,43 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
     small = np.dtype(np.uint16 if len(piece_table(spec)) <= 1 << 16 else np.uint32)
 
+    buckets = min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A block's distinct words by bucket of the word table: their numbers, sizes and bytes, packed."""
         for block, _, distinct, _, _ in _blocks(batches, spec):
-            numbers = np.arange(len(distinct), dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(distinct), block)), pa.array(numbers), distinct], names=["block", "number", "word"])
+            if not len(distinct):
+                continue
+            listed = distinct.cast(pa.binary())
+            place = np.fromiter(map(zlib.crc32, listed.to_pylist()), np.int64, len(listed)) % buckets
+            order = np.lexsort((np.arange(len(place)), place))
+            sizes = pc.binary_length(listed).to_numpy(zero_copy_only=False).astype(np.uint32)[order]
+            data, ends = memoryview(listed.take(pa.array(order)).buffers()[2] or b""), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            edges = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
+            zstd = pa.Codec("zstd", compression_level=6)
+            out = [(int(place[order[x]]), block, y - x, pack(order[x:y].astype(np.uint32)), pack(sizes[x:y]), zstd.compress(data[ends[x] : ends[y]], asbytes=True)) for x, y in zip(edges[:-1], edges[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["bucket", "block", "n", "numbers", "sizes", "words"])
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each distinct word of a bucket encoded once; its ids for every block that sent it, packed."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer = Tokenizer.from_str(spec)
-        last, known, held, rows = None, None, [], 0
-
-        def by_block() -> pa.RecordBatch:
-            """What is held, one row for each block: its words' numbers, and their ids one after another."""
-            blocks, numbers, ids = (pa.chunked_array(c).combine_chunks() for c in zip(*held, strict=True))
-            order = np.argsort(blocks.to_numpy(), kind="stable")
-            blocks, numbers, ids = blocks.to_numpy()[order], numbers.to_numpy()[order].astype(np.uint32), ids.take(pa.array(order))
-            sizes = pc.binary_length(ids).to_numpy(zero_copy_only=False).astype(np.uint32)
-            starts = np.append(np.flatnonzero(np.diff(blocks, prepend=-1)), len(blocks))
-            ends, data = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64))), memoryview(ids.buffers()[2] or b"")
-            out = [(blocks[x], y - x, pack(numbers[x:y]), pack(sizes[x:y]), pack(np.frombuffer(data[ends[x] : ends[y]], small))) for x, y in zip(starts[:-1], starts[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "n", "numbers", "sizes", "ids"])
-
-        for batch in batches:  # sorted by word
-            coded = batch.column("word").dictionary_encode()
-            distinct = coded.dictionary.to_pylist()
-            fresh = distinct[1:] if distinct and distinct[0] == last else distinct
-            ids = [np.array(e.ids, small).tobytes() for e in tokenizer.encode_batch_fast(fresh, add_special_tokens=False)]
-            if len(fresh) < len(distinct):
-                ids.insert(0, known)
-            if distinct:
-                last, known = distinct[-1], ids[-1]
-                held.append((batch.column("block"), batch.column("number"), pa.array(ids, pa.binary()).take(coded.indices)))
-                rows += batch.num_rows
-            if rows > 1_000_000:
-                yield by_block()
-                held, rows = [], 0
-        if held:
-            yield by_block()
+        tokenizer, known, current = Tokenizer.from_str(spec), {}, None
+        for batch in batches:  # sorted by bucket
+            out = []
+            for bucket, block, n, numbers, sizes, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != current:
+                    known, current = {}, bucket
+                ends = np.concatenate(([0], np.cumsum(unpack(sizes, n, np.uint32), dtype=np.int64))).tolist()
+                data = pa.decompress(words, ends[-1], "zstd", asbytes=True)
+                listed = [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                fresh = [w for w in listed if w not in known]
+                for word, found in zip(fresh, tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
+                    known[word] = np.array(found.ids, small).tobytes()
+                ids = [known[w] for w in listed]
+                lengths = np.fromiter(map(len, ids), np.uint32, n)
+                out.append((block, n, numbers, pack(lengths), pack(np.frombuffer(b"".join(ids), small))))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "n", "numbers", "sizes", "ids"])
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch, distinct, codes, counts in _blocks(batches, spec):
@@ -183,7 +186,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         lists = pa.ListArray.from_arrays(pa.array(sizes[ends], pa.int32()), pa.array(ids))
         return pa.Table.from_arrays([block.column("owners").combine_chunks().flatten(), lists], names=["id", "ids"])
 
-    dealt = rows.select("text").mapInArrow(words, "block long, number int, word string").repartition("word").sortWithinPartitions("word")
+    dealt = rows.select("text").mapInArrow(words, "bucket long, block long, n long, numbers binary, sizes binary, words binary").repartition("bucket").sortWithinPartitions("bucket")
     pieces = dealt.mapInArrow(table, "block long, n long, numbers binary, sizes binary, ids binary")
     held = rows.mapInArrow(positions, f"block long, owners array<{id_type}>, counts array<bigint>, n_words long, codes binary")
     joined = pieces.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(join, f"id {id_type}, ids array<int>")
