@@ -65,11 +65,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def bucket_masks(bits: int, count: int) -> list[int]:
     """Masks of block sets, one of which any pair within ``bits`` differing bits agrees on.
 
-    64 bits are cut into bits + j blocks, of which j must agree.  j, at most 4, weighs the number of keys of each
-    fingerprint against the number of unrelated ones that ``count`` fingerprints bring into a bucket.
+    64 bits are cut into bits + j blocks, of which j must agree.  j, from 2 (a single block is too short a key) to 4,
+    weighs the number of keys of each fingerprint against the unrelated ones that ``count`` bring into a bucket.
     """
     options = []
-    for same in range(1, 5):
+    for same in range(2, 5):
         blocks = bits + same
         edges = [64 * i // blocks for i in range(blocks + 1)]
         masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
