@@ -1,7 +1,7 @@
-"""URL filters: pattern rules indexed by their rarest literal token.
+"""URL filters: pattern rules indexed by the rarest literal token of each of their spellings.
 
-A rule is a regular expression over host and path, with the literal tokens that every match must hold.  Token counts over
-all URLs choose the rarest token of each rule as its index key.  A URL fetches the rules under its own tokens through an
+A rule is a regular expression over host and path, with the literal tokens of each spelling; every match holds all tokens
+of a spelling.  Token counts over all URLs choose the rarest token of each spelling as an index key of the rule.  A URL fetches the rules under its own tokens through an
 equi join, and only those rules' expressions run.  All steps are DataFrame expressions.
 """
 
@@ -18,12 +18,12 @@ from chronolith.llm.common import ascii_lower, broadcast_within
 
 @dataclass(frozen=True)
 class Rule:
-    """``pattern``: Java regular expression, searched in host + path.  ``tokens``: alphanumeric runs, lower case, that any match contains as whole runs."""
+    """``pattern``: Java regular expression, searched in host + path.  ``spellings``: alphanumeric runs, lower case; any match contains those of one spelling as whole runs."""
 
     name: str
     verdict: str
     pattern: str
-    tokens: tuple[str, ...]
+    spellings: tuple[tuple[str, ...], ...]
     weight: int
 
 
@@ -34,13 +34,16 @@ def site_rule(host: str, path: str, verdict: str) -> Rule:
     """
     closed = host + re.sub(r"[0-9A-Za-z]+$", "", path)
     pattern = r"^(?:[^/?#]*\.)?" + "".join("\\" + c if re.match(r"[^\w\s/]", c) else c for c in host + path)
-    return Rule(host + path, verdict, pattern, tuple(dict.fromkeys(re.findall(r"[0-9a-z]+", closed.lower()))), 1_000_000 + len(host + path))
+    return Rule(host + path, verdict, pattern, (tuple(dict.fromkeys(re.findall(r"[0-9a-z]+", closed.lower()))),), 1_000_000 + len(host + path))
 
 
 def pattern_rule(literal: str, verdict: str = "block") -> Rule:
-    """Blocks host or path that holds the dash-joined words of ``literal`` as whole words."""
+    """Blocks host or path that holds the dash-joined words of ``literal`` as whole words, separated or fused."""
     words = literal.split("-")
-    return Rule(literal, verdict, r"(?i)(?:^|[^0-9a-z])" + "[-_.]?".join(words) + r"(?:$|[^0-9a-z])", tuple(words), len(literal))
+    spellings = [words[:1]]
+    for word in words[1:]:
+        spellings = [spelling for s in spellings for spelling in ([*s, word], [*s[:-1], s[-1] + word])]
+    return Rule(literal, verdict, r"(?i)(?:^|[^0-9a-z])" + "[-_.]?".join(words) + r"(?:$|[^0-9a-z])", tuple(map(tuple, spellings)), len(literal))
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -52,13 +55,14 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 
 def rule_index(spark: SparkSession, rules: list[Rule], tokens: DataFrame) -> DataFrame:
-    """(token, name, verdict, pattern, weight): each rule under the one of its tokens that the fewest URLs hold."""
-    frame = spark.createDataFrame([(r.name, r.verdict, r.pattern, list(r.tokens), r.weight) for r in rules], "name string, verdict string, pattern string, tokens array<string>, weight int")
+    """(token, name, verdict, pattern, weight): each rule under the one token of each of its spellings that the fewest URLs hold."""
+    listed = [(r.name, r.verdict, r.pattern, n, list(tokens), r.weight) for r in rules for n, tokens in enumerate(r.spellings)]
+    frame = spark.createDataFrame(listed, "name string, verdict string, pattern string, spelling int, tokens array<string>, weight int")
     wanted = frame.select("*", F.explode("tokens").alias("token")).drop("tokens")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(broadcast_within(wanted.select("token").distinct(), 100_000), "token", "left_semi")
-    rated = wanted.join(counts, "token", "left").groupBy("name", "verdict", "pattern", "weight")
-    return rated.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest")).select("rarest.token", "name", "verdict", "pattern", "weight")
+    rated = wanted.join(counts, "token", "left").groupBy("name", "verdict", "pattern", "weight", "spelling")
+    return rated.agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest")).select("rarest.token", "name", "verdict", "pattern", "weight").distinct()
 
 
 def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:

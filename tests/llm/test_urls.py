@@ -46,3 +46,14 @@ def test_rules_stand_under_their_rarest_token(spark):
     tokens = spark.createDataFrame([("org",)] * 3 + [("example",)] * 5 + [("es",)], "token string")
     index = {r["name"]: r.token for r in urls.rule_index(spark, urls.SITE_RULES, tokens).collect()}
     assert index["example.org/es/"] == "es" and index["org/"] == "org" and index["example.org/en/1"] == "en"
+
+
+def test_fused_words_are_found(spark):
+    asked = ["http://freebets.example.net/", "http://a.net/ClickBait/x", "http://a.net/adultchat", "http://cheappills.net/", "http://a.net/x/paydayloans?q", "http://a.net/free.bets/", "http://a.net/freebetsx/", "http://freebets.free-bets.net/"]
+    found = urls.judge(spark.createDataFrame([(u,) for u in asked], "url string"), urls.SITE_RULES + urls.PATTERN_RULES)
+    assert Counter((r.url, r.host, r.path, r.rule, r.verdict) for r in found.collect()) == Counter((u, *brute(u)) for u in asked)
+    assert found.where("verdict = 'block'").count() == 7
+
+
+def test_each_spelling_of_three_words_is_indexed():
+    assert set(urls.pattern_rule("a-b-c").spellings) == {("a", "b", "c"), ("ab", "c"), ("a", "bc"), ("abc",)}
