@@ -1,9 +1,12 @@
 """Byte-level BPE encoding through a table of distinct words, and decoding through an id-to-piece join.
 
-Texts are split into words (the tokenizer's pre-tokens) in Spark tasks.  A block is a run of rows of some megabytes of text.  Each block
-sends its distinct words once, packed, to the word table, which is dealt in buckets by hash of the word: there every
-distinct word is encoded once, and its ids go back, packed, to each block that holds it.  A block's texts travel as compressed word numbers and
-meet those ids in a cogroup, so no task holds more than a block and no dictionary is broadcast.
+Texts are split into words (the tokenizer's pre-tokens) in Spark tasks.  A block is a run of rows of some megabytes of text.
+Each block sends its distinct words once, packed, to the word table, which is dealt in buckets by hash of the word: there
+every distinct word is encoded once, and its ids go back, packed, to each block that holds it.  A block's texts travel as
+compressed word numbers and meet those ids in a cogroup, so no task holds more than a block and no dictionary is broadcast.
+
+Decoding goes the same way: the distinct ids of a block are joined to the table of pieces, and the block's ids meet those
+pieces in a cogroup.  :func:`round_trip` lets words' ids and ids' pieces meet a block in one cogroup.
 """
 
 from __future__ import annotations
@@ -29,9 +32,13 @@ from chronolith.llm.common import text_or_empty, text_runs
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 #: Text of a block, which one task holds at a time.
-BLOCK_BYTES = 10_000_000
-#: Buckets of the word table are twice the shuffle partitions, but so many at most, as each block sends a row to each.
-MOST_BUCKETS = 20_000
+BLOCK_BYTES = 8_000_000
+#: Text for each bucket of the word table, and the most buckets, as each block sends a row to each.
+BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 20_000
+#: Words of a bucket whose ids are remembered at once; beyond it they are forgotten, and encoded anew if they come again.
+MOST_KNOWN = 500_000
+#: Most shuffle partitions that the size of the input asks for by itself.
+MOST_PARTITIONS = 20_000
 
 
 def read_tokenizer(path: str) -> str:
@@ -108,33 +115,44 @@ def _blocks(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple]:
         number += 1
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, ids array<int>) of every row's whole text, as the tokenizer encodes it without adding special tokens.
+def _shuffles(rows: DataFrame) -> tuple[int, int]:
+    """Buckets of the word table, and partitions by block, for the text of ``rows``: both follow its bytes."""
+    total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return min(max(least, -(-total // BUCKET_BYTES)), MOST_BUCKETS), max(least, min(2 * -(-total // BLOCK_BYTES), MOST_PARTITIONS))
 
-    Null texts count as empty and give no ids; repeated rows, null ids and other columns do no harm; an empty table gives
-    an empty result.  ``docs`` is read twice and must give the same partitions both times, as files and checkpoints do;
-    a block whose words don't match is an error, never a wrong result.
-    """
-    spec = read_tokenizer(tokenizer_path)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    id_type = rows.schema["id"].dataType.simpleString()
 
-    small = np.dtype(np.uint16 if len(piece_table(spec)) <= 1 << 16 else np.uint32)
+def _binary(edges: np.ndarray, data: bytes) -> pa.BinaryArray:
+    return pa.BinaryArray.from_buffers(pa.binary(), len(edges) - 1, [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data)])
 
-    buckets = min(2 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), MOST_BUCKETS)
+
+def _edges(sizes: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+
+
+def _one(values: pa.Array) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
+
+
+def _bytes_of(values: pa.Array) -> memoryview:
+    return memoryview(values.buffers()[2] or b"")
+
+
+def _coded(rows: DataFrame, spec: str, small: np.dtype, buckets: int) -> DataFrame:
+    """(block, n, numbers, sizes, ids, used): a block's words of one bucket, by number, with their ids, and the distinct ids."""
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A block's distinct words by bucket of the word table: their numbers, sizes and bytes, packed."""
+        zstd = pa.Codec("zstd", compression_level=6)
         for block, _, distinct, _, _ in _blocks(batches, spec):
             if not len(distinct):
                 continue
             listed = distinct.cast(pa.binary())
             place = np.fromiter(map(zlib.crc32, listed.to_pylist()), np.int64, len(listed)) % buckets
-            order = np.lexsort((np.arange(len(place)), place))
+            order = np.argsort(place, kind="stable")
             sizes = pc.binary_length(listed).to_numpy(zero_copy_only=False).astype(np.uint32)[order]
-            data, ends = memoryview(listed.take(pa.array(order)).buffers()[2] or b""), np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+            data, ends = _bytes_of(listed.take(pa.array(order))), _edges(sizes)
             edges = np.append(np.flatnonzero(np.diff(place[order], prepend=-1)), len(order))
-            zstd = pa.Codec("zstd", compression_level=6)
             out = [(int(place[order[x]]), block, y - x, pack(order[x:y].astype(np.uint32)), pack(sizes[x:y]), zstd.compress(data[ends[x] : ends[y]], asbytes=True)) for x, y in zip(edges[:-1], edges[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["bucket", "block", "n", "numbers", "sizes", "words"])
 
@@ -145,54 +163,106 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
         for batch in batches:  # sorted by bucket
             out = []
             for bucket, block, n, numbers, sizes, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if bucket != current:
+                if bucket != current or len(known) > MOST_KNOWN:
                     known, current = {}, bucket
-                ends = np.concatenate(([0], np.cumsum(unpack(sizes, n, np.uint32), dtype=np.int64))).tolist()
+                ends = _edges(unpack(sizes, n, np.uint32)).tolist()
                 data = pa.decompress(words, ends[-1], "zstd", asbytes=True)
                 listed = [data[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)]
                 fresh = [w for w in listed if w not in known]
                 for word, found in zip(fresh, tokenizer.encode_batch_fast([w.decode() for w in fresh], add_special_tokens=False), strict=True):
                     known[word] = np.array(found.ids, small).tobytes()
                 ids = [known[w] for w in listed]
-                lengths = np.fromiter(map(len, ids), np.uint32, n)
-                out.append((block, n, numbers, pack(lengths), pack(np.frombuffer(b"".join(ids), small))))
+                flat = np.frombuffer(b"".join(ids), small)
+                out.append((block, n, numbers, pack(np.fromiter(map(len, ids), np.uint32, n)), pack(flat), np.unique(flat).astype(np.int32)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "n", "numbers", "sizes", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "n", "numbers", "sizes", "ids", "used"])
+
+    dealt = rows.select("text").mapInArrow(words, "bucket long, block long, n long, numbers binary, sizes binary, words binary")
+    dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(table, "block long, n long, numbers binary, sizes binary, ids binary, used array<int>")
+
+
+def _pieces(used: DataFrame, spec: str) -> DataFrame:
+    """(block, piece_ids, pieces): the distinct ids of each block of ``used`` (block, used) joined to the table of pieces."""
+    listed = piece_table(spec)
+    table = used.sparkSession.createDataFrame(pa.table({"id": pa.array(range(len(listed)), pa.int32()), "piece": pa.array(listed, pa.binary())}))
+    asked = used.select("block", F.explode("used").alias("id")).distinct()
+    # the vocabulary's size is fixed by the tokenizer
+    return asked.join(F.broadcast(table), "id").groupBy("block").agg(F.collect_list("id").alias("piece_ids"), F.collect_list("piece").alias("pieces"))
+
+
+def _texts_of(ids: np.ndarray, ends: np.ndarray, piece_ids: np.ndarray, pieces: pa.Array) -> pa.Array:
+    """Texts of the runs of ``ids`` that ``ends`` cut; bytes that are not UTF-8 become U+FFFD; an unknown id is an error."""
+    ids = ids.astype(np.int32)
+    place = np.full(max(piece_ids.max(initial=-1), ids.max(initial=-1)) + 1, -1, np.int32)
+    place[piece_ids] = np.arange(len(piece_ids))
+    if len(ids) and (ids.min() < 0 or place[ids].min() < 0):
+        raise ValueError("an id without a piece")
+    found = pieces.cast(pa.binary()).take(pa.array(place[ids]))
+    cut, data = _edges(pc.binary_length(found).to_numpy(zero_copy_only=False))[ends], _bytes_of(found)
+    texts = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(cut.astype(np.int32).tobytes()), pa.py_buffer(data))
+    try:
+        texts.validate(full=True)
+    except pa.ArrowInvalid:
+        texts = pa.array([str(data[a:b], "utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.string())
+    return texts
+
+
+def _encoded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
+    """(id, ids, and, if ``decoded``, the text of the ids) of every row."""
+    spec = read_tokenizer(tokenizer_path)
+    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+    small = np.dtype(np.uint16 if len(piece_table(spec)) <= 1 << 16 else np.uint32)
+    buckets, partitions = _shuffles(rows)
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, batch, distinct, codes, counts in _blocks(batches, spec):
-            one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([block]), one(batch.column("id")), one(pa.array(counts)), pa.array([len(distinct)], pa.int64()), pa.array([pack(codes)], pa.binary())],
+                [pa.array([block]), _one(batch.column("id")), _one(pa.array(counts)), pa.array([len(distinct)], pa.int64()), pa.array([pack(codes)], pa.binary())],
                 names=["block", "owners", "counts", "n_words", "codes"],
             )
 
     def join(found: pa.Table, block: pa.Table) -> pa.Table:
-        counts = block.column("counts").combine_chunks().flatten().to_numpy()
-        n_words = block.column("n_words")[0].as_py()
-        if block.num_rows != 1 or sum(found.column("n").to_pylist()) != n_words:
+        words = found.filter(pc.is_valid(found.column("n")))
+        if block.num_rows != 1 or sum(words.column("n").to_pylist()) != block.column("n_words")[0].as_py():
             raise RuntimeError("the table gave other rows when it was read again")
-        parts = list(zip(*(found.column(c).to_pylist() for c in ("n", "numbers", "sizes", "ids")), strict=True))
-        number = np.concatenate([unpack(x, n, np.uint32) for n, x, _, _ in parts]) if parts else np.empty(0, np.uint32)
-        lengths = [unpack(x, n, np.uint32) for n, _, x, _ in parts]
-        data = b"".join(unpack(x, int(size.sum()) // small.itemsize, small).tobytes() for (_, _, _, x), size in zip(parts, lengths, strict=True))
-        edges = np.concatenate(([0], np.cumsum(np.concatenate(lengths), dtype=np.int64))) if parts else np.zeros(1, np.int64)
-        known = pa.BinaryArray.from_buffers(pa.binary(), len(number), [None, pa.py_buffer(edges.astype(np.int32).tobytes()), pa.py_buffer(data)]).take(pa.array(np.argsort(number)))
-        codes = unpack(block.column("codes")[0].as_py(), int(counts.sum()), np.uint32)
-        joined = known.take(pa.array(codes))
-        sizes = np.concatenate(([0], np.cumsum(pc.binary_length(joined).to_numpy(zero_copy_only=False) // small.itemsize)))
-        ids = np.frombuffer(joined.buffers()[2] or b"", small, count=sizes[-1]).astype(np.int32)
-        ends = np.concatenate(([0], np.cumsum(counts)))
-        lists = pa.ListArray.from_arrays(pa.array(sizes[ends], pa.int32()), pa.array(ids))
-        return pa.Table.from_arrays([block.column("owners").combine_chunks().flatten(), lists], names=["id", "ids"])
-
-    dealt = rows.select("text").mapInArrow(words, "bucket long, block long, n long, numbers binary, sizes binary, words binary").repartition("bucket").sortWithinPartitions("bucket")
-    pieces = dealt.mapInArrow(table, "block long, n long, numbers binary, sizes binary, ids binary")
+        counts = block.column("counts").combine_chunks().flatten().to_numpy()
+        numbers, lengths, data = [np.empty(0, np.uint32)], [np.empty(0, np.uint32)], []
+        for n, number, sizes, ids in zip(*(words.column(c).to_pylist() for c in ("n", "numbers", "sizes", "ids")), strict=True):
+            numbers.append(unpack(number, n, np.uint32))
+            lengths.append(unpack(sizes, n, np.uint32))
+            data.append(unpack(ids, int(lengths[-1].sum()) // small.itemsize, small).tobytes())
+        known = _binary(_edges(np.concatenate(lengths)), b"".join(data)).take(pa.array(np.argsort(np.concatenate(numbers))))
+        joined = known.take(pa.array(unpack(block.column("codes")[0].as_py(), int(counts.sum()), np.uint32)))
+        sizes = _edges(pc.binary_length(joined).to_numpy(zero_copy_only=False) // small.itemsize)
+        ids, ends = np.frombuffer(_bytes_of(joined), small, count=sizes[-1]), sizes[_edges(counts)]
+        out = {"id": block.column("owners").combine_chunks().flatten(), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))}
+        if decoded:
+            pieces = found.filter(pc.is_valid(found.column("piece_ids"))).combine_chunks()
+            out["text"] = _texts_of(ids, ends, pieces.column("piece_ids").combine_chunks().flatten().to_numpy(), pieces.column("pieces").combine_chunks().flatten())
+        return pa.table(out)
+
+    coded = _coded(rows, spec, small, buckets)
+    met = coded.drop("used")
+    if decoded:
+        met = met.unionByName(_pieces(coded.select("block", "used"), spec), allowMissingColumns=True)
     held = rows.mapInArrow(positions, f"block long, owners array<{id_type}>, counts array<bigint>, n_words long, codes binary")
-    joined = pieces.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(join, f"id {id_type}, ids array<int>")
+    met, held = (t.repartition(partitions, "block").groupBy("block") for t in (met, held))
+    joined = met.cogroup(held).applyInArrow(join, f"id {id_type}, ids array<int>" + ", text string" * decoded)
     return joined.withColumnRenamed("id", id_col)
 
 
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, ids array<int>) of every row's whole text, as the tokenizer encodes it without adding special tokens.
+
+    Null texts count as empty and give no ids; repeated rows, null ids and other columns do no harm; an empty table gives
+    an empty result.  ``docs`` is read three times (once for its size) and must give the same partitions each time, as
+    files and checkpoints do; a block whose words don't match is an error, never a wrong result.
+    """
+    return _encoded(docs, tokenizer_path, id_col, text_col, decoded=False)
+
+
 def piece_table(spec: str) -> list[bytes]:
     """Bytes of every id.  Byte-level vocabularies write a byte that has no printable character as one of U+0100 and on."""
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -201,42 +271,60 @@ def piece_table(spec: str) -> list[bytes]:
     model = json.loads(spec)
     pieces = {i: bytes(byte[c] for c in token) for token, i in model["model"]["vocab"].items()}
     pieces |= {t["id"]: t["content"].encode() for t in model["added_tokens"]}
-    return [pieces.get(i, b"") for i in range(max(pieces) + 1)]
+    return [pieces.get(i) for i in range(max(pieces) + 1)]
 
 
 def decode(encoded: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, *keep, text) of every row's ids, special tokens written out; null ids count as none.
 
-    Each id is joined to its piece's bytes in the task; the build side is the vocabulary, whose size the tokenizer fixes,
-    and travels with the task.  Bytes that are not UTF-8 become U+FFFD.  An unknown id is an error.
+    The distinct ids of each block of rows are joined to the table of pieces; the block then meets its pieces in a cogroup.
+    Bytes that are not UTF-8 become U+FFFD.  An id without a piece is an error.  Repeated rows and null row ids do no harm;
+    an empty table gives an empty result.  ``encoded`` is read twice and must give the same partitions both times, as files
+    and checkpoints do; a block that lacks pieces is an error.
     """
-    pieces = piece_table(read_tokenizer(tokenizer_path))
-    rows = encoded.select(F.col(id_col), *keep, F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.array(pieces, pa.binary())
-        for whole in batches:
-            for batch in (whole.slice(at, 1000) for at in range(0, whole.num_rows, 1000)):
-                ids = batch.column("ids")
-                found = table.take(ids.flatten())
-                ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy(zero_copy_only=False), dtype=np.int64)))
-                cut = ends[np.concatenate(([0], np.cumsum(ids.value_lengths().to_numpy(zero_copy_only=False))))]
-                data = memoryview(found.buffers()[2] or b"")
-                texts = [str(data[a:b], "utf-8", "replace") for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], names=[*batch.schema.names[:-1], "text"])
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", text string"
-    return rows.mapInArrow(run, schema)
+    spec = read_tokenizer(tokenizer_path)
+    rows = encoded.select(F.col(id_col).alias("id"), *[F.col(c).alias(f"kept_{n}") for n, c in enumerate(keep)], F.coalesce(F.col(ids_col), F.array().cast("array<int>")).alias("ids"))
+    rows = rows.withColumn("size", F.size("ids"))
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            starts = np.flatnonzero(np.diff(np.cumsum(batch.column("size").to_numpy(), dtype=np.int64) // (BLOCK_BYTES // 4), prepend=-1))
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                yield number, batch.slice(a, b - a)
+                number += 1
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([number]), _one(pc.unique(batch.column("ids").flatten()))], names=["block", "used"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in blocks(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(batch.num_rows, number)), *batch.columns], names=["block", *batch.schema.names])
+
+    def join(pieces: pa.Table, block: pa.Table) -> pa.Table:
+        lists = block.column("ids").combine_chunks()
+        of = lambda c, kind: pieces.column(c).combine_chunks().flatten() if pieces.num_rows else pa.array([], kind)
+        texts = _texts_of(lists.flatten().to_numpy(), _edges(block.column("size").to_numpy()), of("piece_ids", pa.int32()).to_numpy(), of("pieces", pa.binary()))
+        return block.drop_columns(["block", "ids", "size"]).append_column("text", texts)
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+    held = rows.mapInArrow(numbered, f"block long, {fields}")
+    pieces = _pieces(rows.mapInArrow(used, "block long, used array<int>"), spec)
+    kept = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    joined = pieces.groupBy("block").cogroup(held.groupBy("block")).applyInArrow(join, f"{kept}, text string")
+    return joined.toDF(id_col, *keep, "text")
 
 
 def round_trip(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
-    """One row per row of ``docs``: id, (ids,) n_tokens, and digests of the ids and of the text decoded from them."""
-    encoded = encode(docs, tokenizer_path, id_col, text_col)
+    """One row per row of ``docs``: id, (ids,) n_tokens, and digests of the ids and of the text decoded from them.
+
+    Odd rows are dealt with as by :func:`encode` and :func:`decode`; the table of words is computed twice, once for the
+    ids that blocks use.
+    """
+    both = _encoded(docs, tokenizer_path, id_col, text_col, decoded=True)
     digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256)
-    listed = encoded.select(F.col(id_col), F.col("ids").alias("found"), F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"))
-    decoded = decode(listed, tokenizer_path, id_col, "found", keep=(*["found"] * keep_ids, "n_tokens", "ids_sha256"))
-    kept = [F.col("found").alias("ids")] * keep_ids
-    return decoded.select(id_col, *kept, "n_tokens", "ids_sha256", F.sha2("text", 256).alias("decoded_sha256"))
+    return both.select(id_col, *["ids"] * keep_ids, F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
 def default_tokenizer(spark: SparkSession) -> str:
