@@ -16,6 +16,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +35,11 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Text of a block, which one task holds at a time.
 BLOCK_BYTES = 8_000_000
 #: Text for each bucket of the word table, and the most buckets, as each block sends a row to each.
-BUCKET_BYTES, MOST_BUCKETS = 4_000_000, 20_000
+BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 4096
 #: Words of a bucket whose ids are remembered at once; beyond it they are forgotten, and encoded anew if they come again.
-MOST_KNOWN = 500_000
+MOST_KNOWN = 200_000
+#: Rows of the word table that a task unpacks at once.
+STEP = 32
 #: Most shuffle partitions that the size of the input asks for by itself.
 MOST_PARTITIONS = 20_000
 
@@ -58,6 +61,7 @@ class Splitter:
     """Cuts a text into words: added tokens are words of their own, the rest is cut as the tokenizer cuts it."""
 
     def __init__(self, spec: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_str(spec)
         added = sorted((t["content"] for t in json.loads(spec)["added_tokens"]), key=len, reverse=True)
         self.added = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
@@ -77,6 +81,12 @@ class Splitter:
         return [w for n, part in enumerate(parts) for w in ([part] if n % 2 else self.plain(part))]
 
 
+@lru_cache(maxsize=2)
+def splitter_of(spec: str) -> Splitter:
+    """Kept by the Python worker from task to task, as reading a tokenizer takes long."""
+    return Splitter(spec)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers, compressed: bytes of one weight stand together."""
     planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T.tobytes()
@@ -109,7 +119,7 @@ def _split_texts(splitter: Splitter, texts: list[str]) -> tuple[pa.Array, np.nda
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple]:
     """Runs of rows of about ``BLOCK_BYTES`` of text (one row at least): number, rows, and what :func:`_split_texts` gives."""
-    splitter, number = Splitter(spec), TaskContext.get().partitionId() << 32
+    splitter, number = splitter_of(spec), TaskContext.get().partitionId() << 32
     for rows in text_runs(batches, run_bytes=BLOCK_BYTES):
         yield (number, rows, *_split_texts(splitter, rows.column("text").to_pylist()))
         number += 1
@@ -158,9 +168,8 @@ def _coded(rows: DataFrame, spec: str, small: np.dtype, buckets: int) -> DataFra
 
     def table(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each distinct word of a bucket encoded once; its ids for every block that sent it, packed."""
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tokenizer, known, current = Tokenizer.from_str(spec), {}, None
-        for batch in batches:  # sorted by bucket
+        tokenizer, known, current = splitter_of(spec).tokenizer, {}, None
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):  # sorted by bucket
             out = []
             for bucket, block, n, numbers, sizes, words in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if bucket != current or len(known) > MOST_KNOWN:
@@ -174,8 +183,7 @@ def _coded(rows: DataFrame, spec: str, small: np.dtype, buckets: int) -> DataFra
                 ids = [known[w] for w in listed]
                 flat = np.frombuffer(b"".join(ids), small)
                 out.append((block, n, numbers, pack(np.fromiter(map(len, ids), np.uint32, n)), pack(flat), np.unique(flat).astype(np.int32)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "n", "numbers", "sizes", "ids", "used"])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], names=["block", "n", "numbers", "sizes", "ids", "used"])
 
     dealt = rows.select("text").mapInArrow(words, "bucket long, block long, n long, numbers binary, sizes binary, words binary")
     dealt = dealt.repartition(buckets, "bucket").sortWithinPartitions("bucket")
@@ -186,8 +194,9 @@ def _pieces(used: DataFrame, spec: str) -> DataFrame:
     """(block, piece_ids, pieces): the distinct ids of each block of ``used`` (block, used) joined to the table of pieces."""
     listed = piece_table(spec)
     table = used.sparkSession.createDataFrame(pa.table({"id": pa.array(range(len(listed)), pa.int32()), "piece": pa.array(listed, pa.binary())}))
-    asked = used.select("block", F.explode("used").alias("id")).distinct()
-    # the vocabulary's size is fixed by the tokenizer
+    ids = used.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("used"))).alias("ids"))
+    asked = ids.select("block", F.explode("ids").alias("id"))
+    # the vocabulary's size is fixed by the tokenizer; it also bounds what a block asks for
     return asked.join(F.broadcast(table), "id").groupBy("block").agg(F.collect_list("id").alias("piece_ids"), F.collect_list("piece").alias("pieces"))
 
 
