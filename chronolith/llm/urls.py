@@ -1,12 +1,14 @@
 """URL filters: pattern rules indexed by the rarest literal token of each of their spellings.
 
 A rule is a regular expression over host and path, with the literal tokens of each spelling; every match holds all tokens
-of a spelling.  Token counts over all URLs choose the rarest token of each spelling as an index key of the rule.  A URL fetches the rules under its own tokens through an
-equi join, and only those rules' expressions run.  All steps are DataFrame expressions.
+of a spelling.  Token counts over all URLs choose the rarest token of each spelling as an index key of the rule.  A URL
+fetches the rules under its own tokens through an equi join, and only those rules' expressions run.  All steps are
+DataFrame expressions; the rules enter the plan as one literal.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from dataclasses import dataclass
 
@@ -56,8 +58,9 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def rule_index(spark: SparkSession, rules: list[Rule], tokens: DataFrame) -> DataFrame:
     """(token, name, verdict, pattern, weight): each rule under the one token of each of its spellings that the fewest URLs hold."""
-    listed = [(r.name, r.verdict, r.pattern, n, list(tokens), r.weight) for r in rules for n, tokens in enumerate(r.spellings)]
-    frame = spark.createDataFrame(listed, "name string, verdict string, pattern string, spelling int, tokens array<string>, weight int")
+    listed = json.dumps([{"name": r.name, "verdict": r.verdict, "pattern": r.pattern, "spelling": n, "tokens": own, "weight": r.weight} for r in rules for n, own in enumerate(r.spellings)])
+    schema = "array<struct<name string, verdict string, pattern string, spelling int, tokens array<string>, weight int>>"
+    frame = spark.range(1).select(F.inline(F.from_json(F.lit(listed), schema)))
     wanted = frame.select("*", F.explode("tokens").alias("token")).drop("tokens")
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(broadcast_within(wanted.select("token").distinct(), 100_000), "token", "left_semi")
@@ -66,14 +69,16 @@ def rule_index(spark: SparkSession, rules: list[Rule], tokens: DataFrame) -> Dat
 
 
 def judge(pages: DataFrame, rules: list[Rule], url_col: str = "url", default: str = "allow", broadcast_rules: int = 100_000) -> DataFrame:
-    """All columns of ``pages`` but those named host, path, rule and verdict, which it adds.
+    """All columns of ``pages``, and host, path, rule and verdict; its own columns of those names get ``page_`` before them.
 
     The heaviest fitting rule gives rule and verdict (ties: the smaller name); without one, rule is null and the verdict
     is ``default``.  Null URLs, and such without ://, have empty host and path and fit no rule.  Repeated URLs are judged
     once, repeated rows stay; empty tables and an empty rule list are fine.  Rules are broadcast if they number at most
     ``broadcast_rules``; beyond it both joins shuffle.
     """
-    rows = pages.drop("host", "path", "rule", "verdict").withColumn("__url", F.col(url_col))
+    taken = {*pages.columns, "host", "path", "rule", "verdict"}
+    names = {c: next(n for k in range(1, 9) if (n := "page_" * k + c) not in taken) for c in pages.columns if c in ("host", "path", "rule", "verdict")}
+    rows = pages.withColumn("__url", F.col(url_col)).withColumnsRenamed(names)
     host, path = url_parts(F.col("__url"))
     rows = rows.select("*", host.alias("host"), path.alias("path")).drop("__url")
     if not rules:
@@ -97,4 +102,13 @@ SITE_RULES = [
     site_rule("com", "/fr/", "allow"),
     site_rule("com", "/de/", "block"),
 ]
-PATTERN_RULES = [pattern_rule(w) for w in ("free-bets", "casino", "poker", "porn", "adult-chat", "malware", "phishing", "click-bait", "cheap-pills", "payday-loans")]
+PATTERN_RULES = [
+    pattern_rule(w)
+    for w in (
+        "free-bets", "casino", "poker", "porn", "adult-chat", "malware", "phishing", "click-bait", "cheap-pills", "payday-loans",
+        "online-slots", "sports-betting", "roulette", "blackjack-bonus", "sex-cam", "escort-service", "xxx", "nude-pics", "hentai", "hook-up-now",
+        "keygen", "crack-download", "warez", "torrent-hub", "spyware", "ransomware", "botnet", "free-phone", "prize-winner", "lottery-win",
+        "work-from-home", "get-rich-quick", "miracle-cure", "weight-loss-pill", "viagra", "fake-id", "replica-watches", "buy-followers", "link-farm", "essay-mill",
+        "pirate-movies", "stolen-cards", "carding-forum", "dark-market", "hate-forum", "gore-video",
+    )
+]

@@ -21,7 +21,7 @@ def brute(url):
     fits = [(len(h + p), h + p, v) for h, p, v in SITES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return (host, path, *max(fits)[1:])
-    for rule in urls.PATTERN_RULES:
+    for rule in sorted(urls.PATTERN_RULES, key=lambda r: (-len(r.name), r.name)):
         if re.search(r"(?:^|[^0-9a-z])" + rule.name.replace("-", "[-_.]?") + r"(?:$|[^0-9a-z])", host + path, re.I):
             return host, path, rule.name, "block"
     return host, path, None, "allow"
@@ -32,7 +32,7 @@ def test_judgements_match_brute_force(spark):
     pages = spark.createDataFrame(rows, "page_id long, url string, verdict string, token int")
     for bound in (0, 1000):
         found = urls.judge(pages, urls.SITE_RULES + urls.PATTERN_RULES, broadcast_rules=bound)
-        assert found.columns == ["page_id", "url", "token", "host", "path", "rule", "verdict"]
+        assert found.columns == ["page_id", "url", "page_verdict", "token", "host", "path", "rule", "verdict"]
         assert Counter((r.url, r.host, r.path, r.rule, r.verdict) for r in found.collect()) == Counter((u, *brute(u)) for u in URLS)
 
 
@@ -57,3 +57,16 @@ def test_fused_words_are_found(spark):
 
 def test_each_spelling_of_three_words_is_indexed():
     assert set(urls.pattern_rule("a-b-c").spellings) == {("a", "b", "c"), ("ab", "c"), ("a", "bc"), ("abc",)}
+
+
+def test_all_spellings_of_all_rules_match_running_every_rule(spark):
+    asked = []
+    for rule in urls.PATTERN_RULES:
+        words = rule.name.split("-")
+        for between in ("-", "", "_", ".", "+"):
+            asked += [f"http://{between.join(words)}.example.net/", f"http://a.net/x/{between.join(words).upper()}", f"http://a.net/q{between.join(words)}/", f"http://a.net/{between.join(words)}s"]
+        asked += ["http://a.net/" + words[0] + "".join(("-", "")[n % 2] + w for n, w in enumerate(words[1:])), "http://a.net/" + words[0] + "".join(("", "_")[n % 2] + w for n, w in enumerate(words[1:]))]
+    asked = list(dict.fromkeys(asked))
+    found = urls.judge(spark.createDataFrame([(u,) for u in asked], "url string"), urls.SITE_RULES + urls.PATTERN_RULES)
+    assert sorted((r.url, r.rule, r.verdict) for r in found.where("verdict = 'block'").collect()) == sorted((u, *brute(u)[2:]) for u in asked if brute(u)[3] == "block")
+    assert found.count() == len(asked)
