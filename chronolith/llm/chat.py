@@ -1,8 +1,9 @@
 """Chat formatting into budgeted windows, with DataFrame expressions only.
 
-Prefix sums of turn tokens cut a conversation into windows of whole turns.  Each window repeats the system turn and a
-limited history of turns before its span; only assistant turns of the span itself are targets, so a target that is repeated
-as history is masked.  Texts are escaped, so control strings appear only where the template puts them.
+Prefix sums of turn tokens cut a conversation into windows of whole turns.  Each window repeats the system turn and as much
+of a limited history of turns before its span as the budget leaves room for; only assistant turns of the span itself are
+targets, so a target that is repeated as history is masked.  Texts are escaped, so control strings appear only where the
+template puts them.  Long conversations are numbered and summed by chunks of turns, so no task needs to hold a whole one.
 """
 
 from __future__ import annotations
@@ -27,55 +28,93 @@ def unescape(text: Column) -> Column:
     return text
 
 
+#: The tokenizer that the budget counts by: words and numbers cut into runs, other signs, white space; and a turn's markers.
+TOKEN = r" ?\p{L}{1,8}| ?\p{N}{1,3}| ?[^\x09-\x0D\x20\p{L}\p{N}]{1,3}|[\x09-\x0D\x20]{1,8}"
+MARK_TOKENS = 4
+#: Turn numbers of a chunk.
+CHUNK = 4096
+
+
 def turn_tokens(text: Column) -> Column:
-    """Tokens of a turn, by its length: one for each 4 characters begun, and 4 for its markers."""
-    return (F.ceil(F.length(text) / 4) + 4).cast("long")
+    """Tokens of a turn: matches of ``TOKEN`` in its text, and ``MARK_TOKENS``."""
+    return (F.regexp_count(text, F.lit(TOKEN)) + MARK_TOKENS).cast("long")
 
 
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
-    """One row per window: conv_id, window, text, spans.
-
-    ``turns``: conv_id, turn, role, text; ordered by turn (null first), ties by role, then text; null roles and texts
-    count as empty; other columns are ignored.  A span begins where the prefix sum of tokens, without the first system
-    turn's, passes a multiple of ``budget`` less that turn's tokens, so a turn that is longer than the budget stands in a
-    span that ends with it.  A window holds the first turn if its role is system, up to ``history`` turns before its
-    span, and its span.  spans: one struct for each turn in the window's text, with number (from 1 in the conversation),
-    role, start and length of its escaped text (in characters, from 0), fresh (of this window's span) and loss (an
-    assistant turn of the span).  A null conv_id is a conversation of its own; an empty table gives no windows.
+def numbered_turns(turns: DataFrame, budget: int) -> DataFrame:
+    """Each turn with its chunk, its number in the conversation, its tokens, and the head that its windows repeat.
+
+    Turn numbers from a multiple of ``CHUNK`` to the next are a chunk (null turns are one more).  Counts of chunks, summed
+    along each conversation, give a chunk its first number; only turns of one chunk are then sorted together.
     """
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("number", F.row_number().over(order)).withColumn("tokens", turn_tokens(F.col("text")))
-    head = F.when((F.col("number") == 1) & (F.col("role") == "system"), F.col("tokens"))
-    rows = rows.withColumn("head", F.coalesce(F.max(head).over(Window.partitionBy("conv_id")), F.lit(0)))
-    before = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    before = F.greatest(F.coalesce(before, F.lit(0)) - F.col("head"), F.lit(0))
-    room = F.greatest(F.lit(budget) - F.col("head"), F.lit(1))
-    rows = rows.withColumn("span", F.floor(before / room))
-    rows = rows.withColumn("span", F.dense_rank().over(Window.partitionBy("conv_id").orderBy("span")).cast("long"))
-    rows = rows.withColumn("body", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE)))
-    # spans of the next turns in which this turn is history: those that begin within ``history`` turns after it
-    own = F.col("span")
-    later = [F.lead("span", n).over(order) for n in range(1, history + 1)]
-    rows = rows.withColumn("later", F.array_distinct(F.filter(F.array(*later, own), lambda s: s.isNotNull())) if history else F.array(own))
-    last = F.max("span").over(Window.partitionBy("conv_id"))
-    everywhere = (F.col("number") == 1) & (F.col("role") == "system")
-    rows = rows.withColumn("windows", F.when(everywhere, F.sequence(F.col("span"), last)).otherwise(F.col("later")))
-    placed = rows.select("conv_id", F.explode("windows").alias("window"), "number", "role", "span", "body", F.length(escape(F.col("role"))).alias("role_chars"))
-    turn = F.struct("number", "role", (F.col("span") == F.col("window")).alias("fresh"), "role_chars", "body")
-    grouped = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
+    rows = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
+    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("first"))
+    head = F.when((F.col("first.role") == "system") & (turn_tokens(F.col("first.text")) <= budget // 2), F.struct(F.col("first.text").alias("text"), turn_tokens(F.col("first.text")).alias("tokens")))
+    first = first.select(F.col("conv_id").alias("c"), head.alias("head"))
+    along = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = rows.groupBy("conv_id", "chunk").count().withColumn("base", F.coalesce(F.sum("count").over(along), F.lit(0)))
+    chunks = chunks.join(first, F.col("conv_id").eqNullSafe(F.col("c"))).select("c", F.col("chunk").alias("k"), "base", "head")
+    rows = rows.join(chunks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("chunk").eqNullSafe(F.col("k"))).drop("c", "k")
+    order = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
+    return rows.withColumn("number", F.col("base") + F.row_number().over(order)).withColumn("tokens", turn_tokens(F.col("text")))
+
+
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
+    """One row per window: conv_id, window (the number of its first own turn), text, spans.
+
+    ``turns``: conv_id, turn (whole numbers), role, text; ordered by turn (null first), ties by role, then text; null roles
+    and texts count as empty; other columns are ignored.  A window holds the conversation's first turn if its role is
+    system, up to ``history`` turns before its span, and its span, and no more than ``budget`` tokens; the history gives
+    way first.  Over the budget is only a turn that does not fit beside the system turn: it is its window's only own turn.
+    A system turn of more than half the budget is not repeated but stands in a span like any other.  With the room that
+    the system turn leaves, prefix sums cut a chunk into cells of one room: turns within a cell are a span, and a turn
+    that crosses a cell's end joins them if it fits, else it is a span of its own.  Spans and history do not reach over
+    chunks of ``CHUNK`` turn numbers.
+
+    spans: one struct for each turn in the window's text, with number (from 1 in the conversation), role, start and length
+    of its escaped text (in characters, from 0), tokens, fresh (of this window's span) and loss (an assistant turn of the
+    span).  A null conv_id is a conversation of its own; an empty table gives no windows.  The turns of one window, so at
+    most a budget of them or one turn, are gathered together.
+    """
+    rows = numbered_turns(turns, budget)
+    rows = rows.withColumn("is_head", (F.col("number") == 1) & F.col("head").isNotNull())
+    rows = rows.withColumn("room", budget - F.coalesce("head.tokens", F.lit(0)))
+    chunk = Window.partitionBy("conv_id", "chunk").orderBy("number")
+    cost = F.when(F.col("is_head"), F.lit(0)).otherwise(F.col("tokens"))
+    rows = rows.withColumn("before", F.coalesce(F.sum(cost).over(chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    rows = rows.withColumn("after", F.col("before") + cost).withColumn("cell", F.floor(F.col("before") / F.col("room")))
+    crosses = F.col("after") > (F.col("cell") + 1) * F.col("room")
+    start = F.min(F.when(~crosses, F.col("before"))).over(Window.partitionBy("conv_id", "chunk", "cell"))
+    rows = rows.withColumn("own", crosses & ~F.coalesce(F.col("after") - start <= F.col("room"), F.lit(False)))
+    span = Window.partitionBy("conv_id", "chunk", "cell", "own")
+    rows = rows.withColumn("window", F.min("number").over(span)).withColumn("last", F.max("after").over(span))
+    # later windows in which this turn is history: of the next ``history`` turns, those of spans that leave room for it
+    later = F.array(*[F.lead(F.struct("window", "last"), n).over(chunk) for n in range(1, history + 1)])
+    fits = F.filter(later, lambda w: (w["window"] != F.col("window")) & (w["last"] - F.col("before") <= F.col("room")) & ~F.col("is_head")) if history else None
+    windows = F.concat(F.array("window"), F.array_distinct(F.transform(fits, lambda w: w["window"]))) if history else F.array("window")
+    rows = rows.withColumn("windows", windows)
+
+    body = lambda role, text: F.concat(F.lit(OPEN), escape(role), F.lit(MIDDLE), escape(text), F.lit(CLOSE))
+    struct = lambda number, role, tokens, fresh, text: F.struct(number.alias("number"), role.alias("role"), tokens.alias("tokens"), fresh.alias("fresh"), F.length(escape(role)).alias("role_chars"), body(role, text).alias("body"))
+    repeated = struct(F.lit(1).cast("long"), F.lit("system"), F.col("head.tokens"), F.lit(False), F.col("head.text"))
+    repeated = F.when((F.col("number") == F.col("window")) & (F.col("number") > 1) & F.col("head").isNotNull(), repeated)
+    exploded = rows.select("*", F.explode("windows").alias("placed"))
+    fresh = F.col("placed") == F.col("window")
+    turn = struct(F.col("number").cast("long"), F.col("role"), F.col("tokens"), fresh, F.col("text"))
+    placed = exploded.select("conv_id", F.col("placed").alias("window"), F.explode(F.array_compact(F.array(turn, F.when(fresh, repeated)))).alias("turn"))
+    grouped = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     # start of each turn: the lengths of those before it
     starts = F.aggregate("turns", F.array(F.lit(0)), lambda s, t: F.concat(s, F.array(F.element_at(s, -1) + F.length(t["body"]))))
     grouped = grouped.withColumn("starts", starts)
 
-    def span(turn: Column, n: Column) -> Column:
+    def span_of(turn: Column, n: Column) -> Column:
         start = F.get("starts", n) + len(OPEN) + len(MIDDLE) + turn["role_chars"]
         return F.struct(
-            turn["number"].alias("number"), turn["role"].alias("role"), start.alias("start"),
-            (F.get("starts", n + 1) - len(CLOSE) - start).alias("length"), turn["fresh"].alias("fresh"), (turn["fresh"] & (turn["role"] == "assistant")).alias("loss"),
+            turn["number"].alias("number"), turn["role"].alias("role"), start.alias("start"), (F.get("starts", n + 1) - len(CLOSE) - start).alias("length"),
+            turn["tokens"].alias("tokens"), turn["fresh"].alias("fresh"), (turn["fresh"] & (turn["role"] == "assistant")).alias("loss"),
         )
 
-    return grouped.select("conv_id", "window", F.array_join(F.transform("turns", lambda t: t["body"]), "").alias("text"), F.transform("turns", span).alias("spans"))
+    return grouped.select("conv_id", "window", F.array_join(F.transform("turns", lambda t: t["body"]), "").alias("text"), F.transform("turns", span_of).alias("spans"))
 
 
 def read_back(windows: DataFrame) -> DataFrame:
@@ -94,7 +133,10 @@ def read_back(windows: DataFrame) -> DataFrame:
 
 
 def digests(windows: DataFrame) -> DataFrame:
-    """One row per conversation: what :func:`read_back` finds in its windows, and the characters of all their texts."""
+    """One row per conversation: what :func:`read_back` finds in its windows, and the characters of all their texts.
+
+    A digest needs its conversation's turns in one row, so a conversation may hold 2 GB of text at most.
+    """
     turns = read_back(windows).withColumn("key", F.struct(F.col("conv_id")))
     line = F.concat(F.col("role"), F.lit("\n"), F.col("text"), F.lit("\n"))
     listed = turns.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("number", line.alias("line"), F.coalesce("loss", F.lit("")).alias("loss")))).alias("turns"))

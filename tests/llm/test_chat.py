@@ -42,22 +42,44 @@ def test_digests_match_brute_force(spark):
 
 def test_windows_keep_their_promises(spark):
     frame = spark.createDataFrame(rows(), SCHEMA)
-    for budget, history in ((100, 2), (300, 0)):
-        fresh, seen = [], 0
+    heads = {c: x for c, t, r, x, _ in rows() if (t, r) == (0, "system")}
+    for budget, history in ((100, 2), (300, 0), (1024, 2)):
+        fresh, seen, dropped = [], 0, 0
         for w in chat.format_windows(frame, budget, history).collect():
             numbers = [s.number for s in w.spans]
             assert numbers == sorted(set(numbers))
             own = [s.number for s in w.spans if s.fresh]
-            assert own == list(range(own[0], own[-1] + 1))
+            assert own == list(range(own[0], own[-1] + 1)) and w.window == own[0]
             fresh += [(w.conv_id, n) for n in own]
+            head = w.spans[0].number == 1 and w.spans[0].role == "system" and w.conv_id in heads and w.spans[0].tokens <= budget // 2
             repeated = [n for n in numbers if n < own[0]]
-            system = w.spans[0].number == 1 and w.spans[0].role == "system"
             seen += bool(repeated)
-            assert len([n for n in repeated if n > 1 or not system]) <= history
-            assert repeated[bool(system and repeated) :] == list(range(max(own[0] - history, 1 + system), own[0]))
+            before = repeated[bool(head and repeated) :]
+            assert before == list(range(own[0] - len(before), own[0])) and len(before) <= history
+            dropped += len(before) < min(history, own[0] - 1 - head)
+            # within the budget, unless one turn does not fit beside the system turn
+            total, alone = sum(s.tokens for s in w.spans), len([n for n in numbers if n > 1 or not head]) == 1
+            assert total <= budget or (alone and len(own) == 1)
             for s in w.spans:
                 assert s.loss == (s.fresh and s.role == "assistant")
                 body = w.text[s.start : s.start + s.length]
                 assert "<" not in body and "[" not in body and w.text[s.start + s.length :].startswith(chat.CLOSE)
             assert w.text.count(chat.OPEN) == len(w.spans)
-        assert len(fresh) == len(set(fresh)) == len(rows()) and seen
+        assert len(fresh) == len(set(fresh)) == len(rows()) and (budget > 100 or (seen and dropped))
+
+
+def test_system_turns_stand_in_every_window_if_short(spark):
+    turns = [(1, 0, "system", "be brief")] + [(1, n, "user", "word " * 40) for n in range(1, 30)]
+    turns += [(2, 0, "system", "long " * 90)] + [(2, n, "user", "word " * 40) for n in range(1, 30)]
+    found = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), 120, 1).collect()
+    assert all(w.spans[0].number == 1 for w in found if w.conv_id == 1) and len([w for w in found if w.conv_id == 2 and w.spans[0].number == 1]) == 1
+
+
+def test_chunks_number_long_conversations_alike(spark, monkeypatch):
+    rng = random.Random(5)
+    turns = [(c, t, rng.choice(["user", "assistant"]), "w " * rng.randint(0, 30)) for c in (None, 1, 2) for t in range(200)] + [(1, None, "system", "first"), (2, 7, "user", "w w")]
+    frame = spark.createDataFrame([(c, t, r, x, "z") for c, t, r, x in turns], SCHEMA)
+    want = brute([(*t, "z") for t in turns])
+    for size in (16, 4096):
+        monkeypatch.setattr(chat, "CHUNK", size)
+        assert {tuple(r)[:5] for r in chat.digests(chat.format_windows(frame, 200)).collect()} == want
