@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from chronolith.llm import ann, bpe, chat, exact_dedup, lm, mixing, quality, simhash, toxicity, urls
 from chronolith.llm.common import fold, table
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = mixing.label_domains(table(spark, sf_dir, "labels"))
@@ -78,8 +80,80 @@ def queries() -> dict:
     }
 
 
+def _url_sql() -> str:
+    """Every rule on every page: no index."""
+    cut = "substr(url, instr(url, '://') + 3)"
+    rest = lambda pattern: f"CASE WHEN contains(url, '://') THEN regexp_extract({cut}, '{pattern}', 1) ELSE '' END"
+    sites = ", ".join(f"('{r.name.split('/')[0]}', '/{r.name.split('/', 1)[1]}', '{r.verdict}')" for r in urls.SITE_RULES)
+    words = ", ".join(f"('{r.name}', '{r.name.replace('-', '[-_.]?')}')" for r in urls.PATTERN_RULES)
+    return f"""
+        WITH parts AS (SELECT page_id, translate({rest("^([^/?#]*)")}, '{UPPER}', '{LOWER}') AS host, {rest("^[^/?#]*([^?#]*)")} AS path FROM pages),
+        sites(h, p, v) AS (VALUES {sites}), words(w, x) AS (VALUES {words}),
+        fits AS (
+            SELECT host, path, (SELECT max(struct_pack(n := length(h || p), rule := h || p, verdict := v)) FROM sites WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)) AS site,
+                   (SELECT min(struct_pack(n := -length(w), word := w)) FROM words WHERE regexp_matches(host || path, '(?i)(?:^|[^0-9a-z])' || x || '(?:$|[^0-9a-z])')) AS found
+            FROM (SELECT DISTINCT host, path FROM parts)
+        )
+        SELECT page_id, host, path, site.rule AS rule, CASE WHEN site IS NOT NULL THEN site.verdict WHEN found IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict,
+               CASE WHEN site IS NULL THEN found.word END AS pattern
+        FROM parts JOIN fits USING (host, path)
+    """
+
+
+def _chat_sql() -> str:
+    """The same windows from plain window functions over whole conversations."""
+    said = "'</s>[INST] ok [/INST]'"
+    marks = len(chat.OPEN) + len(chat.MIDDLE) + len(chat.CLOSE)
+    grown = lambda c: f"(length({c}) + 4 * (length({c}) - length(replace({c}, '&', ''))) + 3 * (length({c}) - length(replace({c}, '<', ''))) + 4 * (length({c}) - length(replace({c}, '[', ''))))"
+    return f"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS x
+            FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said})))
+        ),
+        numbered AS (
+            SELECT *, floor(turn / 4096) AS chunk, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS number,
+                   len(regexp_extract_all(x, '{chat.TOKEN}')) + {chat.MARK_TOKENS} AS tokens, {marks} + {grown("r")} + {grown("x")} AS chars
+            FROM turns
+        ),
+        headed AS (
+            SELECT *, coalesce(max(CASE WHEN number = 1 AND r = 'system' AND tokens <= 512 THEN tokens END) OVER (PARTITION BY conv_id), 0) AS head,
+                   coalesce(max(CASE WHEN number = 1 AND r = 'system' AND tokens <= 512 THEN chars END) OVER (PARTITION BY conv_id), 0) AS head_chars,
+                   number = 1 AND r = 'system' AND tokens <= 512 AS is_head
+            FROM numbered
+        ),
+        placed AS (
+            SELECT *, coalesce(sum(CASE WHEN is_head THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, chunk ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                   1024 - head AS room
+            FROM headed
+        ),
+        celled AS (SELECT *, before + CASE WHEN is_head THEN 0 ELSE tokens END AS after, before // room AS cell FROM placed),
+        crossing AS (SELECT *, after > (cell + 1) * room AS crosses FROM celled),
+        begun AS (SELECT *, min(CASE WHEN NOT crosses THEN before END) OVER (PARTITION BY conv_id, chunk, cell) AS start FROM crossing),
+        spanned AS (SELECT *, crosses AND NOT coalesce(after - start <= room, false) AS own FROM begun),
+        spans AS (
+            SELECT conv_id, chunk, cell, own, any_value(room) AS room, any_value(head_chars) AS head_chars, min(number) AS first, max(after) AS last, sum(chars) AS chars
+            FROM spanned GROUP BY ALL
+        ),
+        history AS (
+            SELECT s.conv_id, sum(h.chars) AS chars
+            FROM spans s JOIN spanned h ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.chunk IS NOT DISTINCT FROM s.chunk AND h.number BETWEEN s.first - 2 AND s.first - 1
+            WHERE NOT h.is_head AND s.last - h.before <= s.room GROUP BY s.conv_id
+        ),
+        formatted AS (SELECT conv_id, sum(chars) + sum(CASE WHEN first > 1 THEN head_chars ELSE 0 END) AS chars FROM spans GROUP BY conv_id),
+        digests AS (
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(r || chr(10) || x || chr(10), '' ORDER BY number)) AS turns_sha256,
+                   coalesce(string_agg(CASE WHEN r = 'assistant' THEN x END, '' ORDER BY number), '') AS loss
+            FROM numbered GROUP BY conv_id
+        )
+        SELECT d.conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(f.chars + coalesce(h.chars, 0) AS BIGINT) AS formatted_chars
+        FROM digests d JOIN formatted f ON d.conv_id IS NOT DISTINCT FROM f.conv_id LEFT JOIN history h ON d.conv_id IS NOT DISTINCT FROM h.conv_id
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_url_filter": _url_sql(),
+        "op10_chat": _chat_sql(),
         "op6_exact_dedup": """
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                    doc_id IS NOT DISTINCT FROM max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
