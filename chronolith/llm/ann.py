@@ -1,9 +1,10 @@
 """Approximate nearest neighbours: a forest of random-projection trees, one priority queue per query, exact reranking.
 
-Trees are fitted on a bounded sample and every row is dealt to a leaf of each.  A query walks all trees through one queue,
-ordered by the smallest margin met on the way, until the leaves it has reached hold its share of the rows.  Queries and rows
-then meet by group of neighbouring leaves, where exact cosines in double precision are taken for the rows of the leaves that
-a query has reached; only its best of each group are shuffled on.
+Trees are fitted on a bounded sample and every row is dealt to a leaf of each; the number of leaves follows the number of
+rows.  A query walks all trees through one queue, ordered by the squares of the margins it has crossed, until the leaves it
+has reached hold its share of the rows; that share is calibrated on the sample for a stated recall.  Queries and rows then
+meet by group of neighbouring leaves, where exact cosines in double precision are taken for the rows of the leaves that a
+query has reached, and no others; only its best of each group are shuffled on.
 """
 
 from __future__ import annotations
@@ -20,57 +21,87 @@ from pyspark.sql import functions as F
 
 from chronolith.llm.common import checkpointed
 
+#: Most levels of a tree: leaves grow with the table beyond ``leaf_rows`` << DEEPEST rows.
+DEEPEST = 16
+
 
 @dataclass
 class Forest:
-    """Complete binary trees in heap order: plane normals (trees, nodes, dim) and offsets (trees, nodes)."""
+    """Complete binary trees in heap order.  A level splits by one direction, a node at a place of its own.
+
+    directions: (trees, depth, dim); offsets: (trees, nodes).
+    """
 
     depth: int
-    planes: np.ndarray
+    directions: np.ndarray
     offsets: np.ndarray
 
     def leaves(self, vectors: np.ndarray) -> np.ndarray:
         """Leaf of each vector in each tree (trees, rows); a leaf's number counts over all trees."""
         out = []
-        for tree, (planes, offsets) in enumerate(zip(self.planes, self.offsets, strict=True)):
-            node = np.zeros(len(vectors), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (np.einsum("ij,ij->i", vectors, planes[node]) > offsets[node])
+        for tree, (directions, offsets) in enumerate(zip(self.directions, self.offsets, strict=True)):
+            node, along = np.zeros(len(vectors), np.int64), vectors @ directions.T
+            for level in range(self.depth):
+                node = 2 * node + 1 + (along[:, level] > offsets[node])
             out.append(node - (2**self.depth - 1) + (tree << self.depth))
         return np.array(out)
 
     def search(self, vector: np.ndarray, sizes: np.ndarray, rows: float) -> list[int]:
         """Leaves in the queue's order until they hold ``rows`` rows (a row counts once for each tree)."""
-        margins = self.planes @ vector - self.offsets
-        queue, found, inner = [(-np.inf, t, 0) for t in range(len(self.planes))], [], 2**self.depth - 1
-        heapq.heapify(queue)
+        along = (self.directions @ vector).tolist()
+        queue, found, last = [(0.0, t, 0, 0) for t in range(len(self.offsets))], [], self.depth
         while queue and rows > 0:
-            cost, tree, node = heapq.heappop(queue)
-            while node < inner:
-                margin = margins[tree, node]
+            cost, tree, node, level = heapq.heappop(queue)
+            offsets, places = self.offsets[tree], along[tree]
+            while level < last:
+                margin = places[level] - offsets[node]
                 near = 2 * node + 1 + int(margin > 0)
-                heapq.heappush(queue, (max(cost, abs(margin)), tree, 4 * node + 3 - near))
+                level += 1
+                heapq.heappush(queue, (cost + margin * margin, tree, 4 * node + 3 - near, level))
                 node = near
-            leaf = node - inner + (tree << self.depth)
+            leaf = node - (2**last - 1) + (tree << last)
             found.append(leaf)
             rows -= sizes[leaf]
         return found
 
 
-def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 0) -> Forest:
-    """Random-projection trees: each node splits its sample at the median of a random direction."""
-    rng, nodes = np.random.default_rng(seed), 2**depth - 1
-    planes = rng.standard_normal((trees, nodes, sample.shape[1]))
-    planes /= np.linalg.norm(planes, axis=2, keepdims=True)
-    offsets = np.zeros((trees, nodes))
+def fit_forest(sample: np.ndarray, trees: int, depth: int, seed: int = 0, least: int = 16) -> Forest:
+    """Random-projection trees: a node splits at the median of its sample along its level's random direction.
+
+    A node that fewer than ``least`` sampled vectors reach splits where its nearest better-filled ancestor would.
+    """
+    rng = np.random.default_rng(seed)
+    directions = rng.standard_normal((trees, depth, sample.shape[1]))
+    directions /= np.linalg.norm(directions, axis=2, keepdims=True)
+    offsets = np.zeros((trees, 2**depth - 1))
     for tree in range(trees):
-        node = np.zeros(len(sample), np.int64)
+        along = sample @ directions[tree].T
+        held = [np.arange(len(sample))]
         for level in range(depth):
-            for n in range(2**level - 1, 2 ** (level + 1) - 1):
-                inside = sample[node == n] @ planes[tree, n]
-                offsets[tree, n] = np.median(inside) if len(inside) else 0.0
-            node = 2 * node + 1 + (np.einsum("ij,ij->i", sample, planes[tree, node]) > offsets[tree, node])
-    return Forest(depth, planes, offsets)
+            below = []
+            for n, rows in enumerate(held):
+                inside = along[rows, level]
+                at = offsets[tree, 2**level - 1 + n] = np.median(inside) if len(rows) else 0.0
+                halves = (rows[inside <= at], rows[inside > at])
+                below += [half if len(half) >= least else rows for half in halves]
+            held = below
+    return Forest(depth, directions, offsets)
+
+
+def calibrated_share(forest: Forest, sample: np.ndarray, k: int, recall: float, asked: int = 256) -> float:
+    """Share of the rows (counted once for each tree) at which searches within the sample reach ``recall`` of the true ``k``."""
+    leaves, trees = forest.leaves(sample), len(forest.offsets)
+    sizes = np.bincount(leaves.ravel(), minlength=trees << forest.depth)
+    reached = []
+    for i in np.random.default_rng(1).permutation(len(sample))[:asked]:
+        cosines = sample @ sample[i]
+        cosines[i] = -2.0
+        true = np.argsort(-cosines)[: min(k, len(sample) - 1)]
+        order = forest.search(sample[i], sizes, np.inf)
+        at = np.empty(trees << forest.depth)
+        at[order] = np.cumsum(sizes[order])
+        reached += at[leaves[:, true]].min(axis=0).tolist()
+    return float(np.quantile(reached, recall, method="higher")) / len(sample) if reached else 1.0
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -92,16 +123,16 @@ def usable(vector: Column) -> Column:
 
 def nearest(
     rows: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding",
-    trees: int = 4, share: float = 0.4, leaf_rows: int = 512, sample_rows: int = 16_384, task_rows: int = 8192,
+    trees: int = 2, recall: float = 0.94, share: float | None = None, leaf_rows: int = 64, sample_rows: int = 16_384, task_rows: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` nearest rows found for each query, its own id left out.
 
     Ties go to the smaller id.  Vectors that are null, empty, zero or hold null or non-finite components take no part, nor
     do rows with a null id or, as rows, vectors of another length than most (ties: the longer).  Equal vectors are indexed
     once with their k + 1 smallest ids; further copies cannot be among anyone's k nearest.  Repeated ids count once.  Empty
-    tables give no rows.  The forest is fitted on at most ``sample_rows`` vectors (those of the smallest hash), which bounds
-    its size and its leaves; groups of leaves hold about ``task_rows`` rows, and larger ones are dealt to tasks in parts.  ``share``: of all rows,
-    what the leaves that a query visits may hold per tree.
+    tables give no rows.  The forest is fitted on at most ``sample_rows`` vectors (those of the smallest hash); groups of
+    leaves hold about ``task_rows`` rows, and larger ones are dealt to tasks in parts.  ``share``: the rows that the leaves
+    of a query may hold, over all trees, as a share of all rows; by default what reaches ``recall`` within the sample.
     """
     spark = rows.sparkSession
     clean = lambda t: t.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
@@ -117,9 +148,10 @@ def nearest(
     total = distinct.count()
     drawn = distinct.select("v").orderBy(F.xxhash64("v"), "v").limit(sample_rows).toPandas()
     sample = unit(np.array(drawn["v"].tolist(), dtype=np.float64))
-    depth = int(max(0, min(np.ceil(np.log2(total / leaf_rows)), np.log2(len(sample) / 16))))
+    depth = int(np.clip(np.ceil(np.log2(total / leaf_rows)), 0, DEEPEST))
     forest = fit_forest(sample, trees, depth)
     leaf_count = trees << depth
+    share = calibrated_share(forest, sample, k, recall) if share is None else share
 
     def leaf_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,7 +172,7 @@ def nearest(
         for batch in batches:
             owners, keys, lists = [], [], []
             for n, v in enumerate(unit(matrix(batch.column(1), dim)) if batch.num_rows else []):
-                found = np.sort(forest.search(v, sizes, share * total * trees))
+                found = np.sort(forest.search(v, sizes, share * total))
                 for part in np.split(found, np.flatnonzero(np.diff(found >> shift)) + 1):
                     owners.append(n)
                     keys.append(int(part[0]) >> shift)
@@ -159,13 +191,18 @@ def nearest(
         best_q, best_r = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         if len(q) and len(r):
             place = leaf.column("leaf").to_numpy() & ((1 << shift) - 1)
-            reached = np.zeros((len(q), 1 << shift), bool)
+            order = np.argsort(place, kind="stable")
+            r, leaf, ends = r[order], leaf.take(pa.array(order)), np.searchsorted(place[order], np.arange((1 << shift) + 1))
             lists = asked.column("leaves").combine_chunks()
             owner = np.repeat(np.arange(len(q)), lists.value_lengths().to_numpy(zero_copy_only=False))
-            reached[owner, lists.flatten().to_numpy() & ((1 << shift) - 1)] = True
+            reached = lists.flatten().to_numpy() & ((1 << shift) - 1)
             some = min(k + 1, len(r))
             for at in range(0, len(q), 256):
-                cosines = np.where(reached[at : at + 256][:, place], q[at : at + 256] @ r.T, -2.0)
+                cosines = np.full((min(256, len(q) - at), len(r)), -2.0)
+                mine = (owner >= at) & (owner < at + 256)
+                for n in np.unique(reached[mine]):
+                    rows, who = slice(ends[n], ends[n + 1]), owner[mine & (reached == n)]
+                    cosines[who - at, rows] = q[who] @ r[rows].T
                 cut = np.partition(cosines, -some, axis=1)[:, -some]
                 i, j = np.nonzero((cosines >= cut[:, None] - 1e-12) & (cosines > -1.5))
                 best_q.append(i + at)
