@@ -1,8 +1,10 @@
 """Language-model scoring with a class bigram model (Brown et al., 1992), trained by distributed exchange clustering.
 
-Symbols are the frequent words, the shapes of rare words, and the text end.  A word is frequent if it makes up at least
-``min_share`` of the training tokens, so there are at most 1 / min_share of them, whatever the corpus: that bounds all that
-is sent to tasks.  Exchange clustering moves each symbol to the class that raises the likelihood of class transitions most.
+Symbols are the frequent words, the shapes of rare words, and the text end.  A word is frequent if it occurs ``min_count``
+times and makes up at least ``min_share`` of the training tokens: so the clustered vocabulary grows with the corpus, up to
+1 / min_share words, which bounds all that is sent to tasks; the table of all words' counts grows without a bound and stays
+in Spark.  Exchange clustering moves symbols to the class that raises the likelihood of class transitions most: a round
+finds every symbol's best move, then makes the most gainful share of the moves by which likelihood rises.
 
     P(token | previous) = P(class | previous class) * P(symbol | class) * P(word | shape, for rare words)
 """
@@ -13,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
@@ -92,6 +93,7 @@ class Model:
     emission: np.ndarray  # log10, of each symbol in its class
     rare: np.ndarray  # log10 of the denominators of rare words, by shape
     end_count: int
+    history: list[float]  # the likelihood after each round of clustering
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -127,13 +129,41 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
-def class_counts(bigrams: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
+def symbol_contexts(bigrams: DataFrame, size: int) -> DataFrame:
+    """One row per symbol: (s, others, n), its following symbols, and its preceding ones as number + ``size``, with counts.
+
+    A row has at most two entries for each symbol, whose number is bounded; partial lists are gathered before the shuffle.
+    """
+    after = bigrams.select(F.col("a").alias("s"), F.col("b").alias("o"), "n")
+    before = bigrams.select(F.col("b").alias("s"), (F.col("a") + size).alias("o"), "n")
+    return after.union(before).groupBy("s").agg(F.collect_list("o").alias("others"), F.collect_list("n").alias("n"))
+
+
+def _contexts(batches: Iterator[pa.RecordBatch], classes: np.ndarray, k: int, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of symbols: their numbers, and counts of the classes before and after them."""
+    side = np.concatenate((classes + k, classes)).astype(np.int64)  # followers stand in columns k and on
+    for whole in batches:
+        for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
+            lists = batch.column("others")
+            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            others, n = lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy()
+            both = np.bincount(owner * 2 * k + side[others], weights=n, minlength=batch.num_rows * 2 * k).reshape(-1, 2 * k)
+            yield batch.column("s").to_numpy(), both[:, :k], both[:, k:]
+
+
+def class_counts(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
     """The k by k transition counts; k * k numbers reach the driver."""
-    of = F.broadcast(bigrams.sparkSession.createDataFrame(pd.DataFrame({"s": np.arange(len(classes), dtype=np.int32), "c": classes.astype(np.int32)})))
-    joined = bigrams.join(of.toDF("a", "ca"), "a").join(of.toDF("b", "cb"), "b").groupBy("ca", "cb").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((k, k))
+        for symbols, _, after in _contexts(batches, classes, k):
+            np.add.at(total, classes[symbols], after)
+        a, b = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(total[a, b])], names=["a", "b", "n"])
+
     out = np.zeros((k, k))
-    for ca, cb, n in joined.collect():
-        out[ca, cb] = n
+    for a, b, n in contexts.mapInArrow(run, "a long, b long, n double").groupBy("a", "b").agg(F.sum("n")).collect():
+        out[a, b] = n
     return out
 
 
@@ -142,71 +172,86 @@ def log_likelihood(counts: np.ndarray) -> float:
     return float(_xlogx(counts).sum() - _xlogx(counts.sum(axis=1)).sum() - _xlogx(counts.sum(axis=0)).sum())
 
 
-def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """For symbols with class counts before (``left``) and after (``right``) them: the class each fits best, its own taken out."""
-    n_out, n_in = counts.sum(axis=1), counts.sum(axis=0)
+def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For symbols with class counts before (``left``) and after (``right``) them: the class each fits best, its own taken
+    out first, and by how much better than its own."""
     rows = np.arange(len(own))
-    base_r, base_l = np.broadcast_to(counts, (len(own), *counts.shape)).copy(), np.broadcast_to(counts.T, (len(own), *counts.shape)).copy()
-    base_r[rows, own] = np.maximum(base_r[rows, own] - right, 0)
-    base_l[rows, own] = np.maximum(base_l[rows, own] - left, 0)
-    out, into = np.broadcast_to(n_out, (len(own), len(n_out))).copy(), np.broadcast_to(n_in, (len(own), len(n_in))).copy()
-    out[rows, own] -= right.sum(axis=1)
-    into[rows, own] -= left.sum(axis=1)
-    gain = lambda base, more: (_xlogx(base + more[:, None, :]) - _xlogx(base)).sum(axis=2)
-    total = gain(base_r, right) + gain(base_l, left)
-    total -= _xlogx(out + right.sum(axis=1)[:, None]) - _xlogx(out) + _xlogx(into + left.sum(axis=1)[:, None]) - _xlogx(into)
-    return total.argmax(axis=1)
-
-
-def exchange(bigrams: DataFrame, weight: np.ndarray, k: int, rounds: int) -> np.ndarray:
-    """Class of each symbol: class 0 is the end's alone; a round moves alternate symbols, and is kept if likelihood rises.
-
-    Contexts are grouped sums over the bigram table; per round the driver sees one class number per symbol.
+
+    def joined(table: np.ndarray, more: np.ndarray) -> np.ndarray:
+        """What each class's row of ``table`` gains by ``more``."""
+        gain = _xlogx(table + more[:, None, :]).sum(axis=2) - _xlogx(table).sum(axis=1)
+        gain[rows, own] = (_xlogx(table[own]) - _xlogx(np.maximum(table[own] - more, 0))).sum(axis=1)
+        return gain
+
+    def alone(totals: np.ndarray, more: np.ndarray) -> np.ndarray:
+        base = np.broadcast_to(totals, (len(own), len(totals))).copy()
+        base[rows, own] -= more
+        return _xlogx(base + more[:, None]) - _xlogx(base)
+
+    total = joined(counts, right) + joined(counts.T, left) - alone(counts.sum(axis=1), right.sum(axis=1)) - alone(counts.sum(axis=0), left.sum(axis=1))
+    total[:, 0] = -np.inf  # the end's class
+    best = total.argmax(axis=1)
+    return best, total[rows, best] - total[rows, own]
+
+
+def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least_gain: float = 1e-5) -> tuple[np.ndarray, list[float]]:
+    """Class of each symbol, and the likelihood after each accepted round; class 0 is the end's alone.
+
+    Moves that gain alone may harm together, so the most gainful half of them is tried, and a half of those again until
+    likelihood rises; a share that worked is doubled for the next round.  Ends after ``rounds``, when no move gains, or when
+    a round gains less than ``least_gain`` of the likelihood.  The driver sees one class per symbol that would move.
     """
-    spark, size = bigrams.sparkSession, len(weight)
+    size = len(weight)
     classes = np.zeros(size, np.int64)
     classes[np.argsort(-weight[:-1], kind="stable")] = 1 + np.arange(size - 1) % (k - 1)
-    counts = class_counts(bigrams, classes, k)
-    for turn in range(rounds):
-        of = F.broadcast(spark.createDataFrame(pd.DataFrame({"s": np.arange(size, dtype=np.int32), "c": classes.astype(np.int32)})))
-        after = bigrams.join(of.toDF("b", "c"), "b").select(F.col("a").alias("s"), (F.col("c") + k).alias("c"), "n")
-        before = bigrams.join(of.toDF("a", "c"), "a").select(F.col("b").alias("s"), "c", "n")
-        mine = F.pmod(F.xxhash64("s", F.lit(turn // 2)), F.lit(2)) == turn % 2
-        context = after.union(before).where(mine & (F.col("s") != size - 1)).groupBy("s", "c").agg(F.sum("n").cast("double").alias("n"))
-
-        def moves(frames: Iterator[pd.DataFrame], classes=classes, counts=counts) -> Iterator[pd.DataFrame]:
-            frame = pd.concat([pd.DataFrame({"s": [], "c": [], "n": []}), *frames])
-            symbols, row = np.unique(frame["s"].to_numpy(np.int64), return_inverse=True)
-            both = np.zeros((len(symbols), 2 * k))
-            both[row, frame["c"].to_numpy(np.int64)] = frame["n"]
-            for at in range(0, len(symbols), 128):
-                part = slice(at, at + 128)
-                best = best_moves(both[part, :k], both[part, k:], classes[symbols[part]], np.asarray(counts))
-                yield pd.DataFrame({"s": symbols[part], "c": best})
-
-        trial = classes.copy()
-        for s, c in context.repartition("s").mapInPandas(moves, "s long, c long").where("c > 0").collect():
-            trial[s] = c
-        moved = class_counts(bigrams, trial, k)
-        if log_likelihood(moved) > log_likelihood(counts):
-            classes, counts = trial, moved
-    return classes
-
-
-def train(docs: DataFrame, text_col: str = "text", classes: int = 64, min_share: float = 5e-5, rounds: int = 6) -> Model:
-    """Fit the model on all rows of ``docs``; null texts count as empty, an empty table gives a uniform model."""
+    counts = class_counts(contexts, classes, k)
+    history, share = [log_likelihood(counts)], 0.5
+    for _ in range(rounds):
+
+        def moves(batches: Iterator[pa.RecordBatch], classes=classes, counts=counts) -> Iterator[pa.RecordBatch]:
+            for symbols, left, right in _contexts(batches, classes, k):
+                best, gain = best_moves(left, right, classes[symbols], counts)
+                better = (best != classes[symbols]) & (gain > 0) & (symbols != size - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(symbols[better].astype(np.int64)), pa.array(best[better]), pa.array(gain[better])], names=["s", "c", "gain"])
+
+        found = contexts.mapInArrow(moves, "s long, c long, gain double").toPandas().sort_values(["gain", "s"], ascending=[False, True])
+        while len(found) and share * len(found) >= 0.5:
+            some = found.iloc[: int(np.ceil(share * len(found)))]
+            trial = classes.copy()
+            trial[some["s"].to_numpy()] = some["c"].to_numpy()
+            moved = class_counts(contexts, trial, k)
+            if log_likelihood(moved) > history[-1]:
+                break
+            share /= 2
+        else:
+            break
+        classes, counts = trial, moved
+        history.append(log_likelihood(counts))
+        share = min(1.0, 2 * share)
+        if history[-1] - history[-2] < least_gain * abs(history[-1]):
+            break
+    return classes, history
+
+
+def train(docs: DataFrame, text_col: str = "text", classes: int = 64, min_count: int = 20, min_share: float = 2e-6, rounds: int = 12) -> Model:
+    """Fit the model on all rows of ``docs``; null texts count as empty, an empty table gives a uniform model.
+
+    Other columns are ignored, repeated rows each count.
+    """
     spark = docs.sparkSession
     texts = docs.select(text_or_empty(text_col).alias("text"))
     counts = checkpointed(count_words(texts))
     total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = counts.where((F.col("shape") >= 0) & (F.col("n") >= min_share * total)).select("key", "n").toPandas().sort_values("key")
+    least = max(min_count, min_share * total)
+    frequent = counts.where((F.col("shape") >= 0) & (F.col("n") >= least)).select("key", "n").toPandas().sort_values("key")
     symbols = Symbols(frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
     bigrams = checkpointed(count_bigrams(texts, symbols))
     weight = np.zeros(symbols.end + 1)
     for s, n in bigrams.groupBy("b").agg(F.sum("n")).collect():
         weight[s] = n
-    number = exchange(bigrams, weight, classes, rounds)
-    table = class_counts(bigrams, number, classes)
+    contexts = checkpointed(symbol_contexts(bigrams, len(weight)))
+    number, history = exchange(contexts, weight, classes, rounds)
+    table = class_counts(contexts, number, classes)
     # classes after each class: shrunk to the classes' overall shares
     size = table.sum(axis=0) + DELTA
     prior = size / size.sum()
@@ -214,20 +259,20 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = 64, min_share:
     held = np.bincount(number, weights=weight + DELTA, minlength=classes)
     emission = np.log10((weight + DELTA) / held[number])
     distinct = np.zeros(SHAPES)
-    rare = counts.where((F.col("shape") >= 0) & (F.col("n") < min_share * total))
+    rare = counts.where((F.col("shape") >= 0) & (F.col("n") < least))
     for shape, n in rare.groupBy("shape").count().collect():
         distinct[shape] = n
     own = weight[len(symbols.hashes) : symbols.end]
     ends = int(weight[-1])
-    return Model(counts.select("key", "n"), symbols, int(total), vocabulary, number, transition, emission, np.log10(own + DELTA * (distinct + 1)), ends)
+    return Model(counts.select("key", "n"), symbols, int(total), vocabulary, number, transition, emission, np.log10(own + DELTA * (distinct + 1)), ends, history)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row, in log10; null texts count as empty.
 
     Frequent words are looked up in the task.  Rare words go, once per block of rows, to the count table and back; a row is
-    known by its place (partition and number), so ids may repeat or be null.  ``docs`` is read twice and must give the same
-    partitions both times, as files and checkpoints do.
+    known by its place (partition and number), so ids may repeat or be null.  Other columns are ignored, an empty table gives
+    no rows.  ``docs`` is read twice and must give the same partitions both times, as files and checkpoints do.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     symbols, classes, transition, emission, rare = model.symbols, model.classes, model.transition, model.emission, model.rare

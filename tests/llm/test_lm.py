@@ -28,7 +28,7 @@ def test_base_scores_match_brute_force(spark):
     rows = corpus()
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
     docs, training = lm.split_by_fold(docs)
-    model = lm.train(training, classes=8, min_share=0.002, rounds=4)
+    model = lm.train(training, classes=8, min_count=1, min_share=0.002, rounds=4)
     got = lm.score(docs, model).withColumn("held_out", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10)) == 0).collect()
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 10 == 0
     counts = Counter(t for i, text, _ in rows if not held(i) for t in [*split(text), None])
@@ -43,7 +43,7 @@ def test_base_scores_match_brute_force(spark):
 def test_the_model_is_a_distribution(spark):
     """Over one next token, known words, one unknown word of each shape and the end sum to 1, from any class."""
     docs = spark.createDataFrame(corpus(), "doc_id long, text string, score string")
-    model = lm.train(docs, classes=8, min_share=0.002, rounds=2)
+    model = lm.train(docs, classes=8, min_count=1, min_share=0.002, rounds=2)
     words = sorted({w for _, t, _ in corpus() for w in split(t)})
     import pyarrow as pa
 
@@ -69,3 +69,55 @@ def test_empty_tables(spark):
     model = lm.train(none, classes=4)
     assert lm.score(none, model).count() == 0
     assert [(r.n_tokens, r.n_known) for r in lm.score(some, model).collect()] == [(3, 0)]
+
+
+def test_model_scores_match_brute_force(spark):
+    """log10 of class transition, symbol in its class, and word in its shape, token by token."""
+    import xxhash
+
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, score string")
+    model = lm.train(docs, classes=8, min_count=2, min_share=0.002, rounds=3)
+    place = {int(h): n for n, h in enumerate(model.symbols.hashes)}
+    counts = {r.key: r.n for r in model.counts.collect()}
+    got = sorted((str(r.doc_id), round(r.score, 5)) for r in lm.score(docs, model).collect())
+    want = []
+    for i, text, _ in corpus():
+        last, total = model.symbols.end, 0.0
+        for word in [*split(text), None]:
+            extra, symbol = 0.0, model.symbols.end
+            if word is not None:
+                data = word.encode()
+                key = int(np.uint64(xxhash.xxh64_intdigest(data, 42)).view(np.int64))
+                shape = (data[-1] * 31 + data[max(len(data) - 2, 0)]) % (lm.SHAPES // 2) * 2 + (len(data) > 8)
+                symbol = place.get(key, len(place) + shape)
+                if key not in place:
+                    extra = math.log10(counts.get(key, 0) + lm.DELTA) - model.rare[shape]
+            total += model.transition[model.classes[last], model.classes[symbol]] + model.emission[symbol] + extra
+            last = symbol
+        want.append((str(i), round(total, 5)))
+    assert got == sorted(want)
+
+
+def test_exchange_goes_on_and_beats_frequency_classes(spark):
+    docs = spark.createDataFrame(corpus(600), "doc_id long, text string, score string")
+    docs, training = lm.split_by_fold(docs)
+    one, many = (lm.train(training, classes=6, min_count=2, min_share=0.0, rounds=n) for n in (0, 12))
+    assert len(one.history) == 1 and len(many.history) > 3
+    assert all(b > a for a, b in zip(many.history[:-1], many.history[1:], strict=True))
+    total = [lm.score(docs.where("held_out"), m).agg(F.sum("score")).first()[0] for m in (one, many)]
+    assert total[1] > total[0]
+
+
+def test_best_moves_match_brute_force():
+    rng = np.random.default_rng(7)
+    counts = rng.integers(5, 60, (5, 5)).astype(float)
+    left, right, own = rng.integers(0, 3, (20, 5)).astype(float), rng.integers(0, 3, (20, 5)).astype(float), rng.integers(1, 5, 20)
+    best, gain = lm.best_moves(left, right, own, counts)
+    x = lambda v: float(np.where(v > 0, v * np.log(np.maximum(v, 1e-300)), 0).sum())
+    for n in range(20):
+        found = []
+        for c in range(1, 5):
+            rows = [counts[c] - (c == own[n]) * right[n], counts[:, c] - (c == own[n]) * left[n]]
+            out, into = counts[c].sum() - (c == own[n]) * right[n].sum(), counts[:, c].sum() - (c == own[n]) * left[n].sum()
+            found.append(x(rows[0] + right[n]) - x(rows[0]) + x(rows[1] + left[n]) - x(rows[1]) - x(out + right[n].sum()) + x(out) - x(into + left[n].sum()) + x(into))
+        assert best[n] == 1 + int(np.argmax(found)) and abs(gain[n] - (max(found) - found[own[n] - 1])) < 1e-6
