@@ -1,15 +1,16 @@
 """Toxicity by weak supervision.
 
-Terms (words, and word beginnings as patterns) that the training labels tie to toxicity become voters.  A generative label
-model, fitted by expectation maximisation on their votes, estimates each voter's accuracy and the correlations among voters,
-and gives each training text a posterior label.  A linear classifier over more terms is trained on those posteriors and scores
-every text.  Training reads a bounded sample of labelled rows; scoring is one pass over the texts without a shuffle.
+Voters are fixed lexicons, fixed patterns (word beginnings, several lexicon words in one text), and terms (words and
+beginnings) that the training labels tie to toxicity.  A generative label model, fitted by expectation maximisation on their
+votes, estimates each voter's accuracy and the correlations among voters, and gives each training text a posterior label;
+the given labels are a prior of the voters' rates, they are no voter.  A linear classifier over all terms is trained on those posteriors and
+scores every text.  Training reads a bounded sample of labelled rows; scoring is one pass over the texts without a shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -22,16 +23,27 @@ from chronolith.llm.simhash import shingle_hashes
 
 #: Kinds of terms: whole words (0), or beginnings of so many characters.
 KINDS = (0, 4, 5, 6)
+#: Lexicon voters.
+LEXICONS = {
+    "insults": "idiot moron stupid dumb fool imbecile loser clown jerk dimwit halfwit nitwit dunce buffoon simpleton twit dolt coward freak".split(),
+    "contempt": "pathetic worthless disgusting trash scum garbage filth vermin useless vile repulsive despicable parasite lowlife degenerate inferior".split(),
+    "hostility": "hate kill die hurt destroy crush rot suffer attack threaten".split(),
+    "profanity": "damn crap bastard bitch shit fuck piss bollocks".split(),
+}
+#: Pattern voters: beginnings of so many letters of the words of these lexicons, and so many lexicon words in one text.
+BEGINNING, BEGUN, SEVERAL = 5, ("insults", "contempt"), 3
 EDGES = ".,;:!?\"'()[]{}<>|%&$#*-_/\\~`^+="
 
 
 @dataclass
 class Toxicity:
-    """terms: for each kind, the terms in order; weights: of all terms in that order; bias."""
+    """terms: for each kind, the terms in order; weights: of all terms in that order; bias; of the sample, posteriors and labels."""
 
     terms: dict[int, list[str]]
     weights: np.ndarray
     bias: float
+    posterior: np.ndarray = field(default_factory=lambda: np.empty(0))
+    given: np.ndarray = field(default_factory=lambda: np.empty(0))
 
 
 def term_columns(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, dict[int, pa.Array]]:
@@ -77,9 +89,9 @@ def _lookup(texts: pa.Array, terms: dict[int, list[str]]) -> tuple[np.ndarray, n
 
 
 def spread(labelled: DataFrame) -> DataFrame:
-    """``labelled`` (text, toxic) with one of each group of texts that share a minimum of their shingle hashes.
+    """``labelled`` (text, toxic) with one of each group of near-copies: texts of one label that share a shingle minimum.
 
-    Copies would make their own words look like signs of their label.
+    Copies would make their own words look like signs of their label.  A text without words is near only to its like.
     """
     factors = np.random.default_rng(8).integers(0, 2**63, 4, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -91,31 +103,35 @@ def spread(labelled: DataFrame) -> DataFrame:
     marked = labelled.mapInArrow(run, "text string, toxic int, m0 long, m1 long, m2 long, m3 long")
     for n in range(4):
         first = F.struct("text", "toxic", *[f"m{m}" for m in range(4)])
-        marked = marked.groupBy(f"m{n}").agg(F.min(first).alias("r")).select("r.*")
+        marked = marked.groupBy("toxic", f"m{n}").agg(F.min(first).alias("r")).select("r.*")
     return marked.select("text", "toxic")
 
 
-def label_model(votes: np.ndarray, given: np.ndarray, trusted: float = 0.97, rounds: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, given: np.ndarray, rounds: int = 25, prior_weight: float = 0.5, strong: float = 0.6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of the rows of a 0/1 vote matrix, each voter's rates of voting (clean, toxic), and voter correlations.
 
-    A latent class model by expectation maximisation.  The given labels are one more voter, right with probability
-    ``trusted``, which ties the classes to their names.  Given the class, voters that go together would count twice; so a
-    voter's evidence is divided by 1 + the sum of its positive correlations with the others.
+    A latent class model by expectation maximisation.  A row's posterior comes from its votes alone; the given labels serve
+    as a prior of the voters' rates, of weight ``prior_weight`` against the posteriors.  Given the class, voters that go
+    together would count twice; so a voter's evidence is divided by 1 + the sum of its correlations over ``strong`` with
+    the others.
     """
-    anchor = np.log(trusted / (1 - trusted)) * (2 * given - 1)
-    posterior, shares = np.where(given > 0, trusted, 1 - trusted), np.zeros((2, votes.shape[1]))
-    correlation = np.eye(votes.shape[1])
+    sure = np.stack([1.0 - given, given])
+    posterior, correlation = given.astype(float), np.eye(votes.shape[1])
+    shares = np.zeros((2, votes.shape[1]))
     for _ in range(rounds):
-        weight = np.stack([1 - posterior, posterior])
+        weight = (1 - prior_weight) * np.stack([1 - posterior, posterior]) + prior_weight * sure
         shares = (weight @ votes + 0.5 * votes.mean(axis=0) + 0.01) / (weight.sum(axis=1, keepdims=True) + 1.0)
         shares = np.clip(shares, 1e-5, 1 - 1e-5)
         rest = votes - weight.T @ shares
-        spread_ = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-        correlation = (rest.T @ rest) / len(votes) / np.outer(spread_, spread_)
-        trust = 1 / np.maximum(1.0, np.maximum(correlation, 0).sum(axis=1))
+        deviation = np.sqrt((rest**2).mean(axis=0))
+        # few texts, or voters that the class explains whole, leave no more than chance to correlate
+        correlation = (rest.T @ rest) / len(votes) / (np.outer(deviation, deviation) + 2 / len(votes))
+        together = np.where(correlation > strong, correlation, 0)
+        np.fill_diagonal(together, 1)
+        trust = 1 / together.sum(axis=1)
         on, off = np.log(shares[1] / shares[0]), np.log((1 - shares[1]) / (1 - shares[0]))
-        prior = np.clip(posterior.mean(), 1e-4, 1 - 1e-4)
-        logit = anchor + np.log(prior / (1 - prior)) + votes @ (trust * on) + (1 - votes) @ (trust * off)
+        prior = np.clip(weight[1].mean(), 1e-4, 1 - 1e-4)
+        logit = np.log(prior / (1 - prior)) + votes @ (trust * on) + (1 - votes) @ (trust * off)
         posterior = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
     return posterior, shares, correlation
 
@@ -142,11 +158,13 @@ def fit_linear(rows: np.ndarray, terms: np.ndarray, labels: np.ndarray, size: in
     return weights, float(bias)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 20_000, voters: int = 256, features: int = 1024) -> Toxicity:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 20_000, voters: int = 256, features: int = 1024, chance: float = 0.05) -> Toxicity:
     """Learn from the rows of ``labels`` (id, toxic) that ``docs`` holds, at most ``train_rows`` of them (by hash of the id).
 
-    Labels other than 0 and 1 and null ids don't count; of repeated labels of an id the larger counts.  The driver sees at
-    most ``features`` terms and the sample's term numbers.  Without usable labels every score is one half or less.
+    Labels other than 0 and 1 and null ids don't count; of repeated labels of an id the larger counts; other columns are
+    ignored.  Terms are mined if a likelihood ratio ties them to toxicity beyond what one of all candidates would show by
+    ``chance``; the driver sees at most ``features`` of them and the sample's term numbers.  Without usable labels of both
+    kinds (an empty table, say) every score is one half or less.
     """
     wanted = labels.where(F.col("toxic").isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
     wanted = wanted.orderBy(F.xxhash64("id"), "id").limit(train_rows)
@@ -157,15 +175,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if not toxic_n or not clean_n:
         return Toxicity({k: [] for k in KINDS}, np.empty(0), -1.0)
     share = toxic_n / (toxic_n + clean_n)
-    counted = count_terms(sample).where("toxic > 0")
+    counted = checkpointed(count_terms(sample).where("toxic > 0"))
     both = F.col("toxic") + F.col("clean")
     part = lambda seen, at: F.when(seen > 0, seen * F.log(seen / (both * at))).otherwise(0.0)
     gain = 2 * (part(F.col("toxic"), F.lit(share)) + part(F.col("clean"), F.lit(1 - share)))
-    chosen = counted.withColumn("gain", gain).where((F.col("gain") >= 20) & (F.col("toxic") >= 4 * share / (1 - share) * F.col("clean")))
+    least = 2 * float(np.log(max(counted.count(), 1) / chance))
+    chosen = counted.withColumn("gain", gain).where((F.col("gain") >= least) & (F.col("toxic") >= 4 * share / (1 - share) * F.col("clean")))
     top = chosen.orderBy(F.desc("gain"), "kind", "term").limit(features).collect()
-    terms: dict[int, list[str]] = {k: [r.term for r in top if r.kind == k] for k in KINDS}
+
+    lexicon = sorted({w for words in LEXICONS.values() for w in words})
+    begun = {name: sorted({w[:BEGINNING] for w in LEXICONS[name] if len(w) > BEGINNING}) for name in BEGUN}
+    fixed = {0: lexicon, BEGINNING: sorted({b for some in begun.values() for b in some})}
+    terms = {k: list(dict.fromkeys([*fixed.get(k, []), *(r.term for r in top if r.kind == k)])) for k in KINDS}
     place = {(k, t): n for n, (k, t) in enumerate((k, t) for k in KINDS for t in terms[k])}
-    voter = [place[r.kind, r.term] for r in top[:voters]]
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in text_runs(batches, "text"):
@@ -178,9 +200,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows_, terms_ = np.repeat(np.arange(len(held)), held["terms"].map(len)), np.concatenate([*held["terms"], []]).astype(np.int64)
     matrix = np.zeros((len(held), len(place)), np.float32)
     matrix[rows_, terms_] = 1
-    posterior, _, _ = label_model(matrix[:, voter].astype(float), held["toxic"].to_numpy(float))
+    any_of = lambda some: matrix[:, some].max(axis=1, initial=0)
+    votes = [any_of([place[0, w] for w in words]) for words in LEXICONS.values()]
+    votes += [any_of([place[BEGINNING, b] for b in some]) for some in begun.values()]
+    votes += [(matrix[:, [place[0, w] for w in lexicon]].sum(axis=1) >= SEVERAL).astype(np.float32)]
+    votes += [matrix[:, place[r.kind, r.term]] for r in top[:voters]]
+    posterior, _, _ = label_model(np.column_stack(votes).astype(float), held["toxic"].to_numpy(float))
     weights, bias = fit_linear(rows_, terms_, posterior, len(place))
-    return Toxicity(terms, weights, bias)
+    return Toxicity(terms, weights, bias, posterior, held["toxic"].to_numpy())
 
 
 def score_batches(model: Toxicity, column: str, scores: str, below: float | None = None):
@@ -200,14 +227,19 @@ def score_batches(model: Toxicity, column: str, scores: str, below: float | None
 
 
 def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """(id, score, predicted) of every row's whole text; null counts as empty.  Repeated rows are scored alike."""
+    """(id, score, predicted) of every row's whole text; null counts as empty.
+
+    Repeated rows are scored alike, null ids like others; other columns are ignored; an empty table gives no rows.
+    """
     rows = docs.select(F.col(id_col), text_or_empty(text_col).alias("text"))
-    scored = rows.mapInArrow(score_batches(model, "text", "score"), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text string, score double")
+    slim = Toxicity(model.terms, model.weights, model.bias)
+    scored = rows.mapInArrow(score_batches(slim, "text", "score"), f"`{id_col}` {rows.schema[id_col].dataType.simpleString()}, text string, score double")
     return scored.select(id_col, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def drop_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text", threshold: float = 0.7) -> DataFrame:
-    """``docs``, all columns, without the rows that score ``threshold`` or more."""
+    """``docs``, all columns, without the rows that score ``threshold`` or more; null texts count as empty."""
+    model = Toxicity(model.terms, model.weights, model.bias)
     return docs.mapInArrow(score_batches(model, text_col, "", threshold), docs.schema)
 
 
