@@ -2,7 +2,8 @@
 
 A document classifier gives evidence from the text alone.  Sites (hosts), and paths within them, have quality rates of their
 own: beta-binomial posteriors from grouped sums of that evidence, a host's shrunk to the global rate and a path's to its
-host's, by as much as the spread among sites warrants.  A document's score joins its evidence with its path's rate.
+host's, by as much as the spread among sites warrants.  A document's score joins its evidence with the rate of its path among
+the other documents: its own evidence is left out of the path's rate, so that it counts once.
 """
 
 from __future__ import annotations
@@ -114,9 +115,10 @@ def _strength(sites: DataFrame, rate: str, least: float = 2.0, most: float = 1e4
 def score(docs: DataFrame, model: Evidence, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = 0.5, broadcast_sites: int = 100_000) -> DataFrame:
     """(id, evidence, host_rate, path_rate, score, kept) of every row.
 
-    evidence: the classifier's probability; rates: posteriors of the row's host and path.  A null host or path is one more
-    host or path; a null text counts as empty.  Repeated rows each count.  Site tables are sums over all rows; they are
-    broadcast back if they have at most ``broadcast_sites`` rows, else joined by a shuffle that AQE splits where it is skewed.
+    evidence: the classifier's probability; host_rate: posterior of the row's host; path_rate: that of its path, from the
+    other rows of the path.  A null host or path is one more host or path; a null text counts as empty.  Repeated rows each
+    count; other columns are ignored; an empty table gives no rows.  Site tables are sums over all rows; they are broadcast
+    back if they have at most ``broadcast_sites`` rows, else joined by a shuffle that AQE splits where it is skewed.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path"), text_or_empty(text_col).alias("text"))
 
@@ -135,8 +137,8 @@ def score(docs: DataFrame, model: Evidence, id_col: str = "doc_id", text_col: st
     hosts = hosts.select("host", ((F.col("good") + weight * overall) / (F.col("n") + weight)).alias("host_rate"))
     paths = paths.join(broadcast_within(hosts, broadcast_sites), "host")
     weight = _strength(paths, "host_rate")
-    paths = paths.select("host", "path", "host_rate", ((F.col("good") + weight * F.col("host_rate")) / (F.col("n") + weight)).alias("path_rate"))
-    found = judged.join(broadcast_within(paths, broadcast_sites), ["host", "path"])
+    others = (F.col("good") - F.col("evidence") + weight * F.col("host_rate")) / (F.col("n") - 1 + weight)
+    found = judged.join(broadcast_within(paths.select("host", "path", "host_rate", "good", "n"), broadcast_sites), ["host", "path"]).withColumn("path_rate", others)
     bayes = _logit(F.least(F.greatest("evidence", F.lit(1e-9)), F.lit(1 - 1e-9))) - float(np.log(model.prior / (1 - model.prior)))
     scored = found.withColumn("score", _sigmoid(bayes + _logit(F.least(F.greatest("path_rate", F.lit(0.01)), F.lit(0.99)))))
     return scored.select(F.col("id").alias(id_col), "evidence", "host_rate", "path_rate", "score", (F.col("score") >= threshold).alias("kept"))
