@@ -15,14 +15,26 @@ from pyspark.sql import functions as F
 def checkpointed(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and cut its lineage.
 
-    The folder is the cluster's ``spark.checkpoint.dir``; a folder of our own is set only where none is.
+    Nothing else cuts lineage here, so lost executors cost no more than their own tasks.
     """
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``, or the one that was set by hand.
+
+    Only a local session may go without: it gets a temporary one.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder
+
+
 def broadcast_within(df: DataFrame, max_rows: int) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is (the join then shuffles).
 
@@ -49,14 +61,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def keep_by_id(docs: DataFrame, ids: DataFrame, key: str, keep: bool, max_rows: int = 1_000_000) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is (or is not) among the distinct ``ids``.
+#: Column of a row's key: (id is null, id, place), so that keys are distinct and their smallest is that of the smallest id.
+ROW_KEY = "__row_key"
+
+
+def with_row_key(docs: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` with a distinct key of each row; the same keys come again if the same partitions do."""
+    return docs.withColumn(ROW_KEY, F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("place")))
+
+
+def drop_rows(keyed: DataFrame, gone: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Rows of ``keyed`` (see :func:`with_row_key`) whose key ``gone`` does not hold, without the key.
 
-    A semi or anti join: the id side is broadcast only if it is counted to at most ``max_rows``.
-    Rows with a null key never match: they stay for ``keep=False`` and go for ``keep=True``.
+    An anti join: the keys that go are broadcast only if they are counted to at most ``max_rows``.
     """
-    ids = checkpointed(ids.select(F.col(ids.columns[0]).alias(key)).where(F.col(key).isNotNull()).distinct())
-    return docs.join(broadcast_within(ids, max_rows), key, "left_semi" if keep else "left_anti")
+    gone = checkpointed(gone.select(F.col(f"{ROW_KEY}.place").alias("place")))
+    kept = keyed.join(broadcast_within(gone, max_rows), keyed[ROW_KEY]["place"] == gone["place"], "left_anti")
+    return kept.drop(ROW_KEY)
 
 
 def text_runs(batches: Iterator[pa.RecordBatch], column: str = "text", run_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import broadcast_within, checkpointed, keep_by_id, text_or_empty
+from chronolith.llm.common import ROW_KEY, broadcast_within, checkpointed, drop_rows, text_or_empty, with_row_key
 
 MESSAGE = "block long, owner long, n long, k int, quotients binary, remainders binary"
 REPLY = "block long, owner long, bitmap binary"
@@ -120,9 +120,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, all columns, without the rows whose text stays under another, larger id (see :func:`exact_duplicates`).
+    """``docs``, all columns, with one row of each group of equal texts (see :func:`exact_duplicates`): that of the largest
+    id, ties the last row; rows of null ids lose against others.
 
-    Ids should be unique; rows that repeat the id of a row that goes, go too.  Rows with a null id stay.
+    ``docs`` is read several times and must give the same partitions each time, as files and checkpoints do.
     """
-    gone = exact_duplicates(docs, id_col, text_col).where(~F.col("kept"))
-    return keep_by_id(docs, gone.select(id_col), id_col, keep=False)
+    keyed = with_row_key(docs, id_col)
+    largest = keyed.withColumn(ROW_KEY, F.struct((~F.col(f"{ROW_KEY}.none")).alias("some"), F.col(f"{ROW_KEY}.id").alias("id"), F.col(f"{ROW_KEY}.place").alias("place")))
+    return drop_rows(keyed, exact_duplicates(largest, ROW_KEY, text_col).where(~F.col("kept")))

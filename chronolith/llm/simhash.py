@@ -4,7 +4,7 @@ Fingerprints that differ in at most r bits agree on at least two of r + 2 bit bl
 are dealt to buckets by pairs (or, for larger tables, larger sets) of blocks.  In a bucket a pivot table holds the Hamming
 distance of each fingerprint to many reference fingerprints.  By the triangle inequality a pair whose table rows differ by
 more than r in any coordinate cannot link; the survivors are verified on the fingerprints themselves.  A bucket gives only
-a spanning forest of its links.
+a spanning forest of its links; a crowded one is first dealt further, by sets of blocks of the bits that it leaves open.
 """
 
 from __future__ import annotations
@@ -16,15 +16,17 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed, keep_by_id, text_or_empty
+from chronolith.llm.common import ROW_KEY, checkpointed, drop_rows, text_or_empty, with_row_key
 from chronolith.llm.graph import connected_components
 
 SEED = 42
 PIVOTS = np.random.default_rng(64).integers(0, 2**64, 16, dtype=np.uint64)
 SMALL_GROUP = 16
+#: Open bits under which a bucket is never dealt further.
+FEW_BITS = 15
 
 
 def shingle_hashes(text: bytes, words: int) -> np.ndarray:
@@ -62,19 +64,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
-def bucket_masks(bits: int, count: int) -> list[int]:
-    """Masks of block sets, one of which any pair within ``bits`` differing bits agrees on.
+def bucket_masks(bits: int, count: int, agreed: int = 0) -> list[int]:
+    """Masks that hold ``agreed`` and a set of blocks of the other bits, on one of which any pair within ``bits`` agrees.
 
-    64 bits are cut into bits + j blocks, of which j must agree.  j, from 2 (a single block is too short a key) to 4,
+    The open bits are cut into bits + j blocks, of which j must agree.  j, from 2 (a single block is too short a key) to 4,
     weighs the number of keys of each fingerprint against the unrelated ones that ``count`` bring into a bucket.
     """
-    options = []
+    open_, options = [b for b in range(64) if not agreed >> b & 1], []
     for same in range(2, 5):
         blocks = bits + same
-        edges = [64 * i // blocks for i in range(blocks + 1)]
-        masks = [sum(1 << b for b in range(edges[i], edges[i + 1])) for i in range(blocks)]
-        keys = [sum(group) for group in combinations(masks, same)]
-        options.append((len(keys) * (8 + count / 2 ** (64 * same // blocks)), same, keys))
+        edges = [len(open_) * i // blocks for i in range(blocks + 1)]
+        masks = [sum(1 << b for b in open_[edges[i] : edges[i + 1]]) for i in range(blocks)]
+        keys = [agreed | sum(group) for group in combinations(masks, same)]
+        options.append((len(keys) * (8 + count / 2 ** (len(open_) * same // blocks)), same, keys))
     return min(options)[2]
 
 
@@ -113,11 +115,15 @@ def link_forest(fp: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def link_buckets(bits: int, crowded: int):
-    """Task over rows (part, key, fp) that are sorted by (part, key): links (u, v), or (fp, null) for a crowded bucket."""
+    """Task over rows (mask, key, fp) that are sorted by (mask, key): links (u, v), or (fp, null, mask) for a crowded bucket.
+
+    A bucket of few open bits is compared whatever its size, which those bits bound.
+    """
+    few = lambda mask: 64 - (int(mask) & (2**64 - 1)).bit_count() <= FEW_BITS
 
     def links(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         fp = frame["fp"].to_numpy(np.int64).view(np.uint64)
-        new = (frame["part"].diff() != 0) | (frame["key"].diff() != 0)
+        new = (frame["mask"].diff() != 0) | (frame["key"].diff() != 0)
         starts = np.flatnonzero(new.to_numpy())
         sizes = np.diff(np.append(starts, len(fp)))
         group = np.repeat(np.arange(len(starts)), sizes)
@@ -127,61 +133,62 @@ def link_buckets(bits: int, crowded: int):
             i = np.flatnonzero((group[:-step] == group[step:]) & small[:-step])
             i, j = _survivors(fp, pivots, i, i + step, bits)
             if len(i):
-                yield pd.DataFrame({"u": fp[i].view(np.int64), "v": fp[j].view(np.int64)})
+                yield linked(fp[i], fp[j])
         for g in np.flatnonzero(sizes > SMALL_GROUP):
             own = fp[starts[g] : starts[g] + sizes[g]]
             i, j = link_forest(own, bits)
-            yield pd.DataFrame({"u": own[i].view(np.int64), "v": own[j].view(np.int64)})
+            yield linked(own[i], own[j])
 
-    def alone(fp: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame({"u": fp, "v": pd.array([None] * len(fp), dtype="Int64")})
+    def linked(u: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        return pd.DataFrame({"u": u.view(np.int64), "v": v.view(np.int64), "mask": np.zeros(len(u), np.int64)})
+
+    def alone(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"u": rows["fp"], "v": pd.array([None] * len(rows), dtype="Int64"), "mask": rows["mask"]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, full = None, None
         for frame in frames:
             frame = frame if held is None else pd.concat([held, frame], ignore_index=True)
             if full is not None:  # the rest of a crowded bucket
-                same = (frame["part"] == full[0]) & (frame["key"] == full[1])
-                yield alone(frame.loc[same, "fp"])
+                same = (frame["mask"] == full[0]) & (frame["key"] == full[1])
+                yield alone(frame[same])
                 frame = frame[~same].reset_index(drop=True)
             if not len(frame):
                 held = None
                 continue
             last = frame.iloc[-1]
-            open_ = (frame["part"] == last["part"]) & (frame["key"] == last["key"])
+            open_ = (frame["mask"] == last["mask"]) & (frame["key"] == last["key"])
             held, full = frame[open_].reset_index(drop=True), None
             yield from links(frame[~open_].reset_index(drop=True))
-            if len(held) > crowded:
-                yield alone(held["fp"])
-                held, full = None, (last["part"], last["key"])
+            if len(held) > crowded and not few(last["mask"]):
+                yield alone(held)
+                held, full = None, (last["mask"], last["key"])
         if held is not None:
             yield from links(held)
 
     return run
 
 
-def _ball(column: Column, radius: int) -> Column:
-    """All 64-bit values within ``radius`` differing bits."""
-    flips = [sum(1 << b for b in c) for n in range(radius + 1) for c in combinations(range(64), n)]
-    return F.transform(F.lit([_signed(f) for f in flips]).cast("array<bigint>"), lambda m: m.bitwiseXOR(column))
-
-
 def near_links(distinct: DataFrame, bits: int = 4, crowded: int = 20_000) -> DataFrame:
     """Links (u, v) between distinct ``fp`` that join exactly what pairs within ``bits`` differing bits join.
 
-    A bucket of more than ``crowded`` fingerprints is not compared pair by pair: two of its fingerprints within ``bits``
-    (even) share a midpoint within bits / 2 of both, and all fingerprints around one midpoint link.  So each emits its
-    ball of midpoints, and neighbours in a midpoint's order (a ball's size at most) are linked: linear work, nothing lost.
+    A bucket of more than ``crowded`` fingerprints is dealt again by block sets of the bits that its mask leaves open, and
+    so on; each round agrees on a third or more of them, so few rounds suffice.  Nothing is lost: pigeonhole holds each time.
     """
-    if bits % 2:
-        raise ValueError("bits must be even")
-    masks = bucket_masks(bits, distinct.count())
-    keys = F.explode(F.array(*[F.struct(F.lit(n).alias("part"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for n, m in enumerate(masks)]))
-    dealt = distinct.select("fp", keys.alias("b")).select("b.part", "b.key", "fp").repartition("part", "key").sortWithinPartitions("part", "key")
-    found = checkpointed(dealt.mapInPandas(link_buckets(bits, crowded), "u long, v long").distinct())
-    balls = found.where("v IS NULL").select(F.col("u").alias("fp")).distinct().select("fp", F.explode(_ball(F.col("fp"), bits // 2)).alias("mid"))
-    chained = balls.select(F.col("fp").alias("u"), F.lag("fp").over(Window.partitionBy("mid").orderBy("fp")).alias("v"))
-    return found.where("v IS NOT NULL").union(chained.where("v IS NOT NULL"))
+    rows, options, found = distinct.select("fp", F.lit(0).cast("long").alias("from")), {0: bucket_masks(bits, distinct.count())}, None
+    while options:
+        next_masks = F.lit(None).cast("array<bigint>")
+        for agreed, masks in options.items():
+            next_masks = F.when(F.col("from") == _signed(agreed), F.lit([_signed(m) for m in masks]).cast("array<bigint>")).otherwise(next_masks)
+        dealt = rows.select("fp", F.explode(next_masks).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        dealt = dealt.select("mask", "key", "fp").distinct().repartition("mask", "key").sortWithinPartitions("mask", "key")
+        met = checkpointed(dealt.mapInPandas(link_buckets(bits, crowded), "u long, v long, mask long").distinct())
+        links = met.where("v IS NOT NULL").select("u", "v")
+        found = links if found is None else found.union(links)
+        rows = met.where("v IS NULL").select(F.col("u").alias("fp"), F.col("mask").alias("from"))
+        # as many masks at most as there are block sets, whatever the data
+        options = {r[0] & (2**64 - 1): bucket_masks(bits, r[1], r[0] & (2**64 - 1)) for r in rows.groupBy("from").count().collect()}
+    return found
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 4, crowded: int = 20_000) -> DataFrame:
@@ -201,6 +208,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 4) -> DataFrame:
-    """``docs``, all columns, with one row (the smallest id) of each component; rows with a null id stay."""
-    found = near_duplicates(docs, id_col, text_col, words, bits)
-    return keep_by_id(docs, found.where(F.col(id_col) != F.col("component_id")).select(id_col), id_col, keep=False)
+    """``docs``, all columns, with one row of each component: that of the smallest id (null ids last), ties the first row.
+
+    ``docs`` is read twice and must give the same partitions both times, as files and checkpoints do.
+    """
+    keyed = with_row_key(docs, id_col)
+    found = near_duplicates(keyed, ROW_KEY, text_col, words, bits)
+    return drop_rows(keyed, found.where(F.col(ROW_KEY) != F.col("component_id")))

@@ -48,7 +48,9 @@ def test_drop_exact_duplicates_keeps_columns(spark):
     docs = spark.createDataFrame(ROWS, DOCS)
     kept = exact_dedup.drop_exact_duplicates(docs)
     assert kept.columns == ["doc_id", "text", "keep_id", "fp"]
-    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(["2", "4", "5", "5", "6", "None", "None"])
+    assert sorted(map(str, (r.doc_id for r in kept.collect()))) == sorted(["2", "4", "5", "6"])
+    nobody = spark.createDataFrame([(None, "x"), (None, "x"), (None, None), (3, "y"), (3, "z")], "doc_id long, text string")
+    assert sorted(str(tuple(r)) for r in exact_dedup.drop_exact_duplicates(nobody).collect()) == sorted(["(None, 'x')", "(None, None)", "(3, 'y')", "(3, 'z')"])
 
 
 def brute_simhash(text, words):
@@ -116,10 +118,33 @@ def test_near_duplicates_of_odd_rows(spark):
     want = sorted((str(i), print_of(t), {7: 3, 3: 3, None: 3, 9: 8, 8: 8, 1: 1}[i]) for i, t, _ in rows)
     assert got == want
     kept = simhash.drop_near_duplicates(docs)
-    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "8", "8", "None"]
+    assert kept.columns == docs.columns and sorted(str(r.doc_id) for r in kept.collect()) == ["1", "3", "8"]
     assert simhash.near_duplicates(spark.createDataFrame([], docs.schema)).count() == 0
 
 
+def test_crowded_buckets_are_dealt_until_nothing_is_lost(spark):
+    """All fingerprints agree on most bits, so every bucket is crowded at first."""
+    rng = random.Random(9)
+    centre = rng.getrandbits(64)
+    values = {centre ^ sum(1 << b for b in rng.sample(range(8, 60, 2), rng.randint(0, 9))) for _ in range(400)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    links = simhash.near_links(spark.createDataFrame([(signed(v),) for v in values], "fp long"), 4, 30)
+    got = {r.node: r.root for r in graph.connected_components(links).collect()}
+    want = brute_components({signed(v) for v in values}, lambda a, b: ((a ^ b) & (2**64 - 1)).bit_count() <= 4)
+    assert {n: got.get(n, n) for n in want} == want
+    assert all(((u ^ v) & (2**64 - 1)).bit_count() <= 4 for u, v in links.collect())
+
+
+def test_mask_sets_of_open_bits_cover_every_pair():
+    agreed = sum(1 << b for b in range(0, 64, 2))
+    for mask in simhash.bucket_masks(4, 10**5, agreed):
+        assert mask & agreed == agreed
+    rng = random.Random(2)
+    for _ in range(2000):
+        flip = sum(1 << b for b in rng.sample(range(1, 64, 2), 4))
+        assert any(flip & m == 0 for m in simhash.bucket_masks(4, 10**5, agreed))
+
+
 def test_mask_sets_cover_every_pair():
     for count in (10, 10**6, 10**11):
         masks = simhash.bucket_masks(4, count)

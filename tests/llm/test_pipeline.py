@@ -10,7 +10,8 @@ from tokenizers import Tokenizer
 import __spark_entry__
 import corpus_pipeline
 from chronolith.llm import mixing, toxicity
-from tests.llm.test_duplicates import brute_components, brute_simhash
+from tests.llm.test_duplicates import brute_components
+from tests.llm.test_minhash import shingles
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -58,9 +59,9 @@ def test_stages(spark, folder, tmp_path):
         best[r.text or ""] = max(best.get(r.text or "", -1), -1 if r.doc_id is None else r.doc_id)
     assert ids["exact_dedup"] == {r.doc_id for r in seen["toxicity"] if r.doc_id is None or best[r.text or ""] == r.doc_id}
 
-    prints = {r.doc_id: brute_simhash(r.text or "", 5) for r in seen["exact_dedup"]}
-    root = brute_components([i for i in prints if i is not None], lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 6)
-    assert ids["simhash"] == {i for i in prints if i is None or root[i] == i}
+    sets = {r.doc_id: shingles(r.text) for r in seen["exact_dedup"]}
+    root = brute_components([i for i in sets if i is not None], lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]))
+    assert ids["simhash"] == {i for i in sets if i is None or root[i] == i}
 
     labels = mixing.label_domains(spark.read.parquet(f"{folder}/labels.parquet"))
     kept = mixing.mix(spark.read.parquet(str(tmp_path / "simhash")), labels, {"clean": 0.95, "rough": 0.05}, max_rate=1.0).collect()
@@ -79,6 +80,24 @@ def test_run_gives_the_last_stage(spark, folder):
     assert found.where(F.size("ids") != F.col("n_tokens")).count() == 0
 
 
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Empty tables, tables without usable labels, very long and repeated texts, null and repeated ids, more columns."""
+    schema, labels = "doc_id long, text string, lang string, source string, n_chars long, __place string", "doc_id long, quality int, toxic int"
+    rows = [(1, "word " * 60_000, "en", "s", 1, "x"), (1, "word " * 60_000, "en", "s", 1, "y"), (None, None, None, None, None, None), (None, "", "en", None, 0, "z"), (2, "fine words here", "en", "s", 1, "x"), (2, "others of that id", "en", "s", 1, "x")]
+    for n, (docs, known) in enumerate([([], []), (rows, [(1, None, None), (None, 1, 1), (2, 1, 0)])]):
+        folder = str(tmp_path / str(n))
+        spark.createDataFrame(docs, schema).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame(known, labels).write.parquet(f"{folder}/labels.parquet")
+        table = spark.read.parquet(f"{folder}/documents.parquet")
+        for name, stage in corpus_pipeline.STAGES[:3]:
+            stage(spark, table, folder).write.parquet(f"{folder}/{name}")
+            table = spark.read.parquet(f"{folder}/{name}")
+            assert table.columns == ["doc_id", "text", "lang", "source", "n_chars", "__place"]
+        assert sorted((r.text or "")[:4] for r in table.collect()) == (["", "fine", "othe", "word"] if docs else [])
+        found = corpus_pipeline.run(spark, folder)
+        assert found.count() == (4 if docs else 0) or known
+
+
 def test_one_query_for_each_operator():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_|pipeline", n)]
     assert sorted(re.match(r"op(\d+)|pipeline", n)[0] for n in names) == sorted([f"op{n}" for n in range(1, 11)] + ["pipeline"])
