@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import datetime as dt
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.operators.pit import first_by
 
 EPOCH = "1990-01-01"
+_FIRST = dt.date.fromisoformat(EPOCH)
 
 
 def covers(day: Column, start: str = "valid_from", end: str = "valid_to") -> Column:
@@ -159,38 +165,106 @@ def allocate_ids(identity: DataFrame, codes: DataFrame, floor: int = 10_000, buc
     return numbered.select("code", (F.col("__top") + F.col("__before") + F.col("__n")).cast("long").alias("entity_id"))
 
 
+def timeline(rows: DataFrame, *columns: str, entities=None) -> DataFrame:
+    """All rows of every entity (or of ``entities``), by start and version."""
+    found = rows if entities is None else rows.where(F.col("entity_id").isin(list(entities)))
+    return found.select(*columns).orderBy("entity_id", "valid_from", "version")
+
+
+def aliases(codes: DataFrame, external: DataFrame) -> DataFrame:
+    """(entity_id, kind, alias, valid_from, valid_to): codes and external identifiers together."""
+    own = codes.select("entity_id", F.lit("code").alias("kind"), F.col("code").alias("alias"), "valid_from", "valid_to")
+    return own.unionByName(external.select("entity_id", F.col("id_type").alias("kind"), F.col("id_value").alias("alias"), "valid_from", "valid_to"))
+
+
+class _Names:
+    """The rows of one entity, as (valid_from, version, valid_to, name), while its events are applied in order."""
+
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.version = 0
+
+    def add(self, valid_from: dt.date | None, version: int, valid_to: dt.date | None, name: str) -> None:
+        self.rows.append((valid_from or _FIRST, version, valid_to, name))
+        self.version = max(self.version, version)
+
+    def change(self, new_name: str, start: dt.date, end: dt.date | None) -> list[tuple]:
+        """(kind, name, valid_from, valid_to, version) of the rows to append."""
+        if not self.rows:
+            raise ValueError("a name change of an unknown entity")
+        before, made = start - dt.timedelta(1), []
+        covering = [r for r in self.rows if r[0] <= before and (r[2] is None or r[2] >= before)]
+        found = max(covering, key=lambda r: r[:2], default=None)
+        resumed = (found or max(self.rows, key=lambda r: (r[2] is None, *r[:2])))[3]
+        if found and (found[2] is None or found[2] > before):
+            made.append(("close", found[3], found[0], before))
+        made.append(("name", new_name, start, end))
+        if end is not None:
+            made.append(("resume", resumed, end + dt.timedelta(1), None))
+        made = [(*row, self.version + n) for n, row in enumerate(made, 1)]
+        # no later event starts earlier: rows that ended before it, and open ones behind a later open one, are done with
+        latest = max((r for r in self.rows if r[2] is None and r[0] <= before), key=lambda r: r[:2], default=None)
+        self.rows = [r for r in self.rows if r is latest or (r[0] > before if r[2] is None else r[2] >= before)]
+        for _, name, valid_from, valid_to, version in made:
+            self.add(valid_from, version, valid_to, name)
+        return made
+
+
 def name_changes(identity: DataFrame, events: DataFrame) -> DataFrame:
-    """Rows to append for (entity_id, new_name, start, end): at most one event per entity.
+    """Rows to append for (entity_id, new_name, start, end), any number of events per entity, applied in order of start.
 
-    The row that covers the day before is closed there, with its version raised; the new name holds from start to end, as a copy of the
-    row; after an end the old name resumes without end.
+    The row that covers the day before an event (by start, then version) is closed there; the new name holds from start to
+    end; after an end the name of the covering row resumes without end.  Where no row covers that day nothing is closed, and
+    the current row's name resumes.  Later events meet the rows that earlier ones made.  Versions go on from the entity's
+    highest.  An entity without rows is an error.  Rows are sorted by entity and streamed, with the rows of one entity that
+    still matter held at a time.
     """
-    before = F.date_sub("start", 1)
-    covering = identity.join(events.select("entity_id", "start"), "entity_id").where(covers(F.date_sub("start", 1)))
-    old = first_by(covering, ["entity_id"], [F.desc("valid_from"), F.desc("version")]).select("entity_id", "name", "valid_from", "valid_to", "version")
-    joined = events.join(old, "entity_id")
-    row = lambda kind, name, a, b, v: F.struct(F.lit(kind).alias("kind"), name.alias("name"), a.alias("valid_from"), b.alias("valid_to"), v.cast("long").alias("version"))
-    none, one = F.lit(None).cast("date"), F.lit(1)
-    made = F.array(
-        F.when(F.col("valid_to").isNull() | (F.col("valid_to") > before), row("close", F.col("name"), F.col("valid_from"), before, F.col("version") + 1)),
-        row("name", F.col("new_name"), F.col("start"), F.col("end"), one),
-        F.when(F.col("end").isNotNull(), row("resume", F.col("name"), F.date_add("end", 1), none, one)),
-    )
-    return joined.select("entity_id", F.explode(F.filter(made, lambda r: r.isNotNull())).alias("r")).select("entity_id", "r.*")
+    base = identity.select("entity_id", F.lit(0).alias("event"), "name", "valid_from", "valid_to", F.col("version").cast("long").alias("version"))
+    asked = events.select("entity_id", F.lit(1).alias("event"), F.col("new_name").alias("name"), F.col("start").alias("valid_from"), F.col("end").alias("valid_to"), F.lit(0).cast("long").alias("version"))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        entity, state = None, _Names()
+        for frame in frames:
+            out = []
+            for who, event, name, valid_from, valid_to, version in zip(*[frame[c].tolist() for c in frame.columns], strict=True):
+                if who != entity:
+                    entity, state = who, _Names()
+                if event:
+                    out += [(who, *row) for row in state.change(name, valid_from, valid_to)]
+                else:
+                    state.add(valid_from, version, valid_to, name)
+            yield pd.DataFrame(out, columns=["entity_id", "kind", "name", "valid_from", "valid_to", "version"])
+
+    # identity rows of entities without events stay where they are
+    mine = base.join(events.select("entity_id").distinct(), "entity_id", "left_semi")
+    dealt = mine.unionByName(asked).repartition("entity_id").sortWithinPartitions("entity_id", "event", "valid_from", "version", "name")
+    return dealt.mapInPandas(run, f"entity_id {identity.schema['entity_id'].dataType.simpleString()}, kind string, name string, valid_from date, valid_to date, version long")
 
 
 def code_changes(identity: DataFrame, codes: DataFrame, events: DataFrame) -> DataFrame:
-    """Rows to append for (entity_id, new_code, start), by table: open codes and the current identity close the day before, and re-open under the new code."""
-    none = F.lit(None).cast("date")
+    """Rows to append for (entity_id, new_code, start), by table, any number of events per entity, in order of start.
+
+    An entity's first event closes its open codes and its current identity the day before and re-opens under the new code;
+    each further one does so with what the event before it made.  Identity versions go on from the entity's highest, two for
+    each event.
+    """
+    none, one = F.lit(None).cast("date"), F.lit(1)
     out = lambda df, table, code, a, b, v: df.select("entity_id", F.lit(table).alias("table"), code.alias("code"), a.alias("valid_from"), b.alias("valid_to"), v.cast("long").alias("version"))
-    before, one = F.date_sub("start", 1), F.lit(1)
-    open_ = codes.where("valid_to IS NULL").join(events, "entity_id")
-    now = entity_current(identity).select("entity_id", "code", "valid_from", "version").join(events, "entity_id")
+    order = Window.partitionBy("entity_id").orderBy("start", "new_code")
+    chain = events.select("entity_id", "new_code", "start", F.row_number().over(order).alias("k"), F.lag("new_code").over(order).alias("last_code"), F.lag("start").over(order).alias("last_start"))
+    before = F.date_sub("start", 1)
+    top = identity.groupBy("entity_id").agg(F.max("version").alias("top"))
+    now = entity_current(identity).select("entity_id", "code", F.col("valid_from").alias("since")).join(top, "entity_id").join(chain, "entity_id")
+    first, later = F.col("k") == 1, chain.where("k > 1")
+    open_ = codes.where("valid_to IS NULL").join(chain.where(first), "entity_id")
     parts = [
-        out(open_, "code", F.col("code"), F.col("valid_from"), before, F.col("version") + 1), out(now, "code", F.col("new_code"), F.col("start"), none, one),
-        out(now, "identity", F.col("code"), F.col("valid_from"), before, F.col("version") + 1), out(now, "identity", F.col("new_code"), F.col("start"), none, one),
-    ]
-    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+        out(open_, "code", F.col("code"), F.col("valid_from"), before, F.col("version") + 1),
+        out(later, "code", F.col("last_code"), F.col("last_start"), before, F.lit(2)),
+        out(now, "code", F.col("new_code"), F.col("start"), none, one),
+        out(now, "identity", F.when(first, F.col("code")).otherwise(F.col("last_code")), F.when(first, F.col("since")).otherwise(F.col("last_start")), before, F.col("top") + 2 * F.col("k") - 1),
+        out(now, "identity", F.col("new_code"), F.col("start"), none, F.col("top") + 2 * F.col("k")),
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def add_relations(edges: DataFrame, incoming: DataFrame, words: tuple[str, ...]) -> DataFrame:

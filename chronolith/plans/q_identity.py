@@ -20,7 +20,7 @@ query("entity_asof", f"SELECT {COLS} FROM b_entity WHERE knowledge_time <= TIMES
 query("entity_current", CURRENT, "b_entity")(lambda t: scd2.entity_current(t.b_entity).select(*LIST))
 query("entity_covering", COVERING, "b_entity")(lambda t: scd2.entity_covering(t.b_entity, DAY).select(*LIST))
 
-_ASKS = "SELECT DISTINCT code, CASE WHEN entity_id % 3 = 0 THEN NULL ELSE DATE '1997-06-30' + CAST(entity_id % 900 AS INTEGER) END AS day FROM b_code WHERE entity_id % 2 = 0"
+_ASKS = "SELECT DISTINCT code, CASE WHEN entity_id % 3 = 0 THEN NULL ELSE DATE '1997-06-30' + CAST(entity_id % 900 AS INTEGER) END AS day FROM b_code"
 
 
 @query(
@@ -32,7 +32,7 @@ _ASKS = "SELECT DISTINCT code, CASE WHEN entity_id % 3 = 0 THEN NULL ELSE DATE '
 def _(t):
     codes = t.b_code
     day = F.when(F.col("entity_id") % 3 != 0, F.date_add(F.lit("1997-06-30").cast("date"), (F.col("entity_id") % 900).cast("int")))
-    return scd2.resolve_codes(codes, codes.where("entity_id % 2 = 0").select("code", day.alias("day")))
+    return scd2.resolve_codes(codes, codes.select("code", day.alias("day")))
 
 
 @query(
@@ -64,13 +64,10 @@ def _(t):
     return page.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
 
 
-query("entity_history", f"SELECT {COLS} FROM b_entity WHERE entity_id <= 60", "b_entity")(lambda t: t.b_entity.where("entity_id <= 60").select(*LIST).orderBy("entity_id", "valid_from", "version"))
-
-
-@query("entity_aliases", "SELECT entity_id, 'code' AS kind, code AS alias, valid_from, valid_to FROM b_code UNION ALL SELECT entity_id, id_type, id_value, valid_from, valid_to FROM b_extid", ("b_code", "b_extid"))
-def _(t):
-    codes = t.b_code.select("entity_id", F.lit("code").alias("kind"), F.col("code").alias("alias"), "valid_from", "valid_to")
-    return codes.unionByName(t.b_extid.select("entity_id", F.col("id_type").alias("kind"), F.col("id_value").alias("alias"), "valid_from", "valid_to"))
+query("entity_history", f"SELECT {COLS} FROM b_entity", "b_entity")(lambda t: scd2.timeline(t.b_entity, *LIST))
+query("entity_aliases", "SELECT entity_id, 'code' AS kind, code AS alias, valid_from, valid_to FROM b_code UNION ALL SELECT entity_id, id_type, id_value, valid_from, valid_to FROM b_extid", ("b_code", "b_extid"))(
+    lambda t: scd2.aliases(t.b_code, t.b_extid)
+)
 
 
 _WIN = "SELECT * FROM b_lifecycle WHERE {k} start_date <= DATE '1998-06-30' AND (end_date IS NULL OR end_date >= DATE '1998-06-30') " + TOP.format(k="entity_id", o="start_date DESC, version DESC, knowledge_time DESC")
@@ -141,22 +138,39 @@ def _(t):
     return scd2.allocate_ids(t.b_entity, _incoming(t))
 
 
-_EVENTS = "SELECT c_custkey AS entity_id, concat('Renamed ', c_custkey) AS new_name, DATE '1996-03-01' + CAST(c_custkey % 700 AS INTEGER) AS start, CASE WHEN c_custkey % 2 = 0 THEN DATE '1996-06-01' + CAST(c_custkey % 700 AS INTEGER) END AS \"end\" FROM customer WHERE c_custkey % 6 = 1 OR c_custkey % 6 = 2"
+# one, two or three events of an entity; some overlap, some follow an end, some start before any row of the entity
+_EVENTS = """SELECT entity_id, new_name, start, CASE (entity_id + n) % 3 WHEN 0 THEN CAST(start + 150 AS DATE) WHEN 1 THEN CAST(start + 60 AS DATE) END AS "end" FROM (
+    SELECT c_custkey AS entity_id, n, concat('Renamed ', c_custkey, ' ', n) AS new_name, CAST(CASE WHEN c_custkey % 12 = 4 THEN DATE '1989-03-01' ELSE DATE '1996-03-01' END + CAST(c_custkey % 700 + 120 * n AS INTEGER) AS DATE) AS start
+    FROM customer, (VALUES (0), (1), (2)) v(n) WHERE c_custkey % 6 BETWEEN 1 AND 4 AND n < c_custkey % 6)"""
 
 
 def _renames(t):
-    key = F.col("c_custkey")
-    shift = (key % 700).cast("int")
-    start, end = (F.date_add(F.lit(d).cast("date"), shift) for d in ("1996-03-01", "1996-06-01"))
-    return t.customer.where((key % 6 == 1) | (key % 6 == 2)).select(key.alias("entity_id"), F.concat(F.lit("Renamed "), key.cast("string")).alias("new_name"), start.alias("start"), F.when(key % 2 == 0, end).alias("end"))
+    key = F.col("entity_id")
+    rows = t.customer.where("c_custkey % 6 BETWEEN 1 AND 4").select(F.col("c_custkey").alias("entity_id"), F.explode(F.sequence(F.lit(0), F.least(F.lit(3), (F.col("c_custkey") % 6).cast("int")) - 1)).alias("n"))
+    first = F.when(key % 12 == 4, F.lit("1989-03-01").cast("date")).otherwise(F.lit("1996-03-01").cast("date"))
+    rows = rows.withColumn("start", F.date_add(first, (key % 700 + 120 * F.col("n")).cast("int")))
+    end = F.when((key + F.col("n")) % 3 == 0, F.date_add("start", 150)).when((key + F.col("n")) % 3 == 1, F.date_add("start", 60))
+    return rows.select("entity_id", F.concat(F.lit("Renamed "), key.cast("string"), F.lit(" "), F.col("n").cast("string")).alias("new_name"), "start", end.alias("end"))
 
 
 @query(
     "name_change_rows",
-    f"""WITH e AS ({_EVENTS}), o AS (SELECT e.*, b.name, b.valid_from, b.valid_to, b.version FROM e JOIN b_entity b USING (entity_id) WHERE b.valid_from <= e.start - 1 AND (b.valid_to IS NULL OR b.valid_to >= e.start - 1)
-    {TOP.format(k='entity_id', o='b.valid_from DESC, b.version DESC')})
-    SELECT entity_id, 'close' AS kind, name, valid_from, CAST(start - 1 AS DATE) AS valid_to, CAST(version + 1 AS BIGINT) AS version FROM o WHERE valid_to IS NULL OR valid_to > start - 1
-    UNION ALL SELECT entity_id, 'name', new_name, start, "end", 1 FROM o UNION ALL SELECT entity_id, 'resume', name, CAST("end" + 1 AS DATE), NULL, 1 FROM o WHERE "end" IS NOT NULL""",
+    f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY start, new_name) AS k FROM ({_EVENTS})),
+    s(entity_id, k, have, v, made) AS (
+        SELECT entity_id, CAST(0 AS BIGINT), list(struct_pack(vf := valid_from, v := version, vt := valid_to, name := name)), max(version), CAST([] AS STRUCT(kind VARCHAR, name VARCHAR, vf DATE, vt DATE, v BIGINT)[])
+        FROM b_entity WHERE entity_id IN (SELECT entity_id FROM e) GROUP BY entity_id
+        UNION ALL
+        SELECT entity_id, k, list_concat(have, list_transform(more, lambda x: struct_pack(vf := x.vf, v := x.v, vt := x.vt, name := x.name))), v + len(more), more FROM (
+            SELECT entity_id, k, have, v, list_concat(
+                CASE WHEN closes THEN [struct_pack(kind := 'close', name := p.name, vf := p.vf, vt := before, v := v + 1)] ELSE [] END,
+                [struct_pack(kind := 'name', name := new_name, vf := start, vt := "end", v := v + 1 + CAST(closes AS BIGINT))],
+                CASE WHEN "end" IS NOT NULL THEN [struct_pack(kind := 'resume', name := CASE WHEN p IS NULL THEN c.name ELSE p.name END, vf := CAST("end" + 1 AS DATE), vt := CAST(NULL AS DATE), v := v + 2 + CAST(closes AS BIGINT))] ELSE [] END) AS more
+            FROM (SELECT *, coalesce(p IS NOT NULL AND (p.vt IS NULL OR p.vt > before), false) AS closes FROM (
+                SELECT s.entity_id, e.k, s.have, s.v, e.new_name, e.start, e."end", CAST(e.start - 1 AS DATE) AS before,
+                    list_sort(list_filter(s.have, lambda r: r.vf <= e.start - 1 AND (r.vt IS NULL OR r.vt >= e.start - 1)))[-1] AS p,
+                    list_sort(list_transform(s.have, lambda r: struct_pack(o := r.vt IS NULL, vf := r.vf, v := r.v, name := r.name)))[-1] AS c
+                FROM s JOIN e ON e.entity_id = s.entity_id AND e.k = s.k + 1))))
+    SELECT entity_id, m.kind AS kind, m.name AS name, m.vf AS valid_from, m.vt AS valid_to, m.v AS version FROM (SELECT entity_id, unnest(made) AS m FROM s)""",
     "b_entity",
 )
 def _(t):
@@ -165,13 +179,17 @@ def _(t):
 
 @query(
     "code_change_rows",
-    f"""WITH e AS (SELECT entity_id, concat('Z', entity_id) AS new_code, start FROM ({_EVENTS})), c AS ({CURRENT}), n AS (SELECT e.*, c.code, c.valid_from, c.version FROM e JOIN c USING (entity_id))
-    SELECT entity_id, 'code' AS "table", b.code, b.valid_from, CAST(e.start - 1 AS DATE) AS valid_to, CAST(b.version + 1 AS BIGINT) AS version FROM e JOIN b_code b USING (entity_id) WHERE b.valid_to IS NULL
-    UNION ALL SELECT entity_id, 'code', new_code, start, NULL, 1 FROM n UNION ALL SELECT entity_id, 'identity', code, valid_from, CAST(start - 1 AS DATE), version + 1 FROM n UNION ALL SELECT entity_id, 'identity', new_code, start, NULL, 1 FROM n""",
+    f"""WITH e AS (SELECT entity_id, concat('Z', new_name) AS new_code, start, row_number() OVER w AS k, lag(concat('Z', new_name)) OVER w AS last_code, lag(start) OVER w AS last_start FROM ({_EVENTS}) WINDOW w AS (PARTITION BY entity_id ORDER BY start, new_name)),
+    c AS ({CURRENT}), m AS (SELECT entity_id, max(version) AS top FROM b_entity GROUP BY 1), n AS (SELECT e.*, c.code, c.valid_from, m.top FROM e JOIN c USING (entity_id) JOIN m USING (entity_id))
+    SELECT entity_id, 'code' AS "table", b.code, b.valid_from, CAST(e.start - 1 AS DATE) AS valid_to, CAST(b.version + 1 AS BIGINT) AS version FROM e JOIN b_code b USING (entity_id) WHERE b.valid_to IS NULL AND e.k = 1
+    UNION ALL SELECT entity_id, 'code', last_code, last_start, CAST(start - 1 AS DATE), 2 FROM e WHERE k > 1
+    UNION ALL SELECT entity_id, 'code', new_code, start, NULL, 1 FROM n
+    UNION ALL SELECT entity_id, 'identity', CASE WHEN k = 1 THEN code ELSE last_code END, CASE WHEN k = 1 THEN valid_from ELSE last_start END, CAST(start - 1 AS DATE), top + 2 * k - 1 FROM n
+    UNION ALL SELECT entity_id, 'identity', new_code, start, NULL, top + 2 * k FROM n""",
     ("b_entity", "b_code"),
 )
 def _(t):
-    events = _renames(t).select("entity_id", F.concat(F.lit("Z"), F.col("entity_id").cast("string")).alias("new_code"), "start")
+    events = _renames(t).select("entity_id", F.concat(F.lit("Z"), F.col("new_name")).alias("new_code"), "start")
     return scd2.code_changes(t.b_entity, t.b_code, events)
 
 
