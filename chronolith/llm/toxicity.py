@@ -196,18 +196,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(term.astype(np.int32)))
             yield pa.RecordBatch.from_arrays([lists, batch.column(1)], names=["terms", "toxic"])
 
-    held = sample.mapInArrow(vote, "terms array<int>, toxic int").toPandas()
-    rows_, terms_ = np.repeat(np.arange(len(held)), held["terms"].map(len)), np.concatenate([*held["terms"], []]).astype(np.int64)
-    matrix = np.zeros((len(held), len(place)), np.float32)
-    matrix[rows_, terms_] = 1
-    any_of = lambda some: matrix[:, some].max(axis=1, initial=0)
-    votes = [any_of([place[0, w] for w in words]) for words in LEXICONS.values()]
-    votes += [any_of([place[BEGINNING, b] for b in some]) for some in begun.values()]
-    votes += [(matrix[:, [place[0, w] for w in lexicon]].sum(axis=1) >= SEVERAL).astype(np.float32)]
-    votes += [matrix[:, place[r.kind, r.term]] for r in top[:voters]]
-    posterior, _, _ = label_model(np.column_stack(votes).astype(float), held["toxic"].to_numpy(float))
+    held = sample.mapInArrow(vote, "terms array<int>, toxic int").toArrow()
+    lists, given = held.column("terms").combine_chunks(), held.column("toxic").to_numpy().astype(float)
+    rows_, terms_ = np.repeat(np.arange(len(given)), lists.value_lengths().to_numpy(zero_copy_only=False)), lists.flatten().to_numpy().astype(np.int64)
+
+    def voted(some: list[int], least: int = 1) -> np.ndarray:
+        """Whether each text holds ``least`` of some terms."""
+        return (np.bincount(rows_[np.isin(terms_, some)], minlength=len(given)) >= least).astype(np.float64)
+
+    votes = [voted([place[0, w] for w in words]) for words in LEXICONS.values()]
+    votes += [voted([place[BEGINNING, b] for b in some]) for some in begun.values()]
+    votes += [voted([place[0, w] for w in lexicon], SEVERAL)]
+    votes += [voted([place[r.kind, r.term]]) for r in top[:voters]]
+    posterior, _, _ = label_model(np.column_stack(votes), given)
     weights, bias = fit_linear(rows_, terms_, posterior, len(place))
-    return Toxicity(terms, weights, bias, posterior, held["toxic"].to_numpy())
+    return Toxicity(terms, weights, bias, posterior, given)
 
 
 def score_batches(model: Toxicity, column: str, scores: str, below: float | None = None):
