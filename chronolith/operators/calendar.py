@@ -33,9 +33,11 @@ def last_n_days(calendar: DataFrame, end, n: int) -> DataFrame:
 
 def trading_lag(marks: DataFrame, calendar: DataFrame, latest) -> DataFrame:
     """(dataset, lag): open days after each mark (a date) up to ``latest``; null without a mark, 0 if it is not behind."""
-    days = calendar.where(F.col("is_open") & (F.col("trade_date") <= F.lit(latest).cast("date"))).select("trade_date").distinct()
-    joined = marks.join(F.broadcast(days), F.col("trade_date") > F.col("mark"), "left").groupBy("dataset", "mark").agg(F.count("trade_date").alias("n"))
-    return joined.select("dataset", F.when(F.col("mark").isNotNull(), F.col("n")).alias("lag"))
+    days = calendar.where(F.col("is_open") & (F.col("trade_date") <= F.lit(latest).cast("date")))
+    # a calendar's days are one array in one row
+    listed = days.agg(F.collect_set("trade_date").alias("__days"))
+    after = F.size(F.filter("__days", lambda d: d > F.col("mark"))).cast("long")
+    return marks.join(F.broadcast(listed)).select("dataset", F.when(F.col("mark").isNotNull(), after).alias("lag"))
 
 
 def grid(entities: DataFrame, days: DataFrame) -> DataFrame:

@@ -5,10 +5,13 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
+from functools import reduce
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KEYS = ["entity_id", "trade_date"]
@@ -47,19 +50,26 @@ class Registry:
 
         return add
 
-    def evaluate(self, output: str, source: Callable[[str], DataFrame], as_of, projections: Mapping[str, DataFrame] | None = None, memo: dict | None = None, path: tuple = ()) -> DataFrame:
-        """The factor's rows; inputs that are factors are evaluated once, or read from their projection if there is one."""
+    def evaluate(self, output: str, source: Callable[[Sequence[str]], DataFrame], as_of, projections: Mapping[str, DataFrame] | None = None, memo: dict | None = None, path: tuple = ()) -> DataFrame:
+        """The factor's rows; inputs that are factors are evaluated once, or read from their projection if there is one.
+
+        ``source`` reads all dataset fields of a factor at once: they share one frame, so nothing is joined that was never
+        apart.  A projection of another algorithm, version or upstream than the registry's is an error (one row is read of
+        each that is used).
+        """
         memo = {} if memo is None else memo
         if output in path:
             raise ValueError(f"{output} depends on itself")
         if output not in memo:
             factor = self.factors[output]
-            given = {}
+            fields = [n for n in factor.inputs if n not in self.factors]
+            given = dict.fromkeys(fields, source(fields)) if fields else {}
             for name in factor.inputs:
-                if name in (projections or {}):
+                if name in self.factors and name in (projections or {}):
+                    check_current(projections[name], self.factors[name], self.fingerprint(name))
                     given[name] = projections[name].select(*KEYS, name)
-                else:
-                    given[name] = self.evaluate(name, source, as_of, projections, memo, (*path, output)) if name in self.factors else source(name)
+                elif name in self.factors:
+                    given[name] = self.evaluate(name, source, as_of, projections, memo, (*path, output))
             found = factor.function(given, as_of)
             if set(found.columns) != {*KEYS, output}:
                 raise ValueError(f"{factor.identity} must return its keys and {output}")
@@ -76,6 +86,41 @@ class Registry:
         return hashlib.sha256("|".join(sorted(ids)).encode()).hexdigest()[:16]
 
 
+def together(inputs: Mapping[str, DataFrame], names: Sequence[str]) -> DataFrame:
+    """The named inputs in one frame: those that share a frame as they are, others joined by the keys."""
+    frames: dict[int, list[str]] = {}
+    for name in names:
+        frames.setdefault(id(inputs[name]), []).append(name)
+    return reduce(lambda a, b: a.join(b, KEYS), [inputs[some[0]].select(*KEYS, *some) for some in frames.values()])
+
+
+def fingerprints(nodes: DataFrame, by: str, identity: str) -> DataFrame:
+    """(by, fingerprint) from rows of each node's own and upstream identities, as :meth:`Registry.fingerprint` makes it."""
+    listed = F.array_join(F.array_sort(F.collect_set(identity)), "|")
+    return nodes.groupBy(by).agg(F.substring(F.sha2(listed, 256), 1, 16).alias("fingerprint"))
+
+
+def drifted(audits: DataFrame, current: DataFrame) -> DataFrame:
+    """(output, stored, current) of projections whose audit rows (output, algorithm_id, algorithm_version, upstream_fingerprint)
+    are not what is ``current`` (output, algorithm_id, algorithm_version, fingerprint); a projection without rows is fine."""
+    stored = audits.select("output", F.struct("algorithm_id", F.col("algorithm_version").cast("long").alias("algorithm_version"), F.col("upstream_fingerprint").alias("fingerprint")).alias("stored")).distinct()
+    now = current.select("output", F.struct("algorithm_id", F.col("algorithm_version").cast("long").alias("algorithm_version"), "fingerprint").alias("current"))
+    return stored.join(now, "output").where(~F.col("stored").eqNullSafe(F.col("current")))
+
+
+def check_current(projection: DataFrame, factor: Factor, fingerprint: str) -> None:
+    """Raise if a row of the projection is of another algorithm, version or upstream."""
+    same = (F.col("algorithm_id") == factor.algorithm_id) & (F.col("algorithm_version") == factor.version) & (F.col("upstream_fingerprint") == fingerprint)
+    stale = projection.where(~F.coalesce(same, F.lit(False))).select("algorithm_id", "algorithm_version", "upstream_fingerprint").head(1)
+    if stale:
+        raise ValueError(f"the projection of {factor.identity} is stale: {stale[0].asDict()}, now {fingerprint}")
+
+
+def inline(sql: str, inputs: Mapping[str, DataFrame]) -> DataFrame:
+    """A factor as SQL over views of its inputs, which it names in braces."""
+    return next(iter(inputs.values())).sparkSession.sql(sql, **inputs)
+
+
 REGISTRY = Registry()
 
 
@@ -102,33 +147,39 @@ class Wilder:
     """A running Wilder mean: first the mean of ``period`` values, then moved by 1 / period of each further one's distance."""
 
     def __init__(self, period: int):
-        self.period, self.seen, self.total, self.value = period, 0, 0.0, None
-
-    def push(self, x: float) -> float | None:
-        self.seen += 1
-        if self.seen <= self.period:
-            self.total += x
-            self.value = self.total / self.period if self.seen == self.period else None
-        else:
-            self.value += (x - self.value) / self.period
-        return self.value
-
-
-def _running(rows: DataFrame, columns: Sequence[str], output: str, start: Callable[[], Callable[..., float | None]]) -> DataFrame:
-    """(keys, output) of a running function over each entity's rows in order of day.
-
-    Rows are sorted within hash partitions and streamed, so memory is a batch's, however long an entity's history is.
+        self.period, self.seen, self.total, self.value = period, 0, 0.0, 0.0
+
+    def extend(self, values: np.ndarray) -> np.ndarray:
+        """The mean after each of the next values; not a number while the first ``period`` are gathered."""
+        out, first = np.full(len(values), np.nan), max(0, min(len(values), self.period - self.seen))
+        if first:
+            self.total += float(values[:first].sum())
+            self.seen += first
+            if self.seen == self.period:
+                self.value = out[first - 1] = self.total / self.period
+        if first < len(values):
+            means = list(accumulate(values[first:].tolist(), lambda s, x: s + (x - s) / self.period, initial=self.value))
+            out[first:], self.value = means[1:], means[-1]
+        return out
+
+
+def _running(rows: DataFrame, columns: Sequence[str], output: str, start: Callable[[], Callable[..., np.ndarray]]) -> DataFrame:
+    """(keys, output) of a running function over each entity's rows in order of day; where it is not a number, no row.
+
+    Rows are sorted within hash partitions and streamed: an entity's rows of a batch are one call, its state goes on to the
+    next batch, so memory is a batch's, however long an entity's history is.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entity, step = None, None
         for frame in frames:
+            who, values = frame["entity_id"].to_numpy(), [frame[c].to_numpy(np.float64) for c in columns]
+            edges = np.append(np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.empty(0, np.int64), len(who))
             out = np.empty(len(frame))
-            for n, row in enumerate(zip(frame["entity_id"].tolist(), *[frame[c].tolist() for c in columns], strict=True)):
-                if step is None or row[0] != entity:
-                    entity, step = row[0], start()
-                value = step(*row[1:])
-                out[n] = np.nan if value is None else value
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                if step is None or who[a] != entity:
+                    entity, step = who[a], start()
+                out[a:b] = step(*[v[a:b] for v in values])
             yield frame[KEYS].assign(**{output: out})[~np.isnan(out)]
 
     sorted_ = rows.select(*KEYS, *columns).repartition("entity_id").sortWithinPartitions(*KEYS)
@@ -137,65 +188,94 @@ def _running(rows: DataFrame, columns: Sequence[str], output: str, start: Callab
 
 def wilder(rows: DataFrame, column: str, period: int) -> DataFrame:
     """(keys, wilder): Wilder's smoothing of a column without nulls; the first period - 1 rows of an entity give none."""
-    return _running(rows.where(F.col(column).isNotNull()), [column], "wilder", lambda: Wilder(period).push)
+    return _running(rows.where(F.col(column).isNotNull()), [column], "wilder", lambda: Wilder(period).extend)
 
 
-def _adx_state(period: int) -> Callable[[float, float, float], float | None]:
+def _adx_state(period: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
     parts, last = [Wilder(period) for _ in range(3)], Wilder(period)
 
-    def push(*values: float) -> float | None:
-        true_range, plus, minus = (w.push(x) for w, x in zip(parts, values, strict=True))
-        if true_range is None:
-            return None
-        total = plus + minus
-        return last.push(100.0 * abs(plus - minus) / total if true_range > 0 and total > 0 else 0.0)
+    def extend(*values: np.ndarray) -> np.ndarray:
+        true_range, plus, minus = (w.extend(x) for w, x in zip(parts, values, strict=True))
+        total, known = plus + minus, ~np.isnan(true_range)
+        moved = known & (true_range > 0) & (total > 0)
+        index = np.divide(100.0 * np.abs(plus - minus), total, out=np.zeros(len(total)), where=moved)
+        out = np.full(len(total), np.nan)
+        out[known] = last.extend(index[known])
+        return out
 
-    return push
+    return extend
 
 
 @REGISTRY.register("adx", 1, "adx", ["high", "low", "close"])
 def adx(inputs: Mapping[str, DataFrame], as_of, period: int = 14) -> DataFrame:
     """Formula: Wilder's smoothing of DX = 100 |+DI - -DI| / (+DI + -DI), 0 without range.  PIT: inputs are read as of ``as_of``."""
-    bars = inputs["high"].join(inputs["low"], KEYS).join(inputs["close"], KEYS)
+    bars = together(inputs, ["high", "low", "close"])
     return _running(directional(bars), ["tr", "plus_dm", "minus_dm"], "adx", lambda: _adx_state(period))
 
 
 @REGISTRY.register("ma20_gap", 1, "ma20_gap", ["ma20", "close"])
 def ma20_gap(inputs: Mapping[str, DataFrame], as_of) -> DataFrame:
     """Formula: close over ma20, less 1.  PIT: rests on ma20 and close as of ``as_of``."""
-    joined = inputs["ma20"].join(inputs["close"], KEYS)
+    joined = together(inputs, ["ma20", "close"])
     return joined.select(*KEYS, (F.col("close") / F.when(F.col("ma20") != 0, F.col("ma20")) - 1).alias("ma20_gap"))
 
 
-def materialise(rows: DataFrame, factor: Factor, as_of, computed_at, generation: int, fingerprint: str, path: str) -> DataFrame:
-    """Write a factor's rows with their audit columns as the table's next generation, and read it back.
+def _generations(spark: SparkSession, path: str) -> DataFrame | None:
+    """The projection's list of finished generations, if there is one."""
+    try:
+        return spark.read.schema("generation long").parquet(f"{path.rstrip('/')}/finished")
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def current_projection(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of the last generation that was finished at ``path``; none yet is an error."""
+    done = _generations(spark, path)
+    last = None if done is None else done.agg(F.max("generation")).first()[0]
+    if last is None:
+        raise ValueError("the projection was never materialised")
+    return spark.read.parquet(f"{path.rstrip('/')}/generation={last}")
 
-    A generation is a folder of its own, so readers of the one before are not disturbed; a failed write leaves no reader behind.
+
+def materialise(rows: DataFrame, factor: Factor, as_of, computed_at, fingerprint: str, path: str) -> DataFrame:
+    """Write a factor's rows with their audit columns as the next generation at ``path``, make it the current one, read it.
+
+    A generation is a folder of its own and counts only once it is on the list of finished ones, which is the last thing
+    written: readers see the whole of one generation or the whole of the next, and a failed write is never seen.
     """
+    spark = rows.sparkSession
+    done = _generations(spark, path)
+    generation = 1 + ((done.agg(F.max("generation")).first()[0] if done is not None else None) or 0)
     audit = {
         "algorithm_id": F.lit(factor.algorithm_id), "algorithm_version": F.lit(factor.version).cast("long"), "as_of": F.lit(as_of).cast("timestamp_ntz"), "computed_at": F.lit(computed_at).cast("timestamp_ntz"),
         "data_generation": F.lit(generation).cast("long"), "upstream_fingerprint": F.lit(fingerprint),
     }
-    target = f"{path}/generation={generation}"
-    rows.withColumns(audit).write.mode("overwrite").parquet(target)
-    return rows.sparkSession.read.parquet(target)
+    rows.withColumns(audit).write.mode("overwrite").parquet(f"{path.rstrip('/')}/generation={generation}")
+    spark.range(generation, generation + 1).select(F.col("id").alias("generation")).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/finished")
+    return current_projection(spark, path)
 
 
 def read_projection(projection: DataFrame, factor: Factor, at, window: tuple | None = None, entities: Sequence | None = None, fingerprint: str | None = None) -> DataFrame:
     """A projection's rows, if it is fit to be read at ``at``: computed before, over all the window, by the current algorithm.
 
-    One aggregate row is read to judge that.  An empty projection is legal.
+    One aggregate row is read to judge that; moments with an offset are taken in UTC.  An empty projection is legal.
     """
-    row = projection.agg(F.max("computed_at").alias("computed"), F.min("trade_date").alias("first"), F.max("trade_date").alias("last"), F.collect_set(F.struct("algorithm_id", "algorithm_version", "upstream_fingerprint")).alias("who")).first()
-    if row.computed is not None:
-        if str(row.computed) > str(at):
-            raise ValueError("the projection was computed later")
-        if any((w.algorithm_id, w.algorithm_version) != (factor.algorithm_id, factor.version) or (fingerprint and w.upstream_fingerprint != fingerprint) for w in row.who):
-            raise ValueError("the projection is of another algorithm")
-        if window is not None and (str(window[0]) < str(row.first) or str(window[1]) > str(row.last)):
-            raise ValueError("the projection does not cover the window")
+    moment = F.lit(at).cast("timestamp").cast("timestamp_ntz")
+    first, last = [F.lit(d).cast("date") for d in window] if window is not None else [F.lit(None).cast("date")] * 2
+    row = projection.agg(
+        (F.max("computed_at") > moment).alias("later"), ((F.min("trade_date") > first) | (F.max("trade_date") < last)).alias("short"),
+        F.collect_set(F.struct("algorithm_id", "algorithm_version", "upstream_fingerprint")).alias("who"),
+    ).first()
+    if row.later:
+        raise ValueError("the projection was computed later")
+    if any((w.algorithm_id, w.algorithm_version) != (factor.algorithm_id, factor.version) or (fingerprint and w.upstream_fingerprint != fingerprint) for w in row.who):
+        raise ValueError("the projection is of another algorithm")
+    if row.short:
+        raise ValueError("the projection does not cover the window")
     found = projection if entities is None else projection.where(F.col("entity_id").isin(list(entities)))
-    return (found if window is None else found.where(F.col("trade_date").between(*[F.lit(d).cast("date") for d in window]))).select(*KEYS, factor.output)
+    return (found if window is None else found.where(F.col("trade_date").between(first, last))).select(*KEYS, factor.output)
 
 
 def input_coverage(inputs: Mapping[str, DataFrame], at, entities: Sequence | None = None) -> DataFrame:
@@ -224,3 +304,15 @@ def ledger_upsert(ledger: DataFrame, rows: DataFrame, kept: Sequence[str] = ("da
     joined = ledger.join(new, "algorithm_id", "full")
     value = lambda c: F.coalesce(f"__{c}", c) if c in kept else F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c))
     return joined.select("algorithm_id", *[value(c).alias(c) for c in ledger.columns if c != "algorithm_id"])
+
+
+def ledger_events(events: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Incoming events (algorithm_id, effective_from, reason) that ``events`` lacks by id and date, one of each (the first reason)."""
+    one = incoming.groupBy("algorithm_id", "effective_from").agg(F.min("reason").alias("reason"))
+    return one.join(events.select("algorithm_id", "effective_from"), ["algorithm_id", "effective_from"], "left_anti")
+
+
+def ledger_status(ledger: DataFrame, referenced: DataFrame) -> DataFrame:
+    """The ledger with status: active if an algorithm is among the ``referenced`` (algorithm_id), else deprecated."""
+    used = referenced.select("algorithm_id", F.lit(True).alias("__used")).distinct()
+    return ledger.join(used, "algorithm_id", "left").withColumn("status", F.when(F.col("__used"), "active").otherwise("deprecated")).drop("__used")

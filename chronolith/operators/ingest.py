@@ -90,7 +90,10 @@ def due_windows(marks: DataFrame, last_closed: DataFrame) -> DataFrame:
 
 def empty_window_guard(fetched: DataFrame, days: DataFrame, history: DataFrame) -> DataFrame:
     """(dataset, entity_id, suspicious) of fetches (dataset, entity_id, start_day, end_day, rows): nothing came, though days were open and the entity has earlier rows."""
-    open_ = fetched.join(F.broadcast(days), F.col("trade_date").between(F.col("start_day"), F.col("end_day")), "left").groupBy(*fetched.columns).agg(F.count("trade_date").alias("__open"))
+    # the days are one sorted array in one row
+    listed = days.agg(F.array_sort(F.collect_set("trade_date")).alias("__days"))
+    within = F.size(F.filter("__days", lambda d: d.between(F.col("start_day"), F.col("end_day"))))
+    open_ = fetched.join(F.broadcast(listed)).withColumn("__open", within).drop("__days")
     first = history.groupBy("entity_id").agg(F.min("trade_date").alias("__first"))
     joined = open_.join(first, "entity_id", "left")
     return joined.select("dataset", "entity_id", ((F.col("rows") == 0) & (F.col("__open") > 0) & F.coalesce(F.col("__first") <= F.col("end_day"), F.lit(False))).alias("suspicious"))

@@ -81,4 +81,4 @@ def days_covered(intervals: DataFrame, days: DataFrame, start: str, end: str, da
     cut = intervals.join(F.broadcast(bounds), F.coalesce(F.col(start), F.lit(epoch).cast("date")) <= F.col("__b"))
     low, high = F.greatest(F.coalesce(F.col(start), F.lit(epoch).cast("date")), "__a"), F.least(F.coalesce(F.col(end), F.col("__b")), "__b")
     unrolled = cut.withColumn("__low", low).withColumn("__high", high).where("__low <= __high")
-    return unrolled.withColumn(day, F.explode(F.sequence("__low", "__high"))).drop("__a", "__b", "__low", "__high").join(F.broadcast(days.select(day).distinct()), day)
+    return unrolled.withColumn(day, F.explode(F.sequence("__low", "__high"))).drop("__a", "__b", "__low", "__high").join(days.select(day).distinct(), day)

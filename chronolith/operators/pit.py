@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from chronolith.plans.spec import META, PitSpec
 
 
+#: Most rows of a page.
+MOST_ROWS = 50_000
+
+
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key in ``order`` (Spark limits each group before the shuffle as well as after)."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
@@ -118,12 +122,15 @@ def ordering(spec: PitSpec, names: Sequence[str] = ()) -> list[tuple[str, bool]]
 
 def ordered(df: DataFrame, spec: PitSpec, names: Sequence[str] = (), limit: int = 1000) -> DataFrame:
     """The first ``limit`` (at most 50,000) rows in order."""
-    keys = [F.desc(n) if down else F.asc(n) for n, down in ordering(spec, names)]
-    return df.orderBy(*keys).limit(min(limit, 50_000))
+    return _sorted(df, spec, names).limit(min(limit, MOST_ROWS))
+
+
+def _sorted(df: DataFrame, spec: PitSpec, names: Sequence[str]) -> DataFrame:
+    return df.orderBy(*[F.desc(n) if down else F.asc(n) for n, down in ordering(spec, names)])
 
 
 def page(df: DataFrame, spec: PitSpec, after: Sequence[Any], names: Sequence[str] = (), limit: int = 1000) -> DataFrame:
-    """The rows strictly after key values ``after`` in order; one more than ``limit``, to show whether more follow."""
+    """The rows strictly after key values ``after`` in order; one more than ``limit`` (at most 50,000), to show whether more follow."""
     order = ordering(spec, names)
     if len(after) != len(order) or any(v is None for v in after):
         raise ValueError("a page needs a value for each key")
@@ -131,7 +138,7 @@ def page(df: DataFrame, spec: PitSpec, after: Sequence[Any], names: Sequence[str
     for n, ((name, down), value) in enumerate(zip(order, after, strict=True)):
         same = [F.col(m) == v for (m, _), v in zip(order[:n], after[:n], strict=True)]
         past.append(reduce(Column.__and__, [*same, F.col(name) < value if down else F.col(name) > value]))
-    return ordered(df.where(reduce(Column.__or__, past)), spec, names, limit + 1)
+    return _sorted(df.where(reduce(Column.__or__, past)), spec, names).limit(min(limit, MOST_ROWS) + 1)
 
 
 def versions(df: DataFrame, spec: PitSpec, fields: Sequence[str], mode: str = "history", at: Any = None, entities: Iterable | None = None, window: tuple | None = None) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronolith.operators.joins import days_covered
@@ -63,11 +64,20 @@ def expected_pairs(intervals: DataFrame, days: DataFrame) -> DataFrame:
     return won.where(F.col("status").isNull() | (F.col("status") != "delisted")).select("entity_id", "trade_date")
 
 
-def missing_pairs(expected: DataFrame, rows: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """Expected pairs without a row of any version and, with ``status``, without a suspension of any version."""
+def judged_pairs(expected: DataFrame, rows: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """(entity_id, trade_date, missing): expected pairs; missing without a row of any version and, with ``status``, without a
+    suspension of any version.  Missing pairs, coverage and break days all come from this one frame."""
     keys = ["entity_id", "trade_date"]
-    gone = expected.join(rows.select(*keys).distinct(), keys, "left_anti")
-    return gone if status is None else gone.join(status.where("is_suspended").select(*keys).distinct(), keys, "left_anti")
+    joined = expected.join(rows.select(*keys, F.lit(True).alias("__row")).distinct(), keys, "left")
+    gone = F.col("__row").isNull()
+    if status is not None:
+        joined = joined.join(status.where("is_suspended").select(*keys, F.lit(True).alias("__halt")).distinct(), keys, "left")
+        gone &= F.col("__halt").isNull()
+    return joined.select(*keys, gone.alias("missing"))
+
+
+def missing_pairs(expected: DataFrame, rows: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    return judged_pairs(expected, rows, status).where("missing").drop("missing")
 
 
 def uncovered_pairs(expected: DataFrame, intervals: DataFrame) -> DataFrame:
@@ -76,15 +86,16 @@ def uncovered_pairs(expected: DataFrame, intervals: DataFrame) -> DataFrame:
     return expected.join(days_covered(intervals, days, "start_date", "end_date").select("entity_id", "trade_date").distinct(), ["entity_id", "trade_date"], "left_anti")
 
 
-def coverage(expected: DataFrame, missing: DataFrame) -> DataFrame:
-    """One row: expected, missing, ratio."""
-    return expected.agg(F.count(F.lit(1)).alias("expected")).join(missing.agg(F.count(F.lit(1)).alias("missing"))).select("expected", "missing", ((F.col("expected") - F.col("missing")) / F.when(F.col("expected") > 0, F.col("expected"))).alias("ratio"))
+def coverage(judged: DataFrame) -> DataFrame:
+    """One row of :func:`judged_pairs`: expected, missing, ratio."""
+    counts = judged.agg(F.count(F.lit(1)).alias("expected"), F.count_if("missing").alias("missing"))
+    return counts.withColumn("ratio", (F.col("expected") - F.col("missing")) / F.when(F.col("expected") > 0, F.col("expected")))
 
 
-def break_days(expected: DataFrame, missing: DataFrame, least: float = 0.99) -> DataFrame:
+def break_days(judged: DataFrame, least: float = 0.99) -> DataFrame:
     """Days whose own ratio is under ``least``."""
-    a, b = expected.groupBy("trade_date").agg(F.count(F.lit(1)).alias("expected")), missing.groupBy("trade_date").agg(F.count(F.lit(1)).alias("missing"))
-    return a.join(b, "trade_date").where(1 - F.col("missing") / F.col("expected") < least)
+    days = judged.groupBy("trade_date").agg(F.count(F.lit(1)).alias("expected"), F.count_if("missing").alias("missing"))
+    return days.where(1 - F.col("missing") / F.col("expected") < least)
 
 
 def freshness(rows: DataFrame, days: DataFrame, event: str = "trade_date") -> DataFrame:
@@ -124,33 +135,109 @@ def worst(a: DataFrame, b: DataFrame, field: str, tolerance: float, n: int = 20)
 
 @dataclass(frozen=True)
 class Check:
-    """``violating``: a function that gives the violating rows; ``checked``: the rows they are among."""
+    """``violating``: a function that gives the violating rows, or a condition on rows of ``checked``, the rows they are among.
+
+    ``sample``: columns of a violation that are shown; ``metrics``: a function that gives one row of figures; ``skip``: why
+    there is nothing to run (no target, no shared key), if so.
+    """
 
     dataset: str
     check_id: str
     family: str
     severity: str
     checked: DataFrame
-    violating: Callable[[], DataFrame]
-
-
-def scan(checks: Sequence[Check], window: tuple[str, str]) -> DataFrame:
-    """One row per check: status passed, failed, skipped (nothing to check) or error, with counts and a message.
-
-    A check that cannot be planned gives an error row; the others run on.  All counts are one job.
+    violating: Callable[[], DataFrame | Column] | None
+    sample: Sequence[str] = ()
+    metrics: Callable[[], DataFrame] | None = None
+    skip: str | None = None
+
+
+RESULT = "dataset string, check_id string, family string, severity string, status string, window_start date, window_end date, rows_checked long, violations long, samples string, metrics string, message string"
+
+
+def _problem(error: Exception) -> str:
+    """Spark's error condition, wherever the error was raised, or the error's own name."""
+    found = re.search(r"\[([A-Z][A-Z0-9_.]+)\]", str(error))
+    return found[1] if found else type(error).__name__
+
+
+def _counts(checks: Sequence[Check]) -> DataFrame:
+    """(n, rows_checked, violations, metrics) of each check by number; conditions on the same rows are counted in one pass."""
+    none, parts, conditions = F.lit(None).cast("string"), [], {}
+    for n, c in enumerate(checks):
+        found = c.violating()
+        if isinstance(found, Column):
+            conditions.setdefault(id(c.checked), []).append((n, c, found))
+            continue
+        one = c.checked.agg(F.count(F.lit(1)).alias("rows_checked")).join(found.agg(F.count(F.lit(1)).alias("violations")))
+        one = one.join(c.metrics().select(F.to_json(F.struct("*")).alias("metrics"))) if c.metrics else one.withColumn("metrics", none)
+        parts.append(one.select(F.lit(n).alias("n"), "rows_checked", "violations", "metrics"))
+    for group in conditions.values():
+        counted = group[0][1].checked.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(found).alias(f"v{n}") for n, _, found in group])
+        rows = [F.struct(F.lit(n).alias("n"), F.col("rows").alias("rows_checked"), F.col(f"v{n}").alias("violations"), none.alias("metrics")) for n, _, _ in group]
+        parts.append(counted.select(F.inline(F.array(*rows))))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _samples(checks: dict[int, Check], most: int) -> DataFrame:
+    """(n, samples): up to ``most`` violations of each check as text, the first in order of their columns."""
+    parts = []
+    for n, c in checks.items():
+        found = c.violating()
+        rows = c.checked.where(found) if isinstance(found, Column) else found
+        text = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.coalesce(F.col(k).cast("string"), F.lit("null"))) for k in c.sample])
+        shown = rows.orderBy(*c.sample).limit(most).select(text.alias("s"))
+        parts.append(shown.agg(F.to_json(F.array_sort(F.collect_list("s"))).alias("samples")).select(F.lit(n).alias("n"), "samples"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def scan(spark: SparkSession, checks: Sequence[Check], window: tuple[str, str], most: int = 20) -> DataFrame:
+    """One row per check, as ``RESULT`` says: status passed, failed, skipped or error; samples and metrics as JSON.
+
+    All counts are one job, and the samples of failed checks another.  If a job fails, each of its checks runs alone, and
+    those that fail then, while planned or while run, give an error row; the others are not disturbed.  The driver sees one
+    row per check.  No rows checked and no violations is passed; skipped is only what has a reason to be.
     """
-    out = []
-    for c in checks:
-        lits = [F.lit(v).alias(k) for k, v in (("dataset", c.dataset), ("check_id", c.check_id), ("family", c.family), ("severity", c.severity))]
+    runs = {n: c for n, c in enumerate(checks) if c.skip is None}
+
+    def gathered(make: Callable[[dict[int, Check]], DataFrame], wanted: dict[int, Check]) -> tuple[dict[int, Row], dict[int, str]]:
+        if not wanted:
+            return {}, {}
         try:
-            bad = c.violating().agg(F.count(F.lit(1)).alias("violations"))
-            both = c.checked.agg(F.count(F.lit(1)).alias("rows_checked")).join(bad)
-            status = F.when(F.col("rows_checked") == 0, "skipped").when(F.col("violations") == 0, "passed").otherwise("failed")
-            out.append(both.select(*lits, status.alias("status"), "rows_checked", "violations", F.concat("violations", F.lit(" of "), "rows_checked").alias("message")))
-        except AnalysisException as problem:
-            zero = F.lit(0).cast("long")
-            out.append(c.checked.sparkSession.range(1).select(*lits, F.lit("error").alias("status"), zero.alias("rows_checked"), zero.alias("violations"), F.lit(problem.getCondition() or "error").alias("message")))
-    return reduce(DataFrame.unionByName, out).withColumns({"window_start": F.lit(window[0]).cast("date"), "window_end": F.lit(window[1]).cast("date")})
+            return {r.n: r for r in make(wanted).collect()}, {}
+        except Exception as error:  # noqa: BLE001  any failure of a rule is a row of the report
+            if len(wanted) == 1:
+                return {}, dict.fromkeys(wanted, _problem(error))
+        rows, problems = {}, {}
+        for n, c in wanted.items():
+            got, bad = gathered(make, {n: c})
+            rows |= got
+            problems |= bad
+        return rows, problems
+
+    def counted(wanted: dict[int, Check]) -> DataFrame:
+        numbers = F.lit(list(wanted)).cast("array<int>")
+        return _counts(list(wanted.values())).withColumn("n", F.get(numbers, F.col("n")))
+
+    counts, problems = gathered(counted, runs)
+    failed = {n: runs[n] for n, r in counts.items() if r.violations and runs[n].sample}
+    samples, more = gathered(lambda wanted: _samples(wanted, most), failed)
+    problems |= more
+    out = []
+    for n, c in enumerate(checks):
+        row, problem = counts.get(n), problems.get(n)
+        if c.skip is not None:
+            status, message = "skipped", c.skip
+        elif problem is not None:
+            status, message = "error", problem
+        else:
+            status, message = ("failed", f"{row.violations} violations") if row.violations else ("passed", "passed")
+        shown = row is not None and problem is None
+        out.append(
+            (c.dataset, c.check_id, c.family, c.severity, status, *map(dt.date.fromisoformat, window), row.rows_checked if shown else 0, row.violations if shown else 0,
+             samples[n].samples if n in samples else "[]", (row.metrics if shown else None) or "{}", message)
+        )
+    return spark.createDataFrame(out, RESULT)
 
 
 def latest_run(results: DataFrame, day=None) -> DataFrame:
@@ -160,21 +247,25 @@ def latest_run(results: DataFrame, day=None) -> DataFrame:
     return results.join(F.broadcast(picked.select("m.window_end", "m.run_id")), ["window_end", "run_id"], "left_semi")
 
 
+def metric(check: str, name: str) -> Column:
+    """The largest of a figure in the JSON metrics of a check's rows."""
+    return F.max(F.when(F.col("check_id") == check, F.get_json_object("metrics", f"$.{name}").try_cast("double")))
+
+
 def summary(results: DataFrame, day=None) -> DataFrame:
     """Per dataset of the last run: counts by status, warnings, violations, failed checks, coverage and lag."""
     n = lambda s: F.count_if(F.col("status") == s).alias(s)
     failed = F.array_join(F.array_sort(F.collect_set(F.when(F.col("status") == "failed", F.col("check_id")))), ",")
-    one = lambda check: F.max(F.when(F.col("check_id") == check, F.col("metric")))
     return latest_run(results, day).groupBy("dataset").agg(
         F.count(F.lit(1)).alias("total"), n("passed"), n("failed"), n("skipped"), n("error"), F.count_if((F.col("severity") == "warn") & F.col("status").isin("failed", "error")).alias("warnings"),
-        F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"), failed.alias("failed_checks"), one("completeness").alias("coverage_ratio"), one("freshness").alias("lag_days"),
+        F.coalesce(F.sum("violations"), F.lit(0)).alias("violations"), failed.alias("failed_checks"), metric("completeness", "ratio").alias("coverage_ratio"), metric("freshness", "lag_days").alias("lag_days"),
     )
 
 
 def freshness_board(datasets: DataFrame, marks: DataFrame, lags: DataFrame, runs: DataFrame, results: DataFrame) -> DataFrame:
     """Every dataset with its watermark, lag, last success, coverage and failures, though it has none of them."""
     last = runs.where("status = 'success'").groupBy("dataset").agg(F.max("finished_at").alias("last_success"))
-    found = latest_run(results).groupBy("dataset").agg(F.max(F.when(F.col("check_id") == "completeness", F.col("metric"))).alias("coverage_ratio"), F.count_if(F.col("status").isin("failed", "error")).alias("failures"))
+    found = latest_run(results).groupBy("dataset").agg(metric("completeness", "ratio").alias("coverage_ratio"), F.count_if(F.col("status").isin("failed", "error")).alias("failures"))
     joined = datasets.join(marks, "dataset", "left").join(lags, "dataset", "left").join(last, "dataset", "left").join(found, "dataset", "left")
     return joined.withColumn("failures", F.coalesce("failures", F.lit(0)))
 

@@ -157,7 +157,9 @@ def b_market(d, t):
 @binding()
 def b_results(d, t):
     """Quality results: three runs over two report days."""
-    return f"""SELECT CAST(event_id % 3 AS BIGINT) AS run_id, event_type AS dataset, CASE event_id % 4 WHEN 0 THEN 'completeness' WHEN 1 THEN 'freshness' WHEN 2 THEN 'unique' ELSE 'range' END AS check_id,
+    found = f"""SELECT CAST(event_id % 3 AS BIGINT) AS run_id, event_type AS dataset, CASE event_id % 4 WHEN 0 THEN 'completeness' WHEN 1 THEN 'freshness' WHEN 2 THEN 'unique' ELSE 'range' END AS check_id,
         CASE WHEN event_id % 5 = 0 THEN 'warn' ELSE 'error' END AS severity, CASE WHEN min(value) > 2 THEN 'passed' WHEN min(value) > 1 THEN 'skipped' WHEN max(value) > 200 THEN 'error' ELSE 'failed' END AS status,
-        CAST(count(*) AS BIGINT) AS violations, round(avg(value), 4) AS metric, CASE WHEN event_id % 3 = 0 THEN DATE '2024-01-29' ELSE DATE '2024-01-30' END AS window_end
+        CAST(count(*) AS BIGINT) AS violations, CAST(round(avg(value), 4) AS DECIMAL(18, 4)) AS figure, CASE WHEN event_id % 3 = 0 THEN DATE '2024-01-29' ELSE DATE '2024-01-30' END AS window_end
         FROM {t('events')} GROUP BY 1, 2, 3, 4, 8"""
+    name = "CASE check_id WHEN 'completeness' THEN 'ratio' WHEN 'freshness' THEN 'lag_days' ELSE 'other' END"
+    return f"""SELECT run_id, dataset, check_id, severity, status, violations, concat('{{"', {name}, '":', CAST(figure AS {d.text}), '}}') AS metrics, window_end FROM ({found}) x"""

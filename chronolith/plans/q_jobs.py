@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.functions import codes, usage
 from chronolith.operators import adjust, calendar, factors, pit, quality
-from chronolith.plans.q_identity import NOW, restate_bars
+from chronolith.plans.q_identity import _DIFF, _STAMP, NOW
 from chronolith.plans.registry import query
 from chronolith.plans.spec import BAR, FACTOR, LINE
 from chronolith.sources import sinks, vendor
@@ -53,21 +53,20 @@ _PAIRS = ("b_market", "b_calendar", "b_bar", "b_status")
 
 
 def _pairs(t):
-    expected = quality.expected_pairs(t.b_market, open_days(t))
-    return expected, quality.missing_pairs(expected, t.b_bar, t.b_status)
+    return quality.judged_pairs(quality.expected_pairs(t.b_market, open_days(t)), t.b_bar, t.b_status)
 
 
-query("quality_missing_pairs", _MISSING, _PAIRS)(lambda t: _pairs(t)[1])
-query("quality_completeness", f"SELECT expected, missing, round((expected - missing) / expected, 6) AS ratio FROM (SELECT (SELECT count(*) FROM ({_EXPECTED})) AS expected, (SELECT count(*) FROM ({_MISSING})) AS missing)", _PAIRS)(lambda t: quality.coverage(*_pairs(t)))
+query("quality_missing_pairs", _MISSING, _PAIRS)(lambda t: _pairs(t).where("missing").drop("missing"))
+query("quality_completeness", f"SELECT expected, missing, round((expected - missing) / expected, 6) AS ratio FROM (SELECT (SELECT count(*) FROM ({_EXPECTED})) AS expected, (SELECT count(*) FROM ({_MISSING})) AS missing)", _PAIRS)(lambda t: quality.coverage(_pairs(t)))
 query("quality_break_days", f"SELECT a.trade_date, a.n AS expected, b.n AS missing FROM (SELECT trade_date, count(*) AS n FROM ({_EXPECTED}) GROUP BY 1) a JOIN (SELECT trade_date, count(*) AS n FROM ({_MISSING}) GROUP BY 1) b USING (trade_date) WHERE 1 - b.n / a.n < 0.95", _PAIRS)(
-    lambda t: quality.break_days(*_pairs(t), 0.95)
+    lambda t: quality.break_days(_pairs(t), 0.95)
 )
 query(
     "quality_interval_completeness",
-    f"""WITH e AS (SELECT x.entity_id, d.trade_date FROM (SELECT DISTINCT entity_id FROM b_market WHERE entity_id <= 40) x CROSS JOIN ({DAYS}) d)
+    f"""WITH e AS (SELECT x.entity_id, d.trade_date FROM (SELECT DISTINCT entity_id FROM b_market) x CROSS JOIN ({DAYS}) d)
     SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b_market m WHERE m.entity_id % 3 <> 0 AND m.entity_id = e.entity_id AND m.start_date <= e.trade_date AND (m.end_date IS NULL OR m.end_date >= e.trade_date))""",
     ("b_market", "b_calendar"),
-)(lambda t: quality.uncovered_pairs(calendar.grid(t.b_market.where("entity_id <= 40"), open_days(t)), t.b_market.where("entity_id % 3 <> 0")))
+)(lambda t: quality.uncovered_pairs(calendar.grid(t.b_market, open_days(t)), t.b_market.where("entity_id % 3 <> 0")))
 query("quality_freshness", f"SELECT latest, max(trade_date) AS last_open, count(*) FILTER (WHERE trade_date > latest) AS lag_days FROM (SELECT max(trade_date) AS latest FROM b_bar1 WHERE trade_date < DATE '2024-01-23'), ({DAYS}) GROUP BY latest", ("b_bar1", "b_calendar"))(
     lambda t: quality.freshness(t.b_bar1.where("trade_date < DATE'2024-01-23'"), open_days(t))
 )
@@ -81,31 +80,46 @@ _TWO = ("b_bar1", "b_bar_b")
 query("xsource_close", _STATS.format(tol="0.01", c=_COMMON), _TWO)(lambda t: quality.compare_sources(t.b_bar1, t.b_bar_b, "close", 0.01))
 query("xsource_factor", _STATS.format(tol="0.0001", c=_NORM), _TWO)(lambda t: quality.compare_sources(t.b_bar1, t.b_bar_b, "close", 1e-4, True))
 query("xsource_worst", f"SELECT entity_id, trade_date, a, b, round(diff, 6) AS diff FROM (SELECT * FROM ({_COMMON}) WHERE diff IS NULL OR diff > 0.01 ORDER BY diff DESC NULLS FIRST, entity_id, trade_date LIMIT 20)", _TWO)(
-    lambda t: quality.worst(t.b_bar1, t.b_bar_b.withColumn("close", F.when(F.col("close").isNotNull(), F.round("close", 6))), "close", 0.01).withColumn("diff", F.round("diff", 6))
+    lambda t: quality.worst(t.b_bar1, t.b_bar_b, "close", 0.01)
 )
 
-_CHECK = "SELECT '{d}' AS dataset, '{c}' AS check_id, '{f}' AS family, '{s}' AS severity, CASE WHEN n = 0 THEN 'skipped' WHEN v = 0 THEN 'passed' ELSE 'failed' END AS status, n AS rows_checked, v AS violations, concat(v, ' of ', n) AS message, DATE '2024-01-01' AS window_start, DATE '2024-01-30' AS window_end FROM (SELECT (SELECT count(*) FROM {rows}) AS n, (SELECT count(*) FROM {bad}) AS v)"
+_CHECK = """SELECT '{d}' AS dataset, '{c}' AS check_id, '{f}' AS family, '{s}' AS severity, CASE WHEN v = 0 THEN 'passed' ELSE 'failed' END AS status, DATE '2024-01-01' AS window_start, DATE '2024-01-30' AS window_end, n AS rows_checked, v AS violations,
+    CASE WHEN v = 0 THEN '[]' ELSE CAST(to_json((SELECT list(x ORDER BY x) FROM (SELECT {text} AS x FROM {bad} ORDER BY {order} LIMIT 20))) AS VARCHAR) END AS samples, {metrics} AS metrics, CASE WHEN v = 0 THEN 'passed' ELSE concat(v, ' violations') END AS message
+    FROM (SELECT (SELECT count(*) FROM {rows}) AS n, (SELECT count(*) FROM {bad}) AS v)"""
+_OTHER = "SELECT '{d}', '{c}', '{f}', '{s}', '{status}', DATE '2024-01-01', DATE '2024-01-30', 0, 0, '[]', '{{}}', '{m}'"
+_LINES = dict(d="line", f="rule", s="error", rows=LATEST, metrics="'{}'", text="concat('l_orderkey=', l_orderkey, ', l_linenumber=', l_linenumber)", order="l_orderkey, l_linenumber")
+_DAYS2 = dict(d="bar", s="error", text="concat('entity_id=', entity_id, ', trade_date=', trade_date)", order="entity_id, trade_date")
+_RATIO = f"(SELECT CAST(to_json(struct_pack(expected := e, missing := m, ratio := round((e - m) / e, 6))) AS VARCHAR) FROM (SELECT (SELECT count(*) FROM ({_EXPECTED})) AS e, (SELECT count(*) FROM ({_MISSING})) AS m))"
 
 
 @query(
     "quality_scan",
     " UNION ALL ".join([
-        _CHECK.format(d="line", c="range", f="rule", s="error", rows=LATEST, bad=f"(SELECT 1 FROM {LATEST} WHERE l_quantity < 0)"),
-        _CHECK.format(d="line", c="enum", f="rule", s="warn", rows=LATEST, bad=f"(SELECT 1 FROM {LATEST} WHERE l_returnflag NOT IN ('A', 'R'))"),
-        _CHECK.format(d="bar", c="reconcile", f="rule", s="error", rows="b_bar1", bad="(SELECT 1 FROM b_bar1 WHERE trade_date NOT IN (SELECT trade_date FROM b_calendar WHERE is_open))"),
-        _CHECK.format(d="bar", c="completeness", f="completeness", s="error", rows=f"({_EXPECTED})", bad=f"({_MISSING})"),
-        "SELECT 'line', 'broken', 'rule', 'error', 'error', 0, 0, 'UNRESOLVED_COLUMN.WITH_SUGGESTION', DATE '2024-01-01', DATE '2024-01-30'",
+        _CHECK.format(c="range", bad=f"(SELECT * FROM {LATEST} WHERE l_quantity < 0)", **_LINES),
+        _CHECK.format(c="enum", bad=f"(SELECT * FROM {LATEST} WHERE l_returnflag NOT IN ('A', 'R'))", **(_LINES | {"s": "warn"})),
+        _CHECK.format(c="empty", bad=f"(SELECT * FROM {LATEST} WHERE false)", **(_LINES | {"rows": f"(SELECT * FROM {LATEST} WHERE false)"})),
+        _CHECK.format(c="reconcile", f="rule", rows="b_bar1", bad="(SELECT * FROM b_bar1 WHERE trade_date NOT IN (SELECT trade_date FROM b_calendar WHERE is_open))", metrics="'{}'", **_DAYS2),
+        _CHECK.format(c="completeness", f="completeness", rows=f"({_EXPECTED})", bad=f"({_MISSING})", metrics=_RATIO, **_DAYS2),
+        _OTHER.format(d="line", c="unplanned", f="rule", s="error", status="error", m="UNRESOLVED_COLUMN.WITH_SUGGESTION"), _OTHER.format(d="line", c="divided", f="rule", s="warn", status="error", m="DIVIDE_BY_ZERO"),
+        _OTHER.format(d="line", c="no_target", f="rule", s="error", status="skipped", m="no target table"),
     ]), ("b_line", "b_bar1", *_PAIRS),
 )
 def _(t):
-    lines, (expected, missing) = latest(t), _pairs(t)
+    lines, judged, bars = latest(t), _pairs(t), t.b_bar1
+    line = lambda name, severity, rule, checked=lines: quality.Check("line", name, "rule", severity, checked, rule, ["l_orderkey", "l_linenumber"])
+    keys = ["entity_id", "trade_date"]
+    figures = lambda: quality.coverage(judged).select("expected", "missing", F.round("ratio", 6).alias("ratio"))
     return quality.scan(
+        t.spark,
         [
-            quality.Check("line", "range", "rule", "error", lines, lambda: quality.in_range(lines, "l_quantity", 0)),
-            quality.Check("line", "enum", "rule", "warn", lines, lambda: quality.in_enum(lines, "l_returnflag", ["A", "R"])),
-            quality.Check("bar", "reconcile", "rule", "error", t.b_bar1, lambda: quality.reconcile(t.b_bar1, t.b_calendar, ["trade_date"])),
-            quality.Check("bar", "completeness", "completeness", "error", expected, lambda: missing),
-            quality.Check("line", "broken", "rule", "error", lines, lambda: quality.expression(lines, "no_such_column > 0")),
+            line("range", "error", lambda: F.col("l_quantity") < 0),
+            line("enum", "warn", lambda: ~F.col("l_returnflag").isin("A", "R")),
+            line("empty", "error", lambda: F.col("l_quantity") < 0, lines.where("false")),
+            quality.Check("bar", "reconcile", "rule", "error", bars, lambda: quality.reconcile(bars, t.b_calendar, ["trade_date"]), keys),
+            quality.Check("bar", "completeness", "completeness", "error", judged, lambda: judged.where("missing"), keys, figures),
+            line("unplanned", "error", lambda: quality.expression(lines, "no_such_column > 0")),
+            line("divided", "warn", lambda: quality.expression(lines, "1 / (l_quantity - l_quantity) > 0")),
+            quality.Check("line", "no_target", "rule", "error", lines, None, skip="no target table"),
         ],
         ("2024-01-01", "2024-01-30"),
     )
@@ -116,10 +130,10 @@ query(
     "quality_summary",
     f"""SELECT dataset, count(*) AS total, count(*) FILTER (WHERE status = 'passed') AS passed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped, count(*) FILTER (WHERE status = 'error') AS error,
     count(*) FILTER (WHERE severity = 'warn' AND status IN ('failed', 'error')) AS warnings, CAST(sum(violations) AS BIGINT) AS violations, coalesce(string_agg(DISTINCT CASE WHEN status = 'failed' THEN check_id END, ',' ORDER BY CASE WHEN status = 'failed' THEN check_id END), '') AS failed_checks,
-    max(CASE WHEN check_id = 'completeness' THEN metric END) AS coverage_ratio, max(CASE WHEN check_id = 'freshness' THEN metric END) AS lag_days FROM {_RUN} GROUP BY dataset""",
+    max(CASE WHEN check_id = 'completeness' THEN CAST(json_extract_string(metrics, '$.ratio') AS DOUBLE) END) AS coverage_ratio, max(CASE WHEN check_id = 'freshness' THEN CAST(json_extract_string(metrics, '$.lag_days') AS DOUBLE) END) AS lag_days FROM {_RUN} GROUP BY dataset""",
     "b_results",
 )(lambda t: quality.summary(t.b_results))
-query("quality_results", f"SELECT run_id, dataset, check_id, severity, status, violations, metric, window_end FROM {_RUN} WHERE severity = 'error' ORDER BY dataset, check_id, status, violations LIMIT 12", "b_results")(
+query("quality_results", f"SELECT run_id, dataset, check_id, severity, status, violations, metrics, window_end FROM {_RUN} WHERE severity = 'error' ORDER BY dataset, check_id, status, violations LIMIT 12", "b_results")(
     lambda t: quality.latest_run(t.b_results).where("severity = 'error'").orderBy("dataset", "check_id", "status", "violations").limit(12)
 )
 
@@ -129,7 +143,7 @@ query("quality_results", f"SELECT run_id, dataset, check_id, severity, status, v
     f"""WITH d AS (SELECT DISTINCT event_type AS dataset FROM events UNION SELECT 'never'), m AS (SELECT event_type AS dataset, CAST(max(ts) AS DATE) - 5 AS mark FROM events WHERE event_type <> 'view' GROUP BY 1)
     SELECT d.dataset, CAST(m.mark AS DATE) AS mark, CASE WHEN m.mark IS NOT NULL THEN (SELECT count(*) FROM ({DAYS}) WHERE trade_date > m.mark AND trade_date <= DATE '2024-01-30') END AS lag, r.last_success, q.coverage_ratio, coalesce(q.failures, 0) AS failures
     FROM d LEFT JOIN m USING (dataset) LEFT JOIN (SELECT event_type AS dataset, max(ts) AS last_success FROM events WHERE value > 50 GROUP BY 1) r USING (dataset)
-    LEFT JOIN (SELECT dataset, max(CASE WHEN check_id = 'completeness' THEN metric END) AS coverage_ratio, count(*) FILTER (WHERE status IN ('failed', 'error')) AS failures FROM {_RUN} GROUP BY 1) q USING (dataset)""",
+    LEFT JOIN (SELECT dataset, max(CASE WHEN check_id = 'completeness' THEN CAST(json_extract_string(metrics, '$.ratio') AS DOUBLE) END) AS coverage_ratio, count(*) FILTER (WHERE status IN ('failed', 'error')) AS failures FROM {_RUN} GROUP BY 1) q USING (dataset)""",
     ("b_results", "b_calendar"),
 )
 def _(t):
@@ -140,7 +154,7 @@ def _(t):
     return quality.freshness_board(datasets, marks, calendar.trading_lag(marks, t.b_calendar, "2024-01-30"), runs, t.b_results)
 
 
-@query("replace_run")
+@query("replace_run", "SELECT run_id, dataset, check_id, severity, status, CAST(CASE WHEN run_id = 1 THEN 0 ELSE violations END AS BIGINT) AS violations, metrics, window_end FROM b_results", "b_results")
 def _(t):
     path = sinks.shared_folder(t.spark, "quality")
     quality.replace_run(t.b_results, path)
@@ -161,7 +175,7 @@ _FBAR = ("b_bar", "b_factor")
 
 def source(t):
     read = adjust.read(t.b_bar, t.b_factor, BAR, FACTOR, ALL_AT, ["high", "low", "close"], "hfq")
-    return lambda name: read.select("entity_id", "trade_date", name)
+    return lambda names: read.select("entity_id", "trade_date", *names)
 
 
 def factor(t, output, **more):
@@ -197,31 +211,81 @@ _GAP = f"SELECT m.entity_id, m.trade_date, round(h.close / nullif(m.ma20, 0) - 1
 query("factor_chain", _GAP, _FBAR)(lambda t: factor(t, "ma20_gap"))
 
 
+PRINT = "substring(sha256('ma20@v1'), 1, 16)"
+
+
 def _kept(t):
-    f = factors.REGISTRY.factors["ma20"]
-    return factors.materialise(factor(t, "ma20"), f, ALL_AT, "2024-02-15 01:00:00", 1, factors.REGISTRY.fingerprint("ma20"), sinks.shared_folder(t.spark, "derived_ma20"))
+    """Two generations, of which the second, whose inputs are known later, is the current one."""
+    f, path = factors.REGISTRY.factors["ma20"], sinks.shared_folder(t.spark, "derived_ma20")
+    early = factors.REGISTRY.evaluate("ma20", lambda names: adjust.read(t.b_bar, t.b_factor, BAR, FACTOR, "2024-01-25 00:00:00", list(names), "hfq"), "2024-01-25 00:00:00")
+    factors.materialise(early, f, "2024-01-25 00:00:00", "2024-01-25 01:00:00", factors.REGISTRY.fingerprint("ma20"), path)
+    return factors.materialise(factor(t, "ma20"), f, ALL_AT, "2024-02-15 01:00:00", factors.REGISTRY.fingerprint("ma20"), path)
 
 
-query("factor_materialize")(_kept)
-query("factor_read", f"SELECT entity_id, trade_date, round(ma20, 10) AS ma20 FROM ({_MA}) WHERE trade_date BETWEEN DATE '2024-01-24' AND DATE '2024-01-28' AND entity_id % 2 = 0", _FBAR, 10)(
-    lambda t: factors.read_projection(_kept(t), factors.REGISTRY.factors["ma20"], "2024-02-16 00:00:00", ("2024-01-24", "2024-01-28") if t.sf_dir.rstrip("/").split("/")[-1] != "sf0.001" else None, fingerprint=factors.REGISTRY.fingerprint("ma20")).where("trade_date BETWEEN DATE'2024-01-24' AND DATE'2024-01-28' AND entity_id % 2 = 0")
-)
-query("input_coverage", f"SELECT 'bars' AS input, max(trade_date) AS latest FROM b_bar WHERE knowledge_time <= TIMESTAMP '2024-01-20 12:00:00' AND entity_id <= 50 UNION ALL SELECT 'factors', max(trade_date) FROM b_factor WHERE knowledge_time <= TIMESTAMP '2024-01-20 12:00:00' AND entity_id <= 50", _FBAR)(
-    lambda t: factors.input_coverage({"bars": t.b_bar, "factors": t.b_factor}, "2024-01-20 12:00:00", list(range(51)))
-)
+query(
+    "factor_materialize",
+    f"SELECT entity_id, trade_date, round(ma20, 10) AS ma20, 'ma20' AS algorithm_id, 1 AS algorithm_version, TIMESTAMP '{ALL_AT}' AS as_of, TIMESTAMP '2024-02-15 01:00:00' AS computed_at, 2 AS data_generation, {PRINT} AS upstream_fingerprint FROM ({_MA})",
+    _FBAR, 10,
+)(_kept)
 
 
-@query("factor_inline", f"SELECT entity_id, trade_date, round(ma20, 10) AS ma20 FROM ({_MA})", _FBAR, 10)
+@query("factor_read", f"WITH m AS ({_MA}) SELECT entity_id, trade_date, round(ma20, 10) AS ma20 FROM m WHERE trade_date >= (SELECT max(trade_date) - 4 FROM m)", _FBAR, 10)
 def _(t):
-    """The factor as SQL over a view of its input."""
-    return t.spark.sql(
+    """The projection's last five days."""
+    kept = _kept(t)
+    last = kept.agg(F.date_sub(F.max("trade_date"), 4).alias("a"), F.max("trade_date").alias("b")).first()
+    window = (last.a, last.b) if last.b is not None else None
+    return factors.read_projection(kept, factors.REGISTRY.factors["ma20"], "2024-02-16T00:00:00Z", window, fingerprint=factors.REGISTRY.fingerprint("ma20"))
+
+
+query("factor_chain_read", _GAP, _FBAR)(lambda t: factor(t, "ma20_gap", projections={"ma20": _kept(t)}))
+query("input_coverage", "SELECT 'bars' AS input, max(trade_date) AS latest FROM b_bar WHERE knowledge_time <= TIMESTAMP '2024-01-20 12:00:00' UNION ALL SELECT 'factors', max(trade_date) FROM b_factor WHERE knowledge_time <= TIMESTAMP '2024-01-20 12:00:00'", _FBAR)(
+    lambda t: factors.input_coverage({"bars": t.b_bar, "factors": t.b_factor}, "2024-01-20 12:00:00")
+)
+query("factor_inline", f"SELECT entity_id, trade_date, round(ma20, 10) AS ma20 FROM ({_MA})", _FBAR, 10)(
+    lambda t: factors.inline(
         "SELECT entity_id, trade_date, ma20 FROM (SELECT *, avg(close) OVER w AS ma20, count(close) OVER w AS n FROM {bars} WINDOW w AS (PARTITION BY entity_id ORDER BY trade_date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) WHERE n = 20",
-        bars=source(t)("close"),
+        {"bars": source(t)(["close"])},
     )
+)
+
+_NODES = "SELECT DISTINCT event_type AS output, concat(event_type, '@v', user_id % 4) AS id FROM events"
+_PRINTS = f"SELECT output, substring(sha256(string_agg(id, '|' ORDER BY id)), 1, 16) AS fingerprint FROM ({_NODES}) GROUP BY output"
+
+
+def _nodes(t):
+    return t.events.select(F.col("event_type").alias("output"), F.concat("event_type", F.lit("@v"), (F.col("user_id") % 4).cast("string")).alias("id"))
+
+
+query("upstream_fingerprint", _PRINTS)(lambda t: factors.fingerprints(_nodes(t), "output", "id"))
 
 
-query("upstream_fingerprint", "SELECT dataset, substring(sha256(string_agg(id, '|' ORDER BY id)), 1, 16) AS fingerprint FROM (SELECT DISTINCT event_type AS dataset, concat(event_type, '@v', user_id % 4) AS id FROM events) GROUP BY dataset")(
-    lambda t: t.events.select(F.col("event_type").alias("dataset"), F.concat("event_type", F.lit("@v"), (F.col("user_id") % 4).cast("string")).alias("id")).distinct().groupBy("dataset").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("id")), "|"), 256), 1, 16).alias("fingerprint"))
+@query(
+    "upstream_drift",
+    f"""WITH p AS ({_PRINTS}), a AS (SELECT DISTINCT event_type AS output, event_type AS algorithm_id, CASE WHEN event_type < 'd' THEN 1 ELSE 2 END AS version, CASE WHEN event_type > 'p' THEN 'old' ELSE p.fingerprint END AS fingerprint FROM events JOIN p ON p.output = event_type)
+    SELECT a.output, a.version AS stored_version, a.fingerprint AS stored_fingerprint, p.fingerprint FROM a JOIN p USING (output) WHERE a.version <> 2 OR a.fingerprint <> p.fingerprint""",
+)
+def _(t):
+    """Projections of version 1 or under an older fingerprint, against version 2 of every output."""
+    prints = factors.fingerprints(_nodes(t), "output", "id")
+    kind = F.col("output")
+    current = prints.select("output", kind.alias("algorithm_id"), F.lit(2).alias("algorithm_version"), "fingerprint")
+    audits = t.events.select(F.col("event_type").alias("output")).join(prints, "output").select("output", kind.alias("algorithm_id"), F.when(kind < "d", 1).otherwise(2).alias("algorithm_version"), F.when(kind > "p", "old").otherwise(F.col("fingerprint")).alias("upstream_fingerprint"))
+    return factors.drifted(audits, current).select("output", F.col("stored.algorithm_version").alias("stored_version"), F.col("stored.fingerprint").alias("stored_fingerprint"), F.col("current.fingerprint").alias("fingerprint"))
+
+
+@query(
+    "ledger_events",
+    """WITH o AS (SELECT DISTINCT concat('a', c_custkey % 200) AS algorithm_id, DATE '2024-01-01' + CAST(c_custkey % 3 AS INTEGER) AS effective_from FROM customer), n AS (SELECT concat('a', c_custkey % 300) AS algorithm_id, CAST(DATE '2024-01-01' + CAST(c_custkey % 4 AS INTEGER) AS DATE) AS effective_from, min(c_name) AS reason FROM customer GROUP BY 1, 2)
+    SELECT n.* FROM n WHERE (algorithm_id, effective_from) NOT IN (SELECT (algorithm_id, effective_from) FROM o)""",
+)
+def _(t):
+    row = lambda m, k: t.customer.select(F.concat(F.lit("a"), (F.col("c_custkey") % m).cast("string")).alias("algorithm_id"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("c_custkey") % k).cast("int")).alias("effective_from"), F.col("c_name").alias("reason"))
+    return factors.ledger_events(row(200, 3), row(300, 4))
+
+
+query("ledger_status", "SELECT concat('a', c_custkey) AS algorithm_id, CASE WHEN c_custkey IN (SELECT o_custkey FROM orders) THEN 'active' ELSE 'deprecated' END AS status FROM customer")(
+    lambda t: factors.ledger_status(t.customer.select(F.concat(F.lit("a"), F.col("c_custkey").cast("string")).alias("algorithm_id")), t.orders.select(F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("algorithm_id")))
 )
 
 
@@ -332,10 +396,11 @@ query(
 query("nav_daily_return", "SELECT entity_id, trade_date, close, round((close / nullif(lag(close) OVER (PARTITION BY entity_id ORDER BY trade_date), 0) - 1) * 100, 6) AS daily_return FROM b_bar1", "b_bar1")(
     lambda t: vendor.daily_return(t.b_bar1.select("entity_id", "trade_date", "close"), "close")
 )
-query("seed_missing_keys", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey % 2 = 0 THEN '1' ELSE '0' END AS is_open FROM nation WHERE n_nationkey % 4 <> 0")(
+query("seed_missing_keys", "SELECT CAST(n_nationkey AS VARCHAR) AS n_nationkey, n_name, CASE WHEN n_regionkey % 2 = 0 THEN '1' ELSE '0' END AS is_open, concat('2020-01-', lpad(CAST(n_nationkey + 1 AS VARCHAR), 2, '0')) AS valid_from FROM nation WHERE n_nationkey % 4 <> 0")(
     lambda t: vendor.seed_missing(
         t.nation.where("n_nationkey % 4 = 0").select(F.col("n_nationkey").cast("string").alias("n_nationkey")),
-        t.nation.select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name", F.when(F.col("n_regionkey") % 2 == 0, "1").otherwise("0").alias("is_open")), ["n_nationkey"], ["n_nationkey", "n_name"], ["is_open"],
+        t.nation.select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name", F.when(F.col("n_regionkey") % 2 == 0, "1").otherwise("0").alias("is_open"), F.concat(F.lit("2020-01-"), F.lpad((F.col("n_nationkey") + 1).cast("string"), 2, "0")).alias("valid_from")),
+        ["n_nationkey"], ["n_nationkey", "n_name"], ["is_open"], ["valid_from"],
     )
 )
 query("explode_series", "SELECT CAST(entity_id AS VARCHAR) AS indicator, trade_date AS obs_date, CASE WHEN day(trade_date) % 4 = 0 THEN NULL ELSE close END AS value FROM b_bar1", "b_bar1")(
@@ -368,9 +433,9 @@ def _(t):
     return t.spark.read.parquet(path)
 
 
-@query("export_arrow")
-def _(t):
-    return sinks.export_arrow(t.b_bar.select("entity_id", "trade_date", "close")).select("partition", "n_rows", F.length("stream").alias("bytes"))
+query("export_arrow", "SELECT entity_id, trade_date, close FROM b_bar", "b_bar")(
+    lambda t: sinks.read_arrow(sinks.export_arrow(t.b_bar.select("entity_id", "trade_date", "close"), 100_000), "entity_id long, trade_date date, close double")
+)
 
 
 @query("write_partitioned", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, CAST(version AS BIGINT) AS version, strftime(knowledge_time, '%Y-%m') AS month FROM b_line", "b_line")
@@ -380,7 +445,11 @@ def _(t):
     return t.spark.read.parquet(path).select("l_orderkey", "l_linenumber", "version", F.col("month").cast("string").alias("month"))
 
 
-@query("stream_restate")
+@query(
+    "stream_restate",
+    f"SELECT entity_id, trade_date, close, knowledge_time, version FROM b_bar1 UNION ALL SELECT i.entity_id, i.trade_date, i.close, {_STAMP.rsplit(', CASE', 1)[0]} FROM b_incoming i LEFT JOIN b_bar1 c USING (entity_id, trade_date) WHERE c.version IS NULL OR {_DIFF}",
+    ("b_bar1", "b_incoming"),
+)
 def _(t):
     """Files of bars, then of a later delivery, streamed into a version table; a second run finds nothing new."""
     folder, keys = sinks.shared_folder(t.spark, "stream"), ["entity_id", "trade_date"]

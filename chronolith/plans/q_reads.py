@@ -315,12 +315,16 @@ def _chain(t):
 
 
 query("series_full", SERIES, ALL)(_chain)
-query("panel_long", SERIES, ALL)(_chain)
+_MONTH = "SELECT entity_id, max(trade_date) AS trade_date, " + ", ".join(f"{g.format(f=f)} AS {f}" for f, g in (("open", _FIRST), ("close", _LASTV))) + f" FROM ({ALIGNED}) GROUP BY entity_id, date_trunc('month', trade_date)"
+query("panel_long", f"SELECT entity_id, trade_date, open, close, round(open / nullif(lag(open) OVER w, 0) - 1, 6) AS open_chg1, round(close / nullif(lag(close) OVER w, 0) - 1, 6) AS close_chg1 FROM ({_MONTH}) WINDOW w AS (PARTITION BY entity_id ORDER BY trade_date)", ALL)(
+    lambda t: series.series(aligned(t, ["open", "close"]).select("entity_id", "trade_date", "open", "close"), ["open", "close"], "1mo", chg=1)
+)
 
 
-@query("cross_section", f"SELECT entity_id, trade_date, open, close FROM ({BARS}) WHERE trade_date = DATE '2024-01-10'", "b_bar")
+@query("cross_section", f"SELECT entity_id, trade_date, status, is_suspended, open, close FROM ({ALIGNED}) WHERE trade_date = DATE '2024-01-10'", ALL)
 def _(t):
-    return pit.as_of(t.b_bar, BAR, AS_OF, ["open", "close"], window=("2024-01-10", "2024-01-10"))
+    """One day of every entity, with the state of those that have no bar."""
+    return aligned(t, ["open", "close"]).where("trade_date = DATE'2024-01-10'").select("entity_id", "trade_date", "status", "is_suspended", "open", "close")
 
 
 @query("panel_wide", f"SELECT trade_date, {', '.join(f'max(CASE WHEN entity_id = {e} THEN {f} END) AS \"{e}_{f}\"' for e in (1, 2, 3, 5) for f in ('open', 'close'))} FROM ({ALIGNED}) WHERE entity_id IN (1, 2, 3, 5) GROUP BY trade_date", ALL)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,29 +17,55 @@ from chronolith.plans.spec import META, PitSpec
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under the one that the cluster shares; a temporary one only where none is named, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="chronolith-")
+    """A new folder under the one that the cluster shares; a temporary one only in a local session that names none, as in tests."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="chronolith-")
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
-def append_rows(batch: DataFrame, path: str, key: Sequence[str]) -> int:
+def read_table(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``; None if it is not there yet."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as missing:
+        if missing.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def beside(table: DataFrame, batch: DataFrame, column: str) -> DataFrame:
+    """Rows of ``table`` whose ``column`` lies within its range in ``batch``: files and row groups beyond it are not read.
+
+    One aggregate row of the batch is read; rows of a null ``column`` stay.
+    """
+    low, high = batch.agg(F.min(column), F.max(column)).first()
+    kind = batch.schema[column].dataType
+    return table.where(F.col(column).isNull() if low is None else F.col(column).isNull() | F.col(column).between(F.lit(low).cast(kind), F.lit(high).cast(kind)))
+
+
+def append_rows(batch: DataFrame, path: str, key: Sequence[str], event: str | None = None) -> int:
     """Append rows whose physical key is new to the Parquet table at ``path``; gives how many.
 
-    The new rows are written to a folder of their own first and moved in by a plain append, so the table is never read and written at once.
+    The new rows are written to a folder of their own first and moved in by a plain append, so the table is never read and
+    written at once; that folder is deleted after.  ``event``: a key column by which only the part of the table that the
+    batch can meet is read.
     """
     spark = batch.sparkSession
-    try:
-        table = spark.read.parquet(path)
-    except Exception as missing:  # the table is not there yet
-        if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-            raise
-        table = batch.limit(0)
+    table = read_table(spark, path)
+    table = batch.limit(0) if table is None else table if event is None else beside(table, batch, event)
     staged = f"{path.rstrip('/')}.staged-{uuid.uuid4().hex}"
-    new_rows(table, batch, key).write.parquet(staged)
-    fresh = spark.read.schema(batch.schema).parquet(staged)
-    count = fresh.count()
-    if count:
-        fresh.write.mode("append").parquet(path)
+    try:
+        new_rows(table, batch, key).write.parquet(staged)
+        fresh = spark.read.schema(batch.schema).parquet(staged)
+        count = fresh.count()
+        if count:
+            fresh.write.mode("append").parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
     return count
 
 
@@ -56,20 +82,42 @@ def export_parquet(df: DataFrame, spec: PitSpec, path: str, fields: Sequence[str
     out.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def export_arrow(df: DataFrame) -> DataFrame:
-    """(partition, n_rows, stream): each partition as one Arrow IPC stream, for a binary sink or an HTTP body."""
+def export_arrow(df: DataFrame, stream_bytes: int = 64_000_000) -> DataFrame:
+    """(partition, number, n_rows, stream): each partition as Arrow IPC streams of about ``stream_bytes`` (one batch at
+    least), for a binary sink or an HTTP body.  An empty partition gives none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sink, writer, rows = pa.BufferOutputStream(), None, 0
+        sink, writer, rows, number = None, None, 0, 0
+
+        def closed() -> pa.RecordBatch:
+            writer.close()
+            return pa.RecordBatch.from_pydict({"partition": [TaskContext.get().partitionId()], "number": [number], "n_rows": [rows], "stream": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("partition", pa.int32()), ("number", pa.int32()), ("n_rows", pa.int64()), ("stream", pa.binary())]))
+
         for batch in batches:
-            writer = writer or pa.ipc.new_stream(sink, batch.schema)
+            if writer is None:
+                sink = pa.BufferOutputStream()
+                writer, rows = pa.ipc.new_stream(sink, batch.schema), 0
             writer.write_batch(batch)
             rows += batch.num_rows
-        if writer:
-            writer.close()
-            yield pa.RecordBatch.from_pydict({"partition": [TaskContext.get().partitionId()], "n_rows": [rows], "stream": [sink.getvalue().to_pybytes()]}, schema=pa.schema([("partition", pa.int32()), ("n_rows", pa.int64()), ("stream", pa.binary())]))
+            if sink.tell() >= stream_bytes:
+                yield closed()
+                writer, number = None, number + 1
+        if writer is not None:
+            yield closed()
+
+    return df.mapInArrow(run, "partition int, number int, n_rows long, stream binary")
+
 
-    return df.mapInArrow(run, "partition int, n_rows long, stream binary")
+def read_arrow(streams: DataFrame, schema: str) -> DataFrame:
+    """The rows of Arrow IPC streams (column ``stream``)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for stream in batch.column("stream"):
+                with pa.ipc.open_stream(stream.as_buffer()) as reader:
+                    yield from reader
+
+    return streams.select("stream").mapInArrow(run, schema)
 
 
 def write_partitioned(df: DataFrame, spec: PitSpec, path: str) -> None:
@@ -82,5 +130,3 @@ def write_partitioned(df: DataFrame, spec: PitSpec, path: str) -> None:
     # a month is dealt over several tasks by key, so that a large one does not wait on a single writer
     dealt = df.withColumn("month", F.date_format(time, "yyyy-MM")).repartition("month", F.pmod(F.hash(spec.business_key[0]), F.lit(8)))
     dealt.sortWithinPartitions("month", *order).write.mode("overwrite").partitionBy("month").parquet(path)
-
-

@@ -56,14 +56,17 @@ def finalise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(*[(made[c]() if c in made else F.col(c)).alias(c) for c in columns])
 
 
-def merge_sources(frames: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
-    """All rows, of repeated keys that of the first source; sorted by key.  A source's own keys should be unique."""
+def merge_sources(frames: Sequence[DataFrame], keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """All rows, of repeated keys that of the first source, and in a source the first by ``order``, then by the other
+    columns; sorted by key."""
     tagged = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [f.withColumn("__p", F.lit(n)) for n, f in enumerate(frames)])
-    return first_by(tagged, keys, [F.asc("__p")]).drop("__p").orderBy(*keys)
+    rest = [F.col(c).asc_nulls_last() for c in tagged.columns if c not in (*keys, "__p")]
+    return first_by(tagged, keys, [F.asc("__p"), *order, *rest]).drop("__p").orderBy(*keys)
 
 
-def fill_fields(primary: DataFrame, fallbacks: Sequence[DataFrame], columns: Sequence[str], keys: Sequence[str]) -> DataFrame:
-    """Columns that the primary has no value of at all are taken from the first fallback that has any, by key.
+def fill_fields(primary: DataFrame, fallbacks: Sequence[DataFrame], columns: Sequence[str], keys: Sequence[str], order: Sequence[Column] = ()) -> DataFrame:
+    """Columns that the primary has no value of at all are taken from the first fallback that has any, by key; of a
+    fallback's repeated keys the first by ``order``, then by the values (nulls last).
 
     One aggregate per source tells which; its counts are all that reaches the driver.
     """
@@ -76,7 +79,7 @@ def fill_fields(primary: DataFrame, fallbacks: Sequence[DataFrame], columns: Seq
         some = frame.agg(*[F.count(c).alias(c) for c in have] or [F.lit(0)]).first().asDict()
         taken = [c for c in have if some[c]]
         if taken:
-            out = out.join(first_by(frame.select(*keys, *taken), keys, [F.lit(1)]), list(keys), "left")
+            out = out.join(first_by(frame, keys, [*order, *[F.col(c).asc_nulls_last() for c in taken]]).select(*keys, *taken), list(keys), "left")
             wanted = [c for c in wanted if c not in taken]
     return out.withColumns({c: F.lit(None).cast("double") for c in wanted})
 
@@ -86,7 +89,7 @@ def melt(df: DataFrame, day: str, indicators: Sequence[str]) -> DataFrame:
     numbers = df.select(day, *[F.col(c).cast("string").try_cast("double").alias(c) for c in indicators])
     long = numbers.unpivot([day], list(indicators), "indicator", "value")
     some = long.groupBy("indicator").agg(F.count("value").alias("n")).where("n > 0")
-    return long.join(F.broadcast(some.select("indicator")), "indicator", "left_semi").select("indicator", F.col(day).alias("obs_date"), "value")
+    return long.join(some.select("indicator"), "indicator", "left_semi").select("indicator", F.col(day).alias("obs_date"), "value")
 
 
 def scale_units(df: DataFrame, header: str, value: str) -> DataFrame:
@@ -113,14 +116,18 @@ def daily_return(df: DataFrame, value: str) -> DataFrame:
     return df.withColumn("daily_return", (F.col(value) / F.when(before != 0, before) - 1) * 100)
 
 
-def seed_missing(reference: DataFrame, seed: DataFrame, keys: Sequence[str], required: Sequence[str], flags: Sequence[str] = ()) -> DataFrame:
-    """Seed rows (all texts) whose business key ``reference`` lacks.  Empty required cells, repeated keys, flags other than 0 and 1, or no rows at all are errors."""
+def seed_missing(reference: DataFrame, seed: DataFrame, keys: Sequence[str], required: Sequence[str], flags: Sequence[str] = (), dates: Sequence[str] = ()) -> DataFrame:
+    """Seed rows (all texts) whose business key ``reference`` lacks.
+
+    Empty required cells, repeated keys, flags other than 0 and 1, dates that are none (yyyy-MM-dd), or no rows at all are errors.
+    """
     blank = reduce(Column.__or__, [F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))) == "" for c in required])
     wrong = reduce(Column.__or__, [~F.col(f).isin("0", "1") for f in flags], F.lit(False))
-    row = seed.agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("blank"), F.count_if(wrong).alias("wrong")).first()
+    undated = reduce(Column.__or__, [~F.coalesce(F.trim(d).rlike(r"^\d{4}-\d{2}-\d{2}$") & F.trim(d).try_cast("date").isNotNull(), F.lit(False)) for d in dates], F.lit(False))
+    row = seed.agg(F.count(F.lit(1)).alias("n"), F.count_if(blank).alias("blank"), F.count_if(wrong).alias("wrong"), F.count_if(undated).alias("undated")).first()
     twice = seed.groupBy(*keys).count().where("count > 1").limit(1).count()
-    if not row.n or row.blank or row.wrong or twice:
-        raise ValueError(f"bad seed: {row.n} rows, {row.blank} with empty cells, {row.wrong} with bad flags, repeated keys: {bool(twice)}")
+    if not row.n or row.blank or row.wrong or row.undated or twice:
+        raise ValueError(f"bad seed: {row.n} rows, {row.blank} with empty cells, {row.wrong} with bad flags, {row.undated} with bad dates, repeated keys: {bool(twice)}")
     return seed.join(reference.select(*keys), list(keys), "left_anti")
 
 

@@ -9,26 +9,25 @@ from pyspark.sql import functions as F
 
 from chronolith.operators.ingest import restate
 from chronolith.operators.pit import first_by
-from chronolith.sources.sinks import append_rows
+from chronolith.sources.sinks import append_rows, beside, read_table
 
 
-def stream_restate(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, keys: Sequence[str], same: dict[str, str], now) -> int:
+def stream_restate(spark: SparkSession, source: str, schema: str, table: str, checkpoint: str, keys: Sequence[str], same: dict[str, str], now, day: str = "trade_date") -> int:
     """Take all new files of ``source`` into the version table at ``table``; gives the batches run.
 
     foreachBatch is at least once: a batch that is run again finds its physical keys there and appends nothing.  Versions are
-    numbered from what the table holds, and ``now`` is given, so a replay makes the same rows.  Repeated keys of a batch keep one row.
+    numbered from what the table holds on the days that the batch speaks of, and ``now`` is given, so a replay makes the same rows.  Repeated keys of a batch keep one row.
     """
     ran = []
 
     def merge(batch: DataFrame, number: int) -> None:
         one = first_by(batch, keys, [F.col(c).asc_nulls_last() for c in batch.columns if c not in keys])
-        try:
-            current = spark.read.parquet(table)
-        except Exception as missing:  # the first batch makes the table
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
+        current = read_table(spark, table)
+        if current is None:  # the first batch makes the table
             current = one.limit(0).withColumns({"knowledge_time": F.lit(now).cast("timestamp_ntz"), "version": F.lit(0).cast("long")})
-        append_rows(restate(current, one, keys, same, now).drop("action"), table, [*keys, "knowledge_time", "version"])
+        else:
+            current = beside(current, one, day)
+        append_rows(restate(current, one, keys, same, now, day).drop("action"), table, [*keys, "knowledge_time", "version"], day)
         ran.append(number)
 
     stream = spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
