@@ -8,6 +8,7 @@ it is DataFrame expressions: a step of the gradient is one aggregate over the ta
 
 from __future__ import annotations
 
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from chronolith.llm.common import ascii_lower, checkpointed, text_or_empty
 
 BUCKETS = 1 << 16
+LOG = logging.getLogger(__name__)
 
 
 def _words(rows: DataFrame, *keys: str) -> DataFrame:
@@ -68,16 +70,20 @@ def fit_rates(table: DataFrame, targets: list[float], max_rate: float = 4.0, pul
     times the token-weighted squares of (rate - 1), for rates in [0, ``max_rate``].  The step is scaled by each row's tokens,
     which keeps the projection exact; its length 1 / (1 + pull) is safe, as the weighed normal matrix has no eigenvalue over
     1.  Stops when every domain is within ``tolerance`` of all tokens, or after ``steps``; each step is one aggregate.
+    Targets that are missed by more (rates may not reach them, or the pull holds them back) are logged with what is left.
     """
     k = len(targets)
     present = _expected(table, F.lit(1.0), k)
     total = sum(present) or 1.0
     weight = [max(x / total, 1e-6) for x in present]
     rate, length = F.lit(1.0), 1.0 / (1.0 + pull)
-    for _ in range(steps):
+    for step in range(steps + 1):
         off = [(e - t) / total for e, t in zip(_expected(table, rate, k), targets, strict=True)]
         if max(map(abs, off)) <= tolerance:
             break
+        if step == steps:
+            LOG.warning("targets are missed by %s of all tokens after %d steps", [round(x, 6) for x in off], steps)
+            break
         slope = sum(F.col("p")[n] * float(off[n] / weight[n]) for n in range(k))
         rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate * (1.0 - length * pull) - length * (slope - pull)))
     return rate

@@ -1,3 +1,4 @@
+import math
 import random
 
 import pytest
@@ -77,3 +78,42 @@ def test_empty_and_unlabelled(spark):
     assert mixing.mix(docs.limit(0), labels, {"a": 1, "b": 1}).count() == 0
     rows = mixing.mix(docs, labels.limit(0), {"a": 1, "b": 1}).collect()
     assert len(rows) == docs.count() and all(abs(r.p_a - 0.5) < 1e-9 and abs(r.rate - 1) < 1e-3 for r in rows)
+
+
+def test_posteriors_match_brute_force(spark):
+    """Naive Bayes over word counts by domain, shrunk to the words' shares, with the same cap on a text's reach."""
+    docs, labels = frames(spark)
+    domains = ["a", "b", "c"]
+    got = sorted(((str(r.id), r.tokens, [round(x, 9) for x in r.p]) for r in mixing.posteriors(docs, labels, domains).collect()), key=str)
+    rows, known = corpus()
+    of = {}
+    for i, d in known:
+        if i is not None and d in domains:
+            of[i] = min(of.get(i, d), d)
+    words = {w: n for n, w in enumerate(sorted({w for _, t, *_ in rows for w in (t or "").split()}))}
+    bucket = {r.w: r.b for r in spark.createDataFrame([(w,) for w in words], "w string").selectExpr("w", f"pmod(xxhash64(w), {mixing.BUCKETS}) AS b").collect()}
+    counts = {d: {} for d in domains}
+    for i, t, *_ in rows:
+        if i in of:
+            for w in (t or "").split():
+                counts[of[i]][bucket[w]] = counts[of[i]].get(bucket[w], 0) + 1
+    total = {d: sum(c.values()) for d, c in counts.items()}
+    share = {b: sum(c.get(b, 0) for c in counts.values()) / sum(total.values()) for c in counts.values() for b in c}
+    prior = [(sum(x == d for x in of.values()) + 1) / (len(of) + 3) for d in domains]
+    want = []
+    for i, t, *_ in rows:
+        own = [bucket[w] for w in (t or "").split()]
+        sums = [sum(math.log((counts[d].get(b, 0) + 4 * share[b]) / (total[d] + 4) / share[b]) for b in own if b in share) for d in domains]
+        logits = [s * min(1, 100 / max(len(own), 1)) + math.log(p) for s, p in zip(sums, prior, strict=True)]
+        powers = [math.exp(x - max(logits)) for x in logits]
+        want.append((str(i), len(own), [round(x / sum(powers), 9) for x in powers]))
+    assert len(got) == len(want) and all(a[:2] == b[:2] and max(abs(x - y) for x, y in zip(a[2], b[2], strict=True)) < 1e-8 for a, b in zip(got, sorted(want, key=str), strict=True))
+
+
+def test_missed_targets_are_logged(spark, caplog):
+    table = spark.createDataFrame([(10, [1.0, 0.0]), (10, [0.5, 0.5])], "tokens long, p array<double>")
+    mixing.fit_rates(table, [5.0, 100.0], max_rate=1.0, steps=3)
+    assert "missed" in caplog.text
+    caplog.clear()
+    mixing.fit_rates(table, [15.0, 5.0])
+    assert "missed" not in caplog.text
