@@ -18,5 +18,5 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     status = pit.as_of(t.b_status, STATUS, AT, ["is_suspended", "is_st"])
     cells = calendar.align(bars, BAR, calendar.trading_days(t.b_calendar, AT), t.b_bar.select("entity_id"), status)
     weekly = series.ffill(series.resample(cells, "1w", ["open", "close", "volume"]), ["close"])
-    average = factors.REGISTRY.evaluate("ma20", lambda name: bars.select("entity_id", "trade_date", name), AT)
+    average = factors.REGISTRY.evaluate("ma20", lambda names: bars.select("entity_id", "trade_date", *names), AT)
     return rounded(weekly.join(average, ["entity_id", "trade_date"], "left"))
