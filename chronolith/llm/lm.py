@@ -130,24 +130,35 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def symbol_contexts(bigrams: DataFrame, size: int) -> DataFrame:
-    """One row per symbol: (s, others, n), its following symbols, and its preceding ones as number + ``size``, with counts.
+    """One row per symbol: (s, m, data), the numbers of its m contexts and their counts as bytes: the symbols that follow
+    it, and those before it as number + ``size``.
 
     A row has at most two entries for each symbol, whose number is bounded; partial lists are gathered before the shuffle.
     """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
+                ends = np.concatenate(([0], np.cumsum(batch.column("others").value_lengths().to_numpy(zero_copy_only=False))))
+                others, n = (batch.column(c).flatten().to_numpy() for c in ("others", "n"))
+                data = [others[x:y].astype(np.int32).tobytes() + n[x:y].astype(np.int64).tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(np.diff(ends).astype(np.int32)), pa.array(data, pa.binary())], names=["s", "m", "data"])
+
     after = bigrams.select(F.col("a").alias("s"), F.col("b").alias("o"), "n")
     before = bigrams.select(F.col("b").alias("s"), (F.col("a") + size).alias("o"), "n")
-    return after.union(before).groupBy("s").agg(F.collect_list("o").alias("others"), F.collect_list("n").alias("n"))
+    lists = after.union(before).groupBy("s").agg(F.collect_list("o").alias("others"), F.collect_list("n").alias("n"))
+    return lists.mapInArrow(packed, "s int, m int, data binary")
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], classes: np.ndarray, k: int, step: int = 128) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _contexts(batches: Iterator[pa.RecordBatch], classes: np.ndarray, k: int, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of runs of symbols: their numbers, and counts of the classes before and after them."""
     side = np.concatenate((classes + k, classes)).astype(np.int64)  # followers stand in columns k and on
     for whole in batches:
         for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
-            lists = batch.column("others")
-            owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
-            others, n = lists.flatten().to_numpy(), batch.column("n").flatten().to_numpy()
-            both = np.bincount(owner * 2 * k + side[others], weights=n, minlength=batch.num_rows * 2 * k).reshape(-1, 2 * k)
+            both = np.zeros((batch.num_rows, 2 * k))
+            for row, (m, data) in enumerate(zip(batch.column("m").to_pylist(), batch.column("data"), strict=True)):
+                held = data.as_buffer()
+                both[row] = np.bincount(side[np.frombuffer(held, np.int32, m)], weights=np.frombuffer(held, np.int64, m, 4 * m), minlength=2 * k)
             yield batch.column("s").to_numpy(), both[:, :k], both[:, k:]
 
 
@@ -172,33 +183,40 @@ def log_likelihood(counts: np.ndarray) -> float:
     return float(_xlogx(counts).sum() - _xlogx(counts.sum(axis=1)).sum() - _xlogx(counts.sum(axis=0)).sum())
 
 
-def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, counts: np.ndarray, tried: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """For symbols with class counts before (``left``) and after (``right``) them: the class each fits best, its own taken
-    out first, and by how much better than its own."""
+    out first, and by how much better than its own.
+
+    A first-order estimate, one matrix product, picks ``tried`` classes for each symbol; those are computed exactly.
+    """
+    log, n_out, n_in = np.log(counts + 1), counts.sum(axis=1), counts.sum(axis=0)
+    rough = right @ log.T + left @ log - right.sum(axis=1)[:, None] * np.log(n_out + 1) - left.sum(axis=1)[:, None] * np.log(n_in + 1)
     rows = np.arange(len(own))
+    rough[:, 0] = -np.inf  # the end's class
+    rough[rows, own] = np.inf
+    chosen = np.argsort(-rough, axis=1)[:, : min(tried, len(counts) - 1)]  # its own class first
 
     def joined(table: np.ndarray, more: np.ndarray) -> np.ndarray:
-        """What each class's row of ``table`` gains by ``more``."""
-        gain = _xlogx(table + more[:, None, :]).sum(axis=2) - _xlogx(table).sum(axis=1)
-        gain[rows, own] = (_xlogx(table[own]) - _xlogx(np.maximum(table[own] - more, 0))).sum(axis=1)
-        return gain
+        """What the chosen classes' rows of ``table`` gain by ``more``."""
+        base = table[chosen]
+        base[:, 0] = np.maximum(base[:, 0] - more, 0)
+        return (_xlogx(base + more[:, None, :]) - _xlogx(base)).sum(axis=2)
 
     def alone(totals: np.ndarray, more: np.ndarray) -> np.ndarray:
-        base = np.broadcast_to(totals, (len(own), len(totals))).copy()
-        base[rows, own] -= more
+        base = totals[chosen]
+        base[:, 0] -= more
         return _xlogx(base + more[:, None]) - _xlogx(base)
 
-    total = joined(counts, right) + joined(counts.T, left) - alone(counts.sum(axis=1), right.sum(axis=1)) - alone(counts.sum(axis=0), left.sum(axis=1))
-    total[:, 0] = -np.inf  # the end's class
+    total = joined(counts, right) + joined(counts.T, left) - alone(n_out, right.sum(axis=1)) - alone(n_in, left.sum(axis=1))
     best = total.argmax(axis=1)
-    return best, total[rows, best] - total[rows, own]
+    return chosen[rows, best], total[rows, best] - total[:, 0]
 
 
-def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least_gain: float = 1e-5) -> tuple[np.ndarray, list[float]]:
+def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least_gain: float = 2e-4) -> tuple[np.ndarray, list[float]]:
     """Class of each symbol, and the likelihood after each accepted round; class 0 is the end's alone.
 
     Moves that gain alone may harm together, so the most gainful half of them is tried, and a half of those again until
-    likelihood rises; a share that worked is doubled for the next round.  Ends after ``rounds``, when no move gains, or when
+    likelihood rises; a share that worked at once is doubled for the next round.  Ends after ``rounds``, when no move gains, or when
     a round gains less than ``least_gain`` of the likelihood.  The driver sees one class per symbol that would move.
     """
     size = len(weight)
@@ -215,6 +233,7 @@ def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least
                 yield pa.RecordBatch.from_arrays([pa.array(symbols[better].astype(np.int64)), pa.array(best[better]), pa.array(gain[better])], names=["s", "c", "gain"])
 
         found = contexts.mapInArrow(moves, "s long, c long, gain double").toPandas().sort_values(["gain", "s"], ascending=[False, True])
+        first = share
         while len(found) and share * len(found) >= 0.5:
             some = found.iloc[: int(np.ceil(share * len(found)))]
             trial = classes.copy()
@@ -227,13 +246,13 @@ def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least
             break
         classes, counts = trial, moved
         history.append(log_likelihood(counts))
-        share = min(1.0, 2 * share)
+        share = min(1.0, 2 * share) if share == first else share
         if history[-1] - history[-2] < least_gain * abs(history[-1]):
             break
     return classes, history
 
 
-def train(docs: DataFrame, text_col: str = "text", classes: int = 64, min_count: int = 20, min_share: float = 2e-6, rounds: int = 12) -> Model:
+def train(docs: DataFrame, text_col: str = "text", classes: int = 64, min_count: int = 20, min_share: float = 2e-6, rounds: int = 8) -> Model:
     """Fit the model on all rows of ``docs``; null texts count as empty, an empty table gives a uniform model.
 
     Other columns are ignored, repeated rows each count.
