@@ -216,8 +216,8 @@ def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least
     """Class of each symbol, and the likelihood after each accepted round; class 0 is the end's alone.
 
     Moves that gain alone may harm together, so the most gainful half of them is tried, and a half of those again until
-    likelihood rises; a share that worked at once is doubled for the next round.  Ends after ``rounds``, when no move gains, or when
-    a round gains less than ``least_gain`` of the likelihood.  The driver sees one class per symbol that would move.
+    likelihood rises; a share that worked at once is doubled for the next round.  Ends after ``rounds``, when no move gains,
+    when not even a 64th of the moves raises likelihood, or when a round gains less than ``least_gain`` of the likelihood.  The driver sees one class per symbol that would move.
     """
     size = len(weight)
     classes = np.zeros(size, np.int64)
@@ -234,7 +234,7 @@ def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least
 
         found = contexts.mapInArrow(moves, "s long, c long, gain double").toPandas().sort_values(["gain", "s"], ascending=[False, True])
         first = share
-        while len(found) and share * len(found) >= 0.5:
+        while len(found) and share >= 1 / 64:
             some = found.iloc[: int(np.ceil(share * len(found)))]
             trial = classes.copy()
             trial[some["s"].to_numpy()] = some["c"].to_numpy()
