@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ann, bpe, chat, exact_dedup, lm, mixing, quality, simhash, toxicity, urls
+from chronolith.llm import ann, bpe, chat, decontaminate, exact_dedup, lm, mixing, quality, simhash, toxicity, urls
 from chronolith.llm.common import fold, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,6 +65,11 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
@@ -77,6 +82,7 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_lm": op9_lm,
         "op10_chat": op10_chat,
+        "op12_decontaminate": op12_decontaminate,
     }
 
 
@@ -150,8 +156,29 @@ def _chat_sql() -> str:
     """
 
 
+def _decontaminate_sql() -> str:
+    """Every window of every document as text, joined to those of the items."""
+    words = lambda name, key: f"SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM {name}"
+    return f"""
+        WITH d AS ({words("documents", "row_number() OVER () AS r, doc_id")}), b AS ({words("benchmark", "coalesce(CAST(item_id AS VARCHAR), '') AS item")}),
+        grams AS (
+            SELECT DISTINCT n, array_to_string(w[p : p + n - 1], ' ') AS gram, item
+            FROM (SELECT item, w, least(len(w), {decontaminate.WINDOW}) AS n, unnest(range(1, len(w) - least(len(w), {decontaminate.WINDOW}) + 2)) AS p FROM b WHERE len(w) > 0)
+        ),
+        placed AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+        runs AS (SELECT r, p, list(word) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND {decontaminate.WINDOW - 1} FOLLOWING) AS run FROM placed),
+        cut AS (SELECT r, p, n, array_to_string(run[1 : n], ' ') AS gram FROM runs, (SELECT DISTINCT n FROM grams) WHERE len(run) >= n),
+        hits AS (SELECT r, p, n, item FROM cut JOIN grams USING (n, gram)),
+        hit AS (SELECT r, count(DISTINCT q) AS n_hit FROM (SELECT r, unnest(range(p, p + n)) AS q FROM hits) GROUP BY r),
+        items AS (SELECT r, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r)
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+        FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "op12_decontaminate": _decontaminate_sql(),
         "op7_url_filter": _url_sql(),
         "op10_chat": _chat_sql(),
         "op6_exact_dedup": """
