@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronolith.llm import ann, bpe, chat, decontaminate, exact_dedup, lm, mixing, quality, simhash, toxicity, urls
+from chronolith.llm import alignment, ann, bpe, chat, decontaminate, exact_dedup, lm, mixing, negatives, quality, simhash, toxicity, urls
 from chronolith.llm.common import fold, table
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,11 +65,20 @@ def op10_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_windows(turns))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), *alignment.default_tokenizers(spark))
+
+
 def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("id") % 100 == 0)
+
+
 def queries() -> dict:
     return {
         "op1_mixing": op1_mixing,
@@ -82,7 +91,9 @@ def queries() -> dict:
         "op8_bpe": op8_bpe,
         "op9_lm": op9_lm,
         "op10_chat": op10_chat,
+        "op11_alignment": op11_alignment,
         "op12_decontaminate": op12_decontaminate,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -176,9 +187,28 @@ def _decontaminate_sql() -> str:
     """
 
 
+def _negatives_sql() -> str:
+    """Every anchor against every row, by components as they are."""
+    return """
+        WITH fine AS (
+            SELECT vec_id AS id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS v
+            FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ),
+        pairs AS (
+            SELECT a.id AS anchor_id, r.id, a.label = r.label AS same, CAST(list_inner_product(a.v, r.v) AS BIGINT) AS score
+            FROM fine a JOIN fine r ON a.id <> r.id WHERE a.id % 100 = 0
+        ),
+        positive AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM pairs WHERE same QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INTEGER) AS rank, id AS negative_id, positive_score, score AS negative_score
+        FROM positive JOIN pairs USING (anchor_id) WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+        WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY row_number() OVER w <= 5
+    """
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op12_decontaminate": _decontaminate_sql(),
+        "op13_hard_negatives": _negatives_sql(),
         "op7_url_filter": _url_sql(),
         "op10_chat": _chat_sql(),
         "op6_exact_dedup": """
