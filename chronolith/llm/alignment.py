@@ -14,7 +14,8 @@ of bounded size; a bucket of pairs is bounded by the two vocabularies.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,11 +27,15 @@ from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
 from tokenizers import Tokenizer
 
-from chronolith.llm.bpe import _binary, _bytes_of, _edges, _one, pack, piece_table, read_tokenizer, unpack
+from chronolith.llm.bpe import _binary, _bytes_of, _edges, _one, pack, piece_table, read_tokenizer, splitter_of, unpack
 from chronolith.llm.common import checkpointed, text_or_empty, text_runs
 
-#: Text of a block, and of what is encoded at once.
-BLOCK_BYTES, STEP_BYTES = 8_000_000, 1_000_000
+#: Text of a block.
+BLOCK_BYTES = 8_000_000
+#: Words of each tokenizer whose ids a worker remembers; beyond it they are forgotten, and encoded anew if they come again.
+MOST_KNOWN = 200_000
+#: A word of a piece model: what stands up to the next space, with the spaces before it.
+WORDS = re.compile(" *[^ ]+| +").findall
 #: Text for each bucket of pairs, the most buckets (beyond it the vocabularies bound a bucket), and blocks of a salt.
 BUCKET_BYTES, MOST_BUCKETS, SALT_BLOCKS = 32_000_000, 4096, 1024
 #: Most shuffle partitions that the size of the input asks for by itself.
@@ -53,20 +58,45 @@ class Tokens:
         # decimal ids with what follows them: within a side, at the end of a side
         self.names = [pa.array([f"{i},".encode() for i in range(len(held))] + [f"{i}{end}".encode() for i in range(len(held))], pa.binary()) for held, end in zip(pieces, "|;", strict=True)]
 
-    def encode(self, texts: list[str]) -> list[list[np.ndarray]]:
-        """Ids of each text, of A for the text after a space, and of B."""
-        made: list[list[np.ndarray]] = [[], []]
-        at = 0
-        while at < len(texts):
-            upto, size = at, 0
-            while upto < len(texts) and (upto == at or size + len(texts[upto]) <= STEP_BYTES):
-                size += len(texts[upto])
-                upto += 1
-            some = texts[at:upto]
-            made[0] += [np.array(e.ids, np.int32) for e in self.a.encode_batch_fast([" " + t for t in some], add_special_tokens=False)]
-            made[1] += [np.array(ids, np.int32) for ids in self.b.encode(some, num_threads=1)]
-            at = upto
-        return made
+        # a piece with no space after another character never spans words, so words are encoded by themselves, each distinct one once
+        crossing = any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
+        self.by_words = not crossing and "".join(self.b.encode("x", out_type=str)) == "▁x"
+        self.split = splitter_of(spec).plain
+        self.known: list[dict[str, bytes]] = [{}, {}]
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of all texts in turn and where each begins and ends, of A for the texts after a space, and of B."""
+        a = lambda words: [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
+        out = [self._encoded(0, texts, lambda text: self.split(" " + text), a)]
+        if self.by_words:
+            space = self.b.piece_to_id("▁")  # the model puts a space before each word but an empty one
+            b = lambda words: [ids or [space] for ids in self.b.encode([w[1:] for w in words], num_threads=1)]
+            return [*out, self._encoded(1, texts, lambda text: WORDS(" " + text), b)]
+        return [*out, self._encoded(1, texts, lambda text: [text], lambda words: self.b.encode(words, num_threads=1))]
+
+    def _encoded(self, side: int, texts: list[str], split: Callable, encode: Callable) -> tuple[np.ndarray, np.ndarray]:
+        known, counts, chunks, held = self.known[side], [], [], []
+        for text in texts:
+            words = split(text)
+            counts.append(len(words))
+            held += words
+            if len(held) > 100_000:
+                chunks.append(pa.array(held, pa.string()))
+                held = []
+        coded = pa.chunked_array([*chunks, pa.array(held, pa.string())]).combine_chunks().dictionary_encode()
+        listed = coded.dictionary.to_pylist()
+        fresh = [w for w in listed if w not in known]
+        made = {}
+        for at in range(0, len(fresh), 10_000):
+            some = fresh[at : at + 10_000]
+            made |= {w: np.array(ids, np.int32).tobytes() for w, ids in zip(some, encode(some), strict=True)}
+        table = pa.array([made[w] if w in made else known[w] for w in listed], pa.binary())
+        if len(known) + len(made) > MOST_KNOWN:
+            known.clear()
+        known |= {w: ids for w, ids in made.items() if len(w) < 100}
+        found = table.take(coded.indices)
+        cut = _edges(pc.binary_length(found).to_numpy(zero_copy_only=False))[_edges(np.array(counts, np.int64))] // 4
+        return np.frombuffer(_bytes_of(found), np.int32, count=cut[-1]), cut
 
 
 @lru_cache(maxsize=2)
@@ -78,31 +108,27 @@ def tokens_of(spec: str, model: bytes) -> Tokens:
     return Tokens(spec, model)
 
 
-def _joined(ids: np.ndarray, table: pa.BinaryArray, edges: np.ndarray) -> tuple[memoryview, np.ndarray]:
-    """Bytes of all ids in turn, and where the runs that ``edges`` cut begin and end in them."""
-    found = table.take(pa.array(ids))
-    return _bytes_of(found), _edges(pc.binary_length(found).to_numpy(zero_copy_only=False))[edges]
-
-
 def aligned(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], np.ndarray, np.ndarray]:
     """n_a, n_b, n_groups and groups_sha256 of each text, and the A and B ids of all links in turn."""
     counts = [np.zeros(len(texts), np.int64) for _ in range(3)]
     digests, given = [""] * len(texts), [n for n, t in enumerate(texts) if t]
     sides = tokens.encode([texts[n] for n in given])
     lost = np.zeros(len(given), bool)
-    for made, table in zip(sides, tokens.pieces, strict=True):
-        data, cut = _joined(np.concatenate([np.empty(0, np.int32), *made]), table, _edges(np.array([len(x) for x in made], np.int64)))
+    for (ids, edges), table in zip(sides, tokens.pieces, strict=True):
+        found = table.take(pa.array(ids))
+        data, cut = _bytes_of(found), _edges(pc.binary_length(found).to_numpy(zero_copy_only=False))[edges]
         for k, (n, a, b) in enumerate(zip(given, cut[:-1].tolist(), cut[1:].tolist(), strict=True)):
             lost[k] |= bytes(data[a:b]) != (" " + texts[n]).encode()
     kept = np.flatnonzero(~lost)
-    ids = [np.concatenate([np.empty(0, np.int32), *[made[k] for k in kept]]) for made in sides]
+    lengths = [np.diff(edges) for _, edges in sides]
+    ids = [x[np.repeat(~lost, n)] for (x, _), n in zip(sides, lengths, strict=True)]
+    lengths = [n[kept] for n in lengths]
     ends = [np.cumsum(sizes[x]) for sizes, x in zip(tokens.sizes, ids, strict=True)]
     marks = [np.zeros(int(ends[0][-1]) + 1 if len(ends[0]) else 1, bool) for _ in ends]
     for mark, end in zip(marks, ends, strict=True):
         mark[end] = True
     last = [marks[1][ends[0]], marks[0][ends[1]]]
     group = [np.cumsum(x) - x for x in last]
-    lengths = [np.array([len(made[k]) for k in kept], np.int64) for made in sides]
     # tokens of A and B in turn of their groups, written out with what follows each
     order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
     names = pa.concat_arrays([t.take(pa.array(x + len(s) * end)) for t, x, s, end in zip(tokens.names, ids, tokens.sizes, last, strict=True)])
@@ -197,8 +223,8 @@ def _spread(held: DataFrame, salt_blocks: int) -> tuple[int, int, int]:
     return min(max(least, 4 * total // BUCKET_BYTES), MOST_BUCKETS), max(1, -(-blocks // salt_blocks)), max(least, min(2 * blocks, MOST_PARTITIONS))
 
 
-def _postings(held: DataFrame, buckets: int, salts: int) -> DataFrame:
-    """(bucket, salt, block, n, keys, numbers, n_docs, planes): a block's pairs of one bucket, with their bitmaps."""
+def _postings(held: DataFrame, buckets: int, salts: int, bitmaps: bool) -> DataFrame:
+    """(bucket, salt, block, n, keys, numbers, n_docs, planes): a block's pairs of one bucket, with their bitmaps if asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,15 +232,18 @@ def _postings(held: DataFrame, buckets: int, salts: int) -> DataFrame:
                 n_docs, n, keys = len(row["n_groups"]), row["n_pairs"], _keys(row["keys"], row["n_pairs"])
                 if not n:
                     continue
-                per_doc = np.array(row["n_groups"], np.int64)
-                codes = unpack(row["codes"], int(per_doc.sum()), np.uint32).astype(np.int64)
-                found, times = np.unique(codes * n_docs + np.repeat(np.arange(n_docs), per_doc), return_counts=True)
-                pair, doc = np.divmod(found, n_docs)
                 place, out = _bucket(keys, buckets), []
-                of = place[pair]
+                if bitmaps:
+                    per_doc = np.array(row["n_groups"], np.int64)
+                    codes = unpack(row["codes"], int(per_doc.sum()), np.uint32).astype(np.int64)
+                    found, times = np.unique(codes * n_docs + np.repeat(np.arange(n_docs), per_doc), return_counts=True)
+                    pair, doc = np.divmod(found, n_docs)
+                    of = place[pair]
                 for bucket in np.unique(place).tolist():
-                    mine, some = np.flatnonzero(place == bucket), of == bucket
-                    planes = pack_planes(np.searchsorted(mine, pair[some]), doc[some], times[some], len(mine), n_docs)
+                    mine, planes = np.flatnonzero(place == bucket), []
+                    if bitmaps:
+                        some = of == bucket
+                        planes = pack_planes(np.searchsorted(mine, pair[some]), doc[some], times[some], len(mine), n_docs)
                     out.append((bucket, row["block"] % salts, row["block"], len(mine), pack(np.diff(keys[mine], prepend=0)), pack(mine.astype(np.uint32)), n_docs, planes))
                 kinds = [pa.int64()] * 4 + [pa.binary()] * 2 + [pa.int64(), pa.list_(pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["bucket", "salt", "block", "n", "keys", "numbers", "n_docs", "planes"])
@@ -318,7 +347,7 @@ def pair_table(docs: DataFrame, a_path: str, b_path: str, text_col: str = "text"
     hold the pair, links of the B id, whether no other pair of that id has more, and n_links / n_b_links."""
     held = encoded(docs.withColumn("__none", F.lit(None).cast("long")), *_tokenizers(a_path, b_path), "__none", text_col)
     buckets, salts, _ = _spread(held, salt_blocks)
-    return _pairs(_postings(held, buckets, salts), buckets).withColumn("share", F.col("n_links") / F.col("n_b_links"))
+    return _pairs(_postings(held, buckets, salts, True), buckets).withColumn("share", F.col("n_links") / F.col("n_b_links"))
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text", salt_blocks: int = SALT_BLOCKS) -> DataFrame:
@@ -334,9 +363,8 @@ def align(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", tex
     held = encoded(docs, spec, model, id_col, text_col)
     id_type = held.schema["owners"].dataType.elementType.simpleString()
     buckets, salts, partitions = _spread(held, salt_blocks)
-    postings = _postings(held, buckets, salts)
-    pairs = checkpointed(_pairs(postings, buckets))
-    answers = _answers(postings, pairs, buckets, salts)
+    pairs = checkpointed(_pairs(_postings(held, buckets, salts, True), buckets))
+    answers = _answers(_postings(held, buckets, salts, False), pairs, buckets, salts)
 
     def join(found: pa.Table, block: pa.Table) -> pa.Table:
         column = lambda name: block.column(name).combine_chunks().flatten()
