@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator, Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
-from itertools import accumulate
 
-import numpy as np
-import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators.spans import numbered, over_chunks
+from chronolith.sources.store import create_once, delete, names_in
+
 KEYS = ["entity_id", "trade_date"]
+#: Most rows of an entity that one step of a scan takes: powers of a decay over so many rows stay within double precision.
+STEP = 256
 
 
 @dataclass(frozen=True)
@@ -125,92 +126,89 @@ REGISTRY = Registry()
 
 
 @REGISTRY.register("ma20", 1, "ma20", ["close"])
-def ma20(inputs: Mapping[str, DataFrame], as_of) -> DataFrame:
+def ma20(inputs: Mapping[str, DataFrame], as_of, span: int | None = None) -> DataFrame:
     """Formula: the mean of the last 20 closes, where all 20 are known.  PIT: inputs are read as of ``as_of``."""
-    frame = Window.partitionBy("entity_id").orderBy("trade_date").rowsBetween(-19, 0)
-    rows = inputs["close"].withColumn("ma20", F.avg("close").over(frame)).withColumn("n", F.count("close").over(frame))
-    return rows.where("n = 20").select(*KEYS, "ma20")
 
+    def columns(keys: Sequence[str]) -> dict[str, Column]:
+        frame = Window.partitionBy(*keys).orderBy("trade_date").rowsBetween(-19, 0)
+        return {"ma20": F.avg("close").over(frame), "n": F.count("close").over(frame)}
+
+    return over_chunks(inputs["close"], "entity_id", "trade_date", span, 19, columns).where("n = 20").select(*KEYS, "ma20")
 
-def directional(bars: DataFrame) -> DataFrame:
+
+def directional(bars: DataFrame, span: int | None = None) -> DataFrame:
     """(keys, tr, plus_dm, minus_dm) of bars (keys, high, low, close); bars with a null price are left out."""
-    order = Window.partitionBy("entity_id").orderBy("trade_date")
-    rows = bars.where("high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL")
-    rows = rows.withColumns({"pc": F.coalesce(F.lag("close").over(order), "close"), "up": F.col("high") - F.lag("high").over(order), "down": F.lag("low").over(order) - F.col("low")})
+
+    def columns(keys: Sequence[str]) -> dict[str, Column]:
+        order = Window.partitionBy(*keys).orderBy("trade_date")
+        return {"pc": F.coalesce(F.lag("close").over(order), "close"), "up": F.col("high") - F.lag("high").over(order), "down": F.lag("low").over(order) - F.col("low")}
+
+    rows = over_chunks(bars.where("high IS NOT NULL AND low IS NOT NULL AND close IS NOT NULL"), "entity_id", "trade_date", span, 1, columns)
     plus = F.when((F.col("up") > F.col("down")) & (F.col("up") > 0), F.col("up")).otherwise(0.0)
     minus = F.when((F.col("down") > F.col("up")) & (F.col("down") > 0), F.col("down")).otherwise(0.0)
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - F.col("pc")), F.abs(F.col("low") - F.col("pc")))
     return rows.select(*KEYS, true_range.alias("tr"), plus.alias("plus_dm"), minus.alias("minus_dm"))
 
 
-class Wilder:
-    """A running Wilder mean: first the mean of ``period`` values, then moved by 1 / period of each further one's distance."""
-
-    def __init__(self, period: int):
-        self.period, self.seen, self.total, self.value = period, 0, 0.0, 0.0
-
-    def extend(self, values: np.ndarray) -> np.ndarray:
-        """The mean after each of the next values; not a number while the first ``period`` are gathered."""
-        out, first = np.full(len(values), np.nan), max(0, min(len(values), self.period - self.seen))
-        if first:
-            self.total += float(values[:first].sum())
-            self.seen += first
-            if self.seen == self.period:
-                self.value = out[first - 1] = self.total / self.period
-        if first < len(values):
-            means = list(accumulate(values[first:].tolist(), lambda s, x: s + (x - s) / self.period, initial=self.value))
-            out[first:], self.value = means[1:], means[-1]
-        return out
-
+def stepped(rows: DataFrame, span: int | None) -> DataFrame:
+    """``rows`` in steps of at most ``STEP`` rows of an entity: __i, the row's number in its entity, __span, the step, and __before,
+    the entity's rows before it.
 
-def _running(rows: DataFrame, columns: Sequence[str], output: str, start: Callable[[], Callable[..., np.ndarray]]) -> DataFrame:
-    """(keys, output) of a running function over each entity's rows in order of day; where it is not a number, no row.
-
-    Rows are sorted within hash partitions and streamed: an entity's rows of a batch are one call, its state goes on to the
-    next batch, so memory is a batch's, however long an entity's history is.
+    Without ``span`` an entity is one partition and its steps are cut by number; with it, spans of so many days (``STEP`` at
+    most) are steps, numbered and held apart, so that an entity needs not fit a task.
     """
+    if span is not None:
+        return numbered(rows, "entity_id", "trade_date", min(span, STEP))
+    rows = rows.withColumn("__i", F.row_number().over(Window.partitionBy("entity_id").orderBy("trade_date")).cast("long"))
+    return rows.withColumn("__span", F.floor((F.col("__i") - 1) / STEP)).withColumn("__before", F.col("__span") * STEP)
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, step = None, None
-        for frame in frames:
-            who, values = frame["entity_id"].to_numpy(), [frame[c].to_numpy(np.float64) for c in columns]
-            edges = np.append(np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.empty(0, np.int64), len(who))
-            out = np.empty(len(frame))
-            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-                if step is None or who[a] != entity:
-                    entity, step = who[a], start()
-                out[a:b] = step(*[v[a:b] for v in values])
-            yield frame[KEYS].assign(**{output: out})[~np.isnan(out)]
-
-    sorted_ = rows.select(*KEYS, *columns).repartition("entity_id").sortWithinPartitions(*KEYS)
-    return sorted_.mapInPandas(run, f"entity_id {rows.schema['entity_id'].dataType.simpleString()}, trade_date date, {output} double")
 
+def scan(rows: DataFrame, columns: Sequence[str], period: int) -> DataFrame:
+    """:func:`stepped` rows with each of ``columns`` smoothed as Wilder does: the mean of the first ``period`` values, then moved by
+    1 / ``period`` of each further one's distance; earlier rows are left out.
 
-def wilder(rows: DataFrame, column: str, period: int) -> DataFrame:
+    A row maps the mean before it by s -> q s + x / period, and such maps compose: a step's rows are summed under powers of q by
+    a window, steps are folded in turn, once for each entity, and what a step takes in is added to its rows.
+    """
+    if period == 1:
+        return rows
+    q, at = 1 - 1 / period, F.greatest(F.col("__i"), F.lit(period))
+    # the first values count alike, so time stands still for them
+    age = at - F.greatest(F.col("__before"), F.lit(period))
+    within = Window.partitionBy("entity_id", "__span").orderBy("trade_date").rowsBetween(Window.unboundedPreceding, 0)
+    own = {f"__{c}": F.sum(F.col(c) / period * F.pow(F.lit(1 / q), "__age")).over(within) * F.pow(F.lit(q), "__age") for c in columns}
+    summed = rows.withColumn("__age", age).withColumns(own)
+    last = F.max_by(F.struct(F.col("__age").alias("age"), *[F.col(f"__{c}").alias(c) for c in columns]), "__i").alias("x")
+    steps = summed.groupBy("entity_id", "__span").agg(last).select("entity_id", F.struct("__span", "x.*").alias("x"))
+    start = F.struct(F.array().cast("array<struct<" + ",".join(["__span:bigint", *[f"{c}:double" for c in columns]]) + ">>").alias("out"), *[F.lit(0.0).alias(c) for c in columns])
+
+    def fold(state: Column, step: Column) -> Column:
+        taken = F.struct(step["__span"].alias("__span"), *[state[c].alias(c) for c in columns])
+        return F.struct(F.concat(state["out"], F.array(taken)).alias("out"), *[(state[c] * F.pow(F.lit(q), step["age"]) + step[c]).alias(c) for c in columns])
+
+    folded = steps.groupBy("entity_id").agg(F.array_sort(F.collect_list("x")).alias("x")).select("entity_id", F.explode(F.aggregate("x", start, fold)["out"]).alias("x"))
+    taken = folded.select("entity_id", "x.__span", *[F.col(f"x.{c}").alias(f"__in_{c}") for c in columns])
+    joined = summed.join(taken, ["entity_id", "__span"], "left").where(F.col("__i") >= period)
+    value = lambda c: F.col(f"__{c}") + F.col(f"__in_{c}") * F.pow(F.lit(q), "__age")
+    return joined.select(*[value(c).alias(c) if c in columns else F.col(c) for c in rows.columns])
+
+
+def wilder(rows: DataFrame, column: str, period: int, span: int | None = None) -> DataFrame:
     """(keys, wilder): Wilder's smoothing of a column without nulls; the first period - 1 rows of an entity give none."""
-    return _running(rows.where(F.col(column).isNotNull()), [column], "wilder", lambda: Wilder(period).extend)
-
-
-def _adx_state(period: int) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
-    parts, last = [Wilder(period) for _ in range(3)], Wilder(period)
-
-    def extend(*values: np.ndarray) -> np.ndarray:
-        true_range, plus, minus = (w.extend(x) for w, x in zip(parts, values, strict=True))
-        total, known = plus + minus, ~np.isnan(true_range)
-        moved = known & (true_range > 0) & (total > 0)
-        index = np.divide(100.0 * np.abs(plus - minus), total, out=np.zeros(len(total)), where=moved)
-        out = np.full(len(total), np.nan)
-        out[known] = last.extend(index[known])
-        return out
-
-    return extend
+    known = rows.where(F.col(column).isNotNull()).select(*KEYS, F.col(column).cast("double").alias("wilder"))
+    return scan(stepped(known, span), ["wilder"], period).select(*KEYS, "wilder")
 
 
 @REGISTRY.register("adx", 1, "adx", ["high", "low", "close"])
-def adx(inputs: Mapping[str, DataFrame], as_of, period: int = 14) -> DataFrame:
+def adx(inputs: Mapping[str, DataFrame], as_of, period: int = 14, span: int | None = None) -> DataFrame:
     """Formula: Wilder's smoothing of DX = 100 |+DI - -DI| / (+DI + -DI), 0 without range.  PIT: inputs are read as of ``as_of``."""
     bars = together(inputs, ["high", "low", "close"])
-    return _running(directional(bars), ["tr", "plus_dm", "minus_dm"], "adx", lambda: _adx_state(period))
+    rows = scan(stepped(directional(bars, span), span), ["tr", "plus_dm", "minus_dm"], period)
+    total = F.col("plus_dm") + F.col("minus_dm")
+    index = F.when((F.col("tr") > 0) & (total > 0), 100.0 * F.abs(F.col("plus_dm") - F.col("minus_dm")) / total).otherwise(0.0)
+    # the smoothed rows are numbered anew: the first of them is number ``period`` of all
+    rest = rows.select(*KEYS, "__span", (F.col("__i") - period + 1).alias("__i"), F.greatest(F.col("__before") - period + 1, F.lit(0)).alias("__before"), index.alias("adx"))
+    return scan(rest, ["adx"], period).select(*KEYS, "adx")
 
 
 @REGISTRY.register("ma20_gap", 1, "ma20_gap", ["ma20", "close"])
@@ -220,41 +218,42 @@ def ma20_gap(inputs: Mapping[str, DataFrame], as_of) -> DataFrame:
     return joined.select(*KEYS, (F.col("close") / F.when(F.col("ma20") != 0, F.col("ma20")) - 1).alias("ma20_gap"))
 
 
-def _generations(spark: SparkSession, path: str) -> DataFrame | None:
-    """The projection's list of finished generations, if there is one."""
-    try:
-        return spark.read.schema("generation long").parquet(f"{path.rstrip('/')}/finished")
-    except AnalysisException as missing:
-        if missing.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return None
+def _finished(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the projection's finished generations."""
+    return sorted(int(name) for name in names_in(spark, f"{path.rstrip('/')}/finished") if name.isdigit())
 
 
 def current_projection(spark: SparkSession, path: str) -> DataFrame:
     """The rows of the last generation that was finished at ``path``; none yet is an error."""
-    done = _generations(spark, path)
-    last = None if done is None else done.agg(F.max("generation")).first()[0]
-    if last is None:
+    done = _finished(spark, path)
+    if not done:
         raise ValueError("the projection was never materialised")
-    return spark.read.parquet(f"{path.rstrip('/')}/generation={last}")
+    return spark.read.parquet(f"{path.rstrip('/')}/generation={done[-1]}")
 
 
-def materialise(rows: DataFrame, factor: Factor, as_of, computed_at, fingerprint: str, path: str) -> DataFrame:
+def materialise(rows: DataFrame, factor: Factor, as_of, computed_at, fingerprint: str, path: str, keep: int | None = None) -> DataFrame:
     """Write a factor's rows with their audit columns as the next generation at ``path``, make it the current one, read it.
 
-    A generation is a folder of its own and counts only once it is on the list of finished ones, which is the last thing
-    written: readers see the whole of one generation or the whole of the next, and a failed write is never seen.
+    A generation is a folder of its own, whose number its writer has claimed by a file that only one can create; it counts only
+    once a file with its number is among those of finished ones, which is the last thing written.  So two writers
+    make two generations, readers see the whole of one, and a failed write is never seen.  ``keep``: how many of the finished generations before it stay
+    (all, if not given); the others are deleted, which readers of the last few don't notice.
     """
-    spark = rows.sparkSession
-    done = _generations(spark, path)
-    generation = 1 + ((done.agg(F.max("generation")).first()[0] if done is not None else None) or 0)
+    spark, root = rows.sparkSession, path.rstrip("/")
+    generation = 1 + max(_finished(spark, path), default=0)
+    while not create_once(spark, f"{root}/claims/{generation}"):
+        generation += 1
     audit = {
         "algorithm_id": F.lit(factor.algorithm_id), "algorithm_version": F.lit(factor.version).cast("long"), "as_of": F.lit(as_of).cast("timestamp_ntz"), "computed_at": F.lit(computed_at).cast("timestamp_ntz"),
         "data_generation": F.lit(generation).cast("long"), "upstream_fingerprint": F.lit(fingerprint),
     }
-    rows.withColumns(audit).write.mode("overwrite").parquet(f"{path.rstrip('/')}/generation={generation}")
-    spark.range(generation, generation + 1).select(F.col("id").alias("generation")).coalesce(1).write.mode("append").parquet(f"{path.rstrip('/')}/finished")
-    return current_projection(spark, path)
+    rows.withColumns(audit).write.mode("overwrite").parquet(f"{root}/generation={generation}")
+    create_once(spark, f"{root}/finished/{generation}")
+    if keep is not None:
+        for old in [n for n in _finished(spark, path) if n < generation][: -keep or None]:
+            delete(spark, f"{root}/finished/{old}")
+            delete(spark, f"{root}/generation={old}")
+    return spark.read.parquet(f"{root}/generation={generation}")
 
 
 def read_projection(projection: DataFrame, factor: Factor, at, window: tuple | None = None, entities: Sequence | None = None, fingerprint: str | None = None) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _position(df: DataFrame, name: str) -> Column:
+def position(df: DataFrame, name: str) -> Column:
     """A time as a number: days of a date, microseconds of a timestamp, a number as it is."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.DateType):
@@ -51,9 +51,9 @@ def asof_join(
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError("unknown direction")
     tie = F.lit(0).cast("long") if tie is None else tie.cast("long")
-    a = left.select(*by, _position(left, left_on).alias("__p"), F.struct(*left.columns).alias("__l"))
+    a = left.select(*by, position(left, left_on).alias("__p"), F.struct(*left.columns).alias("__l"))
     b = right.withColumn("__tie0", tie).where(F.col(right_on).isNotNull())
-    b = b.select(*by, _position(right, right_on).alias("__p"), F.struct(_position(right, right_on).alias("__at"), *[c for c in right.columns if c not in by]).alias("__r"), "__tie0")
+    b = b.select(*by, position(right, right_on).alias("__p"), F.struct(position(right, right_on).alias("__at"), *[c for c in right.columns if c not in by]).alias("__r"), "__tie0")
     seen = _last_seen(a, b, by, direction == "forward", F.col("__tie0"), span)
     if direction == "nearest":
         seen = seen.withColumn("__l", F.struct(F.col("__l").alias("l"), F.col("__r").alias("r")))

@@ -11,8 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chronolith.operators.joins import days_covered
 from chronolith.operators.pit import first_by
+from chronolith.sources.store import claimed
 
 
 def any_of(conditions: Sequence[Column]) -> Column:
@@ -57,45 +57,102 @@ def reconcile(latest: DataFrame, reference: DataFrame, keys: Sequence[str]) -> D
     return latest.where(~any_of([F.col(k).isNull() for k in keys])).join(target.select(*keys).distinct(), list(keys), "left_anti")
 
 
-def expected_pairs(intervals: DataFrame, days: DataFrame) -> DataFrame:
-    """(entity_id, trade_date) in the market: the winner of the intervals over each day by start, version, knowledge isn't delisted."""
-    met = days_covered(intervals, days, "start_date", "end_date")
-    won = first_by(met, ["entity_id", "trade_date"], [F.desc("start_date"), F.desc("version"), F.desc("knowledge_time")])
-    return won.where(F.col("status").isNull() | (F.col("status") != "delisted")).select("entity_id", "trade_date")
+def ordinals(days: DataFrame) -> DataFrame:
+    """(n, trade_date): a calendar's days numbered from 0."""
+    return days.agg(F.array_sort(F.collect_set("trade_date")).alias("d")).select(F.posexplode("d").alias("n", "trade_date"))
 
 
-def judged_pairs(expected: DataFrame, rows: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    """(entity_id, trade_date, missing): expected pairs; missing without a row of any version and, with ``status``, without a
-    suspension of any version.  Missing pairs, coverage and break days all come from this one frame."""
-    keys = ["entity_id", "trade_date"]
-    joined = expected.join(rows.select(*keys, F.lit(True).alias("__row")).distinct(), keys, "left")
-    gone = F.col("__row").isNull()
-    if status is not None:
-        joined = joined.join(status.where("is_suspended").select(*keys, F.lit(True).alias("__halt")).distinct(), keys, "left")
-        gone &= F.col("__halt").isNull()
-    return joined.select(*keys, gone.alias("missing"))
-
-
-def missing_pairs(expected: DataFrame, rows: DataFrame, status: DataFrame | None = None) -> DataFrame:
-    return judged_pairs(expected, rows, status).where("missing").drop("missing")
+def _in_ordinals(intervals: DataFrame, days: DataFrame, epoch: str = "1990-01-01") -> DataFrame:
+    """Intervals that cover a day, with __from and __to, the first and last day's number.  A null start is ``epoch``, a null end is open.
 
+    Every date of the calendar's range has the number of the next day and the last one; intervals meet it by equality.  The
+    calendar, a row for each date, is broadcast: thirty years are 11,000 rows.
+    """
+    listed = days.agg(F.array_sort(F.collect_set("trade_date")).alias("d"))
+    stretch = F.transform("d", lambda d, n: F.struct(F.when(n == 0, d).otherwise(F.date_add(F.get("d", n - 1), 1)).alias("a"), d.alias("b")))
+    dates = listed.select(F.posexplode(stretch).alias("n", "x")).select("n", F.explode(F.sequence("x.a", "x.b")).alias("date"), "x.b")
+    dates = F.broadcast(dates.select("date", F.col("n").alias("next"), (F.col("n") - (F.col("date") != F.col("b")).cast("int")).alias("last")))
+    ends = F.broadcast(listed.where(F.size("d") > 0).select(F.get("d", F.lit(0)).alias("__first"), F.element_at("d", -1).alias("__last")))
+    start = F.coalesce(F.col("start_date"), F.lit(epoch).cast("date"))
+    met = intervals.join(ends, (start <= F.col("__last")) & (F.col("end_date").isNull() | (F.col("end_date") >= F.col("__first"))))
+    met = met.withColumns({"__a": F.greatest(start, "__first"), "__b": F.least(F.coalesce("end_date", "__last"), "__last")}).where("__a <= __b")
+    met = met.join(dates.select(F.col("date").alias("__a"), F.col("next").alias("__from")), "__a").join(dates.select(F.col("date").alias("__b"), F.col("last").alias("__to")), "__b")
+    return met.where("__from <= __to").drop("__a", "__b", "__first", "__last")
+
+
+def expected_segments(intervals: DataFrame, days: DataFrame) -> DataFrame:
+    """(entity_id, __from, __to): runs of days, by number, on which an entity is in the market: the winner of the intervals over
+    each day by start, version, knowledge isn't delisted.
+
+    An entity's intervals are cut at each other's ends, which are at most one more than there are days, and the winner of each piece is
+    chosen; no interval is unrolled by day.
+    """
+    met = _in_ordinals(intervals, days)
+    cuts = met.select("entity_id", F.explode(F.array("__from", F.col("__to") + 1)).alias("c")).groupBy("entity_id").agg(F.array_sort(F.collect_set("c")).alias("__cuts"))
+    piece = F.transform("__cuts", lambda c, n: F.struct(c.alias("a"), (F.get("__cuts", n + 1) - 1).alias("b")))
+    pieces = met.join(cuts, "entity_id").withColumn("__x", F.explode(F.filter(piece, lambda x: x["a"].between(F.col("__from"), F.col("__to")))))
+    won = first_by(pieces.withColumn("__at", F.col("__x.a")), ["entity_id", "__at"], [F.desc("start_date"), F.desc("version"), F.desc("knowledge_time")])
+    return won.where(F.col("status").isNull() | (F.col("status") != "delisted")).select("entity_id", F.col("__x.a").alias("__from"), F.col("__x.b").alias("__to"))
 
-def uncovered_pairs(expected: DataFrame, intervals: DataFrame) -> DataFrame:
-    """Expected pairs that no interval row covers."""
-    days = expected.select("trade_date").distinct()
-    return expected.join(days_covered(intervals, days, "start_date", "end_date").select("entity_id", "trade_date").distinct(), ["entity_id", "trade_date"], "left_anti")
 
+def missing_runs(segments: DataFrame, days: DataFrame, rows: DataFrame, status: DataFrame | None = None) -> DataFrame:
+    """(entity_id, __from, __to): runs of expected days without a row of any version and, with ``status``, without a suspension of
+    any version.
 
-def coverage(judged: DataFrame) -> DataFrame:
-    """One row of :func:`judged_pairs`: expected, missing, ratio."""
-    counts = judged.agg(F.count(F.lit(1)).alias("expected"), F.count_if("missing").alias("missing"))
+    A sweep over each entity's segments and the days it has, each once, in order: what lies between one and the next is missing.
+    """
+    keys = ["entity_id", "trade_date"]
+    seen = rows.select(*keys)
+    seen = seen if status is None else seen.unionByName(status.where("is_suspended").select(*keys))
+    had = seen.distinct().join(F.broadcast(ordinals(days)), "trade_date").select("entity_id", F.col("n").alias("at"), F.lit(None).cast("int").alias("to"))
+    points = segments.select("entity_id", F.col("__from").alias("at"), F.col("__to").alias("to")).unionByName(had)
+    order = Window.partitionBy("entity_id").orderBy("at", F.col("to").asc_nulls_last())
+    within = F.last("to", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    begin = F.when(F.col("to").isNull(), F.col("at") + 1).otherwise(F.col("at"))
+    # before its first segment nothing of an entity is missing (least() would pass over the null)
+    upto = F.when(within.isNotNull(), F.least(within, F.lead("at").over(order) - 1))
+    return points.select("entity_id", begin.alias("__from"), upto.alias("__to")).where("__from <= __to")
+
+
+def uncovered_runs(entities: DataFrame, intervals: DataFrame, days: DataFrame) -> DataFrame:
+    """(entity_id, __from, __to): runs of days on which no interval of an entity covers it."""
+    met = _in_ordinals(intervals, days).groupBy("entity_id", "__from").agg(F.max("__to").alias("__to"))
+    # a last point after all days, so that what is missing at the end lies before something
+    count = F.broadcast(days.agg(F.count_distinct("trade_date").cast("int").alias("__from")))
+    last = entities.select("entity_id").distinct().join(count).select("entity_id", "__from", F.col("__from").alias("__to"), F.lit(True).alias("__asked"))
+    points = last.unionByName(met.withColumn("__asked", F.lit(None).cast("boolean")))
+    order = Window.partitionBy("entity_id").orderBy("__from")
+    asked = F.max("__asked").over(Window.partitionBy("entity_id"))
+    before = F.coalesce(F.max("__to").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    found = points.select("entity_id", (before + 1).alias("__from"), (F.col("__from") - 1).alias("__to"), asked.alias("__asked"))
+    return found.where("__asked AND __from <= __to").drop("__asked")
+
+
+def pairs_of(runs: DataFrame, days: DataFrame) -> DataFrame:
+    """(entity_id, trade_date) of runs of days."""
+    each = runs.select("entity_id", F.explode(F.sequence("__from", "__to")).alias("n"))
+    return each.join(F.broadcast(ordinals(days)), "n").select("entity_id", "trade_date")
+
+
+def held() -> Column:
+    """How many days runs hold together."""
+    return F.coalesce(F.sum(F.col("__to") - F.col("__from") + 1), F.lit(0)).cast("long")
+
+
+def coverage(segments: DataFrame, missing: DataFrame) -> DataFrame:
+    """One row: expected and missing days of all entities, ratio."""
+    counts = segments.agg(held().alias("expected")).join(missing.agg(held().alias("missing")))
     return counts.withColumn("ratio", (F.col("expected") - F.col("missing")) / F.when(F.col("expected") > 0, F.col("expected")))
 
 
-def break_days(judged: DataFrame, least: float = 0.99) -> DataFrame:
-    """Days whose own ratio is under ``least``."""
-    days = judged.groupBy("trade_date").agg(F.count(F.lit(1)).alias("expected"), F.count_if("missing").alias("missing"))
-    return days.where(1 - F.col("missing") / F.col("expected") < least)
+def break_days(segments: DataFrame, missing: DataFrame, days: DataFrame, least: float = 0.99) -> DataFrame:
+    """Days whose own ratio is under ``least``: runs count where they begin and end, and the counts are summed along the calendar."""
+    ends = lambda runs, name: runs.select(F.explode(F.array(F.struct(F.col("__from").alias("n"), F.lit(1).alias(name)), F.struct((F.col("__to") + 1).alias("n"), F.lit(-1).alias(name)))).alias("x")).groupBy("x.n").agg(F.sum(f"x.{name}").alias(name))
+    moved = ordinals(days).join(ends(segments, "expected"), "n", "left").join(ends(missing, "missing"), "n", "left")
+    # one row for each day of the calendar
+    past = Window.orderBy("n").rowsBetween(Window.unboundedPreceding, 0)
+    told = moved.select("trade_date", *[F.coalesce(F.sum(c).over(past), F.lit(0)).cast("long").alias(c) for c in ("expected", "missing")])
+    return told.where((F.col("expected") > 0) & (1 - F.col("missing") / F.nullif(F.col("expected"), F.lit(0)) < least))
 
 
 def freshness(rows: DataFrame, days: DataFrame, event: str = "trade_date") -> DataFrame:
@@ -138,7 +195,8 @@ class Check:
     """``violating``: a function that gives the violating rows, or a condition on rows of ``checked``, the rows they are among.
 
     ``sample``: columns of a violation that are shown; ``metrics``: a function that gives one row of figures; ``skip``: why
-    there is nothing to run (no target, no shared key), if so.
+    there is nothing to run (no target, no shared key), if so; ``size``: an aggregate that tells how many rows ``checked`` stands for;
+    ``note``: a text of the rule, which is added to its message.
     """
 
     dataset: str
@@ -150,6 +208,8 @@ class Check:
     sample: Sequence[str] = ()
     metrics: Callable[[], DataFrame] | None = None
     skip: str | None = None
+    size: Column | None = None
+    note: str = ""
 
 
 RESULT = "dataset string, check_id string, family string, severity string, status string, window_start date, window_end date, rows_checked long, violations long, samples string, metrics string, message string"
@@ -169,7 +229,7 @@ def _counts(checks: Sequence[Check]) -> DataFrame:
         if isinstance(found, Column):
             conditions.setdefault(id(c.checked), []).append((n, c, found))
             continue
-        one = c.checked.agg(F.count(F.lit(1)).alias("rows_checked")).join(found.agg(F.count(F.lit(1)).alias("violations")))
+        one = c.checked.agg((F.count(F.lit(1)) if c.size is None else c.size).alias("rows_checked")).join(found.agg(F.count(F.lit(1)).alias("violations")))
         one = one.join(c.metrics().select(F.to_json(F.struct("*")).alias("metrics"))) if c.metrics else one.withColumn("metrics", none)
         parts.append(one.select(F.lit(n).alias("n"), "rows_checked", "violations", "metrics"))
     for group in conditions.values():
@@ -232,6 +292,7 @@ def scan(spark: SparkSession, checks: Sequence[Check], window: tuple[str, str],
             status, message = "error", problem
         else:
             status, message = ("failed", f"{row.violations} violations") if row.violations else ("passed", "passed")
+        message = f"{message} ({c.note})" if c.note else message
         shown = row is not None and problem is None
         out.append(
             (c.dataset, c.check_id, c.family, c.severity, status, *map(dt.date.fromisoformat, window), row.rows_checked if shown else 0, row.violations if shown else 0,
@@ -270,6 +331,10 @@ def freshness_board(datasets: DataFrame, marks: DataFrame, lags: DataFrame, runs
     return joined.withColumn("failures", F.coalesce("failures", F.lit(0)))
 
 
-def replace_run(results: DataFrame, path: str) -> None:
-    """Write results partitioned by run_id; runs that are written again are replaced, others stay."""
-    results.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+def replace_run(results: DataFrame, path: str, wait: float = 600.0) -> None:
+    """Write results partitioned by run_id; runs that are written again are replaced, others stay.
+
+    Written under a claim: Spark commits a folder of such a table as a whole, so two writers at once would lose one's files.
+    """
+    with claimed(results.sparkSession, path, wait):
+        results.repartition("run_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)

@@ -1,6 +1,7 @@
 """Time series over point-in-time reads, always in the order resample, fill, rolling, change.
 
-All steps after resampling are windows by entity in order of event time, so they share one shuffle and one sort.
+All steps after resampling are windows by entity in order of event time, so they share one shuffle and one sort.  ``span`` cuts
+long entities into chunks (see :mod:`chronolith.operators.spans`), so that one that holds much of the table fits no single task.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.operators.spans import carried, over_chunks
+
 #: Calendar units of frequencies, and default aggregates by field.
 UNITS = {"1w": "week", "1mo": "month", "1q": "quarter", "1y": "year"}
 DEFAULTS = {"open": "first", "high": "max", "low": "min", "close": "last", "pre_close": "last", "volume": "sum", "amount": "sum"}
@@ -49,44 +52,47 @@ def resample(df: DataFrame, freq: str, fields: Sequence[str], aggs: dict[str, st
     return df.groupBy(key, bucket).agg(F.max(time).alias(time), *out).drop("__bucket")
 
 
-def ffill(df: DataFrame, fields: Sequence[str], key: str = "entity_id", time: str = "trade_date") -> DataFrame:
+def ffill(df: DataFrame, fields: Sequence[str], key: str = "entity_id", time: str = "trade_date", span: int | None = None) -> DataFrame:
     """Nulls of ``fields`` filled with the last value before them."""
-    past = Window.partitionBy(key).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f: F.last(f, ignorenulls=True).over(past) for f in fields})
+    return carried(df, key, time, span, fields)
 
 
-def rolling(df: DataFrame, fields: Sequence[str], window: int, op: str, min_periods: int | None = None, key: str = "entity_id", time: str = "trade_date") -> DataFrame:
+def rolling(df: DataFrame, fields: Sequence[str], window: int, op: str, min_periods: int | None = None, key: str = "entity_id", time: str = "trade_date", span: int | None = None) -> DataFrame:
     """``{field}_roll{n}_{op}`` over the last ``window`` rows: null with fewer non-null values (for count: rows) than ``min_periods``."""
     if window < 1 or op not in ("mean", "sum", "min", "max", "last", "count"):
         raise ValueError("a rolling needs a window and a known op")
-    need, frame = min_periods or window, Window.partitionBy(key).orderBy(time).rowsBetween(-(window - 1), 0)
-    made = {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": lambda f: F.count(f).over(frame)}
-    out = {}
-    for f in fields:
-        value = F.col(f) if op == "last" else made[op](f) if op == "count" else made[op](f).over(frame)
-        enough = F.count(F.lit(1)).over(frame) if op == "count" else F.count(f).over(frame)
-        out[f"{f}_roll{window}_{op}"] = F.when(enough >= need, value)
-    return df.withColumns(out)
+    need, made = min_periods or window, {"mean": F.avg, "sum": F.sum, "min": F.min, "max": F.max, "count": F.count}
+
+    def columns(keys: Sequence[str]) -> dict[str, Column]:
+        frame = Window.partitionBy(*keys).orderBy(time).rowsBetween(-(window - 1), 0)
+        enough = lambda f: F.count(F.lit(1) if op == "count" else f).over(frame) >= need
+        return {f"{f}_roll{window}_{op}": F.when(enough(f), F.col(f) if op == "last" else made[op](f).over(frame)) for f in fields}
+
+    return over_chunks(df, key, time, span, window - 1, columns)
 
 
-def change(df: DataFrame, fields: Sequence[str], k: int, key: str = "entity_id", time: str = "trade_date") -> DataFrame:
+def change(df: DataFrame, fields: Sequence[str], k: int, key: str = "entity_id", time: str = "trade_date", span: int | None = None) -> DataFrame:
     """``{field}_chg{k}``: the value over that of ``k`` rows before, less 1; over zero it is an infinity, or NaN from zero."""
     if k < 1:
         raise ValueError("k must be 1 or more")
-    order, out = Window.partitionBy(key).orderBy(time), {}
-    for f in fields:
-        past, now = F.lag(f, k).over(order), F.col(f)
-        infinite = F.when(now > 0, F.lit(float("inf"))).when(now < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
-        out[f"{f}_chg{k}"] = F.when(now.isNull() | past.isNull(), None).when(past == 0, infinite).otherwise(now / F.when(past != 0, past) - 1)
-    return df.withColumns(out)
+
+    def columns(keys: Sequence[str]) -> dict[str, Column]:
+        order, out = Window.partitionBy(*keys).orderBy(time), {}
+        for f in fields:
+            past, now = F.lag(f, k).over(order), F.col(f)
+            infinite = F.when(now > 0, F.lit(float("inf"))).when(now < 0, F.lit(float("-inf"))).otherwise(F.lit(float("nan")))
+            out[f"{f}_chg{k}"] = F.when(now.isNull() | past.isNull(), None).when(past == 0, infinite).otherwise(now / F.when(past != 0, past) - 1)
+        return out
+
+    return over_chunks(df, key, time, span, k, columns)
 
 
-def series(df: DataFrame, fields: Sequence[str], freq: str = "1d", aggs=None, fill: str | None = None, roll: tuple | None = None, chg: int | None = None) -> DataFrame:
+def series(df: DataFrame, fields: Sequence[str], freq: str = "1d", aggs=None, fill: str | None = None, roll: tuple | None = None, chg: int | None = None, span: int | None = None) -> DataFrame:
     """The whole chain over an as-of (and maybe aligned) frame."""
     out = resample(df, freq, fields, aggs)
-    out = ffill(out, fields) if fill == "ffill" else out
-    out = rolling(out, fields, *roll) if roll else out
-    return change(out, fields, chg) if chg else out
+    out = ffill(out, fields, span=span) if fill == "ffill" else out
+    out = rolling(out, fields, *roll, span=span) if roll else out
+    return change(out, fields, chg, span=span) if chg else out
 
 
 def panel(df: DataFrame, fields: Sequence[str], entities: Sequence, time: str = "trade_date") -> DataFrame:
