@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chronolith.functions import codes, usage
@@ -10,8 +12,9 @@ from chronolith.plans.q_identity import _DIFF, _STAMP, NOW
 from chronolith.plans.registry import query
 from chronolith.plans.spec import BAR, FACTOR, LINE
 from chronolith.sources import sinks, vendor
-from chronolith.streaming.restate import stream_restate
+from chronolith.streaming.restate import stream_restate, stream_restate_state
 
+NOON = "2024-01-20 12:00:00"
 TOP = "QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY {o}) = 1"
 LATEST = "(SELECT * FROM b_line " + TOP.format(k="l_orderkey, l_linenumber", o="knowledge_time DESC, version DESC") + ")"
 COLS = "l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity, l_returnflag"
@@ -52,21 +55,23 @@ _MISSING = f"""SELECT e.* FROM ({_EXPECTED}) e WHERE NOT EXISTS (SELECT 1 FROM b
 _PAIRS = ("b_market", "b_calendar", "b_bar", "b_status")
 
 
-def _pairs(t):
-    return quality.judged_pairs(quality.expected_pairs(t.b_market, open_days(t)), t.b_bar, t.b_status)
+def _runs(t):
+    """Runs of expected and of missing days."""
+    segments = quality.expected_segments(t.b_market, open_days(t))
+    return segments, quality.missing_runs(segments, open_days(t), t.b_bar, t.b_status)
 
 
-query("quality_missing_pairs", _MISSING, _PAIRS)(lambda t: _pairs(t).where("missing").drop("missing"))
-query("quality_completeness", f"SELECT expected, missing, round((expected - missing) / expected, 6) AS ratio FROM (SELECT (SELECT count(*) FROM ({_EXPECTED})) AS expected, (SELECT count(*) FROM ({_MISSING})) AS missing)", _PAIRS)(lambda t: quality.coverage(_pairs(t)))
+query("quality_missing_pairs", _MISSING, _PAIRS)(lambda t: quality.pairs_of(_runs(t)[1], open_days(t)))
+query("quality_completeness", f"SELECT expected, missing, round((expected - missing) / expected, 6) AS ratio FROM (SELECT (SELECT count(*) FROM ({_EXPECTED})) AS expected, (SELECT count(*) FROM ({_MISSING})) AS missing)", _PAIRS)(lambda t: quality.coverage(*_runs(t)))
 query("quality_break_days", f"SELECT a.trade_date, a.n AS expected, b.n AS missing FROM (SELECT trade_date, count(*) AS n FROM ({_EXPECTED}) GROUP BY 1) a JOIN (SELECT trade_date, count(*) AS n FROM ({_MISSING}) GROUP BY 1) b USING (trade_date) WHERE 1 - b.n / a.n < 0.95", _PAIRS)(
-    lambda t: quality.break_days(_pairs(t), 0.95)
+    lambda t: quality.break_days(*_runs(t), open_days(t), 0.95)
 )
 query(
     "quality_interval_completeness",
     f"""WITH e AS (SELECT x.entity_id, d.trade_date FROM (SELECT DISTINCT entity_id FROM b_market) x CROSS JOIN ({DAYS}) d)
     SELECT * FROM e WHERE NOT EXISTS (SELECT 1 FROM b_market m WHERE m.entity_id % 3 <> 0 AND m.entity_id = e.entity_id AND m.start_date <= e.trade_date AND (m.end_date IS NULL OR m.end_date >= e.trade_date))""",
     ("b_market", "b_calendar"),
-)(lambda t: quality.uncovered_pairs(calendar.grid(t.b_market, open_days(t)), t.b_market.where("entity_id % 3 <> 0")))
+)(lambda t: quality.pairs_of(quality.uncovered_runs(t.b_market, t.b_market.where("entity_id % 3 <> 0"), open_days(t)), open_days(t)))
 query("quality_freshness", f"SELECT latest, max(trade_date) AS last_open, count(*) FILTER (WHERE trade_date > latest) AS lag_days FROM (SELECT max(trade_date) AS latest FROM b_bar1 WHERE trade_date < DATE '2024-01-23'), ({DAYS}) GROUP BY latest", ("b_bar1", "b_calendar"))(
     lambda t: quality.freshness(t.b_bar1.where("trade_date < DATE'2024-01-23'"), open_days(t))
 )
@@ -105,10 +110,10 @@ _RATIO = f"(SELECT CAST(to_json(struct_pack(expected := e, missing := m, ratio :
     ]), ("b_line", "b_bar1", *_PAIRS),
 )
 def _(t):
-    lines, judged, bars = latest(t), _pairs(t), t.b_bar1
+    lines, (segments, missing), bars = latest(t), _runs(t), t.b_bar1
     line = lambda name, severity, rule, checked=lines: quality.Check("line", name, "rule", severity, checked, rule, ["l_orderkey", "l_linenumber"])
     keys = ["entity_id", "trade_date"]
-    figures = lambda: quality.coverage(judged).select("expected", "missing", F.round("ratio", 6).alias("ratio"))
+    figures = lambda: quality.coverage(segments, missing).select("expected", "missing", F.round("ratio", 6).alias("ratio"))
     return quality.scan(
         t.spark,
         [
@@ -116,7 +121,7 @@ def _(t):
             line("enum", "warn", lambda: ~F.col("l_returnflag").isin("A", "R")),
             line("empty", "error", lambda: F.col("l_quantity") < 0, lines.where("false")),
             quality.Check("bar", "reconcile", "rule", "error", bars, lambda: quality.reconcile(bars, t.b_calendar, ["trade_date"]), keys),
-            quality.Check("bar", "completeness", "completeness", "error", judged, lambda: judged.where("missing"), keys, figures),
+            quality.Check("bar", "completeness", "completeness", "error", segments, lambda: quality.pairs_of(missing, open_days(t)), keys, figures, size=quality.held()),
             line("unplanned", "error", lambda: quality.expression(lines, "no_such_column > 0")),
             line("divided", "warn", lambda: quality.expression(lines, "1 / (l_quantity - l_quantity) > 0")),
             quality.Check("line", "no_target", "rule", "error", lines, None, skip="no target table"),
@@ -215,11 +220,17 @@ PRINT = "substring(sha256('ma20@v1'), 1, 16)"
 
 
 def _kept(t):
+    """The current generation of a projection; it is written at the session's first call."""
+    return factors.current_projection(t.spark, t.once("derived_ma20", lambda: _materialised(t)))
+
+
+def _materialised(t):
     """Two generations, of which the second, whose inputs are known later, is the current one."""
     f, path = factors.REGISTRY.factors["ma20"], sinks.shared_folder(t.spark, "derived_ma20")
     early = factors.REGISTRY.evaluate("ma20", lambda names: adjust.read(t.b_bar, t.b_factor, BAR, FACTOR, "2024-01-25 00:00:00", list(names), "hfq"), "2024-01-25 00:00:00")
     factors.materialise(early, f, "2024-01-25 00:00:00", "2024-01-25 01:00:00", factors.REGISTRY.fingerprint("ma20"), path)
-    return factors.materialise(factor(t, "ma20"), f, ALL_AT, "2024-02-15 01:00:00", factors.REGISTRY.fingerprint("ma20"), path)
+    factors.materialise(factor(t, "ma20"), f, ALL_AT, "2024-02-15 01:00:00", factors.REGISTRY.fingerprint("ma20"), path, keep=0)
+    return path
 
 
 query(
@@ -445,23 +456,63 @@ def _(t):
     return t.spark.read.parquet(path).select("l_orderkey", "l_linenumber", "version", F.col("month").cast("string").alias("month"))
 
 
-@query(
-    "stream_restate",
-    f"SELECT entity_id, trade_date, close, knowledge_time, version FROM b_bar1 UNION ALL SELECT i.entity_id, i.trade_date, i.close, {_STAMP.rsplit(', CASE', 1)[0]} FROM b_incoming i LEFT JOIN b_bar1 c USING (entity_id, trade_date) WHERE c.version IS NULL OR {_DIFF}",
-    ("b_bar1", "b_incoming"),
-)
-def _(t):
-    """Files of bars, then of a later delivery, streamed into a version table; a second run finds nothing new."""
+_STREAM = f"SELECT entity_id, trade_date, close, knowledge_time, version FROM b_bar1 UNION ALL SELECT i.entity_id, i.trade_date, i.close, {_STAMP.rsplit(', CASE', 1)[0]} FROM b_incoming i LEFT JOIN b_bar1 c USING (entity_id, trade_date) WHERE c.version IS NULL OR {_DIFF}"
+
+
+def _streamed(t, run, deliveries):
+    """Files of bars, then of a later delivery, streamed into a version table."""
     folder, keys = sinks.shared_folder(t.spark, "stream"), ["entity_id", "trade_date"]
     columns = [*keys, "open", "high", "low", "close", "volume", "amount"]
     same = dict.fromkeys(columns[2:], "bar")
-    for rows in (t.b_bar1, t.b_incoming):
+    schema = "entity_id long, trade_date date, " + ", ".join(f"{c} double" for c in columns[2:])
+    for rows in deliveries:
         rows.select(*columns).write.mode("append").parquet(f"{folder}/in")
-        schema = "entity_id long, trade_date date, " + ", ".join(f"{c} double" for c in columns[2:])
-        stream_restate(t.spark, f"{folder}/in", schema, f"{folder}/table", f"{folder}/checkpoint", keys, same, NOW)
+        run(t.spark, f"{folder}/in", schema, f"{folder}/table", f"{folder}/checkpoint", keys, same, NOW)
     return t.spark.read.parquet(f"{folder}/table").select(*keys, "close", "knowledge_time", "version")
 
 
+query("stream_restate", _STREAM, ("b_bar1", "b_incoming"))(lambda t: _streamed(t, stream_restate, (t.b_bar1, t.b_incoming)))
+query("stream_restate_state", _STREAM, ("b_bar1", "b_incoming"))(lambda t: _streamed(t, stream_restate_state, (t.b_bar1, t.b_incoming)))
+
+
+BUCKETS = 8
+
+
+def _laid_out(t):
+    """Names of bars and factors as bucketed tables, written at the session's first call, the last versions by an append."""
+
+    def write():
+        made = []
+        for spec, rows in ((BAR, t.b_bar), (FACTOR, t.b_factor)):
+            name = f"chronolith_{spec.name}_{uuid.uuid4().hex}"
+            sinks.write_bucketed(rows.where("version = 1"), spec, name, BUCKETS)
+            sinks.append_bucketed(rows, spec, name, BUCKETS)
+            made.append(name)
+        return made
+
+    return sinks.read_bucketed(t.spark, *t.once("bucketed", write))
+
+
+query("bucketed_as_of", f"SELECT entity_id, trade_date, close, volume FROM (SELECT * FROM b_bar WHERE knowledge_time <= TIMESTAMP '{NOON}' {TOP.format(k='entity_id, trade_date', o='version DESC, knowledge_time DESC')})", "b_bar")(
+    lambda t: pit.as_of(_laid_out(t)[0], BAR, NOON, ["close", "volume"])
+)
+
+
+@query(
+    "bucketed_adjust",
+    f"SELECT entity_id, trade_date, round(b.close * (f.adj_factor / nullif(last_value(f.adj_factor) OVER w, 0)), 6) AS close FROM ({_BARS}) b JOIN b_factor f USING (entity_id, trade_date) WINDOW w AS (PARTITION BY entity_id ORDER BY trade_date ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)",
+    _FBAR,
+)
+def _(t):
+    """Forward-adjusted closes: versions, factors and their last days meet within buckets."""
+    return adjust.read(*_laid_out(t), BAR, FACTOR, ALL_AT, ["close"], "qfq")
+
+
+query("bucketed_ma20", f"SELECT entity_id, trade_date, round(ma20, 10) AS ma20 FROM ({_MA})", _FBAR, 10)(
+    lambda t: factors.ma20({"close": adjust.read(*_laid_out(t), BAR, FACTOR, ALL_AT, ["close"], "hfq")}, ALL_AT)
+)
+
+
 # usage
 
 _COSTS = [("click", 0.5), ("view.bars", 0.25), ("error", 2.0)]

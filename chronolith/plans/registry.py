@@ -14,12 +14,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+#: What queries have written in this process: (application, folder of tables, name) -> what was made.
+WRITTEN: dict[tuple[str, str, str], Any] = {}
+
+
 class Tables:
     """The driver's tables and their bindings as DataFrames, by attribute."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
+    def once(self, name: str, make: Callable[[], Any]) -> Any:
+        """What ``make`` writes for these tables, written at the first call of a session only."""
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in WRITTEN:
+            WRITTEN[key] = make()
+        return WRITTEN[key]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in BINDINGS:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
