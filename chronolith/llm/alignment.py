@@ -31,9 +31,9 @@ from chronolith.llm.bpe import _binary, _bytes_of, _edges, _one, pack, piece_tab
 from chronolith.llm.common import checkpointed, text_or_empty, text_runs
 
 #: Text of a block.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 2_500_000
 #: Words of each tokenizer whose ids a worker remembers; beyond it they are forgotten, and encoded anew if they come again.
-MOST_KNOWN = 200_000
+MOST_KNOWN = 100_000
 #: A word of a piece model: what stands up to the next space, with the spaces before it.
 WORDS = re.compile(" *[^ ]+| +").findall
 #: Text for each bucket of pairs, the most buckets (beyond it the vocabularies bound a bucket), and blocks of a salt.
