@@ -3,14 +3,22 @@
 Prefix sums of turn tokens cut a conversation into windows of whole turns.  Each window repeats the system turn and as much
 of a limited history of turns before its span as the budget leaves room for; only assistant turns of the span itself are
 targets, so a target that is repeated as history is masked.  Texts are escaped, so control strings appear only where the
-template puts them.  Long conversations are numbered and summed by chunks of turns, so no task needs to hold a whole one.
+template puts them.
+
+Turns are sorted once by range over all conversations and written.  Their places in that order give numbers and prefix sums by
+counts of parts, so a long conversation is spread over tasks, whatever its turn numbers are; after that only a cell, which
+holds a budget of turns, is gathered.  All of this goes without the texts, which meet their windows in one join by place.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronolith.llm.common import checkpointed
+
 #: Control strings of the template, and the escapes that keep them out of texts.
 OPEN, MIDDLE, CLOSE = "<|turn|>", "<|text|>", "<|end|>"
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
@@ -31,8 +39,8 @@ def unescape(text: Column) -> Column:
 #: The tokenizer that the budget counts by: words and numbers cut into runs, other signs, white space; and a turn's markers.
 TOKEN = r" ?\p{L}{1,8}| ?\p{N}{1,3}| ?[^\x09-\x0D\x20\p{L}\p{N}]{1,3}|[\x09-\x0D\x20]{1,8}"
 MARK_TOKENS = 4
-#: Turn numbers of a chunk.
-CHUNK = 4096
+#: Characters of a text by which turns of one number and role are dealt; those that agree in them are sorted in one task.
+DEALT_CHARS = 256
 
 
 def turn_tokens(text: Column) -> Column:
@@ -40,26 +48,46 @@ def turn_tokens(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(TOKEN)) + MARK_TOKENS).cast("long")
 
 
-def numbered_turns(turns: DataFrame, budget: int) -> DataFrame:
-    """Each turn with its chunk, its number in the conversation, its tokens, and the head that its windows repeat.
+def sorted_turns(turns: DataFrame, partitions: int | None = None) -> DataFrame:
+    """(conv, at, role, text, tokens), written: ``at`` rises along each conversation, by one within a partition (``at`` >> 33).
 
-    Turn numbers from a multiple of ``CHUNK`` to the next are a chunk (null turns are one more).  Counts of chunks, summed
-    along each conversation, give a chunk its first number; only turns of one chunk are then sorted together.
+    Sorted by (conv_id, turn, role, text), nulls first.  Parts are cut at rows, so a conversation of any length, and turns of
+    one or no number, are spread.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("chunk", F.floor(F.col("turn") / CHUNK))
-    first = rows.groupBy("conv_id").agg(F.min(F.struct("turn", "role", "text")).alias("first"))
-    head = F.when((F.col("first.role") == "system") & (turn_tokens(F.col("first.text")) <= budget // 2), F.struct(F.col("first.text").alias("text"), turn_tokens(F.col("first.text")).alias("tokens")))
-    first = first.select(F.col("conv_id").alias("c"), head.alias("head"))
-    along = Window.partitionBy("conv_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = rows.groupBy("conv_id", "chunk").count().withColumn("base", F.coalesce(F.sum("count").over(along), F.lit(0)))
-    chunks = chunks.join(first, F.col("conv_id").eqNullSafe(F.col("c"))).select("c", F.col("chunk").alias("k"), "base", "head")
-    rows = rows.join(chunks, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("chunk").eqNullSafe(F.col("k"))).drop("c", "k")
-    order = Window.partitionBy("conv_id", "chunk").orderBy("turn", "role", "text")
-    return rows.withColumn("number", F.col("base") + F.row_number().over(order)).withColumn("tokens", turn_tokens(F.col("text")))
-
-
-def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2) -> DataFrame:
+    keys = ["conv_id", "turn", "role", F.substring("text", 1, DEALT_CHARS)]
+    dealt = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
+    placed = dealt.sortWithinPartitions("conv_id", "turn", "role", "text").withColumn("at", F.monotonically_increasing_id())
+    return checkpointed(placed.select(F.struct("conv_id").alias("conv"), "at", "role", "text", turn_tokens(F.col("text")).alias("tokens")))
+
+
+def _cells(turns: DataFrame, budget: int) -> DataFrame:
+    """(conv, at, number, tokens, is_head, head_at, room, before, window, last) of :func:`sorted_turns`, without texts.
+
+    window: the number of the first turn of its span; last: where the span ends, in tokens.
+    """
+    light = turns.select("conv", "at", "tokens", F.shiftright("at", 33).alias("part"))
+    parts = light.groupBy("conv", "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("sum"))
+    along = Window.partitionBy("conv").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("conv", "part", "first", *[F.coalesce(F.sum(c).over(along), F.lit(0)).alias(f"base_{c}") for c in ("n", "sum")])
+    openings = parts.where("base_n = 0").select("conv", F.col("first").alias("head_at"))
+    # a conversation's first turn, if it is a system turn that leaves room
+    heads = turns.where((F.col("role") == "system") & (F.col("tokens") <= budget // 2)).select(F.col("at").alias("head_at"), F.col("tokens").alias("head_tokens"))
+    parts = parts.join(openings.join(heads, "head_at"), "conv", "left")
+    within = Window.partitionBy("conv", "part").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = light.join(parts, ["conv", "part"], "left").withColumn("is_head", F.col("head_at").isNotNull() & (F.col("at") == F.col("head_at")))
+    cost = F.when(F.col("is_head"), F.lit(0)).otherwise(F.col("tokens"))
+    base = F.when(F.col("base_n") > 0, F.col("base_sum") - F.coalesce("head_tokens", F.lit(0))).otherwise(0)
+    rows = rows.select("conv", "at", (F.col("base_n") + F.col("at") - F.col("first") + 1).alias("number"), "tokens", "is_head", "head_at", (budget - F.coalesce("head_tokens", F.lit(0))).alias("room"), cost.alias("cost"), (base + F.coalesce(F.sum(cost).over(within), F.lit(0))).alias("before"))
+    rows = rows.withColumn("after", F.col("before") + F.col("cost")).withColumn("cell", F.floor(F.col("before") / F.col("room")))
+    crosses = F.col("after") > (F.col("cell") + 1) * F.col("room")
+    start = F.min(F.when(~crosses, F.col("before"))).over(Window.partitionBy("conv", "cell"))
+    rows = rows.withColumn("own", crosses & ~F.coalesce(F.col("after") - start <= F.col("room"), F.lit(False)))
+    span = Window.partitionBy("conv", "cell", "own")
+    return rows.withColumn("window", F.min("number").over(span)).withColumn("last", F.max("after").over(span)).drop("cost", "after", "cell", "own")
+
+
+def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2, partitions: int | None = None) -> DataFrame:
     """One row per window: conv_id, window (the number of its first own turn), text, spans.
 
     ``turns``: conv_id, turn (whole numbers), role, text; ordered by turn (null first), ties by role, then text; null roles
@@ -67,41 +95,29 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 2) -> Da
     system, up to ``history`` turns before its span, and its span, and no more than ``budget`` tokens; the history gives
     way first.  Over the budget is only a turn that does not fit beside the system turn: it is its window's only own turn.
     A system turn of more than half the budget is not repeated but stands in a span like any other.  With the room that
-    the system turn leaves, prefix sums cut a chunk into cells of one room: turns within a cell are a span, and a turn
-    that crosses a cell's end joins them if it fits, else it is a span of its own.  Spans and history do not reach over
-    chunks of ``CHUNK`` turn numbers.
+    the system turn leaves, prefix sums cut a conversation into cells of one room: turns within a cell are a span, and a turn
+    that crosses a cell's end joins them if it fits, else it is a span of its own.  What turn numbers are makes no difference, only
+    their order.
 
     spans: one struct for each turn in the window's text, with number (from 1 in the conversation), role, start and length
     of its escaped text (in characters, from 0), tokens, fresh (of this window's span) and loss (an assistant turn of the
     span).  A null conv_id is a conversation of its own; an empty table gives no windows.  The turns of one window, so at
     most a budget of them or one turn, are gathered together.
     """
-    rows = numbered_turns(turns, budget)
-    rows = rows.withColumn("is_head", (F.col("number") == 1) & F.col("head").isNotNull())
-    rows = rows.withColumn("room", budget - F.coalesce("head.tokens", F.lit(0)))
-    chunk = Window.partitionBy("conv_id", "chunk").orderBy("number")
-    cost = F.when(F.col("is_head"), F.lit(0)).otherwise(F.col("tokens"))
-    rows = rows.withColumn("before", F.coalesce(F.sum(cost).over(chunk.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.withColumn("after", F.col("before") + cost).withColumn("cell", F.floor(F.col("before") / F.col("room")))
-    crosses = F.col("after") > (F.col("cell") + 1) * F.col("room")
-    start = F.min(F.when(~crosses, F.col("before"))).over(Window.partitionBy("conv_id", "chunk", "cell"))
-    rows = rows.withColumn("own", crosses & ~F.coalesce(F.col("after") - start <= F.col("room"), F.lit(False)))
-    span = Window.partitionBy("conv_id", "chunk", "cell", "own")
-    rows = rows.withColumn("window", F.min("number").over(span)).withColumn("last", F.max("after").over(span))
-    # later windows in which this turn is history: of the next ``history`` turns, those of spans that leave room for it
-    later = F.array(*[F.lead(F.struct("window", "last"), n).over(chunk) for n in range(1, history + 1)])
-    fits = F.filter(later, lambda w: (w["window"] != F.col("window")) & (w["last"] - F.col("before") <= F.col("room")) & ~F.col("is_head")) if history else None
-    windows = F.concat(F.array("window"), F.array_distinct(F.transform(fits, lambda w: w["window"]))) if history else F.array("window")
-    rows = rows.withColumn("windows", windows)
-
-    body = lambda role, text: F.concat(F.lit(OPEN), escape(role), F.lit(MIDDLE), escape(text), F.lit(CLOSE))
-    struct = lambda number, role, tokens, fresh, text: F.struct(number.alias("number"), role.alias("role"), tokens.alias("tokens"), fresh.alias("fresh"), F.length(escape(role)).alias("role_chars"), body(role, text).alias("body"))
-    repeated = struct(F.lit(1).cast("long"), F.lit("system"), F.col("head.tokens"), F.lit(False), F.col("head.text"))
-    repeated = F.when((F.col("number") == F.col("window")) & (F.col("number") > 1) & F.col("head").isNotNull(), repeated)
-    exploded = rows.select("*", F.explode("windows").alias("placed"))
-    fresh = F.col("placed") == F.col("window")
-    turn = struct(F.col("number").cast("long"), F.col("role"), F.col("tokens"), fresh, F.col("text"))
-    placed = exploded.select("conv_id", F.col("placed").alias("window"), F.explode(F.array_compact(F.array(turn, F.when(fresh, repeated)))).alias("turn"))
+    rows = sorted_turns(turns, partitions)
+    cells = checkpointed(_cells(rows, budget))
+    spans = cells.where("number = window").select("conv", F.col("window").alias("placed"), "head_at", F.col("last").alias("until"))
+    own = cells.select("conv", "at", "number", F.col("window").alias("placed"), F.lit(True).alias("fresh"))
+    parts = [own, spans.where("placed > 1 AND head_at IS NOT NULL").select("conv", F.col("head_at").alias("at"), F.lit(1).cast("long").alias("number"), "placed", F.lit(False).alias("fresh"))]
+    if history:
+        # the turns before a span, as far as it leaves room for them
+        asked = spans.select("conv", "placed", "until", F.explode(F.sequence(F.lit(1), F.lit(history))).alias("k")).withColumn("number", F.col("placed") - F.col("k"))
+        fits = ~F.col("is_head") & (F.col("until") - F.col("before") <= F.col("room"))
+        parts.append(cells.join(asked, ["conv", "number"]).where(fits).select("conv", "at", "number", "placed", F.lit(False).alias("fresh")))
+    places = reduce(DataFrame.unionByName, parts)
+    body = F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(MIDDLE), escape(F.col("text")), F.lit(CLOSE))
+    turn = F.struct(F.col("number").cast("long").alias("number"), "role", "tokens", "fresh", F.length(escape(F.col("role"))).alias("role_chars"), body.alias("body"))
+    placed = places.join(rows.drop("conv"), "at").select("conv.conv_id", F.col("placed").alias("window"), turn.alias("turn"))
     grouped = placed.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list("turn")).alias("turns"))
     # start of each turn: the lengths of those before it
     starts = F.aggregate("turns", F.array(F.lit(0)), lambda s, t: F.concat(s, F.array(F.element_at(s, -1) + F.length(t["body"]))))

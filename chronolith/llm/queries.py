@@ -128,7 +128,7 @@ def _chat_sql() -> str:
             FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', {said}), (-1, 1, 'assistant', {said})))
         ),
         numbered AS (
-            SELECT *, floor(turn / 4096) AS chunk, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS number,
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, x) AS number,
                    len(regexp_extract_all(x, '{chat.TOKEN}')) + {chat.MARK_TOKENS} AS tokens, {marks} + {grown("r")} + {grown("x")} AS chars
             FROM turns
         ),
@@ -139,21 +139,21 @@ def _chat_sql() -> str:
             FROM numbered
         ),
         placed AS (
-            SELECT *, coalesce(sum(CASE WHEN is_head THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id, chunk ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+            SELECT *, coalesce(sum(CASE WHEN is_head THEN 0 ELSE tokens END) OVER (PARTITION BY conv_id ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
                    1024 - head AS room
             FROM headed
         ),
         celled AS (SELECT *, before + CASE WHEN is_head THEN 0 ELSE tokens END AS after, before // room AS cell FROM placed),
         crossing AS (SELECT *, after > (cell + 1) * room AS crosses FROM celled),
-        begun AS (SELECT *, min(CASE WHEN NOT crosses THEN before END) OVER (PARTITION BY conv_id, chunk, cell) AS start FROM crossing),
+        begun AS (SELECT *, min(CASE WHEN NOT crosses THEN before END) OVER (PARTITION BY conv_id, cell) AS start FROM crossing),
         spanned AS (SELECT *, crosses AND NOT coalesce(after - start <= room, false) AS own FROM begun),
         spans AS (
-            SELECT conv_id, chunk, cell, own, any_value(room) AS room, any_value(head_chars) AS head_chars, min(number) AS first, max(after) AS last, sum(chars) AS chars
+            SELECT conv_id, cell, own, any_value(room) AS room, any_value(head_chars) AS head_chars, min(number) AS first, max(after) AS last, sum(chars) AS chars
             FROM spanned GROUP BY ALL
         ),
         history AS (
             SELECT s.conv_id, sum(h.chars) AS chars
-            FROM spans s JOIN spanned h ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.chunk IS NOT DISTINCT FROM s.chunk AND h.number BETWEEN s.first - 2 AND s.first - 1
+            FROM spans s JOIN spanned h ON h.conv_id IS NOT DISTINCT FROM s.conv_id AND h.number BETWEEN s.first - 2 AND s.first - 1
             WHERE NOT h.is_head AND s.last - h.before <= s.room GROUP BY s.conv_id
         ),
         formatted AS (SELECT conv_id, sum(chars) + sum(CASE WHEN first > 1 THEN head_chars ELSE 0 END) AS chars FROM spans GROUP BY conv_id),

@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+from pyspark.sql import functions as F
+
 from chronolith.llm import chat
 
 SCHEMA = "conv_id long, turn long, role string, text string, window string"
@@ -75,11 +77,33 @@ def test_system_turns_stand_in_every_window_if_short(spark):
     assert all(w.spans[0].number == 1 for w in found if w.conv_id == 1) and len([w for w in found if w.conv_id == 2 and w.spans[0].number == 1]) == 1
 
 
-def test_chunks_number_long_conversations_alike(spark, monkeypatch):
+def windows(found):
+    return sorted((w.conv_id or -1, w.window, w.text, tuple(tuple(s) for s in w.spans)) for w in found.collect())
+
+
+def test_turn_numbers_make_no_difference_but_their_order(spark):
+    """Small or large numbers, none at all, the same for all, and any number of parts give the same windows."""
     rng = random.Random(5)
-    turns = [(c, t, rng.choice(["user", "assistant"]), "w " * rng.randint(0, 30)) for c in (None, 1, 2) for t in range(200)] + [(1, None, "system", "first"), (2, 7, "user", "w w")]
-    frame = spark.createDataFrame([(c, t, r, x, "z") for c, t, r, x in turns], SCHEMA)
-    want = brute([(*t, "z") for t in turns])
-    for size in (16, 4096):
-        monkeypatch.setattr(chat, "CHUNK", size)
-        assert {tuple(r)[:5] for r in chat.digests(chat.format_windows(frame, 200)).collect()} == want
+    texts = {c: sorted((rng.choice(["user", "assistant"]), "w " * rng.randint(0, 30) + str(n)) for n in range(200)) for c in (None, 1, 2)}
+    texts[2].insert(0, ("a system", "be brief"))
+    numbers = [lambda n: n, lambda n: 60_000 * n, lambda n: 400 * n - 10**12, lambda n: None, lambda n: 7, lambda n: n // 30]
+    want = None
+    for number in numbers:
+        frame = spark.createDataFrame([(c, number(n), r, x, "z") for c, rows in texts.items() for n, (r, x) in enumerate(rows)], SCHEMA)
+        for parts in (None, 1, 13):
+            got = windows(chat.format_windows(frame, 200, 3, parts))
+            want = want or got
+            assert got == want and len(got) > 60
+            numbers_of = [s[0] for c, _, _, spans in got if c == 1 for s in spans if s[5]]
+            assert numbers_of == list(range(1, 201))
+
+
+def test_long_conversations_have_history_and_whole_spans_across_parts(spark):
+    turns = [(1, 0, "system", "be brief", "z")] + [(1, 60_000 * n, "user", f"{n} " + "w " * 20, "z") for n in range(1, 5001)]
+    frame = spark.createDataFrame(turns, SCHEMA)
+    found = chat.format_windows(frame, 150, 2, 9).collect()
+    # a span that the budget fills leaves no room for history; no part's edge cuts one short
+    own = sorted(([s.number for s in w.spans if s.fresh] for w in found))
+    assert [n for span in own for n in span] == list(range(1, 5002)) and sum(len(span) < len(own[1]) - 1 for span in own) <= 1
+    assert all(w.spans[0].number == 1 for w in found)
+    assert chat.sorted_turns(frame, 9).select((F.col("at") / 2**33).cast("int")).distinct().count() == 9
