@@ -22,13 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronolith.llm.bpe import MOST_PARTITIONS, _one, pack, unpack
 from chronolith.llm.common import checkpointed, fold, text_or_empty, text_runs
 
 SHAPES = 256
 DELTA = 0.1
 #: The text end's key in the count table; no word holds a space.
 END = int(np.uint64(xxhash.xxh64_intdigest(b" end ", 42)).view(np.int64))
-ROW_BITS = 40
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -289,26 +289,23 @@ def train(docs: DataFrame, text_col: str = "text", classes: int = 64, min_count:
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row, in log10; null texts count as empty.
 
-    Frequent words are looked up in the task.  Rare words go, once per block of rows, to the count table and back; a row is
-    known by its place (partition and number), so ids may repeat or be null.  Other columns are ignored, an empty table gives
-    no rows.  ``docs`` is read twice and must give the same partitions both times, as files and checkpoints do.
+    Texts are cut into words once, by blocks of rows, which are written.  Frequent words are looked up in the task.  A block's distinct
+    rare words go to the count table, once each, and their counts meet the block's occurrences, which are packed, in a
+    cogroup.  Ids may repeat or be null, other columns are ignored, an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
     symbols, classes, transition, emission, rare = model.symbols, model.classes, model.transition, model.emission, model.rare
     base = np.log10(model.train_tokens + DELTA * (model.vocabulary + 1))
     logs = np.log10(symbols.counts + DELTA)
-    end_log = np.log10(model.end_count + DELTA)
+    end_log, model_end = np.log10(model.end_count + DELTA), model.end_count
+    id_type = rows.schema["id"].dataType.simpleString()
 
-    def batches_of(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple]:
-        part, at = TaskContext.get().partitionId(), 0
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in text_runs(batches):
-            yield (np.arange(at, at + batch.num_rows) + (part << ROW_BITS), batch, *words_of(batch.column(column)))
-            at += batch.num_rows
-
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, batch, hashes, shapes, codes, counts in batches_of(batches, "text"):
-            if not len(uid):
+            if not batch.num_rows:
                 continue
+            hashes, shapes, codes, counts = words_of(batch.column("text"))
             numbers, place = symbols.number(hashes, shapes)
             line = with_ends(numbers[codes], counts, symbols.end)
             kind = classes[line]
@@ -316,38 +313,39 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             extra = np.where(place >= 0, 0.0, -rare[shapes]) if len(shapes) else np.empty(0)
             value = transition[np.concatenate(([classes[symbols.end]], kind[:-1])), kind] + emission[line] + with_ends(extra[codes], counts, 0)
             starts = np.concatenate(([0], np.cumsum(counts + 1)))[:-1]
-            add = lambda v, starts=starts: pa.array(np.add.reduceat(v, starts))
             known = with_ends((place >= 0)[codes].astype(np.int64), counts, int(model_end > 0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(uid), batch.column("id"), pa.array(counts + 1), add(known), add(with_ends(plain[codes], counts, end_log)), add(value)],
-                names=["uid", "id", "n_tokens", "n_known", "base", "model"],
-            )
-
-    def rare_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for uid, _, hashes, shapes, codes, counts in batches_of(batches, "text"):
-            _, place = symbols.number(hashes, shapes)
-            owner = np.repeat(uid, counts)
-            wanted = (place < 0)[codes] if len(codes) else np.empty(0, bool)
-            order = np.argsort(codes[wanted], kind="stable")
-            code, owner = codes[wanted][order], owner[wanted][order]
-            starts = np.flatnonzero(np.diff(code, prepend=-1))
-            lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(code)), pa.int32()), pa.array(owner))
-            yield pa.RecordBatch.from_arrays([pa.array(hashes[code[starts]]), lists], names=["key", "uids"])
-
-    model_end = model.end_count
-    id_type = rows.schema["id"].dataType.simpleString()
-    whole = rows.mapInArrow(parts, f"uid long, id {id_type}, n_tokens long, n_known long, base double, model double")
-    asked = rows.select("text").mapInArrow(rare_words, "key long, uids array<bigint>")
-    told = asked.join(model.counts, "key", "left").select("uids", F.log10(F.coalesce("n", F.lit(0)) + DELTA).alias("log"), F.col("n").isNotNull().cast("long").alias("known"))
-    sums = told.select(F.explode("uids").alias("uid"), "log", "known").groupBy("uid").agg(F.sum("log").alias("log"), F.sum("known").alias("known"))
-    zero = lambda c: F.coalesce(c, F.lit(0))
-    return whole.join(sums, "uid", "left").select(
-        F.col("id").alias(id_col),
-        "n_tokens",
-        (F.col("n_known") + zero("known")).alias("n_known"),
-        (F.col("base") + zero("log") - F.col("n_tokens") * F.lit(float(base))).alias("base_score"),
-        (F.col("model") + zero("log")).alias("score"),
-    )
+            # distinct rare words, and which of them stand where
+            scarce = place < 0
+            rank, wanted = np.cumsum(scarce) - 1, scarce[codes] if len(codes) else np.empty(0, bool)
+            each = np.bincount(np.repeat(np.arange(len(counts)), counts)[wanted], minlength=len(counts))
+            one = lambda values: _one(pa.array(values))
+            yield pa.RecordBatch.from_pydict({
+                "block": [block], "ids": _one(batch.column("id")), "n_tokens": one(counts + 1), "known": one(np.add.reduceat(known, starts)), "base": one(np.add.reduceat(with_ends(plain[codes], counts, end_log), starts)),
+                "model": one(np.add.reduceat(value, starts)), "rare": one(each), "keys": one(hashes[scarce]), "codes": [pack(rank[codes[wanted]].astype(np.uint32))],
+            })
+            block += 1
+
+    def join(found: pa.Table, held: pa.Table) -> pa.Table:
+        column = lambda name: held.column(name).combine_chunks().flatten()
+        if held.num_rows != 1 or found.num_rows != held.column("n_rare")[0].as_py():
+            raise RuntimeError("a block lacks counts")
+        n = np.zeros(found.num_rows, np.int64)
+        n[found.column("number").to_numpy()] = found.column("n").to_numpy()
+        each = column("rare").to_numpy()
+        codes, edges = unpack(held.column("codes")[0].as_py(), int(each.sum()), np.uint32), np.concatenate(([0], np.cumsum(each)))
+        summed = lambda values: np.diff(np.concatenate(([0], np.cumsum(values[codes])))[edges])
+        log, tokens_ = summed(np.log10(n + DELTA)), column("n_tokens").to_numpy()
+        scores = [column("base").to_numpy() + log - tokens_ * base, column("model").to_numpy() + log]
+        return pa.table({"id": column("ids"), "n_tokens": tokens_, "n_known": column("known").to_numpy() + summed((n > 0).astype(np.int64)), "base_score": scores[0], "score": scores[1]})
+
+    numbers = ", ".join(f"{c} array<{t}>" for c, t in (("n_tokens", "long"), ("known", "long"), ("base", "double"), ("model", "double"), ("rare", "long"), ("keys", "long")))
+    held = checkpointed(rows.mapInArrow(blocks, f"block long, ids array<{id_type}>, {numbers}, codes binary"))
+    asked = held.select("block", F.posexplode("keys").alias("number", "key")).join(model.counts, "key", "left").select(F.col("block").alias("of"), "number", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
+    kept = held.withColumn("n_rare", F.size("keys")).drop("keys")
+    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * held.count(), MOST_PARTITIONS))
+    met, kept = (t.repartition(partitions, of).groupBy(of) for t, of in ((asked, "of"), (kept, "block")))
+    joined = met.cogroup(kept).applyInArrow(join, f"id {id_type}, n_tokens long, n_known long, base_score double, score double")
+    return joined.withColumnRenamed("id", id_col)
 
 
 def split_by_fold(docs: DataFrame, id_col: str = "doc_id", modulus: int = 10) -> tuple[DataFrame, DataFrame]:
