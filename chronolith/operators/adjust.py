@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronolith.operators import pit
@@ -40,10 +40,11 @@ def read(bars: DataFrame, factors: DataFrame, spec: PitSpec, factor_spec: PitSpe
 
 
 def _settled(frame: DataFrame, prices: Sequence[str], mode: str) -> DataFrame:
-    last = F.max_by("__f", "trade_date").over(Window.partitionBy("entity_id"))
-    safe = F.coalesce("__f", F.raise_error(F.lit("a bar has no factor")).cast("double"))
-    scale = safe / last if mode == "qfq" else safe
-    return frame.select(*[(F.col(c) * scale).alias(c) if c in prices else F.col(c) for c in frame.columns if c != "__f"])
+    scale, given = F.coalesce("__f", F.raise_error(F.lit("a bar has no factor")).cast("double")), frame.columns
+    if mode == "qfq":
+        last = frame.groupBy("entity_id").agg(F.max_by("__f", "trade_date").alias("__last"))
+        frame, scale = frame.join(last, "entity_id", "left"), scale / F.col("__last")
+    return frame.select(*[(F.col(c) * scale).alias(c) if c in prices else F.col(c) for c in given if c != "__f"])
 
 
 def adjust_step(bars: DataFrame, events: DataFrame, prices: Sequence[str], mode: str) -> DataFrame:

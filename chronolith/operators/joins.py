@@ -17,36 +17,58 @@ def position(df: DataFrame, name: str) -> Column:
     return F.unix_micros(F.col(name).cast("timestamp")) if isinstance(kind, (T.TimestampType, T.TimestampNTZType)) else F.col(name)
 
 
-def _last_seen(left: DataFrame, right: DataFrame, by: Sequence[str], forward: bool, tie: Column, span: int | None) -> DataFrame:
-    """``left`` (by, __p, __l) with __r: the last of ``right`` (by, __p, __r) at or before it, or first at or after it."""
-    flip = -1 if forward else 1
-    both = left.select(*by, (F.col("__p") * flip).alias("__p"), F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__tie"), "__l", F.lit(None).cast(right.schema["__r"].dataType).alias("__r"))
-    other = right.select(*by, (F.col("__p") * flip).alias("__p"), F.lit(0).alias("__side"), (tie * flip).alias("__tie"), F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), "__r")
-    keys, carry = list(by), None
+#: Cuts of a key with more than its share of rows, rows that a key may have without cuts, and the most keys that are cut.
+CUTS, KEY_ROWS, MOST_HOT = 64, 2_000_000, 10_000
+
+
+def _spread(sides: Sequence[DataFrame], by: Sequence[str], key_rows: int) -> list[DataFrame]:
+    """Both sides (by, __p, ...) with __span: keys of more than ``key_rows`` rows cut at ``CUTS`` approximate percentiles of their times.
+
+    One pass over the keys counts them.  No more than ``MOST_HOT`` keys can have more than that part of all rows each, so the
+    table of cuts is broadcast.
+    """
+    points = sides[0].select(*by, "__p").unionByName(sides[1].select(*by, "__p"))
+    counts = points.groupBy(*by).count()
+    total = counts.agg(F.sum("count")).first()[0] or 0
+    hot = counts.where(F.col("count") > max(key_rows, total // MOST_HOT)).select(*by)
+    cuts = points.join(F.broadcast(hot), list(by)).groupBy(*by).agg(F.array_sort(F.array_distinct(F.approx_percentile("__p", [n / CUTS for n in range(1, CUTS)], 10 * CUTS))).alias("__cuts"))
+    place = F.coalesce(F.size(F.filter("__cuts", lambda c: c < F.col("__p"))), F.lit(0)).cast("long")
+    return [side.join(F.broadcast(cuts), list(by), "left").withColumn("__span", F.when(F.col("__cuts").isNotNull(), place).otherwise(0)).drop("__cuts") for side in sides]
+
+
+def _last_seen(left: DataFrame, right: DataFrame, by: Sequence[str], forward: bool, tie: Column) -> DataFrame:
+    """``left`` (by, __p, __l) with __r: the last of ``right`` (by, __p, __r) at or before it, or first at or after it.
+
+    If both have __span, which rises with __p, spans are sorted apart and take in the last row of those before them.
+    """
+    flip, span = -1 if forward else 1, ["__span"] if "__span" in left.columns else []
+    turned = [(F.col(c) * flip).alias(c) for c in ("__p", *span)]
+    both = left.select(*by, *turned, F.lit(1).alias("__side"), F.lit(None).cast("long").alias("__tie"), "__l", F.lit(None).cast(right.schema["__r"].dataType).alias("__r"))
+    other = right.select(*by, *turned, F.lit(0).alias("__side"), (tie * flip).alias("__tie"), F.lit(None).cast(left.schema["__l"].dataType).alias("__l"), "__r")
+    keys, carry = [*by, *span], None
     if span:
-        both, other = (t.withColumn("__span", F.floor(F.col("__p") / span)) for t in (both, other))
-        ends = other.groupBy(*by, "__span").agg(F.max_by("__r", F.struct("__p", "__tie")).alias("__end"))
-        spans = both.select(*by, "__span").distinct().join(ends, [*by, "__span"], "full")
+        ends = other.groupBy(*keys).agg(F.max_by("__r", F.struct("__p", "__tie")).alias("__end"))
+        spans = both.select(*keys).distinct().join(ends, keys, "full")
         before = Window.partitionBy(*by).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-        carry = spans.select(*by, "__span", F.last("__end", ignorenulls=True).over(before).alias("__carry"))
-        keys.append("__span")
+        carry = spans.select(*keys, F.last("__end", ignorenulls=True).over(before).alias("__carry"))
     order = Window.partitionBy(*keys).orderBy("__p", "__side", "__tie").rowsBetween(Window.unboundedPreceding, 0)
     found = both.unionByName(other).withColumn("__r", F.last("__r", ignorenulls=True).over(order)).where("__side = 1")
     if carry is not None:
         found = found.join(carry, keys, "left").withColumn("__r", F.coalesce("__r", "__carry"))
-    return found.select(*by, (F.col("__p") * flip).alias("__p"), "__l", "__r")
+    return found.select(*by, *turned, "__l", "__r")
 
 
 def asof_join(
     left: DataFrame, right: DataFrame, left_on: str, right_on: str, by: Sequence[str], direction: str = "backward",
-    tolerance: float | None = None, suffix: str = "_right", tie: Column | None = None, span: int | None = None,
+    tolerance: float | None = None, suffix: str = "_right", tie: Column | None = None, span: int | str | None = None, key_rows: int = KEY_ROWS,
 ) -> DataFrame:
     """Every left row with the nearest right row of its ``by`` keys: backward, forward, or nearest (ties: backward).
 
     One shuffle by the keys and one sort, over the union of both sides.  Equal right times: the last by ``tie`` (a long)
     backward, the first forward.  ``tolerance`` (inclusive; days of dates, microseconds of timestamps) empties farther matches.  Clashing right columns get
     ``suffix``.  ``span`` (in the same units) cuts long keys into spans of time that are sorted apart, with the last right row
-    of earlier spans carried in, so that one key needs not fit one task.  Left rows without match, null times or null keys stay with nulls.
+    of earlier spans carried in, so that one key needs not fit one task; "auto" does so for keys of more than ``key_rows`` rows
+    alone, at percentiles of their own times (both sides' keys are counted first).  Left rows without match, null times or null keys stay with nulls.
     """
     if direction not in ("backward", "forward", "nearest"):
         raise ValueError("unknown direction")
@@ -54,10 +76,14 @@ def asof_join(
     a = left.select(*by, position(left, left_on).alias("__p"), F.struct(*left.columns).alias("__l"))
     b = right.withColumn("__tie0", tie).where(F.col(right_on).isNotNull())
     b = b.select(*by, position(right, right_on).alias("__p"), F.struct(position(right, right_on).alias("__at"), *[c for c in right.columns if c not in by]).alias("__r"), "__tie0")
-    seen = _last_seen(a, b, by, direction == "forward", F.col("__tie0"), span)
+    if span == "auto":
+        a, b = _spread([a, b], by, key_rows)
+    elif span:
+        a, b = (side.withColumn("__span", F.floor(F.col("__p") / span)) for side in (a, b))
+    seen = _last_seen(a, b, by, direction == "forward", F.col("__tie0"))
     if direction == "nearest":
         seen = seen.withColumn("__l", F.struct(F.col("__l").alias("l"), F.col("__r").alias("r")))
-        ahead = _last_seen(seen.drop("__r"), b, by, True, F.col("__tie0"), span)
+        ahead = _last_seen(seen.drop("__r"), b, by, True, F.col("__tie0"))
         back, front = F.col("__l.r"), F.col("__r")
         nearer = back.isNotNull() & (front.isNull() | (F.col("__p") - back["__at"] <= front["__at"] - F.col("__p")))
         seen = ahead.select(*by, "__p", F.col("__l.l").alias("__l"), F.when(nearer, back).otherwise(front).alias("__r"))

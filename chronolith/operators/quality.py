@@ -167,8 +167,7 @@ def common(a: DataFrame, b: DataFrame, field: str, normalised: bool = False) ->
     keys = ["entity_id", "trade_date"]
     met = a.select(*keys, F.col(field).alias("a")).join(b.select(*keys, F.col(field).alias("b")), keys)
     if normalised:
-        last = lambda c: F.max_by(c, "trade_date").over(Window.partitionBy("entity_id"))
-        met = met.withColumns({"__a": last("a"), "__b": last("b")})
+        met = met.join(met.groupBy("entity_id").agg(*[F.max_by(c, "trade_date").alias(f"__{c}") for c in ("a", "b")]), "entity_id")
         over = lambda c: F.col(c) / F.when(F.col(f"__{c}") != 0, F.col(f"__{c}"))
         met = met.select(*keys, over("a").alias("a"), over("b").alias("b"))
     return met.withColumn("diff", F.abs(F.col("a") - F.col("b")))

@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronolith.operators.pit import first_by
 
 EPOCH = "1990-01-01"
-_FIRST = dt.date.fromisoformat(EPOCH)
 
 
 def covers(day: Column, start: str = "valid_from", end: str = "valid_to") -> Column:
@@ -71,9 +67,30 @@ def relations_both_ways(edges: DataFrame, inverse: dict[str, str], identity: Dat
     return open_.unionByName(back).join(peer, "related_id", "left")
 
 
-def search(identity: DataFrame, text: str | None = None, entity_type: str | None = None, market: str | None = None) -> DataFrame:
-    """Rows that match (before ranking), then each entity's current one, with the total count; order by type, code, id."""
+#: Characters of a gram of the search index.
+GRAM = 3
+
+
+def search_index(identity: DataFrame) -> DataFrame:
+    """(gram, entity_id): the runs of ``GRAM`` characters of all codes and names, in lower case; to be written and given to
+    :func:`search`.  Sorted by gram over all files, so that a search reads few of them."""
+    text = F.explode(F.array(F.lower("code"), F.lower("name")))
+    grams = F.transform(F.sequence(F.lit(1), F.length("text") - GRAM + 1), lambda at: F.substring("text", at, F.lit(GRAM)))
+    each = identity.select("entity_id", text.alias("text")).where(F.length("text") >= GRAM).select("entity_id", F.explode(F.array_distinct(grams)).alias("gram"))
+    return each.select("gram", "entity_id").distinct().repartitionByRange("gram").sortWithinPartitions("gram", "entity_id")
+
+
+def search(identity: DataFrame, text: str | None = None, entity_type: str | None = None, market: str | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Rows that match (before ranking), then each entity's current one, with the total count; order by type, code, id.
+
+    With ``index`` (of :func:`search_index`, of these rows or more) only entities that have all grams of a word of ``GRAM`` characters or
+    more are looked at; what is found is the same.
+    """
     found = identity
+    if text and index is not None and len(text) >= GRAM:
+        grams = sorted({text.lower()[n : n + GRAM] for n in range(len(text) - GRAM + 1)})
+        have = index.where(F.col("gram").isin(grams)).groupBy("entity_id").agg(F.count_distinct("gram").alias("n")).where(F.col("n") == len(grams))
+        found = found.join(have, "entity_id", "left_semi")
     if text:
         found = found.where(F.lower("code").contains(text.lower()) | F.lower("name").contains(text.lower()))
     if entity_type:
@@ -177,68 +194,48 @@ def aliases(codes: DataFrame, external: DataFrame) -> DataFrame:
     return own.unionByName(external.select("entity_id", F.col("id_type").alias("kind"), F.col("id_value").alias("alias"), "valid_from", "valid_to"))
 
 
-class _Names:
-    """The rows of one entity, as (valid_from, version, valid_to, name), while its events are applied in order."""
-
-    def __init__(self):
-        self.rows: list[tuple] = []
-        self.version = 0
-
-    def add(self, valid_from: dt.date | None, version: int, valid_to: dt.date | None, name: str) -> None:
-        self.rows.append((valid_from or _FIRST, version, valid_to, name))
-        self.version = max(self.version, version)
-
-    def change(self, new_name: str, start: dt.date, end: dt.date | None) -> list[tuple]:
-        """(kind, name, valid_from, valid_to, version) of the rows to append."""
-        if not self.rows:
-            raise ValueError("a name change of an unknown entity")
-        before, made = start - dt.timedelta(1), []
-        covering = [r for r in self.rows if r[0] <= before and (r[2] is None or r[2] >= before)]
-        found = max(covering, key=lambda r: r[:2], default=None)
-        resumed = (found or max(self.rows, key=lambda r: (r[2] is None, *r[:2])))[3]
-        if found and (found[2] is None or found[2] > before):
-            made.append(("close", found[3], found[0], before))
-        made.append(("name", new_name, start, end))
-        if end is not None:
-            made.append(("resume", resumed, end + dt.timedelta(1), None))
-        made = [(*row, self.version + n) for n, row in enumerate(made, 1)]
-        # no later event starts earlier: rows that ended before it, and open ones behind a later open one, are done with
-        latest = max((r for r in self.rows if r[2] is None and r[0] <= before), key=lambda r: r[:2], default=None)
-        self.rows = [r for r in self.rows if r is latest or (r[0] > before if r[2] is None else r[2] >= before)]
-        for _, name, valid_from, valid_to, version in made:
-            self.add(valid_from, version, valid_to, name)
-        return made
-
-
 def name_changes(identity: DataFrame, events: DataFrame) -> DataFrame:
     """Rows to append for (entity_id, new_name, start, end), any number of events per entity, applied in order of start.
 
     The row that covers the day before an event (by start, then version) is closed there; the new name holds from start to
     end; after an end the name of the covering row resumes without end.  Where no row covers that day nothing is closed, and
     the current row's name resumes.  Later events meet the rows that earlier ones made.  Versions go on from the entity's
-    highest.  An entity without rows is an error.  Rows are sorted by entity and streamed, with the rows of one entity that
-    still matter held at a time.
+    highest.  An entity without rows is an error.  Further columns of ``events`` (the day of the announcement, attributes) stand
+    on the row of the new name and are null on the others.
+
+    An entity's events are folded over its rows, both arrays of one row; of its rows only those that can still matter are kept.
     """
-    base = identity.select("entity_id", F.lit(0).alias("event"), "name", "valid_from", "valid_to", F.col("version").cast("long").alias("version"))
-    asked = events.select("entity_id", F.lit(1).alias("event"), F.col("new_name").alias("name"), F.col("start").alias("valid_from"), F.col("end").alias("valid_to"), F.lit(0).cast("long").alias("version"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        entity, state = None, _Names()
-        for frame in frames:
-            out = []
-            for who, event, name, valid_from, valid_to, version in zip(*[frame[c].tolist() for c in frame.columns], strict=True):
-                if who != entity:
-                    entity, state = who, _Names()
-                if event:
-                    out += [(who, *row) for row in state.change(name, valid_from, valid_to)]
-                else:
-                    state.add(valid_from, version, valid_to, name)
-            yield pd.DataFrame(out, columns=["entity_id", "kind", "name", "valid_from", "valid_to", "version"])
-
-    # identity rows of entities without events stay where they are
-    mine = base.join(events.select("entity_id").distinct(), "entity_id", "left_semi")
-    dealt = mine.unionByName(asked).repartition("entity_id").sortWithinPartitions("entity_id", "event", "valid_from", "version", "name")
-    return dealt.mapInPandas(run, f"entity_id {identity.schema['entity_id'].dataType.simpleString()}, kind string, name string, valid_from date, valid_to date, version long")
+    extra = [f for f in events.schema.fields if f.name not in ("entity_id", "new_name", "start", "end")]
+    none = [F.lit(None).cast(f.dataType).alias(f.name) for f in extra]
+    row = lambda a, v, b, name: F.struct(a.alias("valid_from"), v.cast("long").alias("version"), b.alias("valid_to"), name.alias("name"))
+    out = lambda kind, name, a, b, v, more=none: F.struct(F.lit(kind).alias("kind"), name.alias("name"), a.alias("valid_from"), b.alias("valid_to"), v.cast("long").alias("version"), *more)
+    start = F.coalesce(F.col("valid_from"), F.lit(EPOCH).cast("date"))
+    asked = events.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("start", F.col("end"), F.col("new_name").alias("name"), *[f.name for f in extra]))).alias("events"))
+    mine = identity.join(events.select("entity_id").distinct(), "entity_id", "left_semi")
+    held = mine.groupBy("entity_id").agg(F.collect_list(row(start, F.col("version"), F.col("valid_to"), F.col("name"))).alias("rows"), F.max("version").cast("long").alias("version"))
+    known = F.when(F.col("rows").isNull(), F.raise_error(F.lit("a name change of an unknown entity")).cast("boolean")).otherwise(True)
+
+    def fold(state: Column, event: Column) -> Column:
+        rows, version, before = state["rows"], state["version"], F.date_sub(event["start"], 1)
+        covers_it = lambda r: (r["valid_from"] <= before) & (r["valid_to"].isNull() | (r["valid_to"] >= before))
+        found = F.array_max(F.filter(rows, covers_it))
+        current = F.array_max(F.transform(rows, lambda r: F.struct(r["valid_to"].isNull(), r["valid_from"], r["version"], r["name"].alias("name"))))
+        closes = found.isNotNull() & (found["valid_to"].isNull() | (found["valid_to"] > before))
+        n = version + F.when(closes, 1).otherwise(0)
+        closed = F.when(closes, F.array(out("close", found["name"], found["valid_from"], before, n)))
+        named = F.array(out("name", event["name"], event["start"], event["end"], n + 1, [event[f.name].alias(f.name) for f in extra]))
+        resumed = F.when(event["end"].isNotNull(), F.array(out("resume", F.when(found.isNotNull(), found["name"]).otherwise(current["name"]), F.date_add(event["end"], 1), F.lit(None).cast("date"), n + 2)))
+        made = F.flatten(F.array_compact(F.array(closed, named, resumed)))
+        # no later event starts earlier: rows that ended before it, and open ones behind a later open one, are done with
+        latest = F.array_max(F.filter(rows, lambda r: r["valid_to"].isNull() & (r["valid_from"] <= before)))
+        kept = F.filter(rows, lambda r: r.eqNullSafe(latest) | F.when(r["valid_to"].isNull(), r["valid_from"] > before).otherwise(r["valid_to"] >= before))
+        after = F.concat(kept, F.transform(made, lambda m: row(m["valid_from"], m["version"], m["valid_to"], m["name"])))
+        return F.struct(after.alias("rows"), (version + F.size(made)).alias("version"), F.concat(state["made"], made).alias("made"))
+
+    kinds = ", ".join(["kind: string", "name: string", "valid_from: date", "valid_to: date", "version: bigint", *[f"`{f.name}`: {f.dataType.simpleString()}" for f in extra]])
+    joined = asked.join(held, "entity_id", "left").where(known)
+    begin = F.struct("rows", "version", F.array().cast(f"array<struct<{kinds}>>").alias("made"))
+    return joined.select("entity_id", F.inline(F.aggregate("events", begin, fold)["made"]))
 
 
 def code_changes(identity: DataFrame, codes: DataFrame, events: DataFrame) -> DataFrame:

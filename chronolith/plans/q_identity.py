@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chronolith.operators import calendar, ingest, scd2
 from chronolith.plans.registry import query
+from chronolith.sources import sinks
 
 DAY, AT, NOW = "1998-06-30", "1998-06-30 12:00:00", "2024-02-15 00:00:00"
 TOP = "QUALIFY row_number() OVER (PARTITION BY {k} ORDER BY {o}) = 1"
@@ -64,6 +65,18 @@ def _(t):
     return page.join(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
 
 
+@query("entity_search_index", f"SELECT {COLS} FROM b_entity WHERE code ILIKE '%ER#00000001%' OR name ILIKE '%ER#00000001%' {TOP.format(k='entity_id', o='(valid_to IS NULL) DESC, valid_from DESC, version DESC')}", "b_entity")
+def _(t):
+    """The same search by an index of grams, which is written at the session's first call."""
+
+    def write():
+        path = sinks.shared_folder(t.spark, "grams")
+        scd2.search_index(t.b_entity).write.parquet(path)
+        return path
+
+    return scd2.search(t.b_entity, "er#00000001", index=t.spark.read.parquet(t.once("grams", write))).select(*LIST)
+
+
 query("entity_history", f"SELECT {COLS} FROM b_entity", "b_entity")(lambda t: scd2.timeline(t.b_entity, *LIST))
 query("entity_aliases", "SELECT entity_id, 'code' AS kind, code AS alias, valid_from, valid_to FROM b_code UNION ALL SELECT entity_id, id_type, id_value, valid_from, valid_to FROM b_extid", ("b_code", "b_extid"))(
     lambda t: scd2.aliases(t.b_code, t.b_extid)

@@ -130,6 +130,44 @@ def _(t):
     )
 
 
+_GUARD = "SELECT 'bar' AS dataset, '{c}' AS check_id, 'guard' AS family, 'error' AS severity, '{status}' AS status, DATE '2024-01-01' AS window_start, DATE '2024-01-30' AS window_end, {n} AS rows_checked, 0 AS violations, '[]' AS samples, '{{}}' AS metrics, '{m}' AS message"
+_REFUSED = ("align_reserved", "align_key", "factor_docstring", "factor_twice", "factor_columns", "factor_cycle")
+
+
+@query("guard_results", " UNION ALL ".join([_GUARD.format(c="factor_fine", status="passed", n="(SELECT count(*) FROM b_bar1)", m="passed (closes are not negative)"), *[_GUARD.format(c=c, status="error", n=0, m="ValueError") for c in _REFUSED]]), "b_bar1")
+def _(t):
+    """What alignment and factor registration refuse, as rows of a scan: each guard raises where its rule is planned."""
+    bars, days = t.b_bar1, open_days(t)
+
+    def registered(*made):
+        registry = factors.Registry()
+        for output, inputs, function in made:
+            registry.register(output, 1, output, inputs)(function)
+        return registry.evaluate(made[0][0], lambda names: bars.select("entity_id", "trade_date", *names), NOW).where(f"{made[0][0]} < 0")
+
+    def plus(inputs, as_of):
+        """Formula: the close.  PIT: as read."""
+        return next(iter(inputs.values())).select("entity_id", "trade_date", F.lit(0.0).alias("plus")) if "close" not in inputs else inputs["close"].withColumnRenamed("close", "plus")
+
+    def other(inputs, as_of):
+        """Formula: the close.  PIT: as read."""
+        return next(iter(inputs.values()))
+
+    bare = lambda inputs, as_of: inputs["close"]
+    rules = {
+        "factor_fine": lambda: registered(("plus", ["close"], plus)),
+        "align_reserved": lambda: calendar.align(bars.withColumn("status", F.lit("x")), BAR, days, bars),
+        "align_key": lambda: calendar.align(bars, LINE, days, bars),
+        "factor_docstring": lambda: registered(("plus", ["close"], bare)),
+        "factor_twice": lambda: registered(("plus", ["close"], plus), ("plus", ["close"], plus)),
+        "factor_columns": lambda: registered(("plus", ["close"], other)),
+        "factor_cycle": lambda: registered(("plus", ["minus"], plus), ("minus", ["plus"], plus)),
+    }
+    notes = {"factor_fine": "closes are not negative"}
+    checks = [quality.Check("bar", name, "guard", "error", bars, rule, note=notes.get(name, "")) for name, rule in rules.items()]
+    return quality.scan(t.spark, checks, ("2024-01-01", "2024-01-30"))
+
+
 _RUN = "(SELECT * FROM b_results WHERE (window_end, run_id) = (SELECT max((window_end, run_id)) FROM b_results))"
 query(
     "quality_summary",

@@ -153,6 +153,7 @@ def _asof(op):
 
 
 query("asof_backward", _asof(">="), "b_bar1")(lambda t: joins.asof_join(*_mondays(t), "trade_date", "trade_date", ["entity_id"]))
+query("asof_backward_cuts", _asof(">="), "b_bar1")(lambda t: joins.asof_join(*_mondays(t), "trade_date", "trade_date", ["entity_id"], span="auto"))
 query("asof_backward_spans", _asof(">="), "b_bar1")(lambda t: joins.asof_join(*_mondays(t), "trade_date", "trade_date", ["entity_id"], span=5))
 query("asof_forward", _asof("<="), "b_bar1")(lambda t: joins.asof_join(*_mondays(t), "trade_date", "trade_date", ["entity_id"], "forward"))
 query(

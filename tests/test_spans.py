@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from chronolith.operators import factors, quality, series
+from chronolith.operators import factors, joins, quality, series
 
 FIRST = dt.date(2015, 1, 1)
 
@@ -143,3 +143,26 @@ def test_sweep_equals_days(spark):
     assert pairs(quality.uncovered_runs(asked, market, calendar)) == uncovered
     none = calendar.limit(0)
     assert quality.expected_segments(market, none).count() == 0 and quality.uncovered_runs(asked, market, none).count() == 0
+
+
+def test_cuts_of_hot_keys_change_no_match(spark):
+    """One key holds nine rows of ten: it alone is cut, at percentiles of its own times, and every direction finds the same rows."""
+    rng = random.Random(4)
+    row = lambda n, hot: (1 if hot else rng.randrange(2, 40), FIRST + dt.timedelta(days=rng.randrange(4000)), n)
+    left = spark.createDataFrame([row(n, n % 10) for n in range(3000)] + [(1, None, -1), (None, FIRST, -2)], "k long, day date, a long")
+    right = spark.createDataFrame([row(n, n % 10) for n in range(2000)], "k long, day date, b long").dropDuplicates(["k", "day"])
+    for direction in ("backward", "forward", "nearest"):
+        plain, cut = (joins.asof_join(left, right, "day", "day", ["k"], direction, span=span, key_rows=500).collect() for span in (None, "auto"))
+        assert sorted(map(str, plain)) == sorted(map(str, cut)) and len(cut) == 3002
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        for key, value in zip(before, ("false", "4"), strict=True):
+            spark.conf.set(key, value)
+        sides = [d.select("k", F.unix_date("day").cast("long").alias("__p")) for d in (left, right)]
+        spread = joins._spread(sides, ["k"], 500)
+        sizes = sorted(Counter(r.p for side in spread for r in side.repartition(4, "k", "__span").select(F.spark_partition_id().alias("p")).collect()).values())
+        assert len(sizes) == 4 and sizes[-1] <= 2 * sizes[1]
+        assert spread[0].where("k > 1").agg(F.max("__span")).first()[0] == 0 and spread[0].select("__span").distinct().count() > 50
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
