@@ -142,14 +142,14 @@ def decontaminate(
     the words inside windows and what follows each up to the next word (spans).
 
     Odd rows are dealt with as by :func:`find`; clean documents stay as they are, null texts null.  ``docs`` must give the same partitions
-    each time it is read.  Documents with hits go to the others by broadcast only if they are counted to at most ``max_broadcast``.
+    each time it is read.  Documents with hits go to the others by broadcast only if they and their spans are counted to at most ``max_broadcast``.
     """
     if remove not in ("spans", "documents"):
         raise ValueError("remove spans or documents")
     hits = _hits(docs, benchmark, id_col, text_col, item_col, item_text, window, block_windows, block_bytes).where("n_hit > 0").select(F.col("place").alias("__place"), F.col("spans").alias("__spans"))
     hits = checkpointed(hits if remove == "spans" else hits.drop("__spans"))
-    # a row's spans are as long as its text at most, and a table of so few rows of text was read by one task too
-    few = broadcast_within(hits, max_broadcast if remove == "documents" else max_broadcast // 10)
+    held = hits.agg(F.count(F.lit(1)), F.lit(0) if remove == "documents" else F.coalesce(F.sum(F.size("__spans")), F.lit(0))).first()
+    few = F.broadcast(hits) if held[0] + held[1] <= max_broadcast else hits
     keyed = docs.withColumn("__place", F.monotonically_increasing_id())
     if remove == "documents":
         return keyed.join(few, "__place", "left_anti").drop("__place")
