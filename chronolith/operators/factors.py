@@ -256,6 +256,29 @@ def materialise(rows: DataFrame, factor: Factor, as_of, computed_at, fingerprint
     return spark.read.parquet(f"{root}/generation={generation}")
 
 
+def refresh(registry: Registry, output: str, source: Callable[[Sequence[str]], DataFrame], changes: DataFrame, as_of, computed_at, path: str, keep: int | None = None) -> DataFrame:
+    """The next generation of a projection at ``path``, in which only entities are evaluated of which something became known since the last one.
+
+    ``changes``: (entity_id, knowledge_time) of all rows of the factor's inputs.  For factors whose rows rest on their own entity's
+    inputs alone; the rows of all others are taken over, so the result is that of a full evaluation.  There is one if nothing
+    was materialised yet, if the last generation holds no rows, is known later than ``as_of``, or is of another algorithm, version or upstream.
+    The semi join by entity goes below the reads' windows, so history of other entities is not shuffled.
+    """
+    spark, factor, fingerprint = changes.sparkSession, registry.factors[output], registry.fingerprint(output)
+    moment = F.lit(as_of).cast("timestamp_ntz")
+    previous = current_projection(spark, path) if _finished(spark, path) else None
+    if previous is not None:
+        same = (F.col("algorithm_id") == factor.algorithm_id) & (F.col("algorithm_version") == factor.version) & (F.col("upstream_fingerprint") == fingerprint)
+        row = previous.agg(F.max("as_of").alias("last"), F.every(same & (F.col("as_of") <= moment)).alias("fit")).first()
+        previous = previous if row.fit else None
+    if previous is None:
+        return materialise(registry.evaluate(output, source, as_of), factor, as_of, computed_at, fingerprint, path, keep)
+    changed = changes.where((F.col("knowledge_time") > F.lit(row.last).cast("timestamp_ntz")) & (F.col("knowledge_time") <= moment)).select("entity_id").distinct()
+    fresh = registry.evaluate(output, lambda names: source(names).join(changed, "entity_id", "left_semi"), as_of)
+    kept = previous.join(changed, "entity_id", "left_anti").select(*KEYS, output)
+    return materialise(kept.unionByName(fresh), factor, as_of, computed_at, fingerprint, path, keep)
+
+
 def read_projection(projection: DataFrame, factor: Factor, at, window: tuple | None = None, entities: Sequence | None = None, fingerprint: str | None = None) -> DataFrame:
     """A projection's rows, if it is fit to be read at ``at``: computed before, over all the window, by the current algorithm.
 

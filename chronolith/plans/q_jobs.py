@@ -278,6 +278,23 @@ query(
 )(_kept)
 
 
+def _refreshed(t):
+    """A generation as of the 25th, and one that takes in what became known since."""
+    f, path, early = factors.REGISTRY.factors["ma20"], sinks.shared_folder(t.spark, "refreshed_ma20"), "2024-01-25 00:00:00"
+    read = lambda at: lambda names: adjust.read(t.b_bar, t.b_factor, BAR, FACTOR, at, list(names), "hfq")
+    factors.materialise(factors.REGISTRY.evaluate("ma20", read(early), early), f, early, early, factors.REGISTRY.fingerprint("ma20"), path)
+    known = ["entity_id", "knowledge_time"]
+    factors.refresh(factors.REGISTRY, "ma20", read(ALL_AT), t.b_bar.select(*known).unionByName(t.b_factor.select(*known)), ALL_AT, "2024-02-15 01:00:00", path, keep=0)
+    return path
+
+
+query(
+    "factor_refresh",
+    f"SELECT entity_id, trade_date, round(ma20, 10) AS ma20, TIMESTAMP '{ALL_AT}' AS as_of, 2 AS data_generation FROM ({_MA})",
+    _FBAR, 10,
+)(lambda t: factors.current_projection(t.spark, t.once("refreshed_ma20", lambda: _refreshed(t))).select("entity_id", "trade_date", "ma20", "as_of", "data_generation"))
+
+
 @query("factor_read", f"WITH m AS ({_MA}) SELECT entity_id, trade_date, round(ma20, 10) AS ma20 FROM m WHERE trade_date >= (SELECT max(trade_date) - 4 FROM m)", _FBAR, 10)
 def _(t):
     """The projection's last five days."""

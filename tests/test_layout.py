@@ -121,3 +121,25 @@ def test_two_runs_replaced_at_once(spark, tmp_path):
     rows = spark.createDataFrame([(r, f"c{k}", dt.date(2024, 1, 1)) for r in (1, 2, 3) for k in range(4)], "run_id long, check_id string, window_end date")
     together(3, lambda k: quality.replace_run(rows.where(F.col("run_id") == k + 1), f"{tmp_path}/q"))
     assert spark.read.parquet(f"{tmp_path}/q").count() == 12
+
+
+def test_refresh_evaluates_changed_entities_only_and_gives_what_all_would(spark, tmp_path):
+    bars, factor = data(spark)
+    source = lambda rows, at: lambda names: adjust.read(rows, factor, BAR, FACTOR, at, list(names), "hfq")
+
+    early, late = "2024-02-05 00:00:00", "2024-06-01 00:00:00"
+    known = lambda rows: rows.select("entity_id", "knowledge_time")
+    registry, values = factors.REGISTRY, lambda df: {(r.entity_id, r.trade_date): r.ma20 for r in df.collect()}
+    first = factors.refresh(registry, "ma20", source(bars, early), known(bars), early, early, f"{tmp_path}/p")
+    assert values(first) == values(registry.evaluate("ma20", source(bars, early), early)) and first.count() > 0
+    # afterwards the days to come of all, then a restatement of entity 3 alone
+    second = factors.refresh(registry, "ma20", source(bars, late), known(bars), late, late, f"{tmp_path}/p")
+    old = values(second)
+    assert old == values(registry.evaluate("ma20", source(bars, late), late)) and second.count() == 25 * 21
+    restated = bars.where("entity_id = 3").withColumns({"version": F.lit(2).cast("long"), "close": F.col("close") + 1, "knowledge_time": F.lit("2024-06-02 00:00:00").cast("timestamp_ntz")})
+    every, at = bars.unionByName(restated), "2024-06-03 00:00:00"
+    # rows of other entities are taken over: their inputs are not read
+    broken = every.withColumn("close", F.when(F.col("entity_id") == 3, F.col("close")).otherwise(F.lit(-9.0)))
+    third = factors.refresh(registry, "ma20", source(broken, at), known(every), at, at, f"{tmp_path}/p", keep=0)
+    assert values(third) == values(registry.evaluate("ma20", source(every, at), at)) and values(third) != old
+    assert [r[0] for r in third.select("data_generation").distinct().collect()] == [3]
