@@ -1,10 +1,11 @@
 """Language-model scoring with a class bigram model (Brown et al., 1992), trained by distributed exchange clustering.
 
 Symbols are the frequent words, the shapes of rare words, and the text end.  A word is frequent if it occurs ``min_count``
-times and makes up at least ``min_share`` of the training tokens: so the clustered vocabulary grows with the corpus, up to
-1 / min_share words, which bounds all that is sent to tasks; the table of all words' counts grows without a bound and stays
-in Spark.  Exchange clustering moves symbols to the class that raises the likelihood of class transitions most: a round
-finds every symbol's best move, then makes the most gainful share of the moves by which likelihood rises.
+times; every such word is clustered, however many there are.  Words, their numbers, classes and bigrams are tables: only
+what is by class, by shape or by partition reaches the driver, and a task holds a block of text, the contexts of a stripe of
+symbols and the classes of a segment of them, one byte each.  Exchange clustering moves symbols to the class that raises
+the likelihood of class transitions most: a round finds every symbol's best move among all classes, then makes the most
+gainful share of the moves by which likelihood rises.
 
     P(token | previous) = P(class | previous class) * P(symbol | class) * P(word | shape, for rare words)
 """
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,14 @@ from chronolith.llm.common import checkpointed, fold, text_or_empty, text_runs
 
 SHAPES = 256
 DELTA = 0.1
-#: The text end's key in the count table; no word holds a space.
-END = int(np.uint64(xxhash.xxh64_intdigest(b" end ", 42)).view(np.int64))
+#: Rank of the text end among symbols: after the shapes, before the words, the most frequent first.
+END = SHAPES
+#: Symbols whose contexts a task holds at once, and symbols whose classes it looks up at once; their numbers have as many parts.
+STRIPE, SEGMENT = 2048, 1 << 20
+#: Tables of classes that are broadcast: rows of a segment (a byte for each symbol), and of a stripe.
+MOST_SEGMENTS, MOST_STRIPES = 16, 8192
+#: Entries that are gathered before equal ones are summed.
+MOST_ENTRIES = 4_000_000
 
 
 def tokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -64,7 +72,7 @@ def with_ends(values: np.ndarray, counts: np.ndarray, end: int) -> np.ndarray:
 
 @dataclass
 class Symbols:
-    """Frequent words by hash, with their training counts; symbol numbers: words, then shapes, then the end."""
+    """Frequent words by hash, with their training counts; places: words, then shapes, then the end."""
 
     hashes: np.ndarray
     counts: np.ndarray
@@ -82,102 +90,188 @@ class Symbols:
 
 @dataclass
 class Model:
-    """All of a bounded size, but for ``counts`` (key long, n long), the table of all training words."""
+    """``words`` (key long, n long, kind int: the class, or -1 for a rare word) is a table of all training words; the rest
+    is by class or shape.  ``symbols``, ``classes`` and ``emission`` gather the frequent words, to look at a small model."""
 
-    counts: DataFrame
-    symbols: Symbols
+    words: DataFrame
     train_tokens: int
     vocabulary: int
-    classes: np.ndarray  # of each symbol
+    shape_classes: np.ndarray  # of each shape, then of the end
+    shape_emission: np.ndarray  # log10, of each shape in its class, then of the end
+    held: np.ndarray  # log10 of the classes' counts
     transition: np.ndarray  # log10, from class to class
-    emission: np.ndarray  # log10, of each symbol in its class
     rare: np.ndarray  # log10 of the denominators of rare words, by shape
     end_count: int
     history: list[float]  # the likelihood after each round of clustering
 
+    @property
+    def counts(self) -> DataFrame:
+        return self.words.select("key", "n")
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(key long, shape int, n long): counts of all distinct words, and of the text end (shape -1)."""
+    @cached_property
+    def _frequent(self):
+        return self.words.where("kind >= 0").toPandas().sort_values("key")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_runs(batches):
-            hashes, shapes, codes, counts = words_of(batch.column(0))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.append(hashes, END)), pa.array(np.append(shapes, -1).astype(np.int32)), pa.array(np.append(np.bincount(codes, minlength=len(hashes)), len(counts)))],
-                names=["key", "shape", "n"],
-            )
+    @cached_property
+    def symbols(self) -> Symbols:
+        return Symbols(self._frequent["key"].to_numpy(np.int64), self._frequent["n"].to_numpy(np.int64))
 
-    return docs.mapInArrow(run, "key long, shape int, n long").groupBy("key", "shape").agg(F.sum("n").alias("n"))
+    @cached_property
+    def classes(self) -> np.ndarray:
+        return np.concatenate((self._frequent["kind"].to_numpy(np.int64), self.shape_classes))
 
+    @cached_property
+    def emission(self) -> np.ndarray:
+        own = np.log10(self.symbols.counts + DELTA) - self.held[self._frequent["kind"].to_numpy(np.int64)]
+        return np.concatenate((own, self.shape_emission))
 
-def count_bigrams(docs: DataFrame, symbols: Symbols) -> DataFrame:
-    """(a int, b int, n long): how often symbol b follows a; each text starts after an end."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def cut(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", part: int = 0) -> DataFrame:
+    """Texts cut into words, written by blocks of rows: (block, ids, sizes: words of each text; of each distinct word keys, n
+    and shapes; codes: the packed word of each place).  Blocks of other ``part`` (0 or 1) have other numbers.
+    """
+    rows = docs.select((F.col(id_col) if id_col else F.lit(None).cast("long")).alias("id"), text_or_empty(text_col).alias("text"))
+    id_type = rows.schema["id"].dataType.simpleString()
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = TaskContext.get().partitionId() << 32
         for batch in text_runs(batches):
-            hashes, shapes, codes, counts = words_of(batch.column(0))
-            numbers, _ = symbols.number(hashes, shapes)
-            line = with_ends(numbers[codes], counts, symbols.end)
-            pairs, n = np.unique(np.concatenate(([symbols.end], line[:-1])) * (symbols.end + 1) + line, return_counts=True)
-            a, b = np.divmod(pairs, symbols.end + 1)
-            yield pa.RecordBatch.from_arrays([pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(n)], names=["a", "b", "n"])
+            if not batch.num_rows:
+                continue
+            hashes, shapes, codes, counts = words_of(batch.column("text"))
+            n = np.bincount(codes, minlength=len(hashes))
+            yield pa.RecordBatch.from_pydict({
+                "block": [2 * block + part], "ids": _one(batch.column("id")), "sizes": _one(pa.array(counts.astype(np.int64))), "keys": _one(pa.array(hashes)),
+                "n": _one(pa.array(n.astype(np.int64))), "shapes": _one(pa.array(shapes.astype(np.uint8).view(np.int8))), "codes": [pack(codes.astype(np.uint32))],
+            })
+            block += 1
 
-    return docs.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
+    return checkpointed(rows.mapInArrow(blocks, f"block long, ids array<{id_type}>, sizes array<long>, keys array<long>, n array<long>, shapes array<tinyint>, codes binary"))
 
 
-def _xlogx(x: np.ndarray) -> np.ndarray:
-    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
+def met_blocks(blocks: DataFrame, words: DataFrame, columns: dict[str, int], join, schema: str) -> DataFrame:
+    """``join(found, held)`` of every block and its distinct words, each with the ``columns`` of ``words``, or the
+    values given if ``words`` lacks it.
 
+    A block's distinct words go to the table once each, and come back to its packed places in a cogroup.
+    """
+    asked = blocks.select("block", F.posexplode("keys").alias("number", "key")).join(words.select("key", *columns), "key", "left").select(F.col("block").alias("of"), "number", *columns).fillna(columns)
+    kept = blocks.withColumn("n_keys", F.size("keys")).drop("keys", "n")
+    met, kept = (t.repartition(_partitions(blocks), of).groupBy(of) for t, of in ((asked, "of"), (kept, "block")))
 
-def symbol_contexts(bigrams: DataFrame, size: int) -> DataFrame:
-    """One row per symbol: (s, m, data), the numbers of its m contexts and their counts as bytes: the symbols that follow
-    it, and those before it as number + ``size``.
+    def checked(found: pa.Table, held: pa.Table) -> pa.Table:
+        if held.num_rows != 1 or found.num_rows != held.column("n_keys")[0].as_py():
+            raise RuntimeError("a block lacks counts")
+        return join(found.sort_by("number"), held)
 
-    A row has at most two entries for each symbol, whose number is bounded; partial lists are gathered before the shuffle.
-    """
+    return met.cogroup(kept).applyInArrow(checked, schema)
 
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in (whole.slice(at, 512) for at in range(0, whole.num_rows, 512)):
-                ends = np.concatenate(([0], np.cumsum(batch.column("others").value_lengths().to_numpy(zero_copy_only=False))))
-                others, n = (batch.column(c).flatten().to_numpy() for c in ("others", "n"))
-                data = [others[x:y].astype(np.int32).tobytes() + n[x:y].astype(np.int64).tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("s"), pa.array(np.diff(ends).astype(np.int32)), pa.array(data, pa.binary())], names=["s", "m", "data"])
 
-    after = bigrams.select(F.col("a").alias("s"), F.col("b").alias("o"), "n")
-    before = bigrams.select(F.col("b").alias("s"), (F.col("a") + size).alias("o"), "n")
-    lists = after.union(before).groupBy("s").agg(F.collect_list("o").alias("others"), F.collect_list("n").alias("n"))
-    return lists.mapInArrow(packed, "s int, m int, data binary")
+def _partitions(blocks: DataFrame) -> int:
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks.count(), MOST_PARTITIONS))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch], classes: np.ndarray, k: int, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs of symbols: their numbers, and counts of the classes before and after them."""
-    side = np.concatenate((classes + k, classes)).astype(np.int64)  # followers stand in columns k and on
-    for whole in batches:
-        for batch in (whole.slice(at, step) for at in range(0, whole.num_rows, step)):
-            both = np.zeros((batch.num_rows, 2 * k))
-            for row, (m, data) in enumerate(zip(batch.column("m").to_pylist(), batch.column("data"), strict=True)):
-                held = data.as_buffer()
-                both[row] = np.bincount(side[np.frombuffer(held, np.int32, m)], weights=np.frombuffer(held, np.int64, m, 4 * m), minlength=2 * k)
-            yield batch.column("s").to_numpy(), both[:, :k], both[:, k:]
+def _column(held: pa.Table, name: str) -> np.ndarray:
+    return held.column(name).combine_chunks().flatten().to_numpy(zero_copy_only=False)
 
 
-def class_counts(contexts: DataFrame, classes: np.ndarray, k: int) -> np.ndarray:
-    """The k by k transition counts; k * k numbers reach the driver."""
+def squeeze(*arrays: np.ndarray) -> bytes:
+    """Arrays of one length, compressed: bytes of one weight stand together."""
+    planes = b"".join(np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes() for a in arrays)
+    return pa.Codec("zstd", compression_level=1).compress(planes, asbytes=True)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((k, k))
-        for symbols, _, after in _contexts(batches, classes, k):
-            np.add.at(total, classes[symbols], after)
-        used = np.flatnonzero(total.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["a", "n"])
-
-    out = np.zeros((k, k))
-    # a task gives at most a row for each class
-    rows = contexts.mapInArrow(run, "a long, n array<double>").groupBy("a").agg(F.array(*[F.sum(F.get("n", F.lit(b))) for b in range(k)]))
-    for a, n in rows.collect():
-        out[a] = n
-    return out
+
+def unsqueeze(data: bytes, m: int, *kinds: type) -> list[np.ndarray]:
+    sizes = [np.dtype(k).itemsize for k in kinds]
+    flat, at, found = np.frombuffer(pa.decompress(data, m * sum(sizes), "zstd", asbytes=True) if m else b"", np.uint8), 0, []
+    for size, kind in zip(sizes, kinds, strict=True):
+        found.append(np.ascontiguousarray(flat[at : at + m * size].reshape(size, m).T).view(kind).ravel())
+        at += m * size
+    return found
+
+
+_KINDS = (np.uint16, np.uint32, np.uint64)
+
+
+def number_words(counts: DataFrame, least: float, stripe: int) -> tuple[DataFrame, int]:
+    """(key, n, number, frequent) of all words, and the number of stripes.
+
+    Symbols rank by shape, then the end, then words by falling count; ranks are dealt over stripes in turn, so stripes are
+    alike.  A rare word has its shape's number.  Ranks come from the sizes of the sorted table's partitions.
+    """
+    order = [F.col("n").desc(), F.col("key")]
+    ranged = checkpointed(counts.where(F.col("n") >= least).repartitionByRange(*order).sortWithinPartitions(*order))
+    placed = ranged.withColumn("at", F.monotonically_increasing_id())
+    sizes = {p: n for p, n in placed.groupBy(F.shiftright("at", 33).alias("p")).count().collect()}
+    firsts = np.cumsum([END + 1, *(sizes.get(p, 0) for p in range(max(sizes, default=0) + 1))]).tolist()
+    stripes = -(-firsts[-1] // stripe)
+    rank = F.lit(firsts).cast("array<bigint>")[F.shiftright("at", 33).cast("int")] + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = lambda rank: (rank % stripes * stripe + F.floor(rank / stripes)).cast("long")
+    words = placed.withColumn("rank", rank).select("key", "n", dealt(F.col("rank")).alias("number"), F.lit(True).alias("frequent"))
+    rare = counts.where(F.col("n") < least).select("key", "n", dealt(F.col("shape").cast("long")).alias("number"), F.lit(False).alias("frequent"))
+    return checkpointed(words.union(rare)), stripes
+
+
+def symbol_contexts(blocks: DataFrame, words: DataFrame, stripes: int, stripe: int, segment: int) -> DataFrame:
+    """(i, j, side, m, data): of stripe i's symbols the m contexts that lie in segment j, with their counts; side 1 has the
+    symbols that follow, side 0 those before.  Each text starts after an end.
+    """
+    end, size = END % stripes * stripe + END // stripes, stripes * stripe
+
+    def pairs(found: pa.Table, held: pa.Table) -> pa.Table:
+        sizes = _column(held, "sizes")
+        line = with_ends(found.column("number_of").to_numpy()[unpack(held.column("codes")[0].as_py(), int(sizes.sum()), np.uint32)], sizes, end)
+        both, n = np.unique(np.concatenate(([end], line[:-1])) * size + line, return_counts=True)
+        rows, n = {c: [] for c in ("i", "j", "side", "m", "data")}, n.astype(np.uint64)
+        for side, (s, o) in enumerate((np.divmod(both, size)[::-1], np.divmod(both, size))):
+            order = np.lexsort((o, s, o // segment, s // stripe))
+            s, o, each = s[order], o[order], n[order]
+            i, j = s // stripe, o // segment
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 0) | (np.diff(j) != 0))))
+            for x, y in zip(starts, np.append(starts[1:], len(s)), strict=True):
+                data = squeeze((s[x:y] % stripe).astype(np.uint16), (o[x:y] % segment).astype(np.uint32), each[x:y])
+                for c, value in zip(rows, (i[x], j[x], side, y - x, data), strict=True):
+                    rows[c].append(value)
+        return pa.table(rows, schema=pa.schema([("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32()), ("m", pa.int64()), ("data", pa.binary())]))
+
+    def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        s, o, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key = s.astype(np.int64) * segment + o
+        order = np.argsort(key, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], np.diff(key[order]) != 0)))
+        first = order[starts]
+        return s[first], o[first], np.add.reduceat(n[order], starts)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, parts, gathered, least = None, [], 0, MOST_ENTRIES
+
+        def row() -> pa.RecordBatch:
+            s, o, n = summed(parts)
+            return pa.RecordBatch.from_pydict({"i": [last[0]], "j": [last[1]], "side": pa.array([last[2]], pa.int32()), "m": [len(s)], "data": [squeeze(s, o, n)]})
+
+        for batch in batches:
+            for *cell, m, data in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "m", "data")), strict=True):
+                if cell != last and parts:
+                    yield row()
+                if cell != last:
+                    last, parts, gathered, least = cell, [], 0, MOST_ENTRIES
+                parts.append(tuple(unsqueeze(data, m, *_KINDS)))
+                gathered += m
+                if gathered > least:
+                    parts = [summed(parts)]
+                    gathered = len(parts[0][0])
+                    least = 2 * gathered + MOST_ENTRIES
+        if parts:
+            yield row()
+
+    schema = "i long, j long, side int, m long, data binary"
+    chunks = met_blocks(blocks, words.withColumnRenamed("number", "number_of"), {"number_of": -1}, pairs, schema)
+    dealt = chunks.repartition(_partitions(blocks), "i", "j", "side").sortWithinPartitions("i", "j", "side")
+    return checkpointed(dealt.mapInArrow(merged, schema))
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
 def log_likelihood(counts: np.ndarray) -> float:
@@ -185,169 +279,287 @@ def log_likelihood(counts: np.ndarray) -> float:
     return float(_xlogx(counts).sum() - _xlogx(counts.sum(axis=1)).sum() - _xlogx(counts.sum(axis=0)).sum())
 
 
-def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, counts: np.ndarray, tried: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def best_moves(left: np.ndarray, right: np.ndarray, own: np.ndarray, counts: np.ndarray, small: int = 8) -> tuple[np.ndarray, np.ndarray]:
     """For symbols with class counts before (``left``) and after (``right``) them: the class each fits best, its own taken
     out first, and by how much better than its own.
 
-    A first-order estimate, one matrix product, picks ``tried`` classes for each symbol; those are computed exactly.
+    All classes are computed.  Counts up to ``small`` are so by a matrix product for each count, greater ones one by one.
     """
-    log, n_out, n_in = np.log(counts + 1), counts.sum(axis=1), counts.sum(axis=0)
-    rough = right @ log.T + left @ log - right.sum(axis=1)[:, None] * np.log(n_out + 1) - left.sum(axis=1)[:, None] * np.log(n_in + 1)
+    n_out, n_in = counts.sum(axis=1), counts.sum(axis=0)
     rows = np.arange(len(own))
-    rough[:, 0] = -np.inf  # the end's class
-    rough[rows, own] = np.inf
-    chosen = np.argsort(-rough, axis=1)[:, : min(tried, len(counts) - 1)]  # its own class first
 
     def joined(table: np.ndarray, more: np.ndarray) -> np.ndarray:
-        """What the chosen classes' rows of ``table`` gain by ``more``."""
-        base = table[chosen]
-        base[:, 0] = np.maximum(base[:, 0] - more, 0)
-        return (_xlogx(base + more[:, None, :]) - _xlogx(base)).sum(axis=2)
+        """What all classes' rows of ``table`` gain by ``more``, a symbol's own class without it."""
+        plain, gain = _xlogx(table), np.zeros((len(more), len(table)))
+        for r in range(1, small + 1):
+            gain += (more == r) @ (_xlogx(table + r) - plain).T
+        at, column = np.nonzero(more > small)
+        if len(at):
+            each = _xlogx(table.T[column] + more[at, column][:, None]) - plain.T[column]
+            starts = np.flatnonzero(np.diff(at, prepend=-1))
+            gain[at[starts]] += np.add.reduceat(each, starts)
+        base = np.maximum(table[own] - more, 0)
+        gain[rows, own] = (_xlogx(base + more) - _xlogx(base)).sum(axis=1)
+        return gain
 
     def alone(totals: np.ndarray, more: np.ndarray) -> np.ndarray:
-        base = totals[chosen]
-        base[:, 0] -= more
+        base = np.repeat(totals[None, :], len(more), axis=0)
+        base[rows, own] -= more
         return _xlogx(base + more[:, None]) - _xlogx(base)
 
     total = joined(counts, right) + joined(counts.T, left) - alone(n_out, right.sum(axis=1)) - alone(n_in, left.sum(axis=1))
+    total[:, 0] = -np.inf  # the end's class
     best = total.argmax(axis=1)
-    return chosen[rows, best], total[rows, best] - total[:, 0]
+    return best, total[rows, best] - total[rows, own]
 
 
-def exchange(contexts: DataFrame, weight: np.ndarray, k: int, rounds: int, least_gain: float = 2e-4) -> tuple[np.ndarray, list[float]]:
-    """Class of each symbol, and the likelihood after each accepted round; class 0 is the end's alone.
+@dataclass
+class Clustering:
+    """Contexts of symbols (see :func:`symbol_contexts`), and how symbols are dealt; ``own`` (i, own binary) are the classes of a
+    stripe's symbols, a byte each."""
+
+    contexts: DataFrame
+    stripes: int
+    stripe: int
+    segment: int
+    k: int
+
+    def first_classes(self) -> DataFrame:
+        stripes, stripe, k = self.stripes, self.stripe, self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ranks = batch.column("i").to_numpy()[:, None] + np.arange(stripe)[None, :] * stripes
+                own = np.where(ranks == END, 0, 1 + ranks % (k - 1)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array([x.tobytes() for x in own], pa.binary())], names=["i", "own"])
+
+        return checkpointed(self.contexts.sparkSession.range(stripes).toDF("i").mapInArrow(run, "i long, own binary"))
+
+    def met(self, contexts: DataFrame, own: DataFrame) -> DataFrame:
+        """(i, side, m, data, own, classes): ``contexts`` with the classes of their stripe and of their segment."""
+        span = self.segment // self.stripe
+
+        def whole(group: pa.Table) -> pa.Table:
+            group = group.sort_by("i")
+            return pa.table({"j": [group.column("i")[0].as_py() // span], "classes": pa.array([b"".join(group.column("own").to_pylist())], pa.binary())})
+
+        segments = own.groupBy(F.floor(F.col("i") / span)).applyInArrow(whole, "j long, classes binary")
+        segments = F.broadcast(segments) if self.stripes <= MOST_SEGMENTS * span else segments
+        own = F.broadcast(own) if self.stripes <= MOST_STRIPES else own
+        return contexts.join(segments, "j").join(own, "i").select("i", "side", "m", "data", "own", "classes")
+
+    def counts(self, own: DataFrame) -> np.ndarray:
+        """The k by k transition counts; k * k numbers reach the driver."""
+        k = self.k
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k * k)
+            for _, _, m, data, mine, classes in _rows(batches, "i", "side", "m", "data", "own", "classes"):
+                s, o, n = unsqueeze(data, m, *_KINDS)
+                total += np.bincount(np.frombuffer(mine, np.uint8)[s].astype(np.int64) * k + np.frombuffer(classes, np.uint8)[o], weights=n, minlength=k * k)
+            total = total.reshape(k, k)
+            used = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["a", "n"])
+
+        out = np.zeros((k, k))
+        # a task gives at most a row for each class
+        rows = self.met(self.contexts.where("side = 1"), own).mapInArrow(run, "a long, n array<double>").groupBy("a").agg(F.array(*[F.sum(F.get("n", F.lit(b))) for b in range(k)]))
+        for a, n in rows.collect():
+            out[a] = n
+        return out
+
+    def moves(self, own: DataFrame, counts: np.ndarray) -> DataFrame:
+        """(i, own, best binary, level binary): of each symbol the best class, and the gain by it on a scale of quarter powers
+        of two, 0 if there is none."""
+        stripes, stripe, k = self.stripes, self.stripe, self.k
+        end = END % stripes * stripe + END // stripes
+
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for i, side, m, data, mine, classes in _rows(batches, "i", "side", "m", "data", "own", "classes"):
+                s, o, n = unsqueeze(data, m, *_KINDS)
+                found = np.bincount(s.astype(np.int64) * (2 * k) + k * side + np.frombuffer(classes, np.uint8)[o], weights=n, minlength=stripe * 2 * k)
+                at = np.flatnonzero(found)
+                yield pa.RecordBatch.from_pydict({"i": [i], "m": [len(at)], "data": [squeeze(at.astype(np.uint32), found[at])], "own": [mine]})
+
+        def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last, total, mine = None, None, None
+
+            def row() -> pa.RecordBatch:
+                classes, both = np.frombuffer(mine, np.uint8).astype(np.int64), total.reshape(stripe, 2 * k)
+                to, level = classes.astype(np.uint8), np.zeros(stripe, np.uint16)
+                used = np.flatnonzero(both.any(axis=1) & (np.arange(stripe) + last * stripe != end))
+                for part in np.split(used, range(256, len(used), 256)):
+                    found, gain = best_moves(both[part, :k], both[part, k:], classes[part], counts)
+                    better = (found != classes[part]) & (gain > 0)
+                    to[part[better]] = found[better]
+                    level[part[better]] = np.clip(np.floor(4 * np.log2(gain[better])) + 400, 1, 65535)
+                return pa.RecordBatch.from_pydict({"i": [last], "own": [mine], "best": [to.tobytes()], "level": [level.tobytes()]})
+
+            for i, m, data, held in _rows(batches, "i", "m", "data", "own"):
+                if i != last:
+                    if last is not None:
+                        yield row()
+                    last, total, mine = i, np.zeros(stripe * 2 * k), held
+                at, n = unsqueeze(data, m, np.uint32, np.float64)
+                total[at] += n
+            if last is not None:
+                yield row()
+
+        found = self.met(self.contexts, own).mapInArrow(vectors, "i long, m long, data binary, own binary")
+        found = found.repartition("i").sortWithinPartitions("i").mapInArrow(best, "i long, own binary, best binary, level binary")
+        # stripes without any context have no moves; their classes stay
+        return checkpointed(own.join(found.drop("own"), "i", "left"))
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple]:
+    for batch in batches:
+        for n in range(batch.num_rows):
+            yield tuple(batch.column(c)[n].as_py() for c in columns)
+
+
+def _levels(moves: DataFrame) -> np.ndarray:
+    """How many moves have each level; at most 65,536 numbers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (level,) in _rows(batches, "level"):
+            found, n = np.unique(np.frombuffer(level or b"", np.uint16), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(n)], names=["level", "n"])
+
+    out = np.zeros(65536, np.int64)
+    for level, n in moves.select("level").mapInArrow(run, "level int, n long").where("level > 0").groupBy("level").agg(F.sum("n")).collect():
+        out[level] = n
+    return out
+
+
+def _moved(moves: DataFrame, least: int) -> DataFrame:
+    """The classes after the moves of level ``least`` and more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, own, best, level in _rows(batches, "i", "own", "best", "level"):
+            if best is not None:
+                own = np.where(np.frombuffer(level, np.uint16) >= least, np.frombuffer(best, np.uint8), np.frombuffer(own, np.uint8)).tobytes()
+            yield pa.RecordBatch.from_pydict({"i": [i], "own": [own]})
+
+    return checkpointed(moves.mapInArrow(run, "i long, own binary"))
+
+
+def exchange(clustering: Clustering, rounds: int, least_gain: float = 2e-4) -> tuple[DataFrame, np.ndarray, list[float]]:
+    """Classes of the symbols by stripe, their transition counts, and the likelihood after each accepted round; class 0 is the
+    end's alone.
 
     Moves that gain alone may harm together, so the most gainful half of them is tried, and a half of those again until
-    likelihood rises; a share that worked at once is doubled for the next round.  Ends after ``rounds``, when no move gains,
-    when not even a 64th of the moves raises likelihood, or when a round gains less than ``least_gain`` of the likelihood.  The driver sees one class per symbol that would move.
+    likelihood rises; a share that worked at once is doubled for the next round.  Moves of one level go together.  Ends after
+    ``rounds``, when no move gains, when not even a 64th of the moves raises likelihood, or when a round gains less than
+    ``least_gain`` of the likelihood.
     """
-    size = len(weight)
-    classes = np.zeros(size, np.int64)
-    classes[np.argsort(-weight[:-1], kind="stable")] = 1 + np.arange(size - 1) % (k - 1)
-    counts = class_counts(contexts, classes, k)
+    own = clustering.first_classes()
+    counts = clustering.counts(own)
     history, share = [log_likelihood(counts)], 0.5
     for _ in range(rounds):
-
-        def moves(batches: Iterator[pa.RecordBatch], classes=classes, counts=counts) -> Iterator[pa.RecordBatch]:
-            for symbols, left, right in _contexts(batches, classes, k):
-                best, gain = best_moves(left, right, classes[symbols], counts)
-                better = (best != classes[symbols]) & (gain > 0) & (symbols != size - 1)
-                yield pa.RecordBatch.from_arrays([pa.array(symbols[better].astype(np.int64)), pa.array(best[better]), pa.array(gain[better])], names=["s", "c", "gain"])
-
-        found = contexts.mapInArrow(moves, "s long, c long, gain double").toPandas().sort_values(["gain", "s"], ascending=[False, True])
-        first = share
-        while len(found) and share >= 1 / 64:
-            some = found.iloc[: int(np.ceil(share * len(found)))]
-            trial = classes.copy()
-            trial[some["s"].to_numpy()] = some["c"].to_numpy()
-            moved = class_counts(contexts, trial, k)
-            if log_likelihood(moved) > history[-1]:
-                break
+        moves = clustering.moves(own, counts)
+        above = np.cumsum(_levels(moves)[::-1])[::-1]
+        first, tried = share, None
+        while above[0] and share >= 1 / 64:
+            least = int(np.flatnonzero(above >= np.ceil(share * above[0]))[-1])
+            if least != tried:
+                tried, trial = least, _moved(moves, least)
+                moved = clustering.counts(trial)
+                if log_likelihood(moved) > history[-1]:
+                    break
             share /= 2
         else:
             break
-        classes, counts = trial, moved
+        own, counts = trial, moved
         history.append(log_likelihood(counts))
         share = min(1.0, 2 * share) if share == first else share
         if history[-1] - history[-2] < least_gain * abs(history[-1]):
             break
-    return classes, history
+    return own, counts, history
 
 
-def train(docs: DataFrame, text_col: str = "text", classes: int = 64, min_count: int = 20, min_share: float = 2e-6, rounds: int = 8) -> Model:
-    """Fit the model on all rows of ``docs``; null texts count as empty, an empty table gives a uniform model.
+def train(docs: DataFrame, text_col: str = "text", **options) -> Model:
+    """Fit the model on all rows of ``docs`` (see :func:`fit`); null texts count as empty, an empty table gives a uniform model.
 
     Other columns are ignored, repeated rows each count.
     """
-    spark = docs.sparkSession
-    texts = docs.select(text_or_empty(text_col).alias("text"))
-    counts = checkpointed(count_words(texts))
-    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    return fit(cut(docs, None, text_col), **options)
+
+
+def fit(blocks: DataFrame, classes: int = 64, min_count: int = 20, min_share: float = 0.0, rounds: int = 8, stripe: int = STRIPE, segment: int = SEGMENT) -> Model:
+    """Fit the model on ``blocks`` of texts (see :func:`cut`).
+
+    Words of ``min_count`` occurrences, and of ``min_share`` of the tokens if that is asked for, are clustered.  The result does not
+    depend on ``stripe`` (at most 65,536) and ``segment`` (a multiple of it).
+    """
+    if not 2 <= classes <= 256 or segment % stripe or stripe > 65536:
+        raise ValueError("2 to 256 classes, stripes of at most 65,536 symbols, and whole stripes to a segment")
+    each = blocks.select(F.inline(F.arrays_zip("keys", "n", "shapes"))).select(F.col("keys").alias("key"), "n", F.col("shapes").bitwiseAND(F.lit(255)).cast("int").alias("shape"))
+    counts = checkpointed(each.groupBy("key").agg(F.sum("n").alias("n"), F.min("shape").alias("shape")))
+    ends = int(blocks.agg(F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()[0])
+    total, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)) + ends, F.count(F.lit(1)) + int(ends > 0)).first()
     least = max(min_count, min_share * total)
-    frequent = counts.where((F.col("shape") >= 0) & (F.col("n") >= least)).select("key", "n").toPandas().sort_values("key")
-    symbols = Symbols(frequent["key"].to_numpy(np.int64), frequent["n"].to_numpy(np.int64))
-    bigrams = checkpointed(count_bigrams(texts, symbols))
-    weight = np.zeros(symbols.end + 1)
-    for s, n in bigrams.groupBy("b").agg(F.sum("n")).collect():
-        weight[s] = n
-    contexts = checkpointed(symbol_contexts(bigrams, len(weight)))
-    number, history = exchange(contexts, weight, classes, rounds)
-    table = class_counts(contexts, number, classes)
+    numbered, stripes = number_words(counts, least, stripe)
+    clustering = Clustering(symbol_contexts(blocks, numbered, stripes, stripe, segment), stripes, stripe, segment, classes)
+    own, table, history = exchange(clustering, rounds)
+
+    def classes_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for i, mine in _rows(batches, "i", "own"):
+            yield pa.RecordBatch.from_arrays([pa.array(i * stripe + np.arange(stripe)), pa.array(np.frombuffer(mine, np.uint8).astype(np.int32))], names=["number", "kind"])
+
+    kinds = own.mapInArrow(classes_of, "number long, kind int")
+    frequent = numbered.where("frequent").join(kinds, "number").select("key", "n", "kind")
+    words = checkpointed(frequent.union(numbered.where("NOT frequent").select("key", "n", F.lit(-1))))
     # classes after each class: shrunk to the classes' overall shares
     size = table.sum(axis=0) + DELTA
     prior = size / size.sum()
     transition = np.log10((table + 20.0 * prior) / (table.sum(axis=1, keepdims=True) + 20.0))
-    held = np.bincount(number, weights=weight + DELTA, minlength=classes)
-    emission = np.log10((weight + DELTA) / held[number])
-    distinct = np.zeros(SHAPES)
-    rare = counts.where((F.col("shape") >= 0) & (F.col("n") < least))
-    for shape, n in rare.groupBy("shape").count().collect():
-        distinct[shape] = n
-    own = weight[len(symbols.hashes) : symbols.end]
-    ends = int(weight[-1])
-    return Model(counts.select("key", "n"), symbols, int(total), vocabulary, number, transition, emission, np.log10(own + DELTA * (distinct + 1)), ends, history)
+    first = {rank % stripes * stripe + rank // stripes: rank for rank in range(END + 1)}
+    shape_classes, weight, distinct = np.zeros(END + 1, np.int64), np.zeros(END + 1), np.zeros(SHAPES)
+    for number, kind in kinds.where(F.col("number").isin(list(first))).collect():
+        shape_classes[first[number]] = kind
+    for shape, n, words_of_shape in counts.where(F.col("n") < least).groupBy("shape").agg(F.sum("n"), F.count(F.lit(1))).collect():
+        weight[shape], distinct[shape] = n, words_of_shape
+    weight[END] = ends
+    held = np.bincount(shape_classes, weights=weight + DELTA, minlength=classes)
+    for kind, n in words.where("kind >= 0").groupBy("kind").agg(F.sum("n") + DELTA * F.count(F.lit(1))).collect():
+        held[kind] += n
+    held = np.log10(np.maximum(held, 1e-300))
+    shape_emission = np.log10(weight + DELTA) - held[shape_classes]
+    return Model(words, int(total), vocabulary, shape_classes, shape_emission, held, transition, np.log10(weight[:SHAPES] + DELTA * (distinct + 1)), ends, history)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row, in log10; null texts count as empty.
 
-    Texts are cut into words once, by blocks of rows, which are written.  Frequent words are looked up in the task.  A block's distinct
-    rare words go to the count table, once each, and their counts meet the block's occurrences, which are packed, in a
-    cogroup.  Ids may repeat or be null, other columns are ignored, an empty table gives no rows.
+    Ids may repeat or be null, other columns are ignored, an empty table gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
-    symbols, classes, transition, emission, rare = model.symbols, model.classes, model.transition, model.emission, model.rare
-    base = np.log10(model.train_tokens + DELTA * (model.vocabulary + 1))
-    logs = np.log10(symbols.counts + DELTA)
-    end_log, model_end = np.log10(model.end_count + DELTA), model.end_count
-    id_type = rows.schema["id"].dataType.simpleString()
+    return score_blocks(cut(docs, id_col, text_col), model, id_col)
 
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
-        for batch in text_runs(batches):
-            if not batch.num_rows:
-                continue
-            hashes, shapes, codes, counts = words_of(batch.column("text"))
-            numbers, place = symbols.number(hashes, shapes)
-            line = with_ends(numbers[codes], counts, symbols.end)
-            kind = classes[line]
-            plain = np.where(place >= 0, np.append(logs, 0.0)[place], 0.0)
-            extra = np.where(place >= 0, 0.0, -rare[shapes]) if len(shapes) else np.empty(0)
-            value = transition[np.concatenate(([classes[symbols.end]], kind[:-1])), kind] + emission[line] + with_ends(extra[codes], counts, 0)
-            starts = np.concatenate(([0], np.cumsum(counts + 1)))[:-1]
-            known = with_ends((place >= 0)[codes].astype(np.int64), counts, int(model_end > 0))
-            # distinct rare words, and which of them stand where
-            scarce = place < 0
-            rank, wanted = np.cumsum(scarce) - 1, scarce[codes] if len(codes) else np.empty(0, bool)
-            each = np.bincount(np.repeat(np.arange(len(counts)), counts)[wanted], minlength=len(counts))
-            one = lambda values: _one(pa.array(values))
-            yield pa.RecordBatch.from_pydict({
-                "block": [block], "ids": _one(batch.column("id")), "n_tokens": one(counts + 1), "known": one(np.add.reduceat(known, starts)), "base": one(np.add.reduceat(with_ends(plain[codes], counts, end_log), starts)),
-                "model": one(np.add.reduceat(value, starts)), "rare": one(each), "keys": one(hashes[scarce]), "codes": [pack(rank[codes[wanted]].astype(np.uint32))],
-            })
-            block += 1
+
+def score_blocks(blocks: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
+    """(id, n_tokens, n_known, base_score, score) of every text of ``blocks`` (see :func:`cut`): their distinct words' counts and
+    classes are fetched from the model's table."""
+    base = np.log10(model.train_tokens + DELTA * (model.vocabulary + 1))
+    held_logs, transition, rare, shape_classes, shape_emission = model.held, model.transition, model.rare, model.shape_classes, model.shape_emission
+    end_log, end_known = np.log10(model.end_count + DELTA), int(model.end_count > 0)
 
     def join(found: pa.Table, held: pa.Table) -> pa.Table:
-        column = lambda name: held.column(name).combine_chunks().flatten()
-        if held.num_rows != 1 or found.num_rows != held.column("n_rare")[0].as_py():
-            raise RuntimeError("a block lacks counts")
-        n = np.zeros(found.num_rows, np.int64)
-        n[found.column("number").to_numpy()] = found.column("n").to_numpy()
-        each = column("rare").to_numpy()
-        codes, edges = unpack(held.column("codes")[0].as_py(), int(each.sum()), np.uint32), np.concatenate(([0], np.cumsum(each)))
-        summed = lambda values: np.diff(np.concatenate(([0], np.cumsum(values[codes])))[edges])
-        log, tokens_ = summed(np.log10(n + DELTA)), column("n_tokens").to_numpy()
-        scores = [column("base").to_numpy() + log - tokens_ * base, column("model").to_numpy() + log]
-        return pa.table({"id": column("ids"), "n_tokens": tokens_, "n_known": column("known").to_numpy() + summed((n > 0).astype(np.int64)), "base_score": scores[0], "score": scores[1]})
-
-    numbers = ", ".join(f"{c} array<{t}>" for c, t in (("n_tokens", "long"), ("known", "long"), ("base", "double"), ("model", "double"), ("rare", "long"), ("keys", "long")))
-    held = checkpointed(rows.mapInArrow(blocks, f"block long, ids array<{id_type}>, {numbers}, codes binary"))
-    asked = held.select("block", F.posexplode("keys").alias("number", "key")).join(model.counts, "key", "left").select(F.col("block").alias("of"), "number", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
-    kept = held.withColumn("n_rare", F.size("keys")).drop("keys")
-    partitions = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * held.count(), MOST_PARTITIONS))
-    met, kept = (t.repartition(partitions, of).groupBy(of) for t, of in ((asked, "of"), (kept, "block")))
-    joined = met.cogroup(kept).applyInArrow(join, f"id {id_type}, n_tokens long, n_known long, base_score double, score double")
-    return joined.withColumnRenamed("id", id_col)
+        sizes, shapes = _column(held, "sizes"), _column(held, "shapes").view(np.uint8)
+        n, kind = found.column("n").to_numpy(), found.column("kind").to_numpy()
+        codes = unpack(held.column("codes")[0].as_py(), int(sizes.sum()), np.uint32)
+        log, frequent = np.log10(n + DELTA), kind >= 0
+        classes = np.where(frequent, kind, shape_classes[shapes])
+        emission = log + np.where(frequent, -held_logs[kind], shape_emission[shapes] - rare[shapes])
+        line = with_ends(classes[codes], sizes, shape_classes[END])
+        value = transition[np.concatenate(([shape_classes[END]], line[:-1])), line] + with_ends(emission[codes], sizes, shape_emission[END])
+        starts = np.concatenate(([0], np.cumsum(sizes + 1)))[:-1]
+        summed = lambda values, end: np.add.reduceat(with_ends(values[codes], sizes, end), starts)
+        return pa.table({"id": held.column("ids").combine_chunks().flatten(), "n_tokens": sizes + 1, "n_known": summed((n > 0).astype(np.int64), end_known), "base_score": summed(log, end_log) - (sizes + 1) * base, "score": np.add.reduceat(value, starts)})
+
+    id_type = blocks.schema["ids"].dataType.elementType.simpleString()
+    words = model.words.select("key", "n", "kind")
+    scored = met_blocks(blocks, words, {"n": 0, "kind": -1}, join, f"id {id_type}, n_tokens long, n_known long, base_score double, score double")
+    return scored.withColumnRenamed("id", id_col)
 
 
 def split_by_fold(docs: DataFrame, id_col: str = "doc_id", modulus: int = 10) -> tuple[DataFrame, DataFrame]:

@@ -121,3 +121,39 @@ def test_best_moves_match_brute_force():
             out, into = counts[c].sum() - (c == own[n]) * right[n].sum(), counts[:, c].sum() - (c == own[n]) * left[n].sum()
             found.append(x(rows[0] + right[n]) - x(rows[0]) + x(rows[1] + left[n]) - x(rows[1]) - x(out + right[n].sum()) + x(out) - x(into + left[n].sum()) + x(into))
         assert best[n] == 1 + int(np.argmax(found)) and abs(gain[n] - (max(found) - found[own[n] - 1])) < 1e-6
+
+
+def test_no_share_of_the_tokens_leaves_words_out(spark):
+    """Words of ``min_count`` occurrences are clustered, however small a share of a large corpus they are."""
+    rows = [(i, "the " * 100_000 + f"once{i} " + f"twice{i} " * 2) for i in range(6)]
+    model = lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), classes=4, min_count=2, rounds=1)
+    kinds = {r.key: r.kind for r in model.words.collect()}
+    model_once = lm.train(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), classes=4, min_count=1, rounds=0)
+    assert len(kinds) == 13 and sum(k >= 0 for k in kinds.values()) == 7
+    assert len(model_once.symbols.hashes) == 13
+
+
+def test_stripes_and_segments_change_nothing(spark):
+    """Symbols beyond one stripe and one segment: classes and likelihoods are those of one."""
+    docs = spark.createDataFrame(corpus(200), "doc_id long, text string, score string")
+    one, cut = (lm.train(docs, classes=6, min_count=1, rounds=2, **sizes) for sizes in ({}, {"stripe": 32, "segment": 64}))
+    assert len(one.history) > 1 and one.history == cut.history
+    assert np.array_equal(one.classes, cut.classes) and np.array_equal(one.transition, cut.transition) and np.array_equal(one.emission, cut.emission)
+
+
+def test_best_moves_try_all_classes():
+    rng = np.random.default_rng(5)
+    k = 60
+    counts = np.where(rng.random((k, k)) < 0.1, rng.integers(1, 4000, (k, k)), 0).astype(float)
+    left, right = (np.where(rng.random((60, k)) < 0.2, rng.integers(0, 300, (60, k)), 0).astype(float) for _ in range(2))
+    own = np.arange(60) % (k - 1) + 1
+    best, gain = lm.best_moves(left, right, own, counts)
+    for n in range(60):
+        total = np.zeros(k)
+        for c in range(1, k):
+            out, into, n_out, n_in = counts[c], counts[:, c], counts[c].sum(), counts[:, c].sum()
+            if c == own[n]:
+                out, into, n_out, n_in = np.maximum(out - right[n], 0), np.maximum(into - left[n], 0), n_out - right[n].sum(), n_in - left[n].sum()
+            total[c] = sum((lm._xlogx(a + b) - lm._xlogx(a)).sum() for a, b in ((out, right[n]), (into, left[n])))
+            total[c] -= sum(float(lm._xlogx(np.array(a + b)) - lm._xlogx(np.array(a))) for a, b in ((n_out, right[n].sum()), (n_in, left[n].sum())))
+        assert best[n] == 1 + int(np.argmax(total[1:])) and abs(gain[n] - (total[1:].max() - total[own[n]])) < 1e-6
