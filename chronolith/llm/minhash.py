@@ -170,8 +170,9 @@ def links_of_buckets(rows: DataFrame, distinct: DataFrame, sets: DataFrame) -> D
     return dealt.mapInArrow(_grouped, "u long, v long")
 
 
-def near_components(distinct: DataFrame, docs: DataFrame, text_col: str, words: int) -> DataFrame:
-    """(node, root) of the nodes of ``distinct`` (node, size, keys, bytes) that similar pairs join; others may be absent."""
+def near_components(distinct: DataFrame, docs: DataFrame, text_col: str, words: int, links: DataFrame | None = None) -> DataFrame:
+    """(node, root) of the nodes of ``distinct`` (node, size, keys, bytes) that similar pairs, and ``links`` (u, v), join; others
+    may be absent."""
     dealt = distinct.select("node", "size", F.explode("keys").alias("key"))
     least = checkpointed(dealt.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("last")).where("head <> last").select("key", "head"))
     shared = checkpointed(dealt.join(least, "key"))
@@ -187,6 +188,7 @@ def near_components(distinct: DataFrame, docs: DataFrame, text_col: str, words:
     rooted = checkpointed(shared.join(roots, "node", "left").select("key", "node", "size", F.coalesce("root", "node").alias("root")))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.count(F.lit(1)).alias("n"), F.sum("size").alias("held")).where("a <> b").select("key", "n", "held")
     more = checkpointed(links_of_buckets(rooted.join(mixed, "key"), distinct, sets).distinct())
+    more = more.union(links) if links is not None else more
     # what the second links join are components of the first
     named = roots.select("node", "root")
     ends = more.join(named.toDF("u", "ru"), "u", "left").join(named.toDF("v", "rv"), "v", "left")
@@ -196,18 +198,39 @@ def near_components(distinct: DataFrame, docs: DataFrame, text_col: str, words:
     return roots.join(last, "root", "left").select("node", F.coalesce("top", "root").alias("root")).union(alone)
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """``docs``, all columns, with one row of each component of similarity 0.8: that of the smallest id (null ids last), ties
-    the first row.
+def _node_links(rows: DataFrame, prints: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (u, v) between nodes of ``rows`` (id, node) that join what equal or linked fingerprints of ``prints`` (id, fp) join."""
+    both = rows.select(F.col("id.place").alias("place"), "node").join(prints.select(F.col("id.place").alias("place"), "fp"), "place")
+    both = checkpointed(both.select("node", "fp").distinct())
+    heads = checkpointed(both.groupBy("fp").agg(F.min("node").alias("head")))
+    equal = both.join(heads, "fp").where("node <> head").select(F.col("node").alias("u"), F.col("head").alias("v"))
+    linked = links.join(heads.toDF("u", "hu"), "u").join(heads.toDF("v", "hv"), "v").select(F.col("hu").alias("u"), F.col("hv").alias("v"))
+    return checkpointed(equal.union(linked))
+
 
-    Null and empty texts have the same empty set and link with each other alone.  Other columns pass through; an empty table
-    gives no rows.  ``docs`` is read several times and must give the same partitions each time, as files and checkpoints do.
+def near_duplicates(keyed: DataFrame, text_col: str = "text", words: int = 5, prints: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
+    """(row key, kept) of every row of ``keyed`` (see :func:`with_row_key`): ``kept`` is the smallest key of its component of
+    similarity 0.8.  Rows of equal or linked (``links``: u, v) fingerprints (``prints``: id, the row key, and fp) are joined too.
+
+    Null and empty texts have the same empty set and link with each other alone.  ``keyed`` is read several times and must
+    give the same partitions each time, as files and checkpoints do.
     """
-    keyed = with_row_key(docs, id_col)
     table = checkpointed(signatures(keyed, ROW_KEY, text_col, words))
     distinct = checkpointed(table.groupBy("node").agg(F.min("id").alias("first"), *[F.first(c).alias(c) for c in ("size", "keys", "bytes")]))
-    roots = near_components(distinct, docs, text_col, words)
+    more = None if prints is None else _node_links(table, prints, links)
+    roots = near_components(distinct, keyed, text_col, words, more)
     rooted = checkpointed(distinct.select("node", "first").join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")))
     least = checkpointed(rooted.groupBy("root").agg(F.min("first").alias("kept")))
     named = rooted.join(least, "root").select("node", "kept")
-    return drop_rows(keyed, table.select("id", "node").join(named, "node").where(F.col("id") != F.col("kept")).select(F.col("id").alias(ROW_KEY)))
+    return table.select("id", "node").join(named, "node").select(F.col("id").alias(ROW_KEY), "kept")
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
+    """``docs``, all columns, with one row of each component of similarity 0.8: that of the smallest id (null ids last), ties
+    the first row.
+
+    Other columns pass through; an empty table gives no rows.  See :func:`near_duplicates`.
+    """
+    keyed = with_row_key(docs, id_col)
+    found = near_duplicates(keyed, text_col, words)
+    return drop_rows(keyed, found.where(F.col(ROW_KEY) != F.col("kept")))

@@ -10,9 +10,10 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from chronolith.llm import bpe, exact_dedup, minhash, mixing, toxicity
-from chronolith.llm.common import shared_folder, table
+from chronolith.llm import bpe, exact_dedup, minhash, mixing, simhash, toxicity
+from chronolith.llm.common import ROW_KEY, checkpointed, drop_rows, shared_folder, table, with_row_key
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +31,17 @@ def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id (null ids last, then the first row), of each group linked by a five-word
-    shingle similarity of 0.8 or more.
+    """One document, that of the smallest doc_id (null ids last, then the first row), of each group that links join.
 
-    Fingerprints of 64 bits and their pivots cannot find these: see the README's figures.
+    Documents link by operator 4, whose fingerprints of four-word shingles differ in 4 bits or fewer, found by its pivot
+    tables; and by a five-word shingle similarity of 0.8 or more, as most such pairs differ in more bits (see the README's
+    figures).
     """
-    return minhash.drop_near_duplicates(docs, words=5)
+    keyed = with_row_key(docs, "doc_id")
+    prints = checkpointed(simhash.fingerprints(keyed, ROW_KEY, words=4))
+    links = simhash.near_links(checkpointed(prints.select("fp").distinct()), bits=4)
+    found = minhash.near_duplicates(keyed, words=5, prints=prints, links=links)
+    return drop_rows(keyed, found.where(F.col(ROW_KEY) != F.col("kept")))
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

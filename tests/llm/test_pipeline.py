@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from chronolith.llm import mixing, toxicity
+from chronolith.llm import mixing, simhash, toxicity
 from tests.llm.test_duplicates import brute_components
 from tests.llm.test_minhash import shingles
 
@@ -102,6 +102,19 @@ def test_stages_on_odd_tables(spark, tmp_path):
         assert found <= encoded and (sum(found.values()) > 0 if known else found == encoded)
 
 
+def test_near_stage_links_by_fingerprints_and_by_shingles(spark, tmp_path):
+    """1 and 2 have one fingerprint and few common shingles, 2 and 3 the same shingles and distant fingerprints."""
+    line, ends = "alpha beta gamma delta epsilon ", [" ".join(f"{c}{n}" for n in range(10)) for c in "xy"]
+    rows = [(1, line * 200 + ends[0]), (2, line * 200 + ends[1]), (3, line * 2 + ends[1]), (4, "quite another text of a few words"), (None, line * 200 + ends[0] + " end"), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    prints = {n: simhash.simhash(rows[n - 1][1].encode(), 4) for n in (1, 2, 3)}
+    sets = {n: shingles(rows[n - 1][1]) for n in (1, 2, 3)}
+    assert (prints[1] ^ prints[2]).bit_count() <= 4 < (prints[2] ^ prints[3]).bit_count()
+    assert 5 * len(sets[1] & sets[2]) < 4 * len(sets[1] | sets[2]) and sets[2] == sets[3]
+    assert sorted(str(r.doc_id) for r in corpus_pipeline.drop_near(spark, docs, str(tmp_path)).collect()) == ["1", "4", "None"]
+
+
 def test_one_query_for_each_operator():
     names = [n for n in __spark_entry__.queries() if re.match(r"op\d+_|pipeline", n)]
     assert sorted(re.match(r"op(\d+)|pipeline", n)[0] for n in names) == sorted([f"op{n}" for n in range(1, 14)] + ["pipeline"])
