@@ -2,10 +2,11 @@
 
 Each text is encoded by both, A as a byte-level BPE tokenizer and B as a sentencepiece model.  Bytes where tokens of both
 end cut it into groups; the last tokens of a group are linked.  Texts go in blocks of some megabytes, which are encoded once
-and written.  For each pair of ids a block makes compressed bitmaps of the documents that link it: plane k holds those whose
-number of links has bit k, so the planes' union counts documents and their weighted population counts give links.  Bitmaps
-go to the bucket of their B id; those of different blocks are of different documents, so to merge them is to set them side
-by side.  The summed scores go back along the postings, packed, to every block that holds the pair, and meet its links there.
+and written; both tokenizers share a block's distinct words, and A encodes many of them as one string.  For each pair of ids
+a block makes compressed bitmaps of the documents that link it: plane k holds those whose number of links has bit k, so the
+planes' union counts documents and their weighted population counts give links.  Bitmaps go to the bucket of their B id; those
+of different blocks are of different documents, so to merge them is to set them side by side.  The summed scores go back along
+the postings, packed, to every block that holds the pair, and meet its links there.
 
 A bucket's blocks are dealt over salts, and only sums by pair leave a salt, so a pair that every document holds fits tasks
 of bounded size; a bucket of pairs is bounded by the two vocabularies.
@@ -14,9 +15,11 @@ of bounded size; a bucket of pairs is bounded by the two vocabularies.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,10 +35,12 @@ from chronolith.llm.common import checkpointed, text_or_empty, text_runs
 
 #: Text of a block.
 BLOCK_BYTES = 2_500_000
-#: Words of each tokenizer whose ids a worker remembers; beyond it they are forgotten, and encoded anew if they come again.
-MOST_KNOWN = 100_000
-#: A word of a piece model: what stands up to the next space, with the spaces before it.
-WORDS = re.compile(" *[^ ]+| +").findall
+#: Words whose ids a worker remembers; beyond it all but a block's are forgotten, and encoded anew if they come again.
+MOST_KNOWN = 400_000
+#: Words are cut at a space after what no whitespace is: A begins a token at each, and B's spaces stay together.
+CUT = re.compile(r"(?<=\S) ").split
+#: Bytes from which a word is not remembered, and is cut as A cuts it; words that A encodes in one string.
+LONG, RUN = 256, 256
 #: Text for each bucket of pairs, the most buckets (beyond it the vocabularies bound a bucket), and blocks of a salt.
 BUCKET_BYTES, MOST_BUCKETS, SALT_BLOCKS = 32_000_000, 4096, 1024
 #: Most shuffle partitions that the size of the input asks for by itself.
@@ -61,42 +66,96 @@ class Tokens:
         # a piece with no space after another character never spans words, so words are encoded by themselves, each distinct one once
         crossing = any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size()))
         self.by_words = not crossing and "".join(self.b.encode("x", out_type=str)) == "▁x"
+        # if A gives back every byte, and finds no added token, its tokens' sizes tell whose they are among joined words
+        self.joins = len({p for p in pieces[0] if len(p) == 1}) == 256 and all(t["special"] for t in json.loads(spec)["added_tokens"])
         self.split = splitter_of(spec).plain
-        self.known: list[dict[str, bytes]] = [{}, {}]
+        self.known, self.ids = pa.array([], pa.string()), [pa.array([], pa.binary())] * (1 + self.by_words)
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of all texts in turn and where each begins and ends, of A for the texts after a space, and of B."""
-        a = lambda words: [e.ids for e in self.a.encode_batch_fast(words, add_special_tokens=False)]
-        out = [self._encoded(0, texts, lambda text: self.split(" " + text), a)]
+        counts, coded = _numbered(texts, CUT)
+        words = coded.dictionary
+        at = pc.index_in(words, value_set=self.known)
+        fresh = words.filter(pc.is_null(at))
+        place = at.fill_null(0).to_numpy().copy()
+        place[at.is_null().to_numpy(zero_copy_only=False)] = len(self.known) + np.arange(len(fresh))
+        ids = [pa.concat_arrays(x).take(pa.array(place)) for x in zip(self.ids, self._ids(fresh), strict=True)]
+        out = [_run_together(x, coded.indices, counts) for x in ids]
+        if not self.by_words:
+            out.append(_flat(self.b.encode(texts, num_threads=1)))
+        self._remember(words, fresh, at, ids)
+        return out
+
+    def _remember(self, words: pa.Array, fresh: pa.Array, at: pa.Array, ids: list[pa.Array]) -> None:
+        """Adds the fresh words; if they are too many, only the words of this block stay known."""
+        keep = pc.less(pc.binary_length(words), LONG)
+        if grows := len(self.known) + len(fresh) <= MOST_KNOWN:
+            keep = pc.and_(keep, pc.is_null(at))
+        new = [x.filter(keep).slice(0, MOST_KNOWN) for x in (words, *ids)]
+        self.known, *self.ids = [pa.concat_arrays([x, y]) for x, y in zip((self.known, *self.ids), new, strict=True)] if grows else new
+
+    def _ids(self, words: pa.Array) -> list[pa.Array]:
+        """Ids of each word after a space, as bytes, of A and, if it goes by words, of B."""
+        long = pc.greater_equal(pc.binary_length(words), LONG)
+        parts = [words.filter(pc.invert(long)), words.filter(long)]
+        found = pa.concat_arrays([self._joined(parts[0]), self._cut(parts[1].to_pylist())])
+        order = np.argsort(long.to_numpy(zero_copy_only=False), kind="stable")
+        out = [found.take(pa.array(np.argsort(order)))]
         if self.by_words:
-            space = self.b.piece_to_id("▁")  # the model puts a space before each word but an empty one
-            b = lambda words: [ids or [space] for ids in self.b.encode([w[1:] for w in words], num_threads=1)]
-            return [*out, self._encoded(1, texts, lambda text: WORDS(" " + text), b)]
-        return [*out, self._encoded(1, texts, lambda text: [text], lambda words: self.b.encode(words, num_threads=1))]
-
-    def _encoded(self, side: int, texts: list[str], split: Callable, encode: Callable) -> tuple[np.ndarray, np.ndarray]:
-        known, counts, chunks, held = self.known[side], [], [], []
-        for text in texts:
-            words = split(text)
-            counts.append(len(words))
-            held += words
-            if len(held) > 100_000:
-                chunks.append(pa.array(held, pa.string()))
-                held = []
-        coded = pa.chunked_array([*chunks, pa.array(held, pa.string())]).combine_chunks().dictionary_encode()
-        listed = coded.dictionary.to_pylist()
-        fresh = [w for w in listed if w not in known]
-        made = {}
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            made |= {w: np.array(ids, np.int32).tobytes() for w, ids in zip(some, encode(some), strict=True)}
-        table = pa.array([made[w] if w in made else known[w] for w in listed], pa.binary())
-        if len(known) + len(made) > MOST_KNOWN:
-            known.clear()
-        known |= {w: ids for w, ids in made.items() if len(w) < 100}
-        found = table.take(coded.indices)
-        cut = _edges(pc.binary_length(found).to_numpy(zero_copy_only=False))[_edges(np.array(counts, np.int64))] // 4
-        return np.frombuffer(_bytes_of(found), np.int32, count=cut[-1]), cut
+            listed, space = words.to_pylist(), [self.b.piece_to_id("▁")]  # the model puts a space before each word but an empty one
+            flat, edges = _flat([ids or space for at in range(0, len(listed), 10_000) for ids in self.b.encode(listed[at : at + 10_000], num_threads=1)])
+            out.append(_binary(4 * edges, flat.tobytes()))
+        return out
+
+    def _joined(self, words: pa.Array) -> pa.Array:
+        """A's ids of words after a space, many words in one string: what it cuts at anyhow stands between them."""
+        listed, step = words.to_pylist(), RUN if self.joins else 1
+        # a word that ends with whitespace would be cut elsewhere if another came after it
+        ends = sorted({*range(step, len(listed), step), *(n for n, w in enumerate(listed, 1) if not w or w[-1].isspace()), *[len(listed)] * bool(listed)})
+        runs = [" " + " ".join(listed[x:y]) for x, y in zip([0, *ends[:-1]], ends, strict=True)] if ends else []
+        batch = max(1, 10_000 // step)
+        flat, edges = _flat([e.ids for at in range(0, len(runs), batch) for e in self.a.encode_batch_fast(runs[at : at + batch], add_special_tokens=False)])
+        if self.joins:
+            upto, want = _edges(self.sizes[0][flat]), _edges(pc.binary_length(words).to_numpy(zero_copy_only=False) + 1)
+            edges = np.searchsorted(upto, want)
+            if upto[-1] != want[-1] or (upto[edges] != want).any():
+                self.joins = False  # this A does not give back every byte after all
+                return self._joined(words)
+        return _binary(4 * edges, flat.tobytes())
+
+    def _cut(self, words: list[str]) -> pa.Array:
+        """A's ids of long words after a space, each distinct part that A cuts them into by itself."""
+        counts, coded = _numbered(words, lambda word: self.split(" " + word))
+        parts = coded.dictionary.to_pylist()
+        flat, edges = _flat([e.ids for at in range(0, len(parts), 10_000) for e in self.a.encode_batch_fast(parts[at : at + 10_000], add_special_tokens=False)])
+        flat, edges = _run_together(_binary(4 * edges, flat.tobytes()), coded.indices, counts)
+        return _binary(4 * edges, flat.tobytes())
+
+
+def _numbered(texts: list[str], split: Callable) -> tuple[np.ndarray, pa.DictionaryArray]:
+    """Words of each text, and all words in turn as numbers of distinct ones."""
+    counts, chunks, held = [], [], []
+    for text in texts:
+        words = split(text)
+        counts.append(len(words))
+        held += words
+        if len(held) > 100_000:
+            chunks.append(pa.array(held, pa.string()))
+            held = []
+    return np.array(counts, np.int64), pa.chunked_array([*chunks, pa.array(held, pa.string())]).combine_chunks().dictionary_encode()
+
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all lists in turn and where each begins and ends."""
+    edges = _edges(np.fromiter(map(len, lists), np.int64, len(lists)))
+    return np.fromiter(chain.from_iterable(lists), np.int32, edges[-1]), edges
+
+
+def _run_together(ids: pa.Array, numbers: pa.Array, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of numbered words in turn, and where those of each text begin and end."""
+    found = ids.take(numbers)
+    edges = _edges(pc.binary_length(found).to_numpy(zero_copy_only=False))[_edges(counts)] // 4
+    return np.frombuffer(_bytes_of(found), np.int32, count=edges[-1]), edges
 
 
 @lru_cache(maxsize=2)
@@ -130,7 +189,10 @@ def aligned(tokens: Tokens, texts: list[str]) -> tuple[np.ndarray, np.ndarray, n
     last = [marks[1][ends[0]], marks[0][ends[1]]]
     group = [np.cumsum(x) - x for x in last]
     # tokens of A and B in turn of their groups, written out with what follows each
-    order = np.argsort(np.concatenate([2 * group[0], 2 * group[1] + 1]), kind="stable")
+    held = [np.bincount(g, minlength=int(last[0].sum())) for g in group]
+    order = np.empty(len(ids[0]) + len(ids[1]), np.int64)
+    order[np.arange(len(ids[0])) + _edges(held[1])[group[0]]] = np.arange(len(ids[0]))
+    order[np.arange(len(ids[1])) + _edges(held[0])[group[1] + 1]] = len(ids[0]) + np.arange(len(ids[1]))
     names = pa.concat_arrays([t.take(pa.array(x + len(s) * end)) for t, x, s, end in zip(tokens.names, ids, tokens.sizes, last, strict=True)])
     written = names.take(pa.array(order))
     text, cut = _bytes_of(written), _edges(pc.binary_length(written).to_numpy(zero_copy_only=False))[_edges(lengths[0] + lengths[1])]
@@ -206,7 +268,9 @@ def encoded(docs: DataFrame, spec: str, model: bytes, id_col: str, text_col: str
         tokens, block = tokens_of(spec, model), TaskContext.get().partitionId() << 32
         for batch in text_runs(batches, run_bytes=BLOCK_BYTES):
             n_a, n_b, n_groups, digests, a, b = aligned(tokens, batch.column("text").to_pylist())
-            keys, codes = np.unique(_key(a, b), return_inverse=True)
+            found = pa.array(_key(a, b)).dictionary_encode()
+            keys, rank = np.unique(found.dictionary.to_numpy(), return_inverse=True)
+            codes = rank[found.indices.to_numpy()]
             yield pa.RecordBatch.from_pydict({
                 "block": [block], "owners": _one(batch.column("id")), "n_a": _one(pa.array(n_a)), "n_b": _one(pa.array(n_b)), "n_groups": _one(pa.array(n_groups)), "digests": _one(pa.array(digests)),
                 "n_pairs": [len(keys)], "keys": [pack(np.diff(keys, prepend=0))], "codes": [pack(codes.astype(np.uint32))],

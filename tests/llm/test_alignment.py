@@ -91,3 +91,66 @@ def test_planes_count_documents_and_links(n_docs):
     planes = alignment.pack_planes(pair, doc, counts[pair, doc], 40, n_docs)
     docs, links = alignment.count_planes(planes, 40, n_docs)
     assert (docs == (counts > 0).sum(axis=1)).all() and (links == counts.sum(axis=1)).all()
+
+
+class Counted:
+    """An encoder that counts the strings it is given."""
+
+    def __init__(self, inner):
+        self.inner, self.given = inner, 0
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def encode_batch_fast(self, strings, **more):
+        self.given += len(strings)
+        return self.inner.encode_batch_fast(strings, **more)
+
+    def encode(self, strings, **more):
+        self.given += len(strings)
+        return self.inner.encode(strings, **more)
+
+
+def whole(tokens, texts):
+    """Ids of each text as both libraries encode it in one piece."""
+    return [[e.ids for e in tokens.a.encode_batch([" " + t for t in texts], add_special_tokens=False)], tokens.b.encode(texts)]
+
+
+def same(tokens, texts):
+    for (ids, edges), want in zip(tokens.encode(texts), whole(tokens, texts), strict=True):
+        assert [ids[x:y].tolist() for x, y in zip(edges[:-1], edges[1:], strict=True)] == want
+
+
+def test_words_are_encoded_many_at_once_and_stay_known():
+    tokens = alignment.Tokens(*alignment._tokenizers(*paths()))
+    blocks = [[" ".join(f"w{n}x" for n in range(at, at + 300)) for at in range(first, first + 60_000, 300)] for first in (0, 60_000)]
+    want = [whole(tokens, texts) for texts in blocks]
+    tokens.a, tokens.b = Counted(tokens.a), Counted(tokens.b)
+    for n in (0, 1, 0):
+        before = tokens.a.given, tokens.b.given
+        for (ids, edges), each in zip(tokens.encode(blocks[n]), want[n], strict=True):
+            assert [ids[x:y].tolist() for x, y in zip(edges[:-1], edges[1:], strict=True)] == each
+    assert (tokens.a.given, tokens.b.given) == before and tokens.a.given < 1200
+
+
+@pytest.mark.parametrize("more", [{}, {"LONG": 6}, {"MOST_KNOWN": 7}, {"RUN": 1}])
+def test_words_give_the_ids_of_whole_texts(monkeypatch, more):
+    for name, value in more.items():
+        monkeypatch.setattr(alignment, name, value)
+    tokens, rng = alignment.Tokens(*alignment._tokenizers(*paths())), np.random.default_rng(len(more))
+    signs = [" ", " ", " ", "\n", "\t", "\r\n", "\x1c", "\x85", "\xa0", "\u2003", "\u3000", "the", "Fox", "'s", "'", ".", "12", "é", "漢字", "😀", "<|endoftext|>", "</s>", "ab" * 5]
+    for _ in range(6):
+        same(tokens, [t for t in ("".join(rng.choice(signs, n)) for n in rng.integers(1, 30, 200)) if t] + [t for t in TEXTS if t])
+
+
+def test_words_are_not_joined_where_tokens_could_go_over_their_ends():
+    spec, model = alignment._tokenizers(*paths())
+    lacking = json.loads(spec)
+    lacking["added_tokens"].append({"id": 60_000, "content": "y z", "single_word": False, "lstrip": False, "rstrip": False, "normalized": False, "special": False})
+    tokens = alignment.Tokens(json.dumps(lacking), model)
+    ids, edges = tokens.encode(["x y", "z x"])[0]
+    assert not tokens.joins and 60_000 not in ids and len(edges) == 3
+    tokens = alignment.Tokens(spec, model)
+    tokens.sizes[0] = tokens.sizes[0] + 1  # as if bytes were not given back
+    same(tokens, [t for t in TEXTS if t])
+    assert not tokens.joins
