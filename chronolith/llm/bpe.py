@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from chronolith.llm.common import text_or_empty, text_runs
+from chronolith.llm.common import hand_back, text_or_empty, text_runs
 
 #: The pre-token pattern of this family of byte-level tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -40,6 +40,8 @@ BUCKET_BYTES, MOST_BUCKETS = 16_000_000, 4096
 MOST_KNOWN = 200_000
 #: Rows of the word table that a task unpacks at once.
 STEP = 32
+#: Words of a block's texts (one text at least) that are written out as ids and text at once.
+RUN_WORDS = 200_000
 #: Most shuffle partitions that the size of the input asks for by itself.
 MOST_PARTITIONS = 20_000
 
@@ -99,29 +101,32 @@ def unpack(packed: bytes, n: int, kind: np.dtype | type) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _split_texts(splitter: Splitter, texts: list[str]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct words, the most frequent first; the number in that order of every word in turn; words per text."""
+def _split_texts(splitter: Splitter, texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words, the most frequent first; the number in that order of every word in turn; words per text.
+
+    Words are numbered by runs, whose dictionaries are then unified, so that they are never held one by one for a whole block.
+    """
     counts, chunks, held = np.zeros(len(texts), np.int64), [], []
     for n, text in enumerate(texts):
-        words = splitter(text)
+        words = splitter(text.as_py())
         counts[n] = len(words)
         held += words
         if len(held) > 100_000:
-            chunks.append(pa.array(held, pa.string()))
+            chunks.append(pa.array(held, pa.string()).dictionary_encode())
             held = []
-    coded = pa.chunked_array([*chunks, pa.array(held, pa.string())]).combine_chunks().dictionary_encode()
-    indices = coded.indices.to_numpy()
-    order = np.argsort(-np.bincount(indices, minlength=len(coded.dictionary)), kind="stable")
+    coded = pa.chunked_array([*chunks, pa.array(held, pa.string()).dictionary_encode()]).unify_dictionaries()
+    distinct, indices = coded.chunk(0).dictionary, np.concatenate([c.indices.to_numpy() for c in coded.chunks])
+    order = np.argsort(-np.bincount(indices, minlength=len(distinct)), kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
-    return coded.dictionary.take(pa.array(order)), rank[indices], counts
+    return distinct.take(pa.array(order)), rank[indices], counts
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], spec: str) -> Iterator[tuple]:
     """Runs of rows of about ``BLOCK_BYTES`` of text (one row at least): number, rows, and what :func:`_split_texts` gives."""
     splitter, number = splitter_of(spec), TaskContext.get().partitionId() << 32
     for rows in text_runs(batches, run_bytes=BLOCK_BYTES):
-        yield (number, rows, *_split_texts(splitter, rows.column("text").to_pylist()))
+        yield (number, rows, *_split_texts(splitter, rows.column("text")))
         number += 1
 
 
@@ -217,6 +222,24 @@ def _texts_of(ids: np.ndarray, ends: np.ndarray, piece_ids: np.ndarray, pieces:
     return texts
 
 
+def _written(owners: pa.Array, counts: np.ndarray, codes: np.ndarray, known: pa.BinaryArray, small: np.dtype, pieces: tuple[np.ndarray, pa.Array] | None) -> pa.Table:
+    """(id, ids, and, if ``pieces`` are given, text) of a block's texts, whose words ``counts`` and ``codes`` give by number.
+
+    Texts are written by runs of ``RUN_WORDS``, so besides the result only a run is held.
+    """
+    cut, parts = _edges(counts), []
+    starts = np.flatnonzero(np.diff(cut[:-1] // RUN_WORDS, prepend=-1)).tolist()
+    for a, b in zip(starts, [*starts[1:], len(counts)], strict=True):
+        joined = known.take(pa.array(codes[cut[a] : cut[b]]))
+        sizes = _edges(pc.binary_length(joined).to_numpy(zero_copy_only=False) // small.itemsize)
+        ids, ends = np.frombuffer(_bytes_of(joined), small, count=sizes[-1]), sizes[cut[a : b + 1] - cut[a]]
+        part = {"id": owners.slice(a, b - a), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))}
+        if pieces:
+            part["text"] = _texts_of(ids, ends, *pieces)
+        parts.append(pa.table(part))
+    return pa.concat_tables(parts)
+
+
 def _encoded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, decoded: bool) -> DataFrame:
     """(id, ids, and, if ``decoded``, the text of the ids) of every row."""
     spec = read_tokenizer(tokenizer_path)
@@ -233,6 +256,7 @@ def _encoded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, d
             )
 
     def join(found: pa.Table, block: pa.Table) -> pa.Table:
+        hand_back()
         words = found.filter(pc.is_valid(found.column("n")))
         if block.num_rows != 1 or sum(words.column("n").to_pylist()) != block.column("n_words")[0].as_py():
             raise RuntimeError("the table gave other rows when it was read again")
@@ -243,14 +267,11 @@ def _encoded(docs: DataFrame, tokenizer_path: str, id_col: str, text_col: str, d
             lengths.append(unpack(sizes, n, np.uint32))
             data.append(unpack(ids, int(lengths[-1].sum()) // small.itemsize, small).tobytes())
         known = _binary(_edges(np.concatenate(lengths)), b"".join(data)).take(pa.array(np.argsort(np.concatenate(numbers))))
-        joined = known.take(pa.array(unpack(block.column("codes")[0].as_py(), int(counts.sum()), np.uint32)))
-        sizes = _edges(pc.binary_length(joined).to_numpy(zero_copy_only=False) // small.itemsize)
-        ids, ends = np.frombuffer(_bytes_of(joined), small, count=sizes[-1]), sizes[_edges(counts)]
-        out = {"id": block.column("owners").combine_chunks().flatten(), "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids.astype(np.int32)))}
+        codes, pieces = unpack(block.column("codes")[0].as_py(), int(counts.sum()), np.uint32), None
         if decoded:
-            pieces = found.filter(pc.is_valid(found.column("piece_ids"))).combine_chunks()
-            out["text"] = _texts_of(ids, ends, pieces.column("piece_ids").combine_chunks().flatten().to_numpy(), pieces.column("pieces").combine_chunks().flatten())
-        return pa.table(out)
+            listed = found.filter(pc.is_valid(found.column("piece_ids"))).combine_chunks()
+            pieces = listed.column("piece_ids").combine_chunks().flatten().to_numpy(), listed.column("pieces").combine_chunks().flatten()
+        return _written(block.column("owners").combine_chunks().flatten(), counts, codes, known, small, pieces)
 
     coded = _coded(rows, spec, small, buckets)
     met = coded.drop("used")

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronolith.llm.common import checkpointed, fold, text_or_empty, text_runs
+from chronolith.llm.common import checkpointed, fold, hand_back, text_or_empty, text_runs
 from chronolith.llm.simhash import shingle_hashes
 
 #: Kinds of terms: whole words (0), or beginnings of so many characters.
@@ -210,6 +210,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     votes += [voted([place[r.kind, r.term]]) for r in top[:voters]]
     posterior, _, _ = label_model(np.column_stack(votes), given)
     weights, bias = fit_linear(rows_, terms_, posterior, len(place))
+    hand_back()
     return Toxicity(terms, weights, bias, posterior, given)
 
 
