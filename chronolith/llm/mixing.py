@@ -59,7 +59,8 @@ def posteriors(
 
 
 def _expected(table: DataFrame, rate: Column, domains: int) -> list[float]:
-    row = table.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[k] * rate), F.lit(0.0)) for k in range(domains)]).first()
+    rated = table.select("tokens", "p", rate.alias("rate"))
+    row = rated.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col("p")[k] * F.col("rate")), F.lit(0.0)) for k in range(domains)]).first()
     return [float(x) for x in row]
 
 
@@ -70,13 +71,20 @@ def fit_rates(table: DataFrame, targets: list[float], max_rate: float = 4.0, pul
     times the token-weighted squares of (rate - 1), for rates in [0, ``max_rate``].  The step is scaled by each row's tokens,
     which keeps the projection exact; its length 1 / (1 + pull) is safe, as the weighed normal matrix has no eigenvalue over
     1.  Stops when every domain is within ``tolerance`` of all tokens, or after ``steps``; each step is one aggregate.
+    The expression folds the steps' factors, given as an array: unrolled, it would grow, and every step would compile code of
+    its own on the driver and the executors.
     Targets that are missed by more (rates may not reach them, or the pull holds them back) are logged with what is left.
     """
     k = len(targets)
     present = _expected(table, F.lit(1.0), k)
     total = sum(present) or 1.0
     weight = [max(x / total, 1e-6) for x in present]
-    rate, length = F.lit(1.0), 1.0 / (1.0 + pull)
+    rate, length, factors = F.lit(1.0), 1.0 / (1.0 + pull), []
+
+    def moved(rate: Column, factor: Column) -> Column:
+        slope = sum(F.col("p")[n] * factor[n] for n in range(k))
+        return F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate * (1.0 - length * pull) - length * (slope - pull)))
+
     for step in range(steps + 1):
         off = [(e - t) / total for e, t in zip(_expected(table, rate, k), targets, strict=True)]
         if max(map(abs, off)) <= tolerance:
@@ -84,8 +92,8 @@ def fit_rates(table: DataFrame, targets: list[float], max_rate: float = 4.0, pul
         if step == steps:
             LOG.warning("targets are missed by %s of all tokens after %d steps", [round(x, 6) for x in off], steps)
             break
-        slope = sum(F.col("p")[n] * float(off[n] / weight[n]) for n in range(k))
-        rate = F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), rate * (1.0 - length * pull) - length * (slope - pull)))
+        factors.append([float(o / w) for o, w in zip(off, weight, strict=True)])
+        rate = F.aggregate(F.lit(factors), F.lit(1.0), moved)
     return rate
 
 

@@ -117,3 +117,11 @@ def test_missed_targets_are_logged(spark, caplog):
     caplog.clear()
     mixing.fit_rates(table, [15.0, 5.0])
     assert "missed" not in caplog.text
+
+
+def test_steps_do_not_grow_the_rate(spark):
+    """However many steps, the expression holds one: unrolled, each step made the driver compile a longer program."""
+    table = spark.createDataFrame([(9, [0.9, 0.1]), (5, [0.2, 0.8])], "tokens long, p array<double>")
+    for steps in (2, 12):
+        rate = mixing.fit_rates(table, [4.0, 30.0], max_rate=1.5, tolerance=0, steps=steps)
+        assert table.select(rate.alias("rate"))._jdf.queryExecution().analyzed().toString().count("greatest(") == 1
