@@ -167,8 +167,8 @@ def met_blocks(blocks: DataFrame, words: DataFrame, columns: dict[str, int], joi
     return met.cogroup(kept).applyInArrow(checked, schema)
 
 
-def _partitions(blocks: DataFrame) -> int:
-    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(2 * blocks.count(), MOST_PARTITIONS))
+def _partitions(blocks: DataFrame, a_block: float = 2) -> int:
+    return max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(int(a_block * blocks.count()), MOST_PARTITIONS))
 
 
 def _column(held: pa.Table, name: str) -> np.ndarray:
@@ -224,7 +224,8 @@ def symbol_contexts(blocks: DataFrame, words: DataFrame, stripes: int, stripe: i
         both, n = np.unique(np.concatenate(([end], line[:-1])) * size + line, return_counts=True)
         rows, n = {c: [] for c in ("i", "j", "side", "m", "data")}, n.astype(np.uint64)
         for side, (s, o) in enumerate((np.divmod(both, size)[::-1], np.divmod(both, size))):
-            order = np.lexsort((o, s, o // segment, s // stripe))
+            # one key for (i, j, s, o): keys are distinct, and far under 2 ** 63
+            order = np.argsort(((s // stripe * -(-size // segment) + o // segment) * stripe + s % stripe) * segment + o % segment)
             s, o, each = s[order], o[order], n[order]
             i, j = s // stripe, o // segment
             starts = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 0) | (np.diff(j) != 0))))
@@ -266,7 +267,8 @@ def symbol_contexts(blocks: DataFrame, words: DataFrame, stripes: int, stripe: i
 
     schema = "i long, j long, side int, m long, data binary"
     chunks = met_blocks(blocks, words.withColumnRenamed("number", "number_of"), {"number_of": -1}, pairs, schema)
-    dealt = chunks.repartition(_partitions(blocks), "i", "j", "side").sortWithinPartitions("i", "j", "side")
+    # each round of clustering reads these partitions several times: few large ones, as a task costs more than a cell
+    dealt = chunks.repartition(_partitions(blocks, 0.25), "i", "j", "side").sortWithinPartitions("i", "j", "side")
     return checkpointed(dealt.mapInArrow(merged, schema))
 
 

@@ -157,3 +157,18 @@ def test_best_moves_try_all_classes():
             total[c] = sum((lm._xlogx(a + b) - lm._xlogx(a)).sum() for a, b in ((out, right[n]), (into, left[n])))
             total[c] -= sum(float(lm._xlogx(np.array(a + b)) - lm._xlogx(np.array(a))) for a, b in ((n_out, right[n].sum()), (n_in, left[n].sum())))
         assert best[n] == 1 + int(np.argmax(total[1:])) and abs(gain[n] - (total[1:].max() - total[own[n]])) < 1e-6
+
+
+def test_contexts_lie_in_few_partitions(spark):
+    """Every round reads them several times; a partition for each half block cost more than the counts in it."""
+    docs = spark.createDataFrame(corpus(), "doc_id long, text string, score string").repartition(12)
+    blocks = lm.cut(docs, None)
+    counts = blocks.select(F.inline(F.arrays_zip("keys", "n", "shapes"))).select(F.col("keys").alias("key"), "n", F.col("shapes").cast("int").alias("shape")).groupBy("key").agg(F.sum("n").alias("n"), F.min("shape").alias("shape"))
+    words, stripes = lm.number_words(counts, 2, 64)
+    contexts = lm.symbol_contexts(blocks, words, stripes, 64, 128)
+    assert blocks.count() == 12 and contexts.rdd.getNumPartitions() == 4  # as shuffles have here
+    cells = [tuple(r) for r in contexts.select("i", "j", "side", "m", "data").collect()]
+    assert len({c[:3] for c in cells}) == len(cells) and sum(c[3] for c in cells if c[2]) == sum(c[3] for c in cells if not c[2])
+    for _, _, _, m, data in cells:
+        s, o, _ = lm.unsqueeze(data, m, *lm._KINDS)
+        assert (np.diff(s.astype(np.int64) * 128 + o) > 0).all()
