@@ -190,7 +190,15 @@ def unsqueeze(data: bytes, m: int, *kinds: type) -> list[np.ndarray]:
     return found
 
 
-_KINDS = (np.uint16, np.uint32, np.uint64)
+def squeeze_cell(s: np.ndarray, o: np.ndarray, n: np.ndarray, segment: int) -> bytes:
+    """Entries of a cell, in rising order of (s, o): steps from one to the next are small, so they take less room."""
+    return squeeze(np.diff(s.astype(np.int64) * segment + o, prepend=0).astype(np.uint64), n.astype(np.uint64))
+
+
+def unsqueeze_cell(data: bytes, m: int, segment: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    steps, n = unsqueeze(data, m, np.int64, np.uint64)
+    key = np.cumsum(steps)
+    return (key // segment).astype(np.uint16), (key % segment).astype(np.uint32), n
 
 
 def number_words(counts: DataFrame, least: float, stripe: int) -> tuple[DataFrame, int]:
@@ -230,7 +238,7 @@ def symbol_contexts(blocks: DataFrame, words: DataFrame, stripes: int, stripe: i
             i, j = s // stripe, o // segment
             starts = np.flatnonzero(np.concatenate(([True], (np.diff(i) != 0) | (np.diff(j) != 0))))
             for x, y in zip(starts, np.append(starts[1:], len(s)), strict=True):
-                data = squeeze((s[x:y] % stripe).astype(np.uint16), (o[x:y] % segment).astype(np.uint32), each[x:y])
+                data = squeeze_cell(s[x:y] % stripe, o[x:y] % segment, each[x:y], segment)
                 for c, value in zip(rows, (i[x], j[x], side, y - x, data), strict=True):
                     rows[c].append(value)
         return pa.table(rows, schema=pa.schema([("i", pa.int64()), ("j", pa.int64()), ("side", pa.int32()), ("m", pa.int64()), ("data", pa.binary())]))
@@ -248,7 +256,7 @@ def symbol_contexts(blocks: DataFrame, words: DataFrame, stripes: int, stripe: i
 
         def row() -> pa.RecordBatch:
             s, o, n = summed(parts)
-            return pa.RecordBatch.from_pydict({"i": [last[0]], "j": [last[1]], "side": pa.array([last[2]], pa.int32()), "m": [len(s)], "data": [squeeze(s, o, n)]})
+            return pa.RecordBatch.from_pydict({"i": [last[0]], "j": [last[1]], "side": pa.array([last[2]], pa.int32()), "m": [len(s)], "data": [squeeze_cell(s, o, n, segment)]})
 
         for batch in batches:
             for *cell, m, data in zip(*(batch.column(c).to_pylist() for c in ("i", "j", "side", "m", "data")), strict=True):
@@ -256,7 +264,7 @@ def symbol_contexts(blocks: DataFrame, words: DataFrame, stripes: int, stripe: i
                     yield row()
                 if cell != last:
                     last, parts, gathered, least = cell, [], 0, MOST_ENTRIES
-                parts.append(tuple(unsqueeze(data, m, *_KINDS)))
+                parts.append(unsqueeze_cell(data, m, segment))
                 gathered += m
                 if gathered > least:
                     parts = [summed(parts)]
@@ -352,12 +360,12 @@ class Clustering:
 
     def counts(self, own: DataFrame) -> np.ndarray:
         """The k by k transition counts; k * k numbers reach the driver."""
-        k = self.k
+        k, segment = self.k, self.segment
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k * k)
             for _, _, m, data, mine, classes in _rows(batches, "i", "side", "m", "data", "own", "classes"):
-                s, o, n = unsqueeze(data, m, *_KINDS)
+                s, o, n = unsqueeze_cell(data, m, segment)
                 total += np.bincount(np.frombuffer(mine, np.uint8)[s].astype(np.int64) * k + np.frombuffer(classes, np.uint8)[o], weights=n, minlength=k * k)
             total = total.reshape(k, k)
             used = np.flatnonzero(total.any(axis=1))
@@ -373,12 +381,12 @@ class Clustering:
     def moves(self, own: DataFrame, counts: np.ndarray) -> DataFrame:
         """(i, own, best binary, level binary): of each symbol the best class, and the gain by it on a scale of quarter powers
         of two, 0 if there is none."""
-        stripes, stripe, k = self.stripes, self.stripe, self.k
+        stripes, stripe, segment, k = self.stripes, self.stripe, self.segment, self.k
         end = END % stripes * stripe + END // stripes
 
         def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, side, m, data, mine, classes in _rows(batches, "i", "side", "m", "data", "own", "classes"):
-                s, o, n = unsqueeze(data, m, *_KINDS)
+                s, o, n = unsqueeze_cell(data, m, segment)
                 found = np.bincount(s.astype(np.int64) * (2 * k) + k * side + np.frombuffer(classes, np.uint8)[o], weights=n, minlength=stripe * 2 * k)
                 at = np.flatnonzero(found)
                 yield pa.RecordBatch.from_pydict({"i": [i], "m": [len(at)], "data": [squeeze(at.astype(np.uint32), found[at])], "own": [mine]})

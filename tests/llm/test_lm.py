@@ -170,5 +170,16 @@ def test_contexts_lie_in_few_partitions(spark):
     cells = [tuple(r) for r in contexts.select("i", "j", "side", "m", "data").collect()]
     assert len({c[:3] for c in cells}) == len(cells) and sum(c[3] for c in cells if c[2]) == sum(c[3] for c in cells if not c[2])
     for _, _, _, m, data in cells:
-        s, o, _ = lm.unsqueeze(data, m, *lm._KINDS)
+        s, o, _ = lm.unsqueeze_cell(data, m, 128)
         assert (np.diff(s.astype(np.int64) * 128 + o) > 0).all()
+
+
+def test_cells_take_little_room():
+    """Entries in order take less as steps than as numbers of their own, and come back as they were."""
+    rng = np.random.default_rng(3)
+    key = np.sort(rng.choice(2048 * 300_000, 200_000, replace=False))
+    s, o, n = key // 300_000, key % 300_000, rng.integers(1, 4, len(key), dtype=np.uint64)
+    data = lm.squeeze_cell(s, o, n, lm.SEGMENT)
+    assert all((a == b).all() for a, b in zip(lm.unsqueeze_cell(data, len(key), lm.SEGMENT), (s, o, n), strict=True))
+    assert len(data) < 0.92 * len(lm.squeeze(s.astype(np.uint16), o.astype(np.uint32), n))
+    assert all(len(x) == 0 for x in lm.unsqueeze_cell(lm.squeeze_cell(s[:0], o[:0], n[:0], 64), 0, 64))
