@@ -25,7 +25,7 @@ def prices(spark, tmp_path_factory):
     return str(folder)
 
 
-@pytest.mark.parametrize("name", ["change_1", "change_5"])
+@pytest.mark.parametrize("name", ["change_1", "change_5", "series_full"])
 def test_changes_are_those_of_sql(spark, prices, name):
     got = QUERIES[name](spark, prices)
     duck = duckdb.connect()
